@@ -86,7 +86,7 @@ def trend(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, slope, intercept, rho, low, high, direction): least squares over period numbers; the slope's error is widened by the
     residuals' own correlation; direction up, down or stable by the 95 % interval."""
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("period")
-    rows = series.withColumn("_i", (F.row_number().over(order) - 1).cast("double"))
+    rows = series.select(*by, "period", "y").withColumn("_i", (F.row_number().over(order) - 1).cast("double"))
     fit = rows.groupBy(*by).agg(F.count("y").alias("n"), F.regr_slope("y", "_i").alias("slope"), F.regr_intercept("y", "_i").alias("intercept"), F.regr_sxx("y", "_i").alias("_sxx"))
     both = rows.join(fit, list(by)) if by else rows.join(F.broadcast(fit))
     both = both.withColumn("_e", F.col("y") - F.col("intercept") - F.col("slope") * F.col("_i")).withColumn("_p", F.lag("_e").over(order))
@@ -121,7 +121,8 @@ def seasonality(series: DataFrame, freq: str, by: Sequence[str] = ()) -> DataFra
 def stock_consumption(df: DataFrame, entity: str, date: str, stock: str, tie: str) -> DataFrame:
     """Consumption as the fall of a stock since the entity's row before; rises are 0; first rows go."""
     before = F.lag(stock).over(Window.partitionBy(entity).orderBy(date, tie))
-    return df.withColumn("consumed", F.greatest(before - F.col(stock), F.lit(0.0))).where("consumed is not null")
+    fall = before - F.col(stock)
+    return df.withColumn("consumed", F.when(fall.isNotNull(), F.greatest(fall, F.lit(0.0)))).where("consumed is not null")
 
 
 def trailing_streak(series: DataFrame, limit: float) -> DataFrame:
