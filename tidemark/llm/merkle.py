@@ -6,9 +6,10 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
@@ -17,6 +18,9 @@ from tidemark.llm.shared import written
 LEAF_CHARS = 96
 #: A section ends after a paragraph whose hash is 0 modulo this, so an edit moves no later border.
 SECTION_PARAGRAPHS = 8
+#: Ranges of ids that are walked one by one: about so many rows each, but no more ranges than that; their borders come from so
+#: many sampled rows a range. Borders balance the work and change no result.
+RANGE_ROWS, MOST_RANGES, SAMPLES_A_RANGE = 256, 50_000, 20
 
 LEAF = re.compile(rf"[^.!?]{{1,{LEAF_CHARS}}}[.!?]*|[.!?]+")
 
@@ -103,58 +107,56 @@ def _compared(text: str, nodes: list[tuple[str, str]], following: str, next_prin
 
 
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("role", pa.string()), ("text", pa.string())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 ROWS_A_BATCH = 256
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
-
-
 def _walk(batches):
-    """Rows of one sorted range: each document against the next; its first text and its last document go on as they are."""
-    part, before, rows = TaskContext.get().partitionId(), None, []
+    """Rows sorted by range, each range ended by the first document of the next one: each document against the following."""
+    before = None
     for big in batches:
         for k in range(0, big.num_rows, ROWS_A_BATCH):
-            some = big.slice(k, ROWS_A_BATCH)
-            for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                text = text or ""
+            some, rows = big.slice(k, ROWS_A_BATCH), []
+            for doc_id, text, ends in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), some.column("ends").to_pylist(), strict=True):
                 nodes = [paragraph(p) for p in text.split("\n")]
-                if before is None:
-                    rows.append((None,) * 7 + (part, "first", text))
-                else:
-                    rows.append((before[0], *_compared(*before[1:], text, assemble(nodes)), part, "done", None))
-                before = (doc_id, text, nodes)
+                if before is not None:
+                    rows.append((before[0], *_compared(*before[1:], text, assemble(nodes))))
+                before = None if ends else (doc_id, text, nodes)
             if rows:
-                yield _batch(rows)
-                rows = []
-    if before is not None:
-        yield _batch([(before[0],) + (None,) * 6 + (part, "last", before[1])])
-
-
-def _bridge(batches):
-    for big in batches:
-        for k in range(big.num_rows):
-            some = big.slice(k, 1).to_pylist()[0]
-            row = (some["doc_id"], *_compared(some["text"], [paragraph(p) for p in some["text"].split("\n")], some["following"], fingerprint(some["following"])))
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, OUT, strict=False)], schema=pa.schema(list(OUT)[:7]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprint of each whole text and of its edited text, and its likeness to that and to the next document's.
 
-    One range shuffle sorts the documents; each range is walked once, keeping two documents at a time. Only the first
-    and last text of each range go on to a small join that bridges the ranges.
+    Ids and hashes of texts, without texts, give ranges of ids and the first document of each. That document also ends the
+    range before (the first of all ends the last), so every range is complete. One shuffle by range brings the texts
+    together, and a task walks its sorted ranges keeping two documents at a time.
     Null texts count as empty; null ids come last; rows of the same id go in order of a hash of the text, so repeated
     rows follow each other; a single document is its own next; an empty table gives an empty one; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tie")
-    walked = written(ranged.select("doc_id", "text").mapInArrow(_walk, FIELDS + ", part int, role string, text string"), "merkle")
-    firsts = walked.where("role = 'first'").select("part", F.col("text").alias("following"))
-    # One row for each range, without texts, is enough to tell which follows which.
-    ends = firsts.select("part").withColumn("next_part", F.lead("part").over(Window.orderBy("part")))
-    ends = ends.withColumn("next_part", F.coalesce("next_part", F.min("part").over(Window.partitionBy(F.lit(0)))))
-    lasts = walked.where("role = 'last'").select("doc_id", "text", "part").join(ends, "part").join(firsts.withColumnRenamed("part", "next_part"), "next_part").select("doc_id", "text", "following")
-    done = walked.where("role = 'done'").select(*[f.split()[0] for f in FIELDS.split(", ")])
-    return done.unionByName(lasts.mapInArrow(_bridge, FIELDS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # One number in the order of (id, hash): equal ids fall into several ranges if many rows share them.
+    part = F.col("tie") / 2.0**64 + 0.5
+    rows = rows.withColumn("place", F.when(F.col("doc_id").isNull(), 2.0**64 * (1 + part)).otherwise(F.col("doc_id") + part))
+    marks = written(rows.select("doc_id", "tie", "place"), "merkle-marks")
+    n = marks.count()
+    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    sample = marks.sample(min(1.0, SAMPLES_A_RANGE * ranges / max(n, 1)), seed=7).select("place").toPandas()["place"].to_numpy()
+    cuts = np.unique(np.quantile(sample, np.arange(1, ranges) / ranges, method="lower")) if len(sample) and ranges > 1 else np.zeros(0)
+
+    @F.pandas_udf("int")
+    def range_of(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, places.to_numpy(), side="right").astype(np.int32))
+
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    firsts = marks.withColumn("range", range_of("place")).groupBy("range").agg(F.min(order).alias("f")).orderBy("range").collect()  # at most MOST_RANGES rows of three numbers
+    if not firsts:
+        return docs.sparkSession.createDataFrame([], FIELDS)
+    follow = [(firsts[k - 1]["range"], f["f"]["doc_id"], f["f"]["tie"]) for k, f in enumerate(firsts)]
+    side = docs.sparkSession.createDataFrame(follow, "range int, first_id long, first_tie long")
+    ending = rows.join(F.broadcast(side), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))).dropDuplicates(["range"])
+    names = ["range", "doc_id", "tie", "text", "ends"]
+    both = rows.withColumn("range", range_of("place")).withColumn("ends", F.lit(False)).select(*names).unionByName(ending.withColumn("ends", F.lit(True)).select(*names))
+    ranged = both.repartition("range").sortWithinPartitions("range", "ends", F.col("doc_id").asc_nulls_last(), "tie")
+    return ranged.select("doc_id", "text", "ends").mapInArrow(_walk, FIELDS)
