@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,14 +25,25 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back, so a lost executor loses nothing."""
+def written(df: DataFrame, name: str, within: str = "") -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder (under ``within``) and read it back, so a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{within or scratch_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def steps(spark: SparkSession, name: str):
+    """A subfolder of the shared folder for tables between steps. It goes at the end, so what leaves must be written elsewhere."""
+    folder = f"{scratch_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

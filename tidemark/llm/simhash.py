@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import steps, written
 
 BITS, RADIUS, SEED = 64, 3, 42
 TABLES = 2 ** (RADIUS + 1) - 1
@@ -98,7 +96,7 @@ def _star(batches):
         yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
-def close_links(prints: DataFrame) -> DataFrame:
+def close_links(prints: DataFrame, within: str = "") -> DataFrame:
     """(a, b), a > b: links that join all of the distinct (rep, fp) at Hamming distance 3 or less as all pairs would.
 
     Level 1 has 15 tables; a table's key is the fingerprint under its mask. Buckets of at most ``BUCKET`` members are
@@ -111,8 +109,8 @@ def close_links(prints: DataFrame) -> DataFrame:
         mask = F.element_at(F.lit([_signed(m) for m in masks]), F.col("table") + 1)
         deal = F.explode(F.sequence(F.col("table") * TABLES, F.col("table") * TABLES + TABLES - 1))
         rows = rows.select("rep", "fp", deal.alias("table")).withColumn("key", F.col("fp").bitwiseAND(mask))
-        sizes = written(rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"simhash-sizes{level}")
-        shared = written(rows.join(sizes, ["table", "key"]), f"simhash-shared{level}")
+        sizes = written(rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"simhash-sizes{level}", within)
+        shared = written(rows.join(sizes, ["table", "key"]), f"simhash-shared{level}", within)
         small = shared.where(F.col("n") <= BUCKET) if level < LEVELS - 1 else shared
         stars = small.groupBy("table", "key").agg(F.collect_list(F.struct("rep", "fp")).alias("members")).select("members").mapInArrow(_star, "a long, b long")
         links = stars if links is None else links.unionByName(stars)
@@ -122,23 +120,23 @@ def close_links(prints: DataFrame) -> DataFrame:
     return links.distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, within: str = "") -> DataFrame:
     """(node, component): the least node reachable, for each node of the links (a, b).
 
     Alternating large and small stars, by joins and minima alone; every step is written to the shared folder, and the
     loop ends when a step changes no link, after about as many steps as the logarithm of the longest path.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", within)
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
     now = mark(edges)
     while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", within)
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large", within)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least", within)
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        edges, before = written(small.distinct(), "links"), now
+        edges, before = written(small.distinct(), "links", within), now
         now = mark(edges)
         if now == before:
             break
@@ -155,9 +153,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     repeated rows each get a row; an empty table gives an empty one; other columns are ignored.
     """
     prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle_words).alias("fp")), "simhash")
-    nodes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    groups = components(close_links(nodes)).withColumnRenamed("node", "rep")
-    named = written(nodes.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-groups")
+    with steps(docs.sparkSession, "simhash-steps") as folder:
+        nodes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes", folder)
+        groups = components(close_links(nodes, folder), folder).withColumnRenamed("node", "rep")
+        named = written(nodes.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-groups")
     return prints.join(named, "fp", "left").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
@@ -169,20 +168,30 @@ def hex_fingerprint(fp: Column) -> Column:
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Least shingle hashes of a text, each a key under which it meets others; two texts at similarity 0.8 share none with
 #: probability 0.2 ** 16.
-KEYS, ROUNDS = 16, 3
+KEYS = 16
+#: Least hashes from which a pair's similarity is estimated, 32 bits of each. Of so many least ones of the pair's union, both
+#: texts must have ``LEAST_COMMON`` before their whole sets are compared; at similarity 0.8 they have fewer with probability
+#: 4e-8. Unions of fewer shingles are judged by all of them.
+SKETCH, LEAST_COMMON = 64, 32
+#: Likeliest pairs of each text with texts of other groups under a key, by round; 0 stands for a spanning forest.
+NEIGHBOURS = (0, 4, 32, 256)
+BROADCAST_PAIRS = 250_000
+#: The least estimate of similarity from least hashes alone that a pair which passes can have.
+LEAST_ESTIMATE = LEAST_COMMON / (2 * SKETCH - LEAST_COMMON)
 
 
 def _sketched(k: int):
-    @F.pandas_udf("content string, fp long, n int, keys array<long>")
+    @F.pandas_udf("content string, fp long, n int, keys array<long>, sketch array<int>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             words = words_of(t)
             hashes = shingle_hashes(words, k)
             distinct = np.unique(hashes)
-            keys = np.array(heapq.nsmallest(KEYS, (distinct * np.uint64(0x9E3779B97F4A7C15)).tolist()), dtype=np.uint64)
-            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), simhash(hashes), len(distinct), keys.view(np.int64)))
-        return pd.DataFrame(rows, columns=["content", "fp", "n", "keys"])
+            keys = (distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+            least = np.sort(np.partition(keys, SKETCH)[:SKETCH] if len(keys) > SKETCH else keys)
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), simhash(hashes), len(distinct), least[:KEYS].view(np.int64), (least >> np.uint64(32)).astype(np.int32)))
+        return pd.DataFrame(rows, columns=["content", "fp", "n", "keys", "sketch"])
 
     return sketch
 
@@ -195,62 +204,138 @@ def _shingle_set(k: int):
     return shingles
 
 
+def _estimates(members: list[dict], similarity: float) -> np.ndarray:
+    """Estimated similarity of each pair of members; 0 where it can't reach ``similarity``."""
+    sizes = np.array([x["n"] for x in members], dtype=float)
+    sketches = [np.unique(np.asarray(x["sketch"], dtype=np.int32)) for x in members]
+    lengths = np.array([len(x) for x in sketches])
+    _, at = np.unique(np.concatenate(sketches), return_inverse=True)
+    has = np.zeros((len(members), at.max(initial=0) + 1), dtype=np.float32)
+    has[np.repeat(np.arange(len(members)), lengths), at] = 1
+    common = has @ has.T
+    guess = common / np.maximum(lengths[:, None] + lengths[None, :] - common, 1)
+    never = np.minimum(sizes[:, None], sizes[None, :]) < similarity * np.maximum(sizes[:, None], sizes[None, :])
+    guess[never | (guess < LEAST_ESTIMATE)] = 0
+    return guess
+
+
+def _forest(guess: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of greatest estimates: any other pair is joined by pairs that are likelier links."""
+    m, found = len(guess), []
+    best, of, left = guess[0].copy(), np.zeros(m, dtype=int), np.ones(m, dtype=bool)
+    left[0] = False
+    for _ in range(m - 1):
+        k = int(np.argmax(np.where(left, best, -1)))
+        if best[k] > 0:
+            found.append((k, int(of[k])))
+        left[k] = False
+        nearer = guess[k] > best
+        best, of = np.where(nearer, guess[k], best), np.where(nearer, k, of)
+    return found
+
+
+def _likely(similarity: float, neighbours: int):
+    """Pairs (a, b) of each bucket of members: a forest, or each member's likeliest ``neighbours`` of other groups."""
+
+    def pairs(batches):
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for members in batch.column("members").to_pylist():
+                guess = _estimates(members, similarity)
+                if neighbours:
+                    groups = np.array([x["group"] for x in members])
+                    guess[groups[:, None] == groups[None, :]] = 0
+                    top = np.argsort(-guess, axis=1, kind="stable")[:, :neighbours]
+                    near = [(i, int(j)) for i, line in enumerate(top) for j in line if guess[i, j] > 0]
+                else:
+                    near = _forest(guess)
+                found.update((max(members[i]["rep"], members[j]["rep"]), min(members[i]["rep"], members[j]["rep"])) for i, j in near)
+            some = list(found)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in some], pa.int64()), "b": pa.array([b for _, b in some], pa.int64())})
+
+    return pairs
+
+
 def duplicate_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for each distinct non-null id: documents of the same words are one, and those whose sets of
     word shingles have a Jaccard similarity of ``similarity`` or more link.
 
-    Candidates: SimHash neighbours by covering hashing, and texts that share one of their 16 least shingle hashes. Under
-    a key, each text is compared with one hub, drawn by hash anew in each of ``ROUNDS`` rounds, so a key of any number of
-    texts costs one comparison a text; later rounds compare those still apart. Every candidate is checked exactly.
+    Candidates: SimHash neighbours by covering hashing, and texts that share one of their 16 least shingle hashes. Texts
+    under a key are dealt into buckets of about ``BUCKET``, anew in each round; a bucket yields a spanning forest of its
+    likeliest pairs, later each text's likeliest ones with groups still apart, in the end all of them. Keys of several
+    buckets also compare each text with one hub of theirs. Candidates whose sizes and least hashes leave a chance are
+    checked on their whole sets; the rounds end when none is untried.
+
+    Null and empty texts are one group. An id of several rows goes by one of its texts; an empty table gives an empty one;
+    other columns are ignored.
     """
+    with steps(docs.sparkSession, "duplicate-steps") as folder:
+        return written(_grouped(docs, shingle_words, similarity, folder), "duplicate-groups")
+
+
+def _grouped(docs: DataFrame, shingle_words: int, similarity: float, folder: str) -> DataFrame:
     sketch = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _sketched(shingle_words)(F.col("text")).alias("s"))
-    marks = written(sketch.select("doc_id", "s.content", F.struct("s.fp", "s.n", "s.keys").alias("rest")), "copies")
-    texts = written(marks.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min_by("rest", "doc_id").alias("rest")).select("content", "rep", "rest.*"), "texts")
-    keyed = written(texts.select("rep", F.explode("keys").alias("key")), "keys")
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
-    keyed = written(keyed.join(shared, "key"), "met")
-    sizes = texts.select("rep", "n")
-    prints = texts.groupBy("fp").agg(F.min("rep").alias("rep"))
+    marks = written(sketch.select("doc_id", "s.content", F.struct("s.fp", "s.n", "s.keys", "s.sketch").alias("rest")), "copies", folder)
+    texts = written(marks.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min_by("rest", "doc_id").alias("rest")).select("content", "rep", "rest.*"), "texts", folder)
+    keyed = texts.select("rep", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "shared-keys", folder)
+    keyed = written(keyed.join(shared, "key"), "met", folder)
+    sketches = texts.select("rep", "n", "sketch")
+    prints = written(texts.groupBy("fp").agg(F.min("rep").alias("rep")), "prints", folder)
     same = texts.join(prints.withColumnRenamed("rep", "hub"), "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    pairs = same.unionByName(close_links(written(prints.select("rep", "fp"), "prints")))
+    near = same.unionByName(close_links(prints, folder))
     tried, links, groups = None, None, None
-    for k in range(ROUNDS):
-        met = keyed if groups is None else keyed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        group = F.col("rep") if groups is None else F.col("component")
-        hubs = written(met.withColumn("group", group).groupBy("key").agg(F.min_by(F.struct("rep", "group"), F.xxhash64("rep", F.lit(k))).alias("hub"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", F.col("hub.rep").alias("hub"), F.col("hub.group").alias("hub_group")), f"hubs{k}")
-        more = met.withColumn("group", group).join(hubs, "key").where("group <> hub_group").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b"))
-        pairs = (pairs.unionByName(more) if k == 0 else more).distinct()
+    for k, neighbours in enumerate(NEIGHBOURS):
+        if groups is None:
+            met = keyed.withColumn("group", F.col("rep"))
+        else:
+            met = keyed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
+            apart = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+            met = written(met.join(apart, "key"), f"apart{k}", folder)
+        bucket = F.pmod(F.xxhash64("rep", "key", F.lit(k)), F.ceil(F.col("texts") / BUCKET)).alias("bucket")
+        dealt = met.join(sketches, "rep").groupBy("key", bucket).agg(F.collect_list(F.struct("rep", "group", "n", "sketch")).alias("members"))
+        pairs = dealt.where(F.size("members") > 1).select("members").mapInArrow(_likely(similarity, neighbours), "a long, b long")
+        large = met.where(F.col("texts") > BUCKET)
+        hubs = large.groupBy("key").agg(F.min_by(F.struct("rep", "group"), F.xxhash64("rep", F.lit(k))).alias("hub"))
+        pairs = pairs.unionByName(large.join(hubs, "key").where("group <> hub.group").select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")))
+        pairs = (pairs.unionByName(near) if k == 0 else pairs).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        sized = pairs.join(sizes.withColumnRenamed("rep", "a").withColumnRenamed("n", "na"), "a").join(sizes.withColumnRenamed("rep", "b").withColumnRenamed("n", "nb"), "b")
-        pairs = written(sized.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b"), f"pairs{k}")
-        if not pairs.limit(1).count():
+        side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+        union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
+        common = F.size(F.array_intersect(union, F.array_intersect("ka", "kb")))
+        pairs = written(pairs.where((common >= LEAST_COMMON) | (common >= similarity * F.size(union) - 1e-9)).select("a", "b"), f"pairs{k}", folder)
+        n = pairs.count()
+        if not n:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _similar(docs, pairs, shingle_words, similarity, k)
+        found = _similar(docs, pairs, n, shingle_words, similarity, k, folder)
+        if k and not found.limit(1).count():
+            continue
         links = found if links is None else links.unionByName(found)
-        groups = written(components(links), f"groups{k}")
+        groups = written(components(links, folder), f"groups{k}", folder)
     copies = marks.join(texts.select("content", "rep"), "content").select("doc_id", "rep")
     if groups is None:
         return copies.groupBy("doc_id").agg(F.min("rep").alias("component_id"))
-    named = written(texts.select("rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component_id")), "named")
+    named = texts.select("rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component_id"))
     return copies.join(named, "rep").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float, k: int) -> DataFrame:
+def _similar(docs: DataFrame, pairs: DataFrame, n: int, shingle_words: int, similarity: float, k: int, folder: str) -> DataFrame:
+    """The ``n`` pairs whose whole sets of shingles are similar. Ids of few pairs are broadcast; more are joined by shuffle."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(some.select("doc_id", _shingle_set(shingle_words)("text").alias("set")), f"sets{k}")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if n <= BROADCAST_PAIRS else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(some.select("doc_id", _shingle_set(shingle_words)("text").alias("set")), f"sets{k}", folder)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     jaccard = F.when(F.size("x") + F.size("y") > 0, common / (F.size("x") + F.size("y") - common)).otherwise(1.0)
-    return written(both.where(jaccard >= similarity).select("a", "b"), f"similar{k}")
+    return written(both.where(jaccard >= similarity).select("a", "b"), f"similar{k}", folder)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each duplicate group, that of the least id, as it is. Rows that repeat its id go but for one; rows
     with a null id stay, as nothing names them."""
-    groups = duplicate_groups(docs, **options)
-    kept = written(groups.where("doc_id = component_id").select("doc_id"), "kept")
+    kept = duplicate_groups(docs, **options).where("doc_id = component_id").select("doc_id")
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
