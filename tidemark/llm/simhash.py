@@ -174,10 +174,11 @@ KEYS = 16
 #: 4e-8. Unions of fewer shingles are judged by all of them.
 SKETCH, LEAST_COMMON = 64, 32
 #: Likeliest pairs of each text with texts of other groups under a key, by round; 0 stands for a spanning forest.
-NEIGHBOURS = (0, 4, 32, 256)
+NEIGHBOURS = (0, 3, 6)
 BROADCAST_PAIRS = 250_000
-#: The least estimate of similarity from least hashes alone that a pair which passes can have.
-LEAST_ESTIMATE = LEAST_COMMON / (2 * SKETCH - LEAST_COMMON)
+#: Under a key, pairs count as likely from this estimate on: 40 of 64 least hashes in common. Pairs at similarity 0.8 have
+#: about 57.
+LEAST_ESTIMATE = 40 / (2 * SKETCH - 40)
 
 
 def _sketched(k: int):
@@ -262,9 +263,9 @@ def duplicate_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, simila
 
     Candidates: SimHash neighbours by covering hashing, and texts that share one of their 16 least shingle hashes. Texts
     under a key are dealt into buckets of about ``BUCKET``, anew in each round; a bucket yields a spanning forest of its
-    likeliest pairs, later each text's likeliest ones with groups still apart, in the end all of them. Keys of several
-    buckets also compare each text with one hub of theirs. Candidates whose sizes and least hashes leave a chance are
-    checked on their whole sets; the rounds end when none is untried.
+    likeliest pairs, later each text's likeliest few with groups still apart. Keys of several buckets also compare each
+    text with one hub of theirs. So a key of any number of texts costs a few pairs a text. Candidates whose sizes and
+    least hashes leave a chance are checked on their whole sets; the rounds end early when none is untried.
 
     Null and empty texts are one group. An id of several rows goes by one of its texts; an empty table gives an empty one;
     other columns are ignored.
