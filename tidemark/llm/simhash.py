@@ -235,8 +235,24 @@ def _forest(guess: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def _promising(members: list[dict], pairs: np.ndarray, similarity: float) -> np.ndarray:
+    """Of these pairs of members, those whose union's least hashes leave a chance of ``similarity``."""
+    none = np.iinfo(np.int32).max
+    least = np.full((len(members), SKETCH), none, dtype=np.int32)
+    for row, x in zip(least, members, strict=True):
+        some = np.unique(np.asarray(x["sketch"], dtype=np.int32))
+        row[: len(some)] = some
+    both = np.sort(np.concatenate([least[pairs[:, 0]], least[pairs[:, 1]]], axis=1), axis=1)
+    fresh = np.ones(both.shape, dtype=bool)
+    fresh[:, 1:] = both[:, 1:] != both[:, :-1]
+    rank = np.cumsum(fresh & (both != none), axis=1)
+    common = (~fresh & (both != none) & (rank <= SKETCH)).sum(axis=1)
+    return pairs[(common >= LEAST_COMMON) | (common >= similarity * np.minimum(rank[:, -1], SKETCH) - 1e-9)]
+
+
 def _likely(similarity: float, neighbours: int):
-    """Pairs (a, b) of each bucket of members: a forest, or each member's likeliest ``neighbours`` of other groups."""
+    """Pairs (a, b) of each bucket of members: a forest, or each member's likeliest ``neighbours`` of other groups; of
+    these, the pairs that their sketches leave a chance."""
 
     def pairs(batches):
         for batch in batches:
@@ -250,6 +266,8 @@ def _likely(similarity: float, neighbours: int):
                     near = [(i, int(j)) for i, line in enumerate(top) for j in line if guess[i, j] > 0]
                 else:
                     near = _forest(guess)
+                if near:
+                    near = _promising(members, np.array(near), similarity).tolist()
                 found.update((max(members[i]["rep"], members[j]["rep"]), min(members[i]["rep"], members[j]["rep"])) for i, j in near)
             some = list(found)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in some], pa.int64()), "b": pa.array([b for _, b in some], pa.int64())})
@@ -298,15 +316,17 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float, folder: str
         pairs = dealt.where(F.size("members") > 1).select("members").mapInArrow(_likely(similarity, neighbours), "a long, b long")
         large = met.where(F.col("texts") > BUCKET)
         hubs = large.groupBy("key").agg(F.min_by(F.struct("rep", "group"), F.xxhash64("rep", F.lit(k))).alias("hub"))
-        pairs = pairs.unionByName(large.join(hubs, "key").where("group <> hub.group").select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")))
-        pairs = (pairs.unionByName(near) if k == 0 else pairs).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        others = large.join(hubs, "key").where("group <> hub.group").select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b"))
+        others = (others.unionByName(near) if k == 0 else others).distinct()
         side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+        others = others.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
         union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
         common = F.size(F.array_intersect(union, F.array_intersect("ka", "kb")))
-        pairs = written(pairs.where((common >= LEAST_COMMON) | (common >= similarity * F.size(union) - 1e-9)).select("a", "b"), f"pairs{k}", folder)
+        others = others.where((common >= LEAST_COMMON) | (common >= similarity * F.size(union) - 1e-9)).select("a", "b")
+        pairs = pairs.unionByName(others).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, f"pairs{k}", folder)
         n = pairs.count()
         if not n:
             break
