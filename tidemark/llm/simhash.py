@@ -75,25 +75,35 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _buckets(batch: pa.RecordBatch):
+    """The members of each bucket of a batch, a bucket at a time: a struct array, whose fields are read without Python objects."""
+    for bucket in batch.column("members"):
+        yield bucket.values
+
+
+def _longs(members: pa.StructArray, name: str) -> np.ndarray:
+    return members.field(name).to_numpy(zero_copy_only=False)
+
+
 def _star(batches):
     """Links of each bucket: each member to the least id that it reaches within the bucket over pairs at the radius or nearer."""
     for batch in batches:
-        found_a, found_b = [], []
-        for members in batch.column("members").to_pylist():
-            members.sort(key=lambda m: m["rep"])
-            prints = np.array([m["fp"] for m in members], dtype=np.int64).view(np.uint64)
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for members in _buckets(batch):
+            reps = _longs(members, "rep")
+            order = np.argsort(reps, kind="stable")
+            reps, prints = reps[order], _longs(members, "fp")[order].view(np.uint64)
             near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= RADIUS
-            root = np.arange(len(members))
+            root = np.arange(len(reps))
             while True:
-                least = np.where(near, root[None, :], len(members)).min(axis=1)
+                least = np.where(near, root[None, :], len(reps)).min(axis=1)
                 if (least == root).all():
                     break
                 root = least
-            for k, r in enumerate(root.tolist()):
-                if k != r:
-                    found_a.append(members[k]["rep"])
-                    found_b.append(members[r]["rep"])
-        yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+            other = root != np.arange(len(reps))
+            found_a.append(reps[other])
+            found_b.append(reps[root[other]])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
 
 
 def close_links(prints: DataFrame, within: str = "") -> DataFrame:
@@ -179,6 +189,8 @@ BROADCAST_PAIRS = 250_000
 #: Under a key, pairs count as likely from this estimate on: 40 of 64 least hashes in common. Pairs at similarity 0.8 have
 #: about 57.
 LEAST_ESTIMATE = 40 / (2 * SKETCH - 40)
+#: Fills a sketch of fewer hashes.
+NO_HASH = np.iinfo(np.int32).max
 
 
 def _sketched(k: int):
@@ -205,14 +217,25 @@ def _shingle_set(k: int):
     return shingles
 
 
-def _estimates(members: list[dict], similarity: float) -> np.ndarray:
+def _sketches(members: pa.StructArray) -> np.ndarray:
+    """A line for each member: its distinct least hashes in order, then ``NO_HASH``."""
+    column = members.field("sketch")
+    lengths = np.diff(column.offsets.to_numpy())
+    lines = np.full((len(members), SKETCH), NO_HASH, dtype=np.int32)
+    lines[np.arange(SKETCH) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    lines.sort(axis=1)
+    lines[:, 1:][lines[:, 1:] == lines[:, :-1]] = NO_HASH
+    lines.sort(axis=1)
+    return lines
+
+
+def _estimates(sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> np.ndarray:
     """Estimated similarity of each pair of members; 0 where it can't reach ``similarity``."""
-    sizes = np.array([x["n"] for x in members], dtype=float)
-    sketches = [np.unique(np.asarray(x["sketch"], dtype=np.int32)) for x in members]
-    lengths = np.array([len(x) for x in sketches])
-    _, at = np.unique(np.concatenate(sketches), return_inverse=True)
-    has = np.zeros((len(members), at.max(initial=0) + 1), dtype=np.float32)
-    has[np.repeat(np.arange(len(members)), lengths), at] = 1
+    real = sketches != NO_HASH
+    lengths = real.sum(axis=1)
+    _, at = np.unique(sketches[real], return_inverse=True)
+    has = np.zeros((len(sizes), at.max(initial=0) + 1), dtype=np.float32)
+    has[np.repeat(np.arange(len(sizes)), lengths), at] = 1
     common = has @ has.T
     guess = common / np.maximum(lengths[:, None] + lengths[None, :] - common, 1)
     never = np.minimum(sizes[:, None], sizes[None, :]) < similarity * np.maximum(sizes[:, None], sizes[None, :])
@@ -235,18 +258,13 @@ def _forest(guess: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _promising(members: list[dict], pairs: np.ndarray, similarity: float) -> np.ndarray:
+def _promising(sketches: np.ndarray, pairs: np.ndarray, similarity: float) -> np.ndarray:
     """Of these pairs of members, those whose union's least hashes leave a chance of ``similarity``."""
-    none = np.iinfo(np.int32).max
-    least = np.full((len(members), SKETCH), none, dtype=np.int32)
-    for row, x in zip(least, members, strict=True):
-        some = np.unique(np.asarray(x["sketch"], dtype=np.int32))
-        row[: len(some)] = some
-    both = np.sort(np.concatenate([least[pairs[:, 0]], least[pairs[:, 1]]], axis=1), axis=1)
-    fresh = np.ones(both.shape, dtype=bool)
+    both = np.sort(np.concatenate([sketches[pairs[:, 0]], sketches[pairs[:, 1]]], axis=1), axis=1)
+    real, fresh = both != NO_HASH, np.ones(both.shape, dtype=bool)
     fresh[:, 1:] = both[:, 1:] != both[:, :-1]
-    rank = np.cumsum(fresh & (both != none), axis=1)
-    common = (~fresh & (both != none) & (rank <= SKETCH)).sum(axis=1)
+    rank = np.cumsum(fresh & real, axis=1, dtype=np.int16)
+    common = (~fresh & real & (rank <= SKETCH)).sum(axis=1)
     return pairs[(common >= LEAST_COMMON) | (common >= similarity * np.minimum(rank[:, -1], SKETCH) - 1e-9)]
 
 
@@ -256,21 +274,21 @@ def _likely(similarity: float, neighbours: int):
 
     def pairs(batches):
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for members in batch.column("members").to_pylist():
-                guess = _estimates(members, similarity)
+            found = [np.zeros((0, 2), np.int64)]
+            for members in _buckets(batch):
+                reps, sketches = _longs(members, "rep"), _sketches(members)
+                guess = _estimates(_longs(members, "n").astype(float), sketches, similarity)
                 if neighbours:
-                    groups = np.array([x["group"] for x in members])
+                    groups = _longs(members, "group")
                     guess[groups[:, None] == groups[None, :]] = 0
                     top = np.argsort(-guess, axis=1, kind="stable")[:, :neighbours]
-                    near = [(i, int(j)) for i, line in enumerate(top) for j in line if guess[i, j] > 0]
+                    line, place = np.nonzero(np.take_along_axis(guess, top, axis=1) > 0)
+                    near = np.stack([line, top[line, place]], axis=1)
                 else:
-                    near = _forest(guess)
-                if near:
-                    near = _promising(members, np.array(near), similarity).tolist()
-                found.update((max(members[i]["rep"], members[j]["rep"]), min(members[i]["rep"], members[j]["rep"])) for i, j in near)
-            some = list(found)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in some], pa.int64()), "b": pa.array([b for _, b in some], pa.int64())})
+                    near = np.array(_forest(guess), dtype=np.int64).reshape(-1, 2)
+                found.append(reps[_promising(sketches, near, similarity)])
+            some = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(some[:, 1]), "b": pa.array(some[:, 0])})
 
     return pairs
 
