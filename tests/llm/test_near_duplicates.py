@@ -72,6 +72,28 @@ def test_duplicate_groups(spark, monkeypatch, bucket):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def brute_groups(texts):
+    sets = {k: set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for k, t in texts.items()}
+    return roots(sets, ((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])))
+
+
+def test_links_that_the_likeliest_pairs_miss(spark, monkeypatch):
+    """Templates just below 0.8 of each other: a text's few likeliest pairs of the least hashes don't have its true one."""
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng = np.random.default_rng(6)
+    passage, texts = " ".join(f"p{k}" for k in range(200)), {}
+    for k in range(80):
+        tail = [f"t{k}x{j}" for j in range(26)]
+        texts[2 * k] = f"{passage} {' '.join(tail)}"
+        for j in rng.choice(26, 3, replace=False):
+            tail[j] = f"new{k}x{j}"
+        texts[2 * k + 1] = f"{passage} {' '.join(tail)}"
+    want = brute_groups(texts)
+    assert len(set(want.values())) == 80
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.duplicate_groups(docs).collect()} == want
+
+
 def test_edges(spark):
     kind = "doc_id long, text string, fp long, component_id string"
     rows = [(5, None), (4, ""), (7, " \t\n"), (1, "A b C"), (2, "a B c"), (2, "a B c"), (None, "a b c"), (9, "only two"), (8, "z " * 60_000)]

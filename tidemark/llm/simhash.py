@@ -189,6 +189,8 @@ BROADCAST_PAIRS = 250_000
 #: Under a key, pairs count as likely from this estimate on: 40 of 64 least hashes in common. Pairs at similarity 0.8 have
 #: about 57.
 LEAST_ESTIMATE = 40 / (2 * SKETCH - 40)
+#: Counters of shingles, by the first bits of their hashes. The order of a text's shingles hangs on them, but no link does.
+COUNTER_BITS, COUNTER_PARTS = 18, 64
 #: Fills a sketch of fewer hashes.
 NO_HASH = np.iinfo(np.int32).max
 
@@ -217,6 +219,94 @@ def _shingle_set(k: int):
     return shingles
 
 
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _counts(docs: DataFrame, k: int) -> np.ndarray:
+    """In how many texts the shingles of each counter are: a task sums its texts, and parts of the sums are added by key."""
+
+    def count(batches):
+        counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                np.add.at(counts, _counter(np.unique(shingle_hashes(words_of(t), k))), 1)
+        if counts.any():
+            parts = np.split(counts, COUNTER_PARTS)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(COUNTER_PARTS), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": part["part"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in part["counts"]).tobytes()]})
+
+    found = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(1 << COUNTER_BITS, np.int64)
+
+
+def _prefixed(k: int, similarity: float, counts: np.ndarray):
+    @F.pandas_udf("n int, prefix array<long>")
+    def prefix(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            distinct = np.unique(shingle_hashes(words_of(t), k))
+            n = len(distinct)
+            least = int(np.ceil(similarity * n - 1e-9))
+            rows.append((n, distinct[np.lexsort((distinct, counts[_counter(distinct)]))[: n - least + 1]].view(np.int64)))
+        return pd.DataFrame(rows, columns=["n", "prefix"])
+
+    return prefix
+
+
+def _cells(similarity: float):
+    """Pairs (a, b) of other groups in each cell of two chunks (or one) of a shingle's texts: those that the places of the
+    shingle in their orders, their sizes and then their sketches leave a chance."""
+
+    def pairs(batches):
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for members in _buckets(batch):
+                reps, groups, n, left, chunk = (_longs(members, c) for c in ("rep", "group", "n", "left", "chunk"))
+                enough = similarity / (1 + similarity) * (n[:, None] + n[None, :]) - 1e-9
+                can = (groups[:, None] != groups[None, :]) & (np.minimum(left[:, None], left[None, :]) >= enough)
+                if chunk.min() < chunk.max():
+                    can &= chunk[:, None] != chunk[None, :]
+                near = np.argwhere(np.triu(can, 1))
+                if len(near):
+                    found.append(reps[_promising(_sketches(members), near, similarity)])
+            some = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(some[:, 1]), "b": pa.array(some[:, 0])})
+
+    return pairs
+
+
+def _apart(docs: DataFrame, texts: DataFrame, groups: DataFrame | None, shingle_words: int, similarity: float, folder: str) -> DataFrame:
+    """(a, b): all pairs of texts of different groups that may be similar, by the prefix filter.
+
+    A text's shingles are put in one order for all texts, rare ones first. Similar texts share a shingle among the first
+    n - ceil(similarity n) + 1 of each. Texts of such a shingle are dealt into chunks, those of its largest group apart from
+    the others; each pair of chunks that holds different groups is a row's key, so a common shingle is many small tasks.
+    """
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), _prefixed(shingle_words, similarity, _counts(docs, shingle_words))(F.col("text")).alias("p"))
+    own = texts.select("rep").distinct().withColumn("group", F.col("rep"))
+    if groups is not None:
+        own = own.select("rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("group"))
+    prefixes = written(named.join(own, "rep").select("rep", "group", "p.*"), "prefixes", folder)
+    rows = prefixes.select("rep", "group", "n", F.posexplode("prefix").alias("at", "token"))
+    of_group = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("c"))
+    tokens = of_group.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("all"), F.max(F.struct("c", "group")).alias("most")).where("groups > 1")
+    size = BUCKET // 2
+    # Where no group has several texts, there is none to set apart.
+    major = F.when(F.col("most.c") > 1, F.col("most.group"))
+    tokens = tokens.select("token", major.alias("major"), F.ceil((F.col("all") - F.when(major.isNotNull(), F.col("most.c")).otherwise(0)) / size).alias("q"), F.when(major.isNotNull(), F.ceil(F.col("most.c") / size)).otherwise(0).alias("p"))
+    met = rows.join(written(tokens, "apart-shingles", folder), "token")
+    deal, in_major = F.xxhash64("rep", "token"), F.coalesce(F.col("group") == F.col("major"), F.lit(False))
+    met = met.withColumn("in_major", in_major).withColumn("chunk", F.when(F.col("in_major"), F.col("q") + F.pmod(deal, F.col("p"))).otherwise(F.pmod(deal, F.col("q"))))
+    met = met.join(texts.select("rep", "sketch").dropDuplicates(["rep"]), "rep")
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("in_major"), F.col("q") - 1).otherwise(F.col("q") + F.col("p") - 1))))
+    member = F.struct("rep", "group", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("at")).cast("long").alias("left"), "chunk", "sketch")
+    cells = met.groupBy("token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).agg(F.collect_list(member).alias("members"))
+    return cells.where(F.size("members") > 1).select("members").mapInArrow(_cells(similarity), "a long, b long").distinct()
+
+
 def _sketches(members: pa.StructArray) -> np.ndarray:
     """A line for each member: its distinct least hashes in order, then ``NO_HASH``."""
     column = members.field("sketch")
@@ -303,6 +393,9 @@ def duplicate_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, simila
     text with one hub of theirs. So a key of any number of texts costs a few pairs a text. Candidates whose sizes and
     least hashes leave a chance are checked on their whole sets; the rounds end early when none is untried.
 
+    The rounds only save work. What they leave apart is compared by the prefix filter (``_apart``), which passes every
+    pair of different groups at ``similarity`` but for the sketches' chance (see ``LEAST_COMMON``).
+
     Null and empty texts are one group. An id of several rows goes by one of its texts; an empty table gives an empty one;
     other columns are ignored.
     """
@@ -354,6 +447,11 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float, folder: str
             continue
         links = found if links is None else links.unionByName(found)
         groups = written(components(links, folder), f"groups{k}", folder)
+    pairs = _apart(docs, texts, groups, shingle_words, similarity, folder)
+    pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart", folder)
+    if n := pairs.count():
+        found = _similar(docs, pairs, n, shingle_words, similarity, len(NEIGHBOURS), folder)
+        groups = written(components(found if links is None else links.unionByName(found), folder), "groups-apart", folder)
     copies = marks.join(texts.select("content", "rep"), "content").select("doc_id", "rep")
     if groups is None:
         return copies.groupBy("doc_id").agg(F.min("rep").alias("component_id"))
