@@ -12,9 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import running_sums, shifted, with_key
+
 
 class FormulaError(ValueError):
     """The formula uses something that the language doesn't have."""
@@ -94,15 +96,17 @@ def columns_of(formula: str) -> list[str]:
 
 @dataclass
 class Compiled:
-    """``value`` may use ``scalars``: whole-table aggregates by the name under which the value refers to them."""
+    """``value`` may use ``scalars``, whole-table aggregates, and ``steps``, (name, method, column, places) of methods that
+    follow the order of rows, by the names under which the value refers to them. A step may use those before it."""
 
     value: Column
     scalars: dict[str, Column] = field(default_factory=dict)
+    steps: list[tuple[str, str, Column, int]] = field(default_factory=list)
 
 
 class _Compiler:
     def __init__(self, columns: list[str], order: list[str]):
-        self.columns, self.order, self.scalars = columns, order, {}
+        self.columns, self.order, self.scalars, self.steps = columns, order, {}, []
 
     def visit(self, node: ast.AST):
         method = getattr(self, f"on_{type(node).__name__.lower()}", None)
@@ -212,21 +216,33 @@ class _Compiler:
     def ordered(self, name: str, c: Column, args):
         if not self.order:
             raise FormulaError(f".{name}() needs an order of rows")
-        by_row = Window.orderBy(*self.order)
-        upto = by_row.rowsBetween(Window.unboundedPreceding, 0)
-        known = lambda v: F.when(c.isNotNull(), v)
-        if name == "cumsum":
-            return known(F.sum(c).over(upto))
-        if name == "cumprod":
-            sign = F.pow(F.lit(-1.0), F.sum((c < 0).cast("int")).over(upto))
-            zero = F.max((c == 0).cast("int")).over(upto) == 1
-            return known(F.when(zero, 0.0).otherwise(sign * F.exp(F.sum(F.when(c != 0, F.ln(F.abs(c)))).over(upto))))
-        if name == "rank":
-            return known(F.rank().over(Window.orderBy(c.asc_nulls_last())) + (F.count(c).over(Window.partitionBy(c)) - 1) / 2.0)
-        n = self.whole(args[0]) if args else 1
-        before = F.lag(c, n).over(by_row) if n >= 0 else F.lead(c, -n).over(by_row)
+        n = self.whole(args[0]) if args and name in ("shift", "diff", "pct_change") else 1
+        at = f"_ordered{len(self.steps)}"
+        self.steps.append((at, name, c, n))
+        made = F.col(at)
         # The change is against the last row's own cell: nulls aren't carried forward.
-        return {"shift": before, "diff": c - before, "pct_change": F.try_divide(c, before) - 1}[name]
+        return {"diff": c - made, "pct_change": F.try_divide(c, made) - 1}.get(name, made)
+
+
+def _stepped(df: DataFrame, order: list[str], at: str, name: str, c: Column, n: int) -> DataFrame:
+    """Adds column ``at`` of one ordered method, by ranges of the order and never in a single task."""
+    known = lambda v: F.when(c.isNotNull(), v)
+    if name == "rank":
+        rows = df.withColumn("_of", c)
+        counts = with_key(rows.where("_of is not null").groupBy("_of").agg(F.count(F.lit(1)).alias("_n")), "_key", "_of")
+        upto = running_sums(counts, "_key", {"_upto": F.col("_n")}, ["_of"])
+        return rows.join(upto.select("_of", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(at)), "_of", "left").drop("_of")
+    rows = with_key(df, "_key", order[0])
+    if name == "cumsum":
+        out = running_sums(rows, "_key", {at: c}, order).withColumn(at, known(F.col(at)))
+    elif name == "cumprod":
+        sums = {"_negative": (c < 0).cast("int"), "_zero": (c == 0).cast("int"), "_log": F.when(c != 0, F.ln(F.abs(c)))}
+        product = F.pow(F.lit(-1.0), F.col("_negative")) * F.exp("_log")
+        out = running_sums(rows, "_key", {k: F.coalesce(v, F.lit(0)) for k, v in sums.items()}, order)
+        out = out.withColumn(at, known(F.when(F.col("_zero") > 0, 0.0).otherwise(product))).drop(*sums)
+    else:
+        out = shifted(rows, "_key", c, at, n, order)
+    return out.drop("_key")
 
 
 def compile_formula(formula: str, columns: list[str], order: list[str] | None = None) -> Compiled:
@@ -235,7 +251,7 @@ def compile_formula(formula: str, columns: list[str], order: list[str] | None =
     except SyntaxError as e:
         raise FormulaError(f"can't be read: {formula}") from e
     compiler = _Compiler(columns, order or [])
-    return Compiled(compiler.visit(tree), compiler.scalars)
+    return Compiled(compiler.visit(tree), compiler.scalars, compiler.steps)
 
 
 def calculated_column(df: DataFrame, name: str, formula: str, order: list[str] | None = None) -> DataFrame:
@@ -243,7 +259,9 @@ def calculated_column(df: DataFrame, name: str, formula: str, order: list[str] |
     made = compile_formula(formula, df.columns, order)
     if made.scalars:
         df = df.join(F.broadcast(df.agg(*[c.alias(k) for k, c in made.scalars.items()])))  # one row
-    return df.withColumn(name, made.value).drop(*made.scalars)
+    for step in made.steps:
+        df = _stepped(df, order, *step)
+    return df.withColumn(name, made.value).drop(*made.scalars, *[s[0] for s in made.steps])
 
 
 def calculated_value(df: DataFrame, formula: str) -> DataFrame:

@@ -54,3 +54,28 @@ def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = No
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_sums(counts, value, {"_upto": F.col("_n")}, by=by).select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
     return df.join(ranked, [*by, value], "left")
+
+
+def with_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Adds ``name``, a number that never falls where ``key`` rises: of a text, its first seven bytes."""
+    c = F.col("`" + key.replace("`", "``") + "`")
+    kind = dict(df.dtypes)[key]
+    if kind == "string":
+        head = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0")
+        return df.withColumn(name, F.conv(head, 16, 10).cast("double"))
+    if kind == "date":
+        c = F.unix_date(c)
+    elif kind.startswith("timestamp"):
+        c = F.unix_micros(c.cast("timestamp"))
+    return df.withColumn(name, c.cast("double"))
+
+
+def shifted(df: DataFrame, key: str, value: Column, out: str, n: int, tie: list[str] | None = None, block: int = 65_536) -> DataFrame:
+    """Adds the ``value`` of the row ``n`` places before in order of ``key``, then ``tie``; null where there is none.
+
+    Rows are numbered range-wise and fall into blocks of places; a row goes to the block of the row that needs it as well."""
+    placed = running_sums(df.withColumn("_value", value), key, {"_place": F.lit(1)}, tie)
+    own, needed = F.floor(F.col("_place") / block), F.floor((F.col("_place") + n) / block)
+    both = placed.withColumn("_block", own).withColumn("_to", F.explode(F.array_distinct(F.array(own, needed))))
+    at = Window.partitionBy("_to").orderBy("_place").rangeBetween(-n, -n)
+    return both.withColumn(out, F.first("_value").over(at)).where("_to = _block").drop("_value", "_place", "_block", "_to")

@@ -263,6 +263,12 @@ def formula_cumulative(spark, d):
     return rows.select("o_orderkey", r("total", 2).alias("total"), r("step", 2).alias("step"))
 
 
+@query("select o_orderkey, round(sum(o_totalprice) over (order by o_orderkey), 2) as total, round(o_totalprice - lag(o_totalprice) over (order by o_orderkey), 2) as step from orders")
+def formula_cumulative_whole(spark, d):
+    rows = calculated_column(calculated_column(read(spark, d, "orders"), "total", "[o_totalprice].cumsum()", ["o_orderkey"]), "step", "[o_totalprice].diff()", ["o_orderkey"])
+    return rows.select("o_orderkey", r("total", 2).alias("total"), r("step", 2).alias("step"))
+
+
 @query(f"""select {KEYS}, floor(l_extendedprice / 7) + ((l_quantity - 25) - 4 * floor((l_quantity - 25) / 4)) as x from lineitem""")
 def formula_floor_mod_round(spark, d):
     return _formula(spark, d, "[l_extendedprice] // 7 + ([l_quantity] - 25) % 4")
