@@ -94,6 +94,23 @@ def test_links_that_the_likeliest_pairs_miss(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in simhash.duplicate_groups(docs).collect()} == want
 
 
+def test_recall_under_a_passage_of_thousands(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 64)
+    passage, texts = " ".join(f"p{k}" for k in range(56)), {}
+    for k in range(1_000):
+        tail = " ".join(f"t{k}x{j}" for j in range(7))
+        texts[2 * k], texts[2 * k + 1] = f"{passage} a{k} {tail}", f"{passage} b{k} {tail}"
+    sets = [np.unique(simhash.shingle_hashes(simhash.words_of(t), 5)) for _, t in sorted(texts.items())]
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(sets), at.max() + 1), dtype=np.float32)
+    has[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), at] = 1
+    common, n = has @ has.T, has.sum(axis=1)
+    links = np.argwhere(np.triu(common >= 0.8 * (n[:, None] + n[None, :] - common), 1)).tolist()
+    assert len(links) == 1_000
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.duplicate_groups(docs).collect()} == roots(texts, links)
+
+
 def test_edges(spark):
     kind = "doc_id long, text string, fp long, component_id string"
     rows = [(5, None), (4, ""), (7, " \t\n"), (1, "A b C"), (2, "a B c"), (2, "a B c"), (None, "a b c"), (9, "only two"), (8, "z " * 60_000)]

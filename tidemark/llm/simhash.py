@@ -391,7 +391,7 @@ def duplicate_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, simila
     under a key are dealt into buckets of about ``BUCKET``, anew in each round; a bucket yields a spanning forest of its
     likeliest pairs, later each text's likeliest few with groups still apart. Keys of several buckets also compare each
     text with one hub of theirs. So a key of any number of texts costs a few pairs a text. Candidates whose sizes and
-    least hashes leave a chance are checked on their whole sets; the rounds end early when none is untried.
+    least hashes leave a chance are checked on their whole sets.
 
     The rounds only save work. What they leave apart is compared by the prefix filter (``_apart``), which passes every
     pair of different groups at ``similarity`` but for the sketches' chance (see ``LEAST_COMMON``).
@@ -440,7 +440,7 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float, folder: str
         pairs = written(pairs, f"pairs{k}", folder)
         n = pairs.count()
         if not n:
-            break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = _similar(docs, pairs, n, shingle_words, similarity, k, folder)
         if k and not found.limit(1).count():
