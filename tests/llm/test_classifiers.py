@@ -55,7 +55,8 @@ def test_mil_learns_from_whole_documents():
         if label:
             sentences[int(rng.integers(6))] = [0]
         bags.append((label, sentences))
-    weights, bias = toxicity.fit_weights(bags, 5)
+    sentences = [s for _, bag in bags for s in bag]
+    weights, bias = toxicity.fit_weights(np.array([y for y, _ in bags]), np.array([len(b) for _, b in bags]), np.array([len(s) for s in sentences]), np.concatenate(sentences), 5)
     assert weights[0] + bias > 1 and all(w + bias < -1 for w in weights[1:])
 
 

@@ -74,10 +74,17 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(np.clip(x, -8, 8) @ self.weights + self.bias, -60, 60)))
 
 
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Clipped standard scores in single precision, and a last column of ones."""
+    out = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
+    np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8, out=out[:, :-1])
+    return out
+
+
 def _descend(gradient, n: int, steps: int, rate: float = 0.05) -> np.ndarray:
     theta, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
     for step in range(1, steps + 1):
-        g = gradient(theta)
+        g = gradient(theta.astype(np.float32)).astype(float)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return theta
@@ -90,7 +97,7 @@ def _sigmoid(z):
 def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
     """Share of positives in ``u``: best bin estimation. A classifier of positives against unlabelled rows is fitted on
     one half; on the other, the least ratio of unlabelled to positive rows above a threshold, with a margin for chance."""
-    p1, p2, u1, u2 = p[::2], p[1::2], u[::2], u[1::2]
+    p1, p2, u1, u2 = (np.ascontiguousarray(x) for x in (p[::2], p[1::2], u[::2], u[1::2]))
     if min(map(len, (p1, p2, u1, u2))) < 5:
         return 0.5
 
@@ -133,19 +140,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: i
     chosen = trusted.withColumn("part", F.lit(1)).unionByName(web.withColumn("part", F.lit(0)))  # bounded, so it can be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+        return pd.Series([features(t).tobytes() for t in texts], dtype=object)
 
-    got = sample.select("doc_id", "part", vector("text").alias("x")).toPandas().sort_values(["doc_id"], kind="stable")
-    x = np.array([np.asarray(v) for v in got["x"]], dtype=np.float64).reshape(-1, N_FEATURES)
+    got = sample.select("doc_id", "part", vector("text").alias("x")).toArrow()  # packed floats: no object for each number
     part = got["part"].to_numpy()
     if not (part == 1).any() or not (part == 0).any():
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
-    mean, scale = x[part == 0].mean(0), np.maximum(x[part == 0].std(0), 0.01)
-    z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-    order = np.random.default_rng(5).permutation(len(z))
-    p, u = z[order][part[order] == 1], z[order][part[order] == 0]
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    del got
+    order = order[np.random.default_rng(5).permutation(len(order))]
+    web = x[part == 0]
+    mean, scale = web.mean(0, dtype=np.float64), np.maximum(web.std(0, dtype=np.float64), 0.01)
+    del web
+    p, u = (_standard(x[order[part[order] == k]], mean, scale) for k in (1, 0))
+    del x
     prior = estimate_prior(p, u)
     t = fit_nnpu(p, u, prior)
     return QualityModel(mean, scale, t[:-1], float(t[-1]), prior)

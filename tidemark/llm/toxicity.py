@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import array
+import itertools
 import math
 import re
 from collections import Counter
@@ -58,7 +60,7 @@ class SentenceModel:
         lowered = low.lower()
         if len(lowered) != len(low):  # a few letters lower to two; spans are of the text as it is
             lowered = "".join(c if len(c.lower()) != 1 else c.lower() for c in low)
-        for m in [*PIECE.finditer(lowered), None]:
+        for m in itertools.chain(PIECE.finditer(lowered), (None,)):
             if m is None or (piece := m.group()) in ENDS:
                 end = m.end() if m else len(low)
                 if known:
@@ -106,21 +108,19 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[str]:
     return [r["feature"] for r in best.select("feature").collect()]
 
 
-def fit_weights(bags: list[tuple[int, list[list[int]]]], n_features: int, steps: int = 400, l2: float = 1e-3, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the noisy-or log loss of the bags (label, sentences of feature ids) by Adam."""
-    sentences = [(k, s) for k, (_, bag) in enumerate(bags) for s in bag if s]
-    if not sentences:
+def fit_weights(labels: np.ndarray, bag_sizes: np.ndarray, sentence_sizes: np.ndarray, ids: np.ndarray, n_features: int, steps: int = 400, l2: float = 1e-3, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the noisy-or log loss by Adam. Bags end to end: each bag's label and number of
+    sentences, each sentence's number of features, and the features' ids; bags and sentences aren't empty."""
+    if not len(ids):
         return np.zeros(n_features), 0.0
-    bag_of = np.array([k for k, _ in sentences])
-    ids = np.concatenate([np.asarray(s) for _, s in sentences])
-    of = np.repeat(np.arange(len(sentences)), [len(s) for _, s in sentences])
-    y = np.array([label for label, _ in bags], dtype=float)
+    bags, sentences = len(labels), len(sentence_sizes)
+    bag_of, of, y = np.repeat(np.arange(bags), bag_sizes), np.repeat(np.arange(sentences), sentence_sizes), labels.astype(float)
     theta = np.concatenate([np.full(n_features, 2.0), [-1.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        z = np.bincount(of, theta[ids], len(sentences)) + theta[-1]
-        total = np.maximum(np.bincount(bag_of, np.logaddexp(0, z), len(bags)), 1e-9)
-        outer = np.where(y > 0, -1 / np.expm1(np.minimum(total, 500)), 1.0) / len(bags)
+        z = np.bincount(of, theta[ids], sentences) + theta[-1]
+        total = np.maximum(np.bincount(bag_of, np.logaddexp(0, z), bags), 1e-9)
+        outer = np.where(y > 0, -1 / np.expm1(np.minimum(total, 500)), 1.0) / bags
         slope = outer[bag_of] / (1 + np.exp(-z))
         grad = np.concatenate([np.bincount(ids, slope[of], n_features), [slope.sum()]]) + l2 * theta / len(theta)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -142,20 +142,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: in
 
     def bags(batches):
         for batch in batches:
-            kept = []
-            for text in batch.column("text").to_pylist():
-                bag, now = [], []
-                for piece in [*PIECE.findall((text or "").lower()), "."]:
-                    if piece in ENDS:
-                        bag, now = bag + [now] if now else bag, []
+            rows = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                ids, sizes, now = array.array("i"), array.array("i"), 0
+                for m in itertools.chain(PIECE.finditer((text or "").lower()), (None,)):
+                    if m is None or (piece := m.group()) in ENDS:
+                        if len(ids) > now:
+                            sizes.append(len(ids) - now)
+                        now = len(ids)
                     else:
-                        now = now + [index[f] for f in features(piece) if f in index]
-                kept.append(bag)
-            some = pa.array([bool(b) for b in kept])
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(kept, pa.list_(pa.list_(pa.int32())))], ["label", "bag"]).filter(some)
-
-    rows = sample.mapInArrow(bags, "label int, bag array<array<int>>").collect()
-    weights, bias = fit_weights([(min(r["label"], 1), r["bag"]) for r in rows], len(names))
+                        ids.extend(index[f] for f in features(piece) if f in index)
+                if ids:
+                    rows.append((min(label, 1), sizes.tobytes(), ids.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["label", "sizes", "ids"])
+
+    found = sample.mapInArrow(bags, "label int, sizes binary, ids binary").toArrow()
+    packed = lambda name: np.frombuffer(b"".join(found[name].to_pylist()), np.int32)
+    bag_sizes = np.array([len(x) // 4 for x in found["sizes"].to_pylist()], dtype=np.int64)
+    weights, bias = fit_weights(found["label"].to_numpy(), bag_sizes, packed("sizes"), packed("ids"), len(names))
     return SentenceModel(dict(zip(names, map(float, weights), strict=True)), bias)
 
 
