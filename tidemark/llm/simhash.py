@@ -183,8 +183,6 @@ KEYS = 16
 #: texts must have ``LEAST_COMMON`` before their whole sets are compared; at similarity 0.8 they have fewer with probability
 #: 4e-8. Unions of fewer shingles are judged by all of them.
 SKETCH, LEAST_COMMON = 64, 32
-#: Likeliest pairs of each text with texts of other groups under a key, by round; 0 stands for a spanning forest.
-NEIGHBOURS = (0, 3, 6)
 BROADCAST_PAIRS = 250_000
 #: Under a key, pairs count as likely from this estimate on: 40 of 64 least hashes in common. Pairs at similarity 0.8 have
 #: about 57.
@@ -358,25 +356,16 @@ def _promising(sketches: np.ndarray, pairs: np.ndarray, similarity: float) -> np
     return pairs[(common >= LEAST_COMMON) | (common >= similarity * np.minimum(rank[:, -1], SKETCH) - 1e-9)]
 
 
-def _likely(similarity: float, neighbours: int):
-    """Pairs (a, b) of each bucket of members: a forest, or each member's likeliest ``neighbours`` of other groups; of
-    these, the pairs that their sketches leave a chance."""
+def _likely(similarity: float):
+    """Pairs (a, b) of each bucket of members: those of its forest that their sketches leave a chance."""
 
     def pairs(batches):
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for members in _buckets(batch):
                 reps, sketches = _longs(members, "rep"), _sketches(members)
-                guess = _estimates(_longs(members, "n").astype(float), sketches, similarity)
-                if neighbours:
-                    groups = _longs(members, "group")
-                    guess[groups[:, None] == groups[None, :]] = 0
-                    top = np.argsort(-guess, axis=1, kind="stable")[:, :neighbours]
-                    line, place = np.nonzero(np.take_along_axis(guess, top, axis=1) > 0)
-                    near = np.stack([line, top[line, place]], axis=1)
-                else:
-                    near = np.array(_forest(guess), dtype=np.int64).reshape(-1, 2)
-                found.append(reps[_promising(sketches, near, similarity)])
+                forest = _forest(_estimates(_longs(members, "n").astype(float), sketches, similarity))
+                found.append(reps[_promising(sketches, np.array(forest, dtype=np.int64).reshape(-1, 2), similarity)])
             some = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(some[:, 1]), "b": pa.array(some[:, 0])})
 
@@ -387,14 +376,14 @@ def duplicate_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, simila
     """(doc_id, component_id) for each distinct non-null id: documents of the same words are one, and those whose sets of
     word shingles have a Jaccard similarity of ``similarity`` or more link.
 
-    Candidates: SimHash neighbours by covering hashing, and texts that share one of their 16 least shingle hashes. Texts
-    under a key are dealt into buckets of about ``BUCKET``, anew in each round; a bucket yields a spanning forest of its
-    likeliest pairs, later each text's likeliest few with groups still apart. Keys of several buckets also compare each
-    text with one hub of theirs. So a key of any number of texts costs a few pairs a text. Candidates whose sizes and
-    least hashes leave a chance are checked on their whole sets.
+    First, what is easily found is joined: SimHash neighbours by covering hashing, and texts that share one of their 16
+    least shingle hashes. Texts under such a key are dealt into buckets of about ``BUCKET``; a bucket yields a spanning
+    forest of its likeliest pairs, and a key of several buckets also compares each text with one hub, so a key of any
+    number of texts costs a few pairs a text. Candidates whose sizes and least hashes leave a chance are checked on their
+    whole sets.
 
-    The rounds only save work. What they leave apart is compared by the prefix filter (``_apart``), which passes every
-    pair of different groups at ``similarity`` but for the sketches' chance (see ``LEAST_COMMON``).
+    Then the prefix filter (``_apart``) passes every pair of groups still apart that may be at ``similarity``, but for the
+    sketches' chance (see ``LEAST_COMMON``), and these are checked likewise. The first step only saves work of the second.
 
     Null and empty texts are one group. An id of several rows goes by one of its texts; an empty table gives an empty one;
     other columns are ignored.
@@ -407,50 +396,14 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float, folder: str
     sketch = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _sketched(shingle_words)(F.col("text")).alias("s"))
     marks = written(sketch.select("doc_id", "s.content", F.struct("s.fp", "s.n", "s.keys", "s.sketch").alias("rest")), "copies", folder)
     texts = written(marks.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min_by("rest", "doc_id").alias("rest")).select("content", "rep", "rest.*"), "texts", folder)
-    keyed = texts.select("rep", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "shared-keys", folder)
-    keyed = written(keyed.join(shared, "key"), "met", folder)
-    sketches = texts.select("rep", "n", "sketch")
-    prints = written(texts.groupBy("fp").agg(F.min("rep").alias("rep")), "prints", folder)
-    same = texts.join(prints.withColumnRenamed("rep", "hub"), "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    near = same.unionByName(close_links(prints, folder))
-    tried, links, groups = None, None, None
-    for k, neighbours in enumerate(NEIGHBOURS):
-        if groups is None:
-            met = keyed.withColumn("group", F.col("rep"))
-        else:
-            met = keyed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
-            apart = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-            met = written(met.join(apart, "key"), f"apart{k}", folder)
-        bucket = F.pmod(F.xxhash64("rep", "key", F.lit(k)), F.ceil(F.col("texts") / BUCKET)).alias("bucket")
-        dealt = met.join(sketches, "rep").groupBy("key", bucket).agg(F.collect_list(F.struct("rep", "group", "n", "sketch")).alias("members"))
-        pairs = dealt.where(F.size("members") > 1).select("members").mapInArrow(_likely(similarity, neighbours), "a long, b long")
-        large = met.where(F.col("texts") > BUCKET)
-        hubs = large.groupBy("key").agg(F.min_by(F.struct("rep", "group"), F.xxhash64("rep", F.lit(k))).alias("hub"))
-        others = large.join(hubs, "key").where("group <> hub.group").select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b"))
-        others = (others.unionByName(near) if k == 0 else others).distinct()
-        side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
-        others = others.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
-        common = F.size(F.array_intersect(union, F.array_intersect("ka", "kb")))
-        others = others.where((common >= LEAST_COMMON) | (common >= similarity * F.size(union) - 1e-9)).select("a", "b")
-        pairs = pairs.unionByName(others).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs{k}", folder)
-        n = pairs.count()
-        if not n:
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _similar(docs, pairs, n, shingle_words, similarity, k, folder)
-        if k and not found.limit(1).count():
-            continue
-        links = found if links is None else links.unionByName(found)
-        groups = written(components(links, folder), f"groups{k}", folder)
-    pairs = _apart(docs, texts, groups, shingle_words, similarity, folder)
-    pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart", folder)
+    tried = written(_joined_first(texts, similarity, folder), "pairs-first", folder)
+    groups, links = None, None
+    if n := tried.count():
+        links = _similar(docs, tried, n, shingle_words, similarity, "first", folder)
+        groups = written(components(links, folder), "groups-first", folder)
+    pairs = written(_apart(docs, texts, groups, shingle_words, similarity, folder).join(tried, ["a", "b"], "left_anti"), "pairs-apart", folder)
     if n := pairs.count():
-        found = _similar(docs, pairs, n, shingle_words, similarity, len(NEIGHBOURS), folder)
+        found = _similar(docs, pairs, n, shingle_words, similarity, "apart", folder)
         groups = written(components(found if links is None else links.unionByName(found), folder), "groups-apart", folder)
     copies = marks.join(texts.select("content", "rep"), "content").select("doc_id", "rep")
     if groups is None:
@@ -459,15 +412,36 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float, folder: str
     return copies.join(named, "rep").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, n: int, shingle_words: int, similarity: float, k: int, folder: str) -> DataFrame:
+def _joined_first(texts: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """(a, b): candidates that join most of what is similar, a few a text; see ``duplicate_groups``."""
+    keyed = texts.select("rep", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min_by("rep", F.xxhash64("rep")).alias("hub")).where("texts > 1"), "shared-keys", folder)
+    met = written(keyed.join(shared, "key"), "met", folder)
+    sketches = texts.select("rep", "n", "sketch")
+    bucket = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("texts") / BUCKET)).alias("bucket")
+    dealt = met.join(sketches, "rep").groupBy("key", bucket).agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
+    forests = dealt.where(F.size("members") > 1).select("members").mapInArrow(_likely(similarity), "a long, b long")
+    others = met.where((F.col("texts") > BUCKET) & (F.col("rep") != F.col("hub"))).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b"))
+    prints = written(texts.groupBy("fp").agg(F.min("rep").alias("rep")), "prints", folder)
+    same = texts.join(prints.withColumnRenamed("rep", "first"), "fp").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    others = others.unionByName(same).unionByName(close_links(prints, folder)).distinct()
+    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
+    others = others.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
+    common = F.size(F.array_intersect(union, F.array_intersect("ka", "kb")))
+    others = others.where((common >= LEAST_COMMON) | (common >= similarity * F.size(union) - 1e-9)).select("a", "b")
+    return forests.unionByName(others).distinct()
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, n: int, shingle_words: int, similarity: float, name: str, folder: str) -> DataFrame:
     """The ``n`` pairs whose whole sets of shingles are similar. Ids of few pairs are broadcast; more are joined by shuffle."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if n <= BROADCAST_PAIRS else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(some.select("doc_id", _shingle_set(shingle_words)("text").alias("set")), f"sets{k}", folder)
+    sets = written(some.select("doc_id", _shingle_set(shingle_words)("text").alias("set")), f"sets-{name}", folder)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     jaccard = F.when(F.size("x") + F.size("y") > 0, common / (F.size("x") + F.size("y") - common)).otherwise(1.0)
-    return written(both.where(jaccard >= similarity).select("a", "b"), f"similar{k}", folder)
+    return written(both.where(jaccard >= similarity).select("a", "b"), f"similar-{name}", folder)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
