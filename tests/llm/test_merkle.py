@@ -51,12 +51,57 @@ def test_edges(spark):
     assert len(twice) == 3 and {r["near_next"] for r in twice} == {1.0}
 
 
+def by_hand(text):
+    """The tree by its definition, without the operator's code: the root and the leaves of each paragraph."""
+    def digest(data):
+        return hashlib.blake2b(data, digest_size=16).digest()
+
+    sections, now, leaves_of = [], [], []
+    paragraphs = text.split("\n")
+    for p in paragraphs:
+        leaves, at = [], 0
+        while at < len(p):
+            end = at
+            while end < len(p) and end - at < merkle.LEAF_CHARS and p[end] not in ".!?":
+                end += 1
+            while end < len(p) and p[end] in ".!?":
+                end += 1
+            leaves.append(p[at:end])
+            at = end
+        leaves_of.append(leaves)
+        now.append(digest(b"".join(digest(x.encode()) for x in leaves)))
+        if int(now[-1].hex()[:8], 16) % 8 == 0:
+            sections.append(digest(b"".join(now)))
+            now = []
+    if now:
+        sections.append(digest(b"".join(now)))
+    return digest(b"".join(sections)).hex(), leaves_of
+
+
+def test_trees_by_hand(spark):
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        root, leaves = by_hand(r["text"] or "")
+        got, _, branches = merkle.fingerprint(r["text"] or "").partition("=")
+        assert got == root
+        shown = [b.split(",") if b else [] for section in branches.split(";") for b in section.split("/")]
+        assert shown == [[hashlib.blake2b(x.encode(), digest_size=16).hexdigest()[:8] + f"{len(x):x}" for x in p] for p in leaves]
+
+
+def test_roots_tell_texts_apart_that_share_short_digests(monkeypatch):
+    """Branches alone can't tell these texts apart, roots can."""
+    monkeypatch.setattr(merkle, "SHOWN", 0)
+    a, b = merkle.fingerprint("One. Two. Six."), merkle.fingerprint("One. Ten. Six.")
+    assert a.partition("=")[2] == b.partition("=")[2] and a.partition("=")[0] != b.partition("=")[0]
+
+
 def test_likeness_and_differing_sections():
     text = "\n".join(f"This is paragraph number {k}, with some words. And a second sentence." for k in range(100))
     other = text.replace("paragraph number 50,", "paragraph number fifty,")
     a, b = merkle.fingerprint(text), merkle.fingerprint(other)
     assert a != b and a == merkle.fingerprint(text)
     assert merkle.likeness(a, b) > 0.97
-    assert len(merkle.differing_sections(a, b)) == 1
+    spans = merkle.differing_spans(a, b)
+    assert len(spans) == 1 and "number fifty" in other[slice(*spans[0])] and spans[0][1] - spans[0][0] < 120
+    assert merkle.differing_spans(a, a) == []
     assert merkle.likeness(merkle.fingerprint(""), a) == 0
     assert merkle.likeness(a, merkle.fingerprint("x" * 50)) == 0

@@ -25,28 +25,36 @@ RANGE_ROWS, MOST_RANGES, SAMPLES_A_RANGE = 256, 50_000, 20
 LEAF = re.compile(rf"[^.!?]{{1,{LEAF_CHARS}}}[.!?]*|[.!?]+")
 
 
-def _digest(data: bytes, size: int = 4) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+#: Bytes of every digest of the tree, and hex digits of a leaf's that the branches show.
+DIGEST, SHOWN = 16, 8
 
 
-def paragraph(text: str) -> tuple[str, str]:
-    """(hash, node) of one paragraph: its leaves' hashes with their code points in hex. An empty one has no leaf."""
-    node = ",".join([f"{_digest(x.encode('utf-8', 'surrogatepass'))}{len(x):x}" for x in LEAF.findall(text)])
-    return _digest(node.encode(), 6), node
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
-def assemble(nodes: list[tuple[str, str]]) -> str:
-    """``root=section;section;...``, a section being its paragraphs joined by ``/``, a paragraph its leaves by commas."""
-    sections, now = [], []
-    for digest, node in nodes:
-        now.append(node)
-        if int(digest[:8], 16) % SECTION_PARAGRAPHS == 0:
-            sections.append("/".join(now))
-            now = []
-    if now:
-        sections.append("/".join(now))
-    root = hashlib.blake2b("".join(_digest(s.encode(), 16) for s in sections).encode(), digest_size=16).hexdigest()
-    return f"{root}={';'.join(sections)}"
+def paragraph(text: str) -> tuple[bytes, str]:
+    """(digest, branch) of one paragraph: the digest of its leaves' whole digests; in the branch, the first digits of each
+    leaf's digest with its code points in hex. An empty paragraph has no leaf."""
+    leaves = LEAF.findall(text)
+    digests = [_digest(x.encode("utf-8", "surrogatepass")) for x in leaves]
+    return _digest(b"".join(digests)), ",".join([f"{d.hex()[:SHOWN]}{len(x):x}" for d, x in zip(digests, leaves, strict=True)])
+
+
+def assemble(nodes: list[tuple[bytes, str]]) -> str:
+    """``root=section;section;...``, a section being its paragraphs joined by ``/``, a paragraph its leaves by commas.
+
+    A section's digest is that of its paragraphs' digests, and the root that of its sections': every level is made of
+    whole digests, so equal roots mean equal texts; only the branches, which locate edits, show short ones."""
+    sections, roots, branches, digests = [], [], [], []
+    for k, (digest, branch) in enumerate(nodes):
+        branches.append(branch)
+        digests.append(digest)
+        if int.from_bytes(digest[:4]) % SECTION_PARAGRAPHS == 0 or k == len(nodes) - 1:
+            sections.append("/".join(branches))
+            roots.append(_digest(b"".join(digests)))
+            branches, digests = [], []
+    return f"{_digest(b''.join(roots)).hex()}={';'.join(sections)}"
 
 
 def fingerprint(text: str) -> str:
@@ -58,7 +66,7 @@ def _leaves(branches) -> Counter:
     for branch in branches:
         for leaf in branch.replace("/", ",").split(","):
             if leaf:
-                out[leaf] += int(leaf[8:], 16)
+                out[leaf] += int(leaf[SHOWN:], 16)
     return out
 
 
@@ -77,16 +85,30 @@ def likeness(a: str, b: str) -> float:
     return 2 * (both + sum(min(n, lb[k]) for k, n in la.items() if k in lb)) / size
 
 
-def differing_sections(a: str, b: str) -> list[int]:
-    """Numbers of the sections of ``b`` that ``a`` doesn't have."""
-    have = Counter(a.partition("=")[2].split(";"))
-    out = []
-    for k, section in enumerate(b.partition("=")[2].split(";")):
-        if have[section]:
-            have[section] -= 1
-        else:
-            out.append(k)
-    return out
+def differing_spans(a: str, b: str) -> list[tuple[int, int]]:
+    """Where ``b``'s text differs from ``a``'s: code point spans (start, end) of the leaves of ``b``'s differing sections that
+    aren't in ``a``'s. Sections, then leaves, are matched with repeats; neighbouring spans are one. What was only taken
+    out of ``a`` leaves no span unless the leaves around it changed."""
+    of_a = Counter(a.partition("=")[2].split(";"))
+    sections = b.partition("=")[2].split(";")
+    spare = Counter(leaf for section in (of_a - Counter(sections)).elements() for leaf in section.replace("/", ",").split(","))
+    spans, at = [], 0
+    for section in sections:
+        same = of_a[section] > 0
+        of_a[section] -= same
+        for branch in section.split("/"):
+            for leaf in branch.split(",") if branch else ():
+                end = at + int(leaf[SHOWN:], 16)
+                if not same and not spare[leaf]:
+                    if spans and spans[-1][1] == at:
+                        spans[-1] = (spans[-1][0], end)
+                    else:
+                        spans.append((at, end))
+                elif not same:
+                    spare[leaf] -= 1
+                at = end
+            at += 1  # the line end
+    return spans
 
 
 def edited(text: str, following: str) -> str:
@@ -95,7 +117,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _compared(text: str, nodes: list[tuple[str, str]], following: str, next_print: str) -> tuple[int, str, str, str, float, float]:
+def _compared(text: str, nodes: list[tuple[bytes, str]], following: str, next_print: str) -> tuple[int, str, str, str, float, float, int | None]:
     mine, changed = assemble(nodes), edited(text, following)
     # Paragraphs before the edit have the same branches.
     kept = text.count("\n", 0, len(text) - len(text) // 4)
@@ -103,11 +125,12 @@ def _compared(text: str, nodes: list[tuple[str, str]], following: str, next_prin
     for _ in range(kept):
         at = text.index("\n", at) + 1
     theirs = assemble(nodes[:kept] + [paragraph(p) for p in changed[at:].split("\n")])
-    return len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mine, theirs, likeness(mine, theirs), likeness(mine, next_print)
+    spans = differing_spans(mine, theirs) if mine != theirs else []
+    return len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mine, theirs, likeness(mine, theirs), likeness(mine, next_print), spans[0][0] if spans else None
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, differs_from long"
+OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("differs_from", pa.int64())])
 ROWS_A_BATCH = 256
 
 
@@ -127,7 +150,8 @@ def _walk(batches):
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprint of each whole text and of its edited text, and its likeness to that and to the next document's.
+    """Fingerprint of each whole text and of its edited text, its likeness to that and to the next document's, and
+    ``differs_from``: where the first leaf of the edited text begins that the text's tree doesn't have (null: none).
 
     Ids and hashes of texts, without texts, give ranges of ids and the first document of each. That document also ends the
     range before (the first of all ends the last), so every range is complete. One shuffle by range brings the texts
