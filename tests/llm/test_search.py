@@ -33,6 +33,21 @@ def test_url_edges(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_hosts_of_many_labels(spark):
+    """A host of 50,000 labels, for one under a rule and one under none, and rules of none."""
+    long = "a." * 50_000
+    df = spark.createDataFrame([(1, f"http://{long}example.com/en/x"), (2, f"http://{long}org/x"), (3, f"http://{'b' * 60_000}.net/fr/")], "page_id long, url string")
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in urls.judge(df).collect()} == {(1, "example.com/en/", "block"), (2, None, "allow"), (3, "net/fr/", "block")}
+    assert {r["verdict"] for r in urls.judge(df, rules=()).collect()} == {"allow"}
+
+
+def test_huge_components(spark):
+    """Scores beyond a long are its ends; order and ties go by them."""
+    rows = [(0, [1e12, 1e12]), (1, [1e12, 1.0]), (2, [-1e12, 0.0]), (3, [1.0, 1.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 64 * 2 * 64 * 10**12), (0, 3, 2, -(2**63))]
+
+
 def test_tiles_and_merges(spark):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-2, 3, (400, 6)) / 4  # many ties

@@ -14,6 +14,7 @@ from tidemark.llm.shared import written
 QUERY_TILE, SHARD_ROWS, FAN_IN = 2_048, 8_192, 16
 #: Queries whose products with a shard are held at once.
 STEP = 256
+LEAST, GREATEST = -(2**63), 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -34,7 +35,8 @@ def _matrix(column) -> np.ndarray:
 def best_of_tile(query_ids, queries, ids, rows, k: int):
     """(query ids, vec ids, scores): each query's ``k`` best in the tile, ties to the smaller id, its own id left out.
 
-    Products are of doubles while these hold every sum exactly, and of Python's whole numbers beyond that."""
+    Products are of doubles while these hold every sum exactly, and of Python's whole numbers beyond that; scores beyond a
+    long are its least or greatest value."""
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
     most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(rows.shape[1], 1)
@@ -46,6 +48,8 @@ def best_of_tile(query_ids, queries, ids, rows, k: int):
         for q, line in zip(query_ids[at : at + STEP], scores, strict=True):
             other = np.flatnonzero(ids != q)
             line = line[other]
+            if kind is object:
+                line = np.array([min(max(x, LEAST), GREATEST) for x in line], dtype=object)
             if len(line) > k and kind is np.float64:
                 bar = np.partition(line, len(line) - k)[len(line) - k]
                 above = np.flatnonzero(line > bar)
@@ -64,7 +68,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_tile: int = QU
     Queries are dealt into tiles and all vectors into shards, both by hash; each pair of a tile and a shard is one task's
     product, of fixed size, which yields k rows a query. Lists then merge in a tree of ``FAN_IN`` shards a step.
     Rows with the query's own id, repeats included, are no candidates; vectors of other lengths than the query's neither.
-    Fewer candidates than k give fewer rows; an empty table gives none; other columns are ignored.
+    Scores beyond a long are its least or greatest value, and tie as such. Fewer candidates than k give fewer rows; an empty table gives none; other columns are ignored.
     """
     rows = written(quantised(vectors), "topk-vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0

@@ -66,11 +66,11 @@ class Cascade:
         return sum(len(x.bits) for x in self.levels)
 
 
-def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """All keys that could be a rule for a URL: each suffix of whole host labels with each first part of the path that is as
-    long as some rule's path. Longest first; of equal lengths, that with the longer host."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, labels: int, lengths: Sequence[int]) -> Column:
+    """All keys that could be a rule for a URL: each suffix of at most ``labels`` whole host labels (no rule's host has more)
+    with each first part of the path that is as long as some rule's path. Longest first; of equal lengths, that with the
+    longer host. A host of any length costs time in proportion to it."""
+    suffixes = F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(labels, 0, -1)]))
     fits = F.filter(F.array(*[F.lit(n) for n in sorted(set(lengths), reverse=True)]), lambda n: n <= F.length(path))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(fits, lambda n: F.struct((-F.length(h) - n).alias("a"), (-F.length(h)).alias("b"), F.concat(h, F.substring(path, F.lit(1), n)).alias("key")))))
     return F.array_sort(keys)["key"]
@@ -107,7 +107,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
     """
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn("keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), [len(p) for _, _, p in rules])).otherwise(F.array().cast("array<string>")))
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    keyed = parts.withColumn("keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), labels, [len(p) for _, _, p in rules] or [0])).otherwise(F.array().cast("array<string>")))
     keyed = written(keyed, "url-keys")
     universe = keyed.select(F.explode("keys").alias("key"))
     # A key that two rules share goes by the first of them.
