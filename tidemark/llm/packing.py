@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,6 +19,8 @@ END = 0
 TOKENIZER = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 DOCS_A_BATCH = 64
+#: Tokens of a batch of pieces of one length.
+BATCH_TOKENS = 65_536
 
 
 @functools.cache
@@ -42,19 +45,22 @@ def piece_lengths(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 2, -1, -1) if n % most >> k & 1]
 
 
-def pack(docs: DataFrame, most: int = MOST, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, most: int = MOST, tokenizer: str = TOKENIZER, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """A row for each piece of each row of ``docs``: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
-    bucket (log2 of the length), sequence_id, offset.
+    bucket (log2 of the length), batch, place, sequence_id, offset.
 
     A document is its ids and a final id 0. Every piece's length is a power of two and the piece is a sequence of its
-    own, so no sequence crosses documents and none needs padding; batches come from one bucket of equal lengths.
+    own, so no sequence crosses documents and none needs padding. Each task buckets its pieces by length: ``batch`` numbers
+    a batch of one bucket, of ``batch_tokens`` tokens but for the task's last of each bucket, and ``place`` is the piece's
+    row in it. So batches need no shuffle; their numbers, like sequence_id's, hang on how the input is cut into tasks.
     Null and empty texts are the one id 0. Repeated rows each get pieces; an empty table gives none; other columns are ignored.
     """
-    names = ["doc_id", "start", "length", "ids", "doc_tokens"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "batch", "place"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
     def pieces(batches):
-        encode = encoder(tokenizer)
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
+        filled = [0] * most.bit_length()  # pieces so far, by bucket
         for big in batches:
             for at in range(0, big.num_rows, DOCS_A_BATCH):
                 some, out = big.slice(at, DOCS_A_BATCH), []
@@ -62,10 +68,13 @@ def pack(docs: DataFrame, most: int = MOST, tokenizer: str = TOKENIZER) -> DataF
                     data = encode(text or "").tobytes() + END.to_bytes(4, "little")
                     start = 0
                     for length in piece_lengths(len(data) // 4, most):
-                        out.append((doc_id, start, length, data[4 * start : 4 * (start + length)], len(data) // 4))
+                        bucket = length.bit_length() - 1
+                        batch, place = divmod(filled[bucket], max(1, batch_tokens // length))
+                        filled[bucket] += 1
+                        out.append((doc_id, start, length, data[4 * start : 4 * (start + length)], len(data) // 4, bucket, (task * 64 + bucket) << 32 | batch, place))
                         start += length
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long")
-    return cut.withColumn("bucket", F.log2("length").cast("int")).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, batch long, place int")
+    return cut.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
