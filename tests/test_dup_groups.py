@@ -12,4 +12,4 @@ def test_rows_of_all_orders(spark):
         groups[r["l_partkey"] % 50, r["l_linenumber"], r["l_returnflag"]].append(r["l_orderkey"] * 1_000_000 + r["l_suppkey"])
     want = sorted((k, min(g)) for g in groups.values() if len(g) > 1 for k in g)
     assert max(k for k, _ in want) > 200 * 1_000_000
-    assert sorted(tuple(r) for r in own.queries()["dup_groups_whole"](spark, SF).select("row", "group_first").collect()) == want
+    assert sorted(tuple(r) for r in own.queries()["dup_groups"](spark, SF).select("row", "group_first").collect()) == want

@@ -119,14 +119,14 @@ def spearman_pairs(spark, d):
 
 @query("""with m as (select 'price' as c, l_orderkey * 1000 + l_suppkey as k from lineitem where l_extendedprice > 50000 group by 2 union all select 'quantity', l_orderkey * 1000 + l_suppkey from lineitem where l_quantity >= 49 group by 2
 union all select 'tax', l_orderkey * 1000 + l_suppkey from lineitem where l_tax >= 0.08 group by 2), n as (select c, count(*) as n from m group by 1)
-select x.c as a, y.c as b, p.n as n_a, q.n as n_b, count(*) as both, round(count(*) * 60000.0 / (p.n * q.n), 6) as lift from m x join m y on x.k = y.k and x.c < y.c join n p on p.c = x.c join n q on q.c = y.c group by 1, 2, 3, 4""")
+select x.c as a, y.c as b, p.n as n_a, q.n as n_b, count(*) as both, round(count(*) * t.n / (p.n * q.n), 6) as lift from (select count(*)::double as n from lineitem) t, m x join m y on x.k = y.k and x.c < y.c join n p on p.c = x.c join n q on q.c = y.c group by 1, 2, 3, 4, t.n""")
 def cooccurrence_counts(spark, d):
     rows = read(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 1000 + F.col("l_suppkey"))
     marks = None
     for name, test in (("price", "l_extendedprice > 50000"), ("quantity", "l_quantity >= 49"), ("tax", "l_tax >= 0.08")):
         one = rows.where(test).select(F.lit(name).alias("column"), "row")
         marks = one if marks is None else marks.unionByName(one)
-    return an.cooccurrence(marks, 60_000).withColumn("lift", r("lift", 6))
+    return an.cooccurrence(marks, rows.count()).withColumn("lift", r("lift", 6))
 
 
 @query("""with e as (select epoch_us(ts) as t, event_id, case when event_id % 2 = 0 then value + 30 * (epoch_us(ts) > (select (min(epoch_us(ts)) + max(epoch_us(ts))) / 2 from events))::int else value end as x from events),

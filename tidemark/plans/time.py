@@ -48,10 +48,11 @@ def series_weekly_last(spark, d):
 g as (select user_id, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day))::date as period from b), f as (select g.user_id, g.period, s.y from g left join s on g.user_id = s.user_id and g.period = s.period),
 n as (select *, last_value(case when y is not null then {'p': period, 'y': y} end ignore nulls) over (partition by user_id order by period rows between unbounded preceding and current row) as a,
 first_value(case when y is not null then {'p': period, 'y': y} end ignore nulls) over (partition by user_id order by period rows between current row and unbounded following) as b from f)
-select user_id, strftime(period, '%Y-%m-%d') as period, round(coalesce(y, a.y + (b.y - a.y) * date_diff('day', a.p, period) / date_diff('day', a.p, b.p)), 4) as y from n""")
+select user_id, strftime(period, '%Y-%m-%d') as period, round(coalesce(y, a.y + (b.y - a.y) * date_diff('day', a.p, period) / date_diff('day', a.p, b.p)), 7) as y from n""")
 def series_fill_interpolate(spark, d):
     made = se.aggregate(read(spark, d, "events"), "ts", "D", "mean", "value", by=["user_id"])
-    return se.fill(made, "D", "mean", ["user_id"]).select("user_id", day_text(), r("y").alias("y"))
+    # Values have two decimals, so means and points between them end in 5 at four places now and then, where the order of a sum decides.
+    return se.fill(made, "D", "mean", ["user_id"]).select("user_id", day_text(), r("y", 7).alias("y"))
 
 
 TREND = """with s as (select event_type, ts::date as d, count(*)::double as y from events group by 1, 2), i as (select *, row_number() over (partition by event_type order by d) - 1 as i from s),
