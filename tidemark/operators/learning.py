@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import calendar_features
-from tidemark.operators.ordered import average_ranks, running_sums
+from tidemark.operators.ordered import average_ranks, running_sums, with_key
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 MOST_LEVELS = 250
@@ -69,11 +72,72 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts.join(F.broadcast(totals)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))), label)
 
 
-def fold(row: str, folds: int, seed: int = 0, within: str | None = None, time: str | None = None, group: str | None = None) -> Column:
-    """Fold of a row: by hash; by hash of its group; or the time's share of rows, for expanding windows."""
-    if time is not None:
-        return (F.percent_rank().over(Window.partitionBy(F.lit(0)).orderBy(time, row)) * folds).cast("int")
-    return F.pmod(F.xxhash64(F.col(group or row), F.lit(seed)), F.lit(folds)).cast("int")
+def with_folds(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: int = 0, target: str | None = None, time: str | None = None, group: str | None = None, out: str = "_fold") -> DataFrame:
+    """Adds the fold of each row, without passing the table through one task.
+
+    random: by hash of the row; group: by hash of its group, so no group is in two folds; stratified: rows of each class are
+    numbered in order of their hash and dealt in turn; time: in order of time, folds + 1 equal parts, of which number 0 is
+    only learnt from and part k is tested on what comes before it. Rows without a time are in part 0."""
+    dealt = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(folds)).cast("int")
+    if how == "random":
+        return df.withColumn(out, dealt(row))
+    if how == "group":
+        if df.select(group).distinct().limit(5).count() < 5:
+            raise ValueError(f"{group} has under five different values to part by")
+        return df.withColumn(out, dealt(group))
+    if how == "stratified":
+        keyed = df.withColumn("_key", F.xxhash64(F.col(row), F.lit(seed)).cast("double")).withColumn("_class", F.col(target).cast("string"))
+        return running_sums(keyed, "_key", {"_place": F.lit(1)}, [row], by=["_class"]).withColumn(out, F.pmod(F.col("_place"), F.lit(folds)).cast("int")).drop("_key", "_class", "_place")
+    if how == "time":
+        placed = running_sums(with_key(df, "_key", time), "_key", {"_place": F.lit(1)}, [row])
+        n = df.agg(F.count(F.lit(1)).alias("_n"))
+        part = F.least(F.floor((F.col("_place") - 1) * (folds + 1) / F.col("_n")), F.lit(folds)).cast("int")
+        return placed.join(F.broadcast(n)).withColumn(out, F.when(F.col("_key").isNull(), 0).otherwise(part)).drop("_key", "_place", "_n")
+    raise ValueError(f"no way {how!r} to part rows; there are random, stratified, group and time")
+
+
+#: Beyond so many rows, rows are parted once, a fifth for tests; the rarest class that needs no weights has this share.
+ONE_SPLIT_FROM, RARE_CLASS, MOST_CLASSES = 150_000, 0.1, 100
+
+
+def prepare_target(df: DataFrame, row: str, target: str, kind: str, log: bool = False, most_classes: int = MOST_CLASSES, most_rows: int | None = None, seed: int = 0, time: str | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows with ``_label``, classes, notes). Rows without a target go. Classification: classes by name, at most ``most_classes``,
+    numbered from 0. Regression: numbers, or log(1 + number) of non-negative ones. ``most_rows``: a sample by hash of the row, of
+    exactly so many, where a bound is wanted. Notes: what was left out, exact duplicates, rows without a date."""
+    notes = []
+    kinds = dict(df.dtypes)
+    missing = F.col(target).isNull() | (F.isnan(target) if kinds[target] in ("double", "float") else F.lit(False))
+    rows = df.where(~missing)
+    n, kept = df.count(), rows.count()
+    if kept < n:
+        notes.append(f"{n - kept} rows without {target} left out")
+    copies = kept - rows.drop(row).dropDuplicates().count()
+    if copies:
+        notes.append(f"{copies} rows repeat another but for {row}")
+    if time and (undated := rows.where(F.col(time).isNull()).count()):
+        notes.append(f"{undated} rows without {time}")
+    if most_rows and kept > most_rows:
+        rows = rows.join(rows.select(row).orderBy(F.xxhash64(row, F.lit(seed)), row).limit(most_rows), row, "left_semi")
+        notes.append(f"a sample of {most_rows} of {kept} rows")
+    if kind == "regression":
+        y = F.col(target).try_cast("double") if kinds[target] == "string" else F.col(target).cast("double")
+        if log and rows.where(y < 0).limit(1).count():
+            raise ValueError(f"{target} has negative values, so it has no logarithm of 1 + itself")
+        return rows.withColumn("_label", F.log1p(y) if log else y), [], notes
+    out, classes = labelled(rows, target, most_classes)
+    return out, classes, notes
+
+
+def labelled(rows: DataFrame, target: str, most_classes: int = MOST_CLASSES) -> tuple[DataFrame, list[str]]:
+    """(rows with ``_label``, the class's number; classes by name, whole numbers in their order)."""
+    text = F.col(target).cast("string")
+    found = sorted(r[0] for r in rows.select(text).where(text.isNotNull()).distinct().limit(most_classes + 1).collect())
+    if len(found) > most_classes:
+        raise ValueError(f"{target} has more than {most_classes} classes")
+    if all(c.lstrip("-").isdigit() for c in found):
+        found.sort(key=int)
+    codes = F.create_map(*[F.lit(x) for k, c in enumerate(found) for x in (c, float(k))]) if found else None
+    return rows.withColumn("_label", F.element_at(codes, text) if found else F.lit(None).cast("double")), found
 
 
 @dataclass
@@ -108,20 +172,32 @@ class Preparation:
         return df.withColumns(made), [*made, *names]
 
 
-def learner(df: DataFrame, target: str, columns: Sequence[str], kind: str, seed: int = 0, iterations: int = 20):
-    """(preparation, pipeline) of imputation, category codes and boosted trees (a forest for more than two classes)."""
+BINS = 64
+
+
+def _features(df: DataFrame, columns: Sequence[str]) -> tuple[Preparation, list, list[str], list[str]]:
+    """(preparation, the first steps of a pipeline: imputation and codes of categories, names of numbers, names of codes)."""
     prep = Preparation.of(df, columns)
     _, names = prep.apply(df.limit(0))
-    filled = [f"{c}_filled" for c in names]
+    filled, coded = [f"{c}_filled" for c in names], [f"{c}_code" for c in prep.categories]
     steps = [Imputer(inputCols=names, outputCols=filled, strategy="median")] if names else []
-    coded = [f"{c}_code" for c in prep.categories]
     if coded:
         steps.append(StringIndexer(inputCols=prep.categories, outputCols=coded, handleInvalid="keep"))
+    return prep, steps, filled, coded
+
+
+def _levels(df: DataFrame, prep: Preparation) -> int:
+    return max(df.agg(*[F.count_distinct(c) for c in prep.categories]).first()) if prep.categories else 0
+
+
+def learner(df: DataFrame, columns: Sequence[str], kind: str, classes: int, seed: int = 0, iterations: int = 20, weight: str | None = None):
+    """(preparation, pipeline) of imputation, category codes and boosted trees (a forest for more than two classes)."""
+    prep, steps, filled, coded = _features(df, columns)
     steps.append(VectorAssembler(inputCols=filled + coded, outputCol="_features", handleInvalid="keep"))
-    common = {"featuresCol": "_features", "labelCol": "_label", "seed": seed, "maxBins": max(64, MOST_LEVELS + 6)}
+    common = {"featuresCol": "_features", "labelCol": "_label", "seed": seed, "maxBins": max(BINS, _levels(df, prep) + 2)} | ({"weightCol": weight} if weight else {})
     if kind == "regression":
         steps.append(GBTRegressor(maxIter=iterations, **common))
-    elif df.select(target).distinct().count() <= 2:
+    elif classes <= 2:
         steps.append(GBTClassifier(maxIter=iterations, **common))
     else:
         steps.append(RandomForestClassifier(numTrees=50, **common))
@@ -133,34 +209,92 @@ class Model:
     prep: Preparation
     fitted: PipelineModel
     kind: str
+    classes: list[str] = field(default_factory=list)
+    log: bool = False
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``prediction``, and ``probability`` of the last class for classification."""
+        """``prediction`` (a class's number for classification), and ``probability`` of the last class, with ``said``, the class's name."""
         out = self.fitted.transform(self.prep.apply(df)[0])
         keep = [*df.columns, "prediction"]
         if self.kind == "regression":
-            return out.select(*keep)
+            return out.withColumn("prediction", F.expm1("prediction") if self.log else F.col("prediction")).select(*keep)
         p = vector_to_array("probability")
-        return out.select(*keep, p[F.size(p) - 1].alias("probability"))
+        names = F.element_at(F.lit(self.classes), F.col("prediction").cast("int") + 1) if self.classes else F.lit(None).cast("string")
+        return out.select(*keep, p[F.size(p) - 1].alias("probability"), names.alias("said"))
+
+
+def use_weights(df: DataFrame, label: str) -> bool:
+    """Whether the rarest of several classes has under a tenth of the rows."""
+    least, n, k = df.groupBy(label).count().agg(F.min("count"), F.sum("count"), F.count(F.lit(1))).first()
+    return bool(k and k > 1 and least / n < RARE_CLASS)
 
 
-def train(df: DataFrame, target: str, columns: Sequence[str], kind: str | None = None, seed: int = 0, iterations: int = 20) -> Model:
+def train(df: DataFrame, target: str, columns: Sequence[str], kind: str | None = None, seed: int = 0, iterations: int = 20, weights: str = "auto", log: bool = False) -> Model:
+    """Boosted trees, or a forest for several classes. ``weights``: classes count alike with "yes", and with "auto" where one
+    is rare. ``log``: learn log(1 + target)."""
     kind = kind or problem_kind(df, target)
     rows = df.where(F.col(target).isNotNull())
-    prep, pipe = learner(rows, target, columns, kind, seed, iterations)
+    if kind == "regression":
+        rows, classes = rows.withColumn("_label", F.log1p(F.col(target).cast("double")) if log else F.col(target).cast("double")), []
+    else:
+        rows, classes = labelled(rows, target)
+    weighted = kind != "regression" and (weights == "yes" or weights == "auto" and use_weights(rows, "_label"))
+    if weighted:
+        rows = balanced_weights(rows, "_label").withColumnRenamed("weight", "_weight")
+    prep, pipe = learner(rows, columns, kind, len(classes), seed, iterations, "_weight" if weighted else None)
     ready, _ = prep.apply(rows)
-    return Model(prep, pipe.fit(ready.withColumn("_label", F.col(target).cast("double"))), kind)
+    return Model(prep, pipe.fit(ready), kind, classes, log)
+
 
+def splits(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: int = 0, target: str | None = None, time: str | None = None, group: str | None = None, one_split_from: int = ONE_SPLIT_FROM):
+    """Pairs (learnt from, tested on). Beyond ``one_split_from`` rows a fifth is tested once; in order of time, tests are
+    always on later rows."""
+    once = df.count() > one_split_from
+    if how == "time":
+        marked = with_folds(df, row, 4 if once else folds, how, seed, target, time, group)
+        for k in [4] if once else range(1, folds + 1):
+            yield marked.where(F.col("_fold") < k).drop("_fold"), marked.where(F.col("_fold") == k).drop("_fold")
+        return
+    marked = with_folds(df, row, 5 if once else folds, how, seed, target, time, group)
+    for k in [0] if once else range(folds):
+        yield marked.where(F.col("_fold") != k).drop("_fold"), marked.where(F.col("_fold") == k).drop("_fold")
 
-def out_of_fold(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, iterations: int = 20) -> DataFrame:
-    """Every row predicted by a model that hasn't seen it."""
+
+def out_of_fold(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, iterations: int = 20, how: str = "random", time: str | None = None, group: str | None = None, kind: str | None = None, **options) -> DataFrame:
+    """Rows predicted by models that haven't seen them (see ``splits``): every row, or those tested where rows are parted once or by time."""
+    kind = kind or problem_kind(df, target)
+    out = None
+    for learnt, tested in splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group):
+        some = train(learnt, target, columns, kind, seed, iterations, **options).predict(tested)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def linear_reference(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, how: str = "random", time: str | None = None, group: str | None = None, penalty: float = 1.0) -> DataFrame:
+    """The simple model to compare with, on the same splits: medians for missing cells, standard scores, categories as flags, then
+    ridge or logistic regression. Rows with ``prediction`` (and ``probability`` of the last of two classes). Rare classes get weights
+    as in ``train``. ``penalty`` is that of the sum of squares, so its weight falls with the number of rows."""
     kind = problem_kind(df, target)
-    marked = df.withColumn("_fold", fold(row, folds, seed))
     out = None
-    for k in range(folds):
-        some = train(marked.where(F.col("_fold") != k), target, columns, kind, seed, iterations).predict(marked.where(F.col("_fold") == k))
+    for learnt, tested in splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group):
+        rows, classes = labelled(learnt, target) if kind != "regression" else (learnt.withColumn("_label", F.col(target).cast("double")), [])
+        prep, steps, filled, coded = _features(rows, columns)
+        parts = []
+        if filled:
+            steps += [VectorAssembler(inputCols=filled, outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
+            parts.append("_scaled")
+        if coded:
+            steps.append(OneHotEncoder(inputCols=coded, outputCols=[f"{c}_flags" for c in coded], handleInvalid="keep"))
+            parts += [f"{c}_flags" for c in coded]
+        steps.append(VectorAssembler(inputCols=parts, outputCol="_features"))
+        common = {"featuresCol": "_features", "labelCol": "_label"}
+        if kind != "regression" and use_weights(rows, "_label"):
+            rows, common = balanced_weights(rows, "_label").withColumnRenamed("weight", "_weight"), common | {"weightCol": "_weight"}
+        n = max(rows.count(), 1)
+        steps.append(LinearRegression(regParam=penalty / n, standardization=False, **common) if kind == "regression" else LogisticRegression(maxIter=300, regParam=penalty / n, standardization=False, **common))
+        some = Model(prep, Pipeline(stages=steps).fit(prep.apply(rows)[0]), kind, classes).predict(tested)
         out = some if out is None else out.unionByName(some)
-    return out.drop("_fold")
+    return out
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -220,28 +354,50 @@ def calibrator(df: DataFrame, label: str, probability: str):
     return lambda rows: rows.withColumn("calibrated", 1 / (1 + F.exp(-(slope * logit + level))))
 
 
-def permutation_importance(model: Model, df: DataFrame, row: str, target: str, columns: Sequence[str], rows: int = 2_000, seed: int = 0) -> DataFrame:
-    """(column, importance): how much the mean absolute error grows on a bounded held-out sample when a column is dealt anew among its rows."""
-    sample = df.orderBy(F.xxhash64(row, F.lit(seed)), row).limit(rows)
-    y = F.col(target).cast("double")
-    guess = "prediction" if model.kind == "regression" else "probability"
-    error = lambda d: model.predict(d).agg(F.avg(F.abs(F.col(guess) - y)).alias("e"))
-    place = lambda c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c))  # noqa: E731  over the bounded sample
-    numbered = sample.withColumn("_i", place(row))
-    base = error(sample).select(F.col("e").alias("base"))
-    out = None
-    for k, c in enumerate(columns):
-        dealt = sample.select(F.col(c).alias("_new"), place(F.xxhash64(row, F.lit(seed + 1 + k))).alias("_i"))
-        one = error(numbered.join(dealt, "_i").withColumn(c, F.col("_new")).drop("_new", "_i")).join(F.broadcast(base)).select(F.lit(c).alias("column"), (F.col("e") - F.col("base")).alias("importance"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
+def permutation_importance(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, repeats: int = 5, seed: int = 0, iterations: int = 20) -> DataFrame:
+    """(column, importance, spread): by how much the mean absolute error of rows that the model hasn't seen grows when a column is
+    dealt anew among them; the mean and standard deviation of ``repeats`` seeded dealings, over all folds.
 
-def explain_rows(model: Model, df: DataFrame, row: str, columns: Sequence[str], top: int = 2) -> DataFrame:
-    """(row, column, effect): the columns whose replacement by their median (or most frequent value) lowers a row's score most."""
+    All tested rows take part. They're first put in order of a hash, so any run of them is a chance sample; a task deals a column among the rows of each of its batches,
+    marks copies with column and repeat, and one prediction of all copies gives the errors. No row leaves its task."""
+    kind = problem_kind(df, target)
+    kinds, names = dict(df.dtypes), list(columns)
+    keep = [row, target, *names]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_column string, _repeat int"])
+
+    def dealt(batches):
+        for batch in batches:
+            rng = np.random.default_rng([seed, batch.num_rows, *(xxhash.xxh32_intdigest(str(batch.column(0)[k].as_py())) for k in (0, batch.num_rows - 1))] if batch.num_rows else seed)
+            for c, k in [(None, 0), *((c, k) for c in names for k in range(repeats))]:
+                arrays = [batch.column(x).take(pa.array(rng.permutation(batch.num_rows))) if x == c else batch.column(x) for x in keep]
+                tags = [pa.array([c] * batch.num_rows, pa.string()), pa.array([k] * batch.num_rows, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*arrays, *tags], [*keep, "_column", "_repeat"])
+
+    errors = None
+    for learnt, tested in splits(df.where(F.col(target).isNotNull()), row, folds, seed=seed):
+        model = train(learnt, target, columns, kind, seed, iterations)
+        copies = tested.select(*keep).withColumn("_h", F.xxhash64(row, F.lit(seed))).repartition("_h").sortWithinPartitions("_h").drop("_h").mapInArrow(dealt, schema)
+        if kind == "regression":
+            error = F.abs(F.col("prediction") - F.col(target).cast("double"))
+        elif len(model.classes) == 2:
+            error = F.abs(F.col("probability") - (F.col(target).cast("string") == model.classes[1]).cast("double"))
+        else:
+            error = (F.col("said") != F.col(target).cast("string")).cast("double")
+        one = model.predict(copies).groupBy("_column", "_repeat").agg(F.sum(error).alias("e"), F.count(F.lit(1)).alias("n"))
+        errors = one if errors is None else errors.unionByName(one)
+    mean = errors.groupBy("_column", "_repeat").agg((F.sum("e") / F.sum("n")).alias("e"))
+    base = mean.where("_column is null").select(F.col("e").alias("_base"))
+    grown = mean.where("_column is not null").join(F.broadcast(base)).groupBy(F.col("_column").alias("column")).agg(F.avg(F.col("e") - F.col("_base")).alias("importance"), F.coalesce(F.stddev_pop("e"), F.lit(0.0)).alias("spread"))
+    return grown
+
+
+def explain_rows(model: Model, df: DataFrame, row: str, columns: Sequence[str], top: int = 2, typical_of: DataFrame | None = None) -> DataFrame:
+    """(row, column, effect): the columns whose replacement by their median (or most frequent value) in ``typical_of`` lowers a row's score most."""
     guess = "prediction" if model.kind == "regression" else "probability"
     kinds = dict(df.dtypes)
-    typical = df.agg(*[(F.median(c) if kinds[c] in NUMERIC else F.mode(c, True)).cast(kinds[c]).alias(c) for c in columns]).first()
+    whole = typical_of if typical_of is not None else df
+    number = lambda c: kinds[c] in NUMERIC
+    typical = whole.agg(*[(F.median(c) if number(c) else F.mode(c, True)).cast(kinds[c]).alias(c) for c in columns]).first()
     base = model.predict(df).select(F.col(row).alias("row"), F.col(guess).alias("base"))
     out = None
     for c in columns:

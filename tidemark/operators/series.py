@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,10 @@ DAY = 86_400_000_000
 STEP = {"H": "interval 1 hour", "D": "interval 1 day", "B": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month"}
 CYCLE = {"H": 24, "D": 7, "B": 5, "W": 52, "M": 12}
 HORIZON = {"H": 48, "D": 30, "B": 20, "W": 12, "M": 6}
+#: Periods from which on a season is looked for, horizons of questions about limits, and periods that are enough to say anything.
+SEASON_FROM = {"H": 72, "D": 21, "B": 15, "W": 104, "M": 24}
+LIMIT_HORIZON = {"H": 72, "D": 90, "B": 65, "W": 26, "M": 12}
+LEAST_PERIODS = 12
 
 
 def frequency_profile(df: DataFrame, date: str) -> DataFrame:
@@ -118,6 +121,30 @@ def seasonality(series: DataFrame, freq: str, by: Sequence[str] = ()) -> DataFra
     return rows.groupBy(*by, "position").agg(F.avg(effect).alias("effect"), F.count(F.lit(1)).alias("n"))
 
 
+def seasonal_strength(series: DataFrame, m: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, strength): 1 - the variance around the means of the cycle's ``m`` places over the variance around the centred mean,
+    between 0 and 1; 0 with under two cycles or without variance. Places count from each series's first period."""
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("period")
+    rows = centred_mean(series, m, by).withColumn("_place", (F.row_number().over(order) - 1) % m)
+    rows = rows.select(*by, "_place", "level", (F.col("y") - F.col("level")).alias("_rest"))
+    place = Window.partitionBy(*by, "_place")
+    rows = rows.withColumn("_left", F.col("_rest") - F.avg("_rest").over(place))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("_known"), F.var_pop("_rest").alias("_v"), F.var_pop("_left").alias("_w"))
+    strength = F.least(F.greatest(1 - F.try_divide(F.col("_w"), F.col("_v")), F.lit(0.0)), F.lit(1.0))
+    return out.select(*by, "n", F.when((F.col("_known") >= 2 * m) & (F.col("_v") > 0), strength).otherwise(0.0).alias("strength"))
+
+
+def season_indices(series: DataFrame, m: int, by: Sequence[str] = (), multiplied: bool = False) -> DataFrame:
+    """(by, place, effect): mean difference from (or ratio to) the centred mean at each place of the cycle, normalised so that
+    the places' mean is 0 (or 1)."""
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("period")
+    rows = centred_mean(series, m, by).withColumn("place", (F.row_number().over(order) - 1) % m).where("level is not null")
+    off = F.try_divide(F.col("y"), F.col("level")) if multiplied else F.col("y") - F.col("level")
+    places = rows.groupBy(*by, "place").agg(F.avg(off).alias("effect"))
+    mean = F.avg("effect").over(Window.partitionBy(*(by or [F.lit(0)])))  # over at most m rows a series
+    return places.withColumn("effect", F.try_divide(F.col("effect"), mean) if multiplied else F.col("effect") - mean)
+
+
 def stock_consumption(df: DataFrame, entity: str, date: str, stock: str, tie: str) -> DataFrame:
     """Consumption as the fall of a stock since the entity's row before; rises are 0; first rows go."""
     before = F.lag(stock).over(Window.partitionBy(entity).orderBy(date, tie))
@@ -131,29 +158,31 @@ def trailing_streak(series: DataFrame, limit: float) -> DataFrame:
     return series.join(F.broadcast(last_ok)).agg(F.count(F.when(F.col("_ok").isNull() | (F.col("period") > F.col("_ok")), 1)).alias("periods"))
 
 
-@dataclass(frozen=True)
-class Projection:
-    """What ``project`` returns for each series."""
+FORECAST = "step int, forecast double, low double, high double, sigma double, method string, error double, reference_error double, improvement double, coverage double, origins int"
+
 
-    schema = "step int, forecast double, low double, high double, method string, error double, reference_error double, coverage double"
+def _typed(df: DataFrame, by: Sequence[str], schema: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"`{k}` {kinds[k]}" for k in by), schema])
 
 
-def project(series: DataFrame, freq: str, by: Sequence[str], horizon: int | None = None) -> DataFrame:
-    """(by, step, forecast, low, high, method, error, reference_error, coverage) for each series of periods without gaps.
+def project(series: DataFrame, freq: str, by: Sequence[str], horizon: int | None = None, level: float = 0.8, most_periods: int | None = None, **windows) -> DataFrame:
+    """A row for each of ``horizon`` steps of each series of periods without gaps: forecast, its interval of ``level`` and standard
+    error ``sigma``, the method, its error and that of the best simple answer, the gain, the interval's coverage in tests.
 
-    Each series is one group of at most some thousand periods; candidates are compared on rolling origins in the group's task.
+    Each series is one group, of its periods and not of the table's rows; candidates are compared on rolling origins in the
+    group's task. ``most_periods`` bounds how far back a series is looked at (None: all of it); ``windows``: ``holt_periods`` and
+    ``long_periods`` of the two long methods. A season is tried from ``SEASON_FROM`` periods on.
     """
     from tidemark.functions.forecasting import forecast_frame
 
-    h = horizon or HORIZON[freq]
-    m = CYCLE[freq]
-    keys = list(by)
-    schema = ", ".join([f"{k} {dict(series.dtypes)[k]}" for k in keys] + [Projection.schema])
+    h, keys = horizon or HORIZON[freq], list(by)
 
     def one(pdf):
-        out = forecast_frame(pdf.sort_values("period")["y"].to_numpy(dtype=float), m, h)
+        y = pdf.sort_values("period")["y"].to_numpy(dtype=float)
+        out = forecast_frame(y, CYCLE[freq] if len(y) >= SEASON_FROM[freq] else None, h, level, most_periods, **windows)
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return series.groupBy(*keys).applyInPandas(one, schema)
+    return series.groupBy(*(keys or [F.lit(0)])).applyInPandas(one, _typed(series, keys, FORECAST))

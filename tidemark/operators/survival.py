@@ -54,19 +54,6 @@ def quantile_time(curve: DataFrame, share: float, by: Sequence[str] = ()) -> Dat
     return curve.where(F.col("survival") <= 1 - share + 1e-12).groupBy(*by).agg(F.min("days").alias("days"))
 
 
-def window_probability(curve: DataFrame, ages: DataFrame, width: float) -> DataFrame:
-    """(entity, age, p): chance of the event within ``width`` days given survival to the age. ``curve``: of one group.
-
-    A curve has a row a distinct time; its two lookups are last values in one sorted union, not a join of all times."""
-    points = curve.select(F.col("days").alias("x"), "survival", F.lit(None).cast("string").alias("entity"), F.lit(None).cast("double").alias("age"), F.lit("c").alias("kind"))
-    asked = ages.select(F.col("age").alias("x"), F.lit(None).cast("double").alias("survival"), F.col("entity").cast("string").alias("entity"), "age", F.lit("a").alias("kind"))
-    later = asked.withColumn("x", F.col("x") + width).withColumn("kind", F.lit("b"))
-    all_rows = points.unionByName(asked).unionByName(later)
-    order = Window.partitionBy(F.lit(0)).orderBy("x", F.when(F.col("kind") == "c", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    at = all_rows.withColumn("s", F.coalesce(F.last("survival", True).over(order), F.lit(1.0))).where("kind <> 'c'")
-    return at.groupBy("entity", "age").agg((1 - F.try_divide(F.max(F.when(F.col("kind") == "b", F.col("s"))), F.max(F.when(F.col("kind") == "a", F.col("s"))))).alias("p"))
-
-
 def event_features(df: DataFrame, entity: str, date: str, is_event: Column, days: int, row: str, cut: str | None = None) -> DataFrame:
     """(row, label, days_since, events_before, observable): whether the entity has an event in the next ``days`` days, how long
     since its last event strictly before, how many different event times are before, and whether those days are over by the cut."""

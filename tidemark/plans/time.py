@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import learning as ml
+from tidemark.operators import lifetimes as li
+from tidemark.operators import questions as qu
 from tidemark.operators import series as se
 from tidemark.operators import survival as su
 from tidemark.plans.summaries import r, read
@@ -230,25 +232,136 @@ def returns_regression(spark, d):
 
 @query()
 def train_predict_regression(spark, d):
-    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 1_000 + F.col("l_suppkey")).alias("row"), "l_quantity", "l_discount", "l_returnflag", "l_shipdate", "l_extendedprice")
-    model = ml.train(rows, "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_shipdate"], "regression", iterations=5)
-    return model.predict(rows).select("row", "l_extendedprice", "prediction")
+    """Rows that the model hasn't seen: all of them in three folds, a fifth from 150,000 rows on."""
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey")).alias("row"), "l_quantity", "l_discount", "l_returnflag", "l_shipdate", "l_extendedprice")
+    return ml.out_of_fold(rows, "row", "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_shipdate"], kind="regression").select("row", "l_extendedprice", "prediction")
 
 
 @query()
 def train_predict_binary(spark, d):
     rows = _large_orders(spark, d)
-    return ml.out_of_fold(rows, "o_orderkey", "large", ["o_orderstatus", "o_orderpriority", "lines", "quantity"], iterations=5).select("o_orderkey", "large", "probability")
+    return ml.out_of_fold(rows, "o_orderkey", "large", ["o_orderstatus", "o_orderpriority", "lines", "quantity"]).select("o_orderkey", "large", "probability")
 
 
 def _large_orders(spark, d):
     lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("worth"))
     both = read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return both.select("o_orderkey", "o_orderstatus", "o_orderpriority", "lines", "quantity", (F.col("worth") > 100_000).cast("int").alias("large"))
+    return both.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "lines", "quantity", (F.col("worth") > 100_000).cast("int").alias("large"))
 
 
 @query()
 def permutation_importance(spark, d):
+    return ml.permutation_importance(_large_orders(spark, d), "o_orderkey", "large", ["o_orderstatus", "lines", "quantity"])
+
+
+@query()
+def linear_reference(spark, d):
     rows = _large_orders(spark, d)
-    columns = ["o_orderstatus", "lines", "quantity"]
-    return ml.permutation_importance(ml.train(rows, "large", columns, iterations=5), rows, "o_orderkey", "large", columns)
+    return ml.linear_reference(rows, "o_orderkey", "large", ["o_orderstatus", "o_orderpriority", "lines", "quantity"]).select("o_orderkey", "large", "probability")
+
+
+@query("""with n as (select count(*) as n from orders), t as (select o_orderkey, o_orderstatus, row_number() over (order by o_orderdate, o_orderkey) - 1 as i from orders)
+select least(floor(i * 4 / n), 3)::int as part, count(*) as rows, min(o_orderkey) as first, max(o_orderkey) as last from t, n group by 1""")
+def folds_by_time(spark, d):
+    return ml.with_folds(read(spark, d, "orders"), "o_orderkey", 3, "time", time="o_orderdate").groupBy(F.col("_fold").alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("""with c as (select o_orderstatus, count(*) as n from orders group by 1), f as (select unnest(range(5)) as fold)
+select o_orderstatus, fold::int as fold, (n // 5 + case when fold between 1 and n % 5 then 1 else 0 end)::bigint as rows from c, f where n // 5 + case when fold between 1 and n % 5 then 1 else 0 end > 0""")
+def folds_stratified(spark, d):
+    return ml.with_folds(read(spark, d, "orders"), "o_orderkey", 5, "stratified", target="o_orderstatus").groupBy("o_orderstatus", F.col("_fold").alias("fold")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""with n as (select count(*)::double as n, count(distinct o_orderstatus) as k from orders) select o_orderstatus, round(any_value(n) / (any_value(k) * count(*)), 8) as weight from orders, n group by 1""")
+def class_weights(spark, d):
+    return ml.balanced_weights(read(spark, d, "orders"), "o_orderstatus").groupBy("o_orderstatus").agg(r(F.max("weight"), 8).alias("weight"))
+
+
+@query("""with s as (select strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') as period, sum(o_totalprice) as y, date_trunc('week', o_orderdate)::date as w from orders group by 1, 3), m as (select max(o_orderdate)::date as last from orders),
+g as (select unnest(generate_series(min(w)::timestamp, (select max(w) from s, m where last >= w + 4)::timestamp, interval 7 day))::date as w from s)
+select strftime(g.w, '%Y-%m-%d') as period, round(coalesce(y, 0), 2) as y from g left join s on s.w = g.w""")
+def series_prepared(spark, d):
+    ready = qu.prepare(read(spark, d, "orders"), "o_orderdate", "o_totalprice", "sum", "W")
+    return ready.series.select(day_text(), r("y", 2).alias("y"))
+
+
+STRENGTH = """with s as (select event_type, ts::date as d, count(*)::double as y from events group by 1, 2), l as (select event_type, d, y, row_number() over (partition by event_type order by d) - 1 as i, avg(y) over w as level, count(y) over w as k from s window w as (partition by event_type order by d rows between 3 preceding and 3 following)),
+q as (select event_type, i % 7 as place, case when k >= 3 then y - level end as rest from l), p as (select *, rest - avg(rest) over (partition by event_type, place) as left_ from q)"""
+
+
+@query(STRENGTH + " select event_type, count(*) as n, round(case when count(rest) >= 14 and var_pop(rest) > 0 then least(greatest(1 - var_pop(left_) / var_pop(rest), 0), 1) else 0 end, 8) as strength from p group by 1")
+def seasonal_strength(spark, d):
+    made = se.aggregate(read(spark, d, "events"), "ts", "D", "count", by=["event_type"])
+    return se.seasonal_strength(made, 7, ["event_type"]).withColumn("strength", r("strength", 8))
+
+
+@query(STRENGTH + ", a as (select event_type, place, avg(rest) as e from q where rest is not null group by 1, 2) select event_type, place::int as place, round(e - avg(e) over (partition by event_type), 8) as effect from a")
+def season_indices(spark, d):
+    made = se.aggregate(read(spark, d, "events"), "ts", "D", "count", by=["event_type"])
+    return se.season_indices(made, 7, ["event_type"]).select("event_type", "place", r("effect", 8).alias("effect"))
+
+
+def _daily(spark, d, op="auto", value="value"):
+    return qu.prepare(read(spark, d, "events"), "ts", value, op, "D", ["event_type"])
+
+
+@query()
+def threshold_cross(spark, d):
+    return qu.threshold_crossing(_daily(spark, d, "sum"), 1_500.0)
+
+
+@query()
+def saturation(spark, d):
+    return qu.saturation(_daily(spark, d, "max"), 400.0)
+
+
+@query()
+def scenario_elasticity(spark, d):
+    events = read(spark, d, "events")
+    return qu.scenario(qu.prepare(events, "ts", "value", "sum", "D", ["event_type"]), events.withColumn("rows", F.lit(1.0)), "ts", "rows", 0.1, "sum")
+
+
+@query()
+def forecast_table(spark, d):
+    return qu.ask("projection", read(spark, d, "events"), date="ts", value="value", op="sum", freq="D", by=("event_type",), horizon=14)
+
+
+LIFE = SPANS + CURVE.format(by="", part="") + """, n as (select count(*) as n, sum(days) as total from s), u as (select max(days) as sup from c, n where at_risk >= greatest(5, 0.05 * n)),
+sv as (select sup, (select survival from c where days <= sup order by days desc limit 1) as s_end, coalesce((select survival from c where days <= sup / 2 order by days desc limit 1), 1.0) as s_mid from u),
+rt as (select sup, s_end, greatest(case when s_end > 0 and s_mid > s_end then -ln(s_end / s_mid) / (sup / 2) else 0 end, 0.5 / total) as rate from sv, n),
+a as (select user_id as entity, max(days) as age from s where not event group by 1),
+x as (select entity, age, coalesce((select survival from c where days <= least(a.age, sup) order by days desc limit 1), 1.0) * exp(-rate * greatest(a.age - sup, 0)) as s_now,
+coalesce((select survival from c where days <= least(a.age + 5, sup) order by days desc limit 1), 1.0) * exp(-rate * greatest(a.age + 5 - sup, 0)) as s_then, a.age > sup as beyond from a, rt)"""
+
+
+@query(LIFE + " select entity, round(age, 6) as age, round(case when s_now > 0 then 1 - s_then / s_now end, 6) as p, beyond from x")
+def window_probabilities(spark, d):
+    spans = _spans(spark, d)
+    out = li.window_probability(li.fit(spans), li.alive(spans), 5.0)
+    return out.select("entity", r("age", 6).alias("age"), r("p", 6).alias("p"), "beyond")
+
+
+@query()
+def useful_life(spark, d):
+    return li.useful_life(_spans(spark, d), 5.0)[1]
+
+
+@query(LIFE + " select count(*) as entities, round(sum(1 - s_then / s_now), 4) as expected, count(*) filter (1 - s_then / s_now >= 0.3) as risky, count(*) filter (1 - s_then / s_now >= 0.5) as high_risk, round(max(1 - s_then / s_now), 6) as p_most, case when count(*) filter (1 - s_then / s_now >= 0.5) > 0 then 'alert' when count(*) filter (1 - s_then / s_now >= 0.3) > 0 then 'watch' else 'info' end as urgency from x")
+def failure_summary(spark, d):
+    out = li.failure_summary(li.useful_life(_spans(spark, d), 5.0)[1])
+    return out.select("entities", r("expected").alias("expected"), "risky", "high_risk", r("p_most", 6).alias("p_most"), "urgency")
+
+
+@query()
+def future_windows(spark, d):
+    return li.future_windows(li.useful_life(_spans(spark, d), 5.0)[1], F.lit("2024-01-31").cast("date"))
+
+
+@query()
+def failure_model(spark, d):
+    return li.failure_model(read(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error", 5, "event_id", ["value"])[0]
+
+
+@query()
+def classification_question(spark, d):
+    return qu.ask("classification", _large_orders(spark, d), row="o_orderkey", target="large", columns=("o_orderdate", "lines", "quantity"))
