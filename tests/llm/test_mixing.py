@@ -1,5 +1,6 @@
 """The mix against brute-force targets and highest quotients."""
 
+import random
 import re
 from collections import Counter
 
@@ -67,6 +68,59 @@ def test_edges(spark):
     assert sum(len(r["text"].split()) for r in docs.collect()) == sum(r["taken"] for r in out)
 
 
+def test_blocks_dealt_by_hand(spark):
+    """Every document's taken words from the definition: shards by hash, words laid end to end, quotas by highest quotients
+    at each level, the first blocks in seeded order once more."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 40, 300])), rng.choice(["a", "b", "b", "b", "c", None])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_words": 8, "shard_words": 500}
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(docs, **options).collect()}
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id", "text", "source", F.lit(mixing.SEED))).collect()}
+    size = {k: len(t.split()) for k, t, _ in rows}
+    of = {k: s for k, _, s in rows}
+    sources = sorted(set(of.values()), key=lambda s: (s is None, s or ""))
+    totals = {s: sum(size[k] for k in of if of[k] == s) for s in sources}
+
+    def quotients(votes, seats):
+        won = dict.fromkeys(votes, 0)
+        for _ in range(seats):
+            won[max(sorted(votes), key=lambda k: votes[k] / (2 * won[k] + 1))] += 1
+        return won
+
+    aims = targets(totals)
+    blocks = quotients({n: aims[s] for n, s in enumerate(sources)}, round(sum(totals.values()) / 8))
+    seeds = spark.range(200).select("id")
+    want = dict.fromkeys(of, 0)
+    for n, s in enumerate(sources):
+        shards = {}
+        for k in sorted((k for k in of if of[k] == s and size[k]), key=lambda k: hashes[k]):
+            shards.setdefault(hashes[k] % max(1, -(-totals[s] // 500)), []).append(k)
+        quota = quotients({x: sum(size[k] for k in ks) for x, ks in shards.items()}, blocks[n])
+        for x, ks in shards.items():
+            n_blocks = -(-sum(size[k] for k in ks) // 8)
+            q = min(quota[x], 3 * n_blocks)
+            drawn = [r[0] for r in seeds.where(F.col("id") < n_blocks).orderBy(F.xxhash64(F.lit(mixing.SEED), F.lit(n).cast("long"), F.lit(x).cast("long"), F.col("id"))).collect()][: q % n_blocks]
+            at = 0
+            for k in ks:
+                want[k] = q // n_blocks * size[k] + sum(w // 8 in drawn for w in range(at, at + size[k]))
+                at += size[k]
+    assert got == want
+
+
+def test_many_empty_texts_and_sources(spark):
+    """A source of very many empty texts isn't a shard; a source for each of 3,000 domains meets its targets."""
+    empty = spark.range(200_000).select("id", F.lit("").alias("text"), F.lit("a").alias("source"))
+    some = spark.range(200_000, 203_000).select("id", F.repeat(F.lit("w "), (F.col("id") % 90 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    plan = mixing.mix_plan(empty.unionByName(some).withColumnRenamed("id", "doc_id"), block_words=1)
+    sums = plan.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("source_size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    want = targets({r["source"]: r["size"] for r in sums})
+    assert len(sums) == 3_001 and sum(r["n"] for r in sums) == 203_000
+    for r in sums:
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert abs(r["taken"] - r["target"]) <= 1 or r["taken"] == 3 * r["size"]
+
+
 def test_words_of_mixed_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mixed = mixing.mixed_documents(docs).groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import WORD, written
+from tidemark.operators.ordered import running_sums, with_key
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 16_384
-#: Shards share out in groups, so no window holds more than so many shards, or all groups, of a source.
-SHARDS_A_GROUP = 1_024
+#: Sources, and a source's shards, share out in groups, so no window holds more than so many of them, or all groups.
+PARTS_A_GROUP = 1_024
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: The table of sources is broadcast up to so many rows; beyond it, it's joined by shuffle.
@@ -27,17 +28,20 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_RE
 
     Sources in order of code points, null last, take the weights in turn. A target is its weight times one common
     level, or ``max_repeats`` times its source's size if that is less; the level is where targets sum to all sizes.
+    Numbers and sums go by ranges of sources, so tables with a source for each domain take no single task.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    far = F.lit(float("inf"))
+    numbered = running_sums(with_key(totals, "_at", "source").withColumn("_at", F.coalesce("_at", far)), "_at", {"_no": F.lit(1)}, ["source"]).drop("_at")
+    ranked = numbered.withColumn("source_no", F.col("_no") - 1).drop("_no")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
-    ranked = totals.withColumn("source_no", F.row_number().over(order) - 1).withColumn("weight", weight)
-    ranked = ranked.withColumn("most", F.col("source_size") * float(max_repeats)).withColumn("full_at", F.col("most") / F.col("weight"))
-    filling = Window.orderBy("full_at", "source_no")
-    level = (F.sum("source_size").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("most").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    ranked = ranked.withColumn("level", level)
-    # Sources below the common level are full; the first level that its own source can hold is the common one, and the greatest of such.
-    common = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.partitionBy(F.lit(0)))
-    return ranked.withColumn("target", F.least(F.col("most"), F.col("weight") * common)).drop("most", "full_at", "level")
+    ranked = ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(max_repeats)).withColumn("full_at", F.col("most") / F.col("weight"))
+    ranked = written(ranked, "mix-ranked")
+    whole = ranked.agg(F.sum("source_size").alias("_all"), F.sum("weight").alias("_weights"))
+    filling = running_sums(ranked, "full_at", {"_most": F.col("most"), "_weight": F.col("weight")}, ["source_no"]).join(F.broadcast(whole))
+    # Sources below the common level are full; it is the greatest level that a source, with all lesser ones full, can hold.
+    level = (F.col("_all") - (F.col("_most") - F.col("most"))) / (F.col("_weights") - (F.col("_weight") - F.col("weight")))
+    common = filling.withColumn("_level", level).agg(F.max(F.when(F.col("_level") <= F.col("full_at"), F.col("_level"))).alias("_common"))
+    return ranked.join(F.broadcast(common)).withColumn("target", F.least(F.col("most"), F.col("weight") * F.col("_common"))).drop("most", "full_at", "_common")
 
 
 def sainte_lague(rows: DataFrame, group: list[str], key: str, votes: str, seats: str, out: str) -> DataFrame:
@@ -63,51 +67,61 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, b
     """How often the mix takes each part of each document; one row for every row of ``docs`` (doc_id, text, source).
 
     Documents of a source are dealt over shards by hash and laid end to end in hash order; every ``block_words`` words
-    are a block. Blocks are apportioned by Sainte-Laguë to sources by target, then to groups of shards and to shards
-    by words. A shard of n blocks with quota q takes every block q div n times and the q mod n blocks that come first
-    in seeded order once more.
+    are a block. Blocks are apportioned by Sainte-Laguë to groups of sources and to sources by target, then to groups of
+    shards and to shards by words. A shard of n blocks with quota q takes every block q div n times and the q mod n blocks
+    that come first in seeded order once more.
 
     Returns doc_id, source, size, source_size, target, taken, and ``row_hash``, ``passes`` (times taken whole), ``start`` (its
     first word in the shard), ``more`` (the shard's blocks taken once more).
-    Null texts have size 0 and take 0; null sources are one source, the last; repeated rows each count; an empty table
-    gives an empty one. Other columns are ignored. ``same``: the columns that tell rows apart for ``row_hash``.
+    Null and empty texts have size 0, lie in no shard and take 0; null sources are one source, the last; repeated rows each
+    count; an empty table gives an empty one. Other columns are ignored. ``same``: the columns that tell rows apart for ``row_hash``.
     """
     spread = F.xxhash64(*[F.col(c) for c in same or ["doc_id", "text", "source"]], F.lit(seed))
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread.alias("row_hash")), "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = source_targets(totals, weights, max_repeats).withColumn("all_blocks", F.round(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block_words).cast("long")).withColumn("_all", F.lit(0))
-    sources = written(sainte_lague(sources, ["_all"], "source_no", "target", "all_blocks", "source_blocks").drop("_all", "all_blocks"), "mix-sources")
+    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
+    all_blocks = sources.agg(F.round(F.sum("source_size") / block_words).cast("long").alias("all_blocks"))
+    sources = written(sources.withColumn("source_group", F.floor(F.col("source_no") / PARTS_A_GROUP)), "mix-targets")
+    groups = sources.groupBy("source_group").agg(F.sum("target").alias("group_target")).join(F.broadcast(all_blocks)).withColumn("_all", F.lit(0))
+    groups = sainte_lague(groups, ["_all"], "source_group", "group_target", "all_blocks", "group_blocks").select("source_group", "group_blocks")
+    sources = sainte_lague(sources.join(groups, "source_group"), ["source_group"], "source_no", "target", "group_blocks", "source_blocks")
+    sources = written(sources.drop("source_group", "group_blocks"), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
     side = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     placed = sized.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("shard", F.pmod("row_hash", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
-    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size")).withColumn("shard_group", F.floor(F.col("shard") / SHARDS_A_GROUP))
+    empty = placed.where("size = 0")  # a source may hold very many, and no block has any of them
+    placed = placed.where("size > 0").withColumn("shard", F.pmod("row_hash", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
+    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size")).withColumn("shard_group", F.floor(F.col("shard") / PARTS_A_GROUP))
     shards = written(shards, "mix-shards")
     groups = shards.groupBy("source_no", "shard_group").agg(F.sum("shard_size").alias("group_size")).join(sources.select("source_no", "source_blocks"), "source_no")
     groups = sainte_lague(groups, ["source_no"], "shard_group", "group_size", "source_blocks", "group_blocks").drop("source_blocks", "group_size")
     dealt = sainte_lague(shards.join(groups, ["source_no", "shard_group"]), ["source_no", "shard_group"], "shard", "shard_size", "group_blocks", "quota")
     blocks = F.ceil(F.col("shard_size") / block_words)
     dealt = dealt.withColumn("blocks", blocks).withColumn("quota", F.least("quota", F.col("blocks") * max_repeats))
-    dealt = dealt.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0))
+    dealt = dealt.withColumn("passes", F.floor(F.col("quota") / F.col("blocks")))
     drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.xxhash64(F.lit(seed), F.col("source_no"), F.col("shard"), b).alias("h"), b.alias("b"))))
     more = F.when(F.col("quota") > F.col("passes") * F.col("blocks"), F.slice(drawn, 1, (F.col("quota") - F.col("passes") * F.col("blocks")).cast("int"))["b"]).otherwise(F.array().cast("array<bigint>"))
     dealt = written(dealt.select("source_no", "shard", "passes", more.alias("more")), "mix-quotas")
     laid = Window.partitionBy("source_no", "shard").orderBy("row_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     plan = placed.withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0))).join(dealt, ["source_no", "shard"])
     overlap = F.aggregate(F.col("more"), F.lit(0).cast("long"), lambda n, b: n + F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), (b + 1) * block_words) - F.greatest(F.col("start"), b * block_words)))
-    return plan.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + overlap).alias("taken"), "row_hash", "passes", "start", "more")
+    zero = F.lit(0).cast("long")
+    empty = empty.select("doc_id", "source", "size", "source_size", "target", zero.alias("taken"), "row_hash", zero.alias("passes"), zero.alias("start"), F.array().cast("array<bigint>").alias("more"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + overlap).alias("taken"), "row_hash", "passes", "start", "more").unionByName(empty)
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
     """The documents as the mix takes them, with their columns: a row for each time a whole text is taken, and one with
     the text's blocks that are taken once more, joined in order, white space kept. Rows that aren't taken go; n_chars
-    is set anew. Texts without words hold no blocks and go."""
+    is set anew. Null texts and texts without words hold no blocks and go; null ids and sources stay as they are; repeated
+    rows are each taken by their own part of the plan; an empty table gives an empty one; other columns are dropped."""
     keep = ["doc_id", "text", "lang", "source", "n_chars"]
     seed = options.get("seed", SEED)
     plan = mix_plan(docs, block_words=block_words, same=keep, **options).where("taken > 0")
-    takes = plan.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("passes", "start", "size", "more")).alias("takes"))
-    texts = docs.select(*keep).withColumn("row_hash", F.xxhash64(*keep, F.lit(seed))).dropDuplicates(["doc_id", "row_hash"])
-    both = texts.alias("d").join(takes.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.row_hash") == F.col("t.row_hash"))).select("d.*", F.explode("takes").alias("take"))
+    # Keys without nulls: texts of a key are dealt out once, for leaving repeats out and for the join.
+    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    takes = plan.withColumns(keys).select(*keys, "row_hash", F.struct("passes", "start", "size", "more").alias("take"))
+    texts = docs.select(*keep).withColumns(keys).withColumn("row_hash", F.xxhash64(*keep, F.lit(seed))).dropDuplicates([*keys, "row_hash"])
+    both = texts.join(takes, [*keys, "row_hash"]).select(*keep, "take")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+$)?"), F.lit(0))
     start, size = F.col("take.start"), F.col("take.size")
     mine = F.array_sort(F.filter(F.col("take.more"), lambda b: ((b + 1) * block_words > start) & (b * block_words < start + size)))
