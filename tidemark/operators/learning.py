@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -263,11 +265,15 @@ def splits(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: i
 def out_of_fold(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, iterations: int = 20, how: str = "random", time: str | None = None, group: str | None = None, kind: str | None = None, **options) -> DataFrame:
     """Rows predicted by models that haven't seen them (see ``splits``): every row, or those tested where rows are parted once or by time."""
     kind = kind or problem_kind(df, target)
-    out = None
-    for learnt, tested in splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group):
-        some = train(learnt, target, columns, kind, seed, iterations, **options).predict(tested)
-        out = some if out is None else out.unionByName(some)
-    return out
+    some = on_splits(splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group), lambda learnt, tested: train(learnt, target, columns, kind, seed, iterations, **options).predict(tested))
+    return reduce(DataFrame.unionByName, some)
+
+
+def on_splits(parts, work) -> list:
+    """``work`` of each pair of parts; their Spark jobs run side by side, as one model's many small jobs leave a cluster idle."""
+    parts = list(parts)
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return list(pool.map(lambda p: work(*p), parts))
 
 
 def linear_reference(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, how: str = "random", time: str | None = None, group: str | None = None, penalty: float = 1.0) -> DataFrame:
@@ -275,8 +281,8 @@ def linear_reference(df: DataFrame, row: str, target: str, columns: Sequence[str
     ridge or logistic regression. Rows with ``prediction`` (and ``probability`` of the last of two classes). Rare classes get weights
     as in ``train``. ``penalty`` is that of the sum of squares, so its weight falls with the number of rows."""
     kind = problem_kind(df, target)
-    out = None
-    for learnt, tested in splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group):
+
+    def one(learnt: DataFrame, tested: DataFrame) -> DataFrame:
         rows, classes = labelled(learnt, target) if kind != "regression" else (learnt.withColumn("_label", F.col(target).cast("double")), [])
         prep, steps, filled, coded = _features(rows, columns)
         parts = []
@@ -292,9 +298,9 @@ def linear_reference(df: DataFrame, row: str, target: str, columns: Sequence[str
             rows, common = balanced_weights(rows, "_label").withColumnRenamed("weight", "_weight"), common | {"weightCol": "_weight"}
         n = max(rows.count(), 1)
         steps.append(LinearRegression(regParam=penalty / n, standardization=False, **common) if kind == "regression" else LogisticRegression(maxIter=300, regParam=penalty / n, standardization=False, **common))
-        some = Model(prep, Pipeline(stages=steps).fit(prep.apply(rows)[0]), kind, classes).predict(tested)
-        out = some if out is None else out.unionByName(some)
-    return out
+        return Model(prep, Pipeline(stages=steps).fit(prep.apply(rows)[0]), kind, classes).predict(tested)
+
+    return reduce(DataFrame.unionByName, on_splits(splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group), one))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -373,8 +379,7 @@ def permutation_importance(df: DataFrame, row: str, target: str, columns: Sequen
                 tags = [pa.array([c] * batch.num_rows, pa.string()), pa.array([k] * batch.num_rows, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*arrays, *tags], [*keep, "_column", "_repeat"])
 
-    errors = None
-    for learnt, tested in splits(df.where(F.col(target).isNotNull()), row, folds, seed=seed):
+    def one(learnt: DataFrame, tested: DataFrame) -> DataFrame:
         model = train(learnt, target, columns, kind, seed, iterations)
         copies = tested.select(*keep).withColumn("_h", F.xxhash64(row, F.lit(seed))).repartition("_h").sortWithinPartitions("_h").drop("_h").mapInArrow(dealt, schema)
         if kind == "regression":
@@ -383,8 +388,9 @@ def permutation_importance(df: DataFrame, row: str, target: str, columns: Sequen
             error = F.abs(F.col("probability") - (F.col(target).cast("string") == model.classes[1]).cast("double"))
         else:
             error = (F.col("said") != F.col(target).cast("string")).cast("double")
-        one = model.predict(copies).groupBy("_column", "_repeat").agg(F.sum(error).alias("e"), F.count(F.lit(1)).alias("n"))
-        errors = one if errors is None else errors.unionByName(one)
+        return model.predict(copies).groupBy("_column", "_repeat").agg(F.sum(error).alias("e"), F.count(F.lit(1)).alias("n"))
+
+    errors = reduce(DataFrame.unionByName, on_splits(splits(df.where(F.col(target).isNotNull()), row, folds, seed=seed), one))
     mean = errors.groupBy("_column", "_repeat").agg((F.sum("e") / F.sum("n")).alias("e"))
     base = mean.where("_column is null").select(F.col("e").alias("_base"))
     grown = mean.where("_column is not null").join(F.broadcast(base)).groupBy(F.col("_column").alias("column")).agg(F.avg(F.col("e") - F.col("_base")).alias("importance"), F.coalesce(F.stddev_pop("e"), F.lit(0.0)).alias("spread"))

@@ -192,6 +192,8 @@ def scenario(ready: Prepared, df: DataFrame, date: str, driver: str, change: flo
     same = [ready.series[k].eqNullSafe(side[f"_of_{k}"]) for k in by]
     both = ready.series.join(side, [*same, ready.series["period"] == side["_period"]], "left").select(*[ready.series[k] for k in by], "period", "y", "x")
 
+    freq = ready.freq
+
     def one(pdf):
         import pandas as pd
 
@@ -199,7 +201,7 @@ def scenario(ready: Prepared, df: DataFrame, date: str, driver: str, change: flo
         x = pdf["x"].interpolate(limit_area="inside").ffill().bfill().to_numpy(dtype=float)
         y = pdf["y"].to_numpy(dtype=float)
         x, y = (x[: len(x) - lag], y[lag:]) if lag else (x, y)
-        m = se.CYCLE[ready.freq] if len(y) >= se.SEASON_FROM[ready.freq] else None
+        m = se.CYCLE[freq] if len(y) >= se.SEASON_FROM[freq] else None
         got = elasticity(y, x, m, change, resamples, seed) if pd.notna(x).all() and len(x) else None
         out = pd.DataFrame([got] if got else [], columns=[c.split()[0] for c in SCENARIO.split(", ")])
         for k in reversed(by):

@@ -326,9 +326,9 @@ def forecast_table(spark, d):
     return qu.ask("projection", read(spark, d, "events"), date="ts", value="value", op="sum", freq="D", by=("event_type",), horizon=14)
 
 
-LIFE = SPANS + CURVE.format(by="", part="") + """, n as (select count(*) as n, sum(days) as total from s), u as (select max(days) as sup from c, n where at_risk >= greatest(5, 0.05 * n)),
+LIFE = SPANS + CURVE.format(by="", part="") + """, tot as (select count(*) as n, sum(days) as total from s), u as (select max(days) as sup from c, tot where at_risk >= greatest(5, 0.05 * n)),
 sv as (select sup, (select survival from c where days <= sup order by days desc limit 1) as s_end, coalesce((select survival from c where days <= sup / 2 order by days desc limit 1), 1.0) as s_mid from u),
-rt as (select sup, s_end, greatest(case when s_end > 0 and s_mid > s_end then -ln(s_end / s_mid) / (sup / 2) else 0 end, 0.5 / total) as rate from sv, n),
+rt as (select sup, s_end, greatest(case when s_end > 0 and s_mid > s_end then -ln(s_end / s_mid) / (sup / 2) else 0 end, 0.5 / total) as rate from sv, tot),
 a as (select user_id as entity, max(days) as age from s where not event group by 1),
 x as (select entity, age, coalesce((select survival from c where days <= least(a.age, sup) order by days desc limit 1), 1.0) * exp(-rate * greatest(a.age - sup, 0)) as s_now,
 coalesce((select survival from c where days <= least(a.age + 5, sup) order by days desc limit 1), 1.0) * exp(-rate * greatest(a.age + 5 - sup, 0)) as s_then, a.age > sup as beyond from a, rt)"""
