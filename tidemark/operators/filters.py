@@ -102,3 +102,29 @@ def event_mask(df: DataFrame, column: str | None, value: str | None = None) -> C
     if share > 0.8:
         return F.coalesce(as_number(c) != 0, F.lit(False))
     return ~F.lower(F.trim(to_text(c))).isin(list(NOT_AN_EVENT))
+
+
+@dataclass(frozen=True)
+class BaseFilter:
+    """All that narrows the table before anything is computed of it. Picked rows count alone; else columns' conditions, a click
+    on a chart's category, an anomaly's rows and an entity hold together; then the range of times and the cut-off day."""
+
+    conditions: tuple[Condition, ...] = ()
+    chart: tuple[str, tuple[str, ...]] | None = None
+    rows: tuple[int, ...] = ()
+    anomaly: tuple[DataFrame, str | None] | None = None
+    entity: tuple[str, object] | None = None
+    times: tuple[str, object, object] | None = None
+    last_day: tuple[str, str] | None = None
+
+    def apply(self, df: DataFrame, row: str) -> DataFrame:
+        """One chain of filters, which Spark joins to one and pushes to the scan."""
+        if self.rows:
+            out = pick_rows(df, row, self.rows)
+        else:
+            out = apply_conditions(df, self.conditions)
+            out = pick_values(out, *self.chart) if self.chart else out
+            out = anomalous_rows(out, self.anomaly[0], row, self.anomaly[1]) if self.anomaly else out
+            out = pick_entity(out, *self.entity) if self.entity else out
+        out = time_range(out, *self.times) if self.times else out
+        return cut_off(out, *self.last_day) if self.last_day else out

@@ -222,3 +222,23 @@ def chart_data(df: DataFrame, chart: Chart) -> DataFrame:
 def fields_in_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of several columns together, as text."""
     return df.select(F.explode(F.array(*[to_text(F.col(c)) for c in columns])).alias("value")).where("value <> 'nan'").agg(F.count_distinct("value").alias("distinct_values"))
+
+
+def report_blocks(df: DataFrame, blocks: Sequence[tuple[str, str, str, str | None]], combined: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """(name, value) of a report's calculations, in one aggregate. ``blocks``: (name, operation, column, other): a reduction of a
+    column, or difference, product or ratio of two columns' sums. ``combined``: (name, one, sign, two): + - * / of two named
+    ones; over nothing is null."""
+    sums = lambda c: F.sum(as_number(F.col(c)))
+    two = {"difference": lambda a, b: sums(a) - sums(b), "product": lambda a, b: sums(a) * sums(b), "ratio": lambda a, b: F.try_divide(sums(a), sums(b))}
+    made = {name: (two[op](a, b) if op in two else reduce_column(op, F.col(a))).cast("double") for name, op, a, b in blocks}
+    signs = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": F.try_divide}
+    for name, one, sign, other in combined:
+        made[name] = signs[sign](made[one], made[other])
+    return df.agg(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in made.items()]).alias("all")).select(F.inline("all"))
+
+
+def by_date_text(df: DataFrame, column: str, order: str = "dmy") -> DataFrame:
+    """(label, n, date): how often each text of a date column occurs, with the date it stands for to sort by; texts without one come last."""
+    from tidemark.functions.dates import parse_dates
+
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("date", parse_dates(F.col("label"), order)).orderBy(F.col("date").asc_nulls_last(), "label")

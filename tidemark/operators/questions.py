@@ -208,7 +208,7 @@ def scenario(ready: Prepared, df: DataFrame, date: str, driver: str, change: flo
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return both.groupBy(*(by or [F.lit(0)])).applyInPandas(one, se._typed(both, by, SCENARIO))
+    return both.groupBy(*(by or [F.lit("")])).applyInPandas(one, se._typed(both, by, SCENARIO))
 
 
 def forecast_table(ready: Prepared, projected: DataFrame) -> DataFrame:

@@ -185,4 +185,4 @@ def project(series: DataFrame, freq: str, by: Sequence[str], horizon: int | None
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return series.groupBy(*(keys or [F.lit(0)])).applyInPandas(one, _typed(series, keys, FORECAST))
+    return series.groupBy(*(keys or [F.lit("")])).applyInPandas(one, _typed(series, keys, FORECAST))

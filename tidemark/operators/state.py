@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,3 +160,133 @@ def cell_notes(findings: DataFrame, most: int = 300) -> DataFrame:
 def last_known(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def mark(history: DataFrame, identity: str, resolved: bool = True, day: str | None = None) -> DataFrame:
+    """History with an identity's latest record (or that of ``day``) marked as resolved or open again; a table to write anew."""
+    at = F.lit(day).cast("date") if day else None
+    latest = history.where(F.col("identity") == identity).agg(F.max("day").alias("_latest"))
+    if at is not None:
+        latest = latest.select(at.alias("_latest"))
+    hit = (F.col("identity") == identity) & (F.col("day") == F.col("_latest"))
+    return history.join(F.broadcast(latest)).withColumn("resolved", F.when(hit, F.lit(resolved)).otherwise(F.col("resolved"))).drop("_latest")
+
+
+def mark_false_positive(known: DataFrame, identity: str, is_one: bool = True) -> DataFrame:
+    """The set of identities known as false positives, with one put in or taken out."""
+    rest = known.where(F.col("identity") != identity)
+    one = known.sparkSession.createDataFrame([(identity,)], "identity string")
+    return rest.select("identity").unionByName(one) if is_one else rest.select("identity")
+
+
+def alarms_to_dicts(alarms: Sequence[Alarm]) -> list[dict]:
+    """For a JSON store of rules."""
+    return [asdict(a) for a in alarms]
+
+
+def alarms_from_dicts(stored: Sequence[dict]) -> list[Alarm]:
+    """Keys that an older store lacks have defaults, unknown ones are ignored; a rule without a name, a test or a bound is dropped."""
+    listed = lambda v: tuple(v) if isinstance(v, list) else v
+    condition = lambda d: Condition(**{k: listed(v) for k, v in d.items() if k in {f.name for f in fields(Condition)}})
+    own, out = {f.name for f in fields(Alarm)}, []
+    for d in stored:
+        if not {"name", "of", "op", "bound"} <= d.keys():
+            continue
+        made = {k: v for k, v in d.items() if k in own}
+        if made.get("indicator"):
+            inner = {k: v for k, v in made["indicator"].items() if k in {f.name for f in fields(Indicator)}}
+            made["indicator"] = Indicator(**(inner | {"conditions": tuple(map(condition, inner.get("conditions", ())))}))
+        out.append(Alarm(**(made | {"conditions": tuple(map(condition, made.get("conditions", ())))})))
+    return out
+
+
+def currency_columns(df: DataFrame, columns: Sequence[str], rate: Callable[[], float], to: str = "both") -> DataFrame:
+    """``column_UF``, over the rate to two places, and ``column_CLP``, times the rate without places, half to even. ``rate``: asked
+    once, so where it comes from (a service, a table) is the caller's; a rate that isn't a positive number is an error."""
+    value = float(rate())
+    if not (0 < value < float("inf")):
+        raise ValueError(f"no rate: {value}")
+    x = lambda c: as_number(F.col(c))
+    uf = {f"{c}_UF": F.bround(x(c) / value, 2) for c in columns} if to in ("both", "UF") else {}
+    clp = {f"{c}_CLP": F.bround(x(c) * value, 0) for c in columns} if to in ("both", "CLP") else {}
+    return df.withColumns(uf | clp)
+
+
+def edit_cells(df: DataFrame, row: str, edits: DataFrame) -> DataFrame:
+    """The table with cells replaced by ``edits`` (row, column, value as text), cast as an edit in a grid is; one join for all. Of
+    several edits of a cell the greatest text counts; edits of columns that aren't there do nothing."""
+    from tidemark.sources.files import cast_edit
+
+    kinds = dict(df.dtypes)
+    one = edits.groupBy("row", "column").agg(F.max(F.coalesce("value", F.lit(""))).alias("_v"))
+    mine = one.groupBy(F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("column", "_v"))).alias("_cells"))  # no more than the table has columns
+    out = df.join(mine, F.col(row) == F.col("_row"), "left")
+    cell = lambda c: F.when(F.map_contains_key(F.coalesce("_cells", F.create_map().cast("map<string,string>")), c), cast_edit(F.try_element_at("_cells", F.lit(c)), kinds[c])).otherwise(F.col(c))
+    return out.select(*[cell(c).alias(c) if c != row else F.col(c) for c in df.columns])
+
+
+def rename_column(df: DataFrame, old: str, new: str, provenance: Provenance | None = None, table: str = "", conditions: Sequence[Condition] = (), indicators: Sequence[Indicator] = (), notes: Sequence[tuple] = ()) -> tuple[DataFrame, list[Condition], list[Indicator], list[tuple]]:
+    """(table, conditions, indicators, notes) with a column's new name wherever it's named: filters, indicators and their formulas,
+    cell notes (row, column, text), and the provenance in place. A name that is taken is an error."""
+    if new in df.columns:
+        raise ValueError(f"{new} is taken")
+    swap = lambda c: new if c == old else c
+    moved = [replace(c, column=swap(c.column)) for c in conditions]
+    formula = lambda f: f.replace(f"[{old}]", f"[{new}]") if f else f
+    named = [replace(k, column=swap(k.column), other=swap(k.other), date=swap(k.date), formula=formula(k.formula), conditions=tuple(replace(c, column=swap(c.column)) for c in k.conditions)) for k in indicators]
+    if provenance is not None:
+        provenance.rename(table, old, new)
+    return df.withColumnRenamed(old, new), moved, named, [(r, swap(c), *rest) for r, c, *rest in notes]
+
+
+def sample_rows(df: DataFrame, row: str, n: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), by hash of their number: the same ones however the table is cut into parts."""
+    return df.orderBy(F.xxhash64(row, F.lit(seed)), row).limit(n)
+
+
+def affected_by(columns: Sequence[str], indicators: Sequence[Indicator], provenance: Provenance, table: str) -> dict[str, list[str]]:
+    """Which indicators and calculated columns rest on the columns of an anomaly."""
+    hit = set(columns)
+    made = dict.fromkeys(c for k, t, c, _ in provenance.events if k == "calculated" and t == table)
+    calculated = [c for c in made if provenance.base_columns(table, c) & hit or c in hit]
+    behind = hit | set(calculated)
+    return {"indicators": [k.name for k in indicators if behind & set(k.columns())], "columns": calculated}
+
+
+@dataclass
+class Board:
+    """What was published: predictions by table, at most ``MOST_FORECASTS`` answers by urgency, comparisons with what happened,
+    and windows of future dates."""
+
+    predictions: dict[str, DataFrame] = field(default_factory=dict)
+    answers: list[dict] = field(default_factory=list)
+    returns: dict[str, DataFrame] = field(default_factory=dict)
+    windows: list[dict] = field(default_factory=list)
+
+    MOST_FORECASTS = 12
+    URGENCY = {"alert": 0, "watch": 1, "info": 2}
+
+    def publish(self, table: str, predictions: DataFrame) -> None:
+        self.predictions[table] = predictions
+
+    def answer(self, key: str, title: str, urgency: str, windows: Sequence[dict] = (), table: str = "") -> None:
+        """An answer takes the place of an earlier one of the same key; the most urgent stay."""
+        self.answers = [a for a in self.answers if a["key"] != key] + [{"key": key, "title": title, "urgency": urgency, "table": table}]
+        self.answers = sorted(self.answers, key=lambda a: self.URGENCY.get(a["urgency"], 3))[: self.MOST_FORECASTS]
+        kept = {a["key"] for a in self.answers}
+        self.windows = [w for w in self.windows if w["key"] != key and w["key"] in kept] + [{"key": key, "table": table} | dict(w) for w in windows if key in kept]
+
+    def future_windows(self, table: str | None = None) -> list[dict]:
+        return [w for w in self.windows if table in (None, w["table"])]
+
+    def discard(self, table: str) -> None:
+        """All that was published for a table, as when it's read anew."""
+        self.predictions.pop(table, None)
+        self.returns.pop(table, None)
+        self.answers = [a for a in self.answers if a["table"] != table]
+        self.windows = [w for w in self.windows if w["table"] != table]
+
+    def outdated(self, table: str, df: DataFrame, row: str) -> bool:
+        """Whether the table's rows are others than those predicted."""
+        old = self.predictions.get(table)
+        return old is not None and tuple(content_signature(old.select(row), [row]).first()) != tuple(content_signature(df.select(row), [row]).first())
