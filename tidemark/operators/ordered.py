@@ -1,37 +1,59 @@
 """Order-dependent sums and ranks over whole tables, without passing the table through one task.
 
-A window without partitions sends every row to a single task. Here rows fall into ranges of their sort key, bounded by
-approximate quantiles; sums run within a range, and each range starts from the total of the ranges before it. The
+A window without partitions sends every row to a single task. Here rows fall into ranges of their sort key and what breaks
+its ties, with borders from a sample; sums run within a range, and each range starts from the total of the ranges before it. The
 table of range totals has one row a range, so it is safe to broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Ranges: one for so many rows, from the least number to the greatest, with so many sampled rows for each to draw borders from.
+ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, SAMPLES_A_RANGE = 1_000_000, 64, 4_096, 16
 
 
-def key_range(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
-    """Number of the range that a row's key (a number) falls into; null keys come first."""
-    shares = [k / ranges for k in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, shares, 1_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key))), F.lit(-1))
+def range_borders(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> list[tuple]:
+    """Rows of ``keys`` that part the table, in their order, into about equal ranges; nulls come first. The sample is the rows of
+    least hash, of ranges times ``SAMPLES_A_RANGE`` rows at most, and changes no result; it takes one pass. Keys that many rows
+    share are parted by the further ones."""
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(LEAST_RANGES, df.count() // ROWS_A_RANGE))
+    size = ranges * SAMPLES_A_RANGE
+    sample = df.select(*[F.col(k) for k in keys]).withColumn("_h", F.rand(7)).orderBy("_h").limit(size).drop("_h")
+    rows = sorted((tuple(r) for r in sample.collect()), key=lambda row: tuple((v is not None, v != v, v if v is not None and v == v else 0) for v in row))
+    return list(dict.fromkeys(rows[k * len(rows) // ranges] for k in range(1, ranges))) if rows else []
 
 
-def running_sums(df: DataFrame, key: str, sums: Mapping[str, Column], tie: list[str] | None = None, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def key_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> Column:
+    """Number of the range that a row falls into, in order of ``keys``. Borders are in two levels of about the root of their
+    number, so a row is compared with few of them."""
+    borders = range_borders(df, keys, ranges)
+    if not borders:
+        return F.lit(0)
+    kinds = dict(df.dtypes)
+    mine = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    kind = f"struct<{','.join(f'k{i}:{kinds[k]}' for i, k in enumerate(keys))}>"
+    border = lambda row: F.struct(*[F.lit(v).cast(kinds[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, row, strict=True))]).cast(kind)
+    step = max(1, math.isqrt(len(borders)))
+    groups = [borders[k : k + step] for k in range(0, len(borders), step)]
+    passed = lambda array: F.size(F.filter(array, lambda c: c <= mine))
+    coarse = passed(F.array(*[border(g[0]) for g in groups]))
+    fine = F.element_at(F.array(*[F.array(*map(border, g)) for g in groups]), F.greatest(coarse, F.lit(1)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + passed(fine))
+
+
+def running_sums(df: DataFrame, key: str, sums: Mapping[str, Column], tie: list[str] | None = None, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Adds, for each name in ``sums``, the sum of its column over this row and all before it in order of ``key``, then ``tie``.
 
     ``by``: separate sums for each value of these columns, still split by ranges of the key, so that one value may hold
     most rows."""
     by = by or []
-    df = df.withColumn("_range", key_range(df, key, ranges))
+    df = df.withColumn("_range", key_range(df, [key, *(tie or [])], ranges))
     for name, c in sums.items():
         df = df.withColumn(f"_of_{name}", c)
     totals = df.groupBy(*by, "_range").agg(*[F.sum(f"_of_{n}").alias(f"_all_{n}") for n in sums])
