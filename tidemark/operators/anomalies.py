@@ -232,9 +232,9 @@ def significant_cooccurrence(anomaly_rows: DataFrame, total: int, top: int = 8)
     return sorted((p for p in found if p["p"] < 0.05 / tests), key=lambda p: -p["lift"])[:top]
 
 
-def regime_shift(df: DataFrame, order: str, column: str, tie: str) -> DataFrame:
+def regime_shift(df: DataFrame, order: str, column: str, tie: str, least_rows: int = 20, least_share: float = 0.1) -> DataFrame:
     """Pettitt's test of one column in order of a number: n, k (position of the break), u (its statistic), p, and the medians
-    before and after. Ranks and their running sums go by ranges of the order, so no task gets the whole column."""
+    before and after; no row under ``least_rows`` values, or if a side of the break has under ``least_share`` of them. Ranks and their running sums go by ranges of the order, so no task gets the whole column."""
     rows = df.where(F.col(column).isNotNull()).select(order, tie, F.col(column).alias("_x"))
     ranked = average_ranks(rows, "_x", "_r")
     summed = running_sums(ranked, order, {"_t": F.lit(1), "_s": F.col("_r")}, [tie])
@@ -244,4 +244,5 @@ def regime_shift(df: DataFrame, order: str, column: str, tie: str) -> DataFrame:
     side = placed.select("_t", "_x").join(F.broadcast(best.select("k")))
     medians = side.agg(F.median(F.when(F.col("_t") <= F.col("k"), F.col("_x"))).alias("before"), F.median(F.when(F.col("_t") > F.col("k"), F.col("_x"))).alias("after"))
     n, u = F.col("n").cast("double"), F.col("u")
-    return best.join(F.broadcast(medians)).withColumn("p", F.least(F.lit(1.0), 2 * F.exp(-6 * u * u / (n * n * n + n * n))))
+    enough = (n >= least_rows) & (F.col("k") >= least_share * n) & (n - F.col("k") >= least_share * n)
+    return best.join(F.broadcast(medians)).where(enough).withColumn("p", F.least(F.lit(1.0), 2 * F.exp(-6 * u * u / (n * n * n + n * n))))

@@ -115,10 +115,13 @@ def by_category(df: DataFrame, category: str, op: str = "count", value: str | No
 
 
 def top_with_others(groups: DataFrame, n: int) -> DataFrame:
-    """The ``n`` largest of (category, value) and the sum of the rest as ``Otros``, with how many it holds."""
-    ranked = groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "category")))
-    kept = F.col("place") <= n
-    return ranked.groupBy(F.when(kept, F.col("category")).otherwise(OTHERS).alias("category"), F.when(kept, F.col("place")).otherwise(n + 1).alias("place")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_categories"))
+    """The ``n`` largest of (category, value) and the sum of the rest as ``Otros``, with how many it holds. The largest are
+    taken by a partial top n in each task, and only they are put in order in one."""
+    top = groups.orderBy(F.desc("value"), "category").limit(n)
+    ranked = top.select("category", F.row_number().over(Window.orderBy(F.desc("value"), "category")).alias("place"), "value", F.lit(1).cast("long").alias("n_categories"))
+    names = top.select(F.col("category").alias("_top"))
+    rest = groups.join(F.broadcast(names), F.col("category").eqNullSafe(F.col("_top")), "left_anti").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_categories"))  # n rows
+    return ranked.unionByName(rest.where("n_categories > 0").select(F.lit(OTHERS).alias("category"), F.lit(n + 1).alias("place"), "value", "n_categories"))
 
 
 def by_period(df: DataFrame, date: str, unit: str, op: str = "count", value: str | None = None) -> DataFrame:

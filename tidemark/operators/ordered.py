@@ -10,22 +10,21 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-#: Ranges: one for so many rows, from the least number to the greatest, with so many sampled rows for each to draw borders from.
-ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, SAMPLES_A_RANGE = 1_000_000, 64, 4_096, 16
+#: Ranges: one for so many rows, from the least number to the greatest, and the rows that their borders are drawn from.
+ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, SAMPLE_ROWS = 1_000_000, 64, 4_096, 16_384
 
 
 def range_borders(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> list[tuple]:
-    """Rows of ``keys`` that part the table, in their order, into about equal ranges; nulls come first. The sample is the rows of
-    least hash, of ranges times ``SAMPLES_A_RANGE`` rows at most, and changes no result; it takes one pass. Keys that many rows
-    share are parted by the further ones."""
-    if ranges is None:
-        ranges = min(MOST_RANGES, max(LEAST_RANGES, df.count() // ROWS_A_RANGE))
-    size = ranges * SAMPLES_A_RANGE
-    sample = df.select(*[F.col(k) for k in keys]).withColumn("_h", F.rand(7)).orderBy("_h").limit(size).drop("_h")
-    rows = sorted((tuple(r) for r in sample.collect()), key=lambda row: tuple((v is not None, v != v, v if v is not None and v == v else 0) for v in row))
+    """Rows of ``keys`` that part the table, in their order, into about equal ranges; nulls come first. They come from a chance
+    sample of ``SAMPLE_ROWS`` rows at most, which changes no result; the same pass counts the rows. Keys that many rows share are
+    parted by the further ones."""
+    seen = Observation()
+    rows = df.select(*[F.col(k) for k in keys]).observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_h", F.rand(7)).orderBy("_h").limit(SAMPLE_ROWS).drop("_h").collect()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, seen.get["n"] // ROWS_A_RANGE))
+    rows = sorted(map(tuple, rows), key=lambda row: tuple((v is not None, v != v, v if v is not None and v == v else 0) for v in row))
     return list(dict.fromkeys(rows[k * len(rows) // ranges] for k in range(1, ranges))) if rows else []
 
 

@@ -13,12 +13,6 @@ from tidemark.functions.dates import micros
 from tidemark.functions.text import key_text
 
 DAY = 86_400_000_000
-#: A side of so many rows at most is broadcast; larger ones are joined by shuffle, which adaptive execution splits if skewed.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
 
 
 def is_unique(df: DataFrame, key: str) -> bool:
@@ -27,9 +21,12 @@ def is_unique(df: DataFrame, key: str) -> bool:
 
 
 def enrich(base: DataFrame, parent: DataFrame, key: str, parent_key: str, columns: Sequence[str], prefix: str) -> DataFrame:
-    """The parent's columns as ``prefix.column`` by a left join; parent keys must be unique. Missing keys match nothing."""
+    """The parent's columns as ``prefix.column`` by a left join; parent keys must be unique. Missing keys match nothing.
+
+    No hint: Spark broadcasts the parent if its bytes are under ``spark.sql.autoBroadcastJoinThreshold``, by its statistics or,
+    once it has run, by its real size, and else shuffles both sides and splits skewed keys."""
     side = parent.where(F.col(parent_key).isNotNull()).select(key_text(F.col(parent_key)).alias("_key"), *[F.col(c).alias(f"{prefix}.{c}") for c in columns])
-    return base.withColumn("_key", key_text(F.col(key))).join(F.broadcast(side) if small(side) else side, "_key", "left").drop("_key")
+    return base.withColumn("_key", key_text(F.col(key))).join(side, "_key", "left").drop("_key")
 
 
 def resume(base: DataFrame, child: DataFrame, key: str, child_key: str, numbers: Sequence[str], categories: Sequence[str] = (), prefix: str = "child") -> DataFrame:

@@ -84,28 +84,28 @@ def priority(df: DataFrame, entity: str, risk: str, cost: str) -> DataFrame:
 
 
 def depletion(df: DataFrame, entity: str, date: str, consumed: str, stock: str, tie: str, window_days: int = 56) -> DataFrame:
-    """(entity, stock, p10, p50, p90): days until each element's stock is used up, from its last ``window_days`` of daily consumption."""
+    """(entity, stock, p10, p50, p90): days until each element's stock is used up, from its last ``window_days`` of daily consumption.
+
+    An element is one row with an array of at most ``window_days`` days, and a batch of rows is simulated at a time."""
     from tidemark.functions.forecasting import depletion_times
 
-    kind = dict(df.dtypes)[entity]
-    last = df.groupBy(entity).agg(F.max_by(stock, F.struct(date, tie)).alias("_stock"))
+    last = df.groupBy(F.col(entity).alias("entity")).agg(F.max_by(stock, F.struct(date, tie)).cast("double").alias("stock"))
     end = df.agg(F.max(F.to_date(date)).alias("_end"))
-    daily = df.groupBy(entity, F.to_date(date).alias("_day")).agg(F.sum(consumed).alias("_c")).join(F.broadcast(end)).where(F.col("_day") > F.date_sub("_end", window_days))
-    rows = last.join(daily, entity, "left")  # at most window_days rows an element
+    daily = df.groupBy(F.col(entity).alias("_e"), F.to_date(date).alias("_day")).agg(F.sum(F.col(consumed).cast("double")).alias("_c")).join(F.broadcast(end)).where(F.col("_day") > F.date_sub("_end", window_days))
+    days = daily.groupBy("_e").agg(F.collect_list(F.struct((window_days - 1 - F.datediff("_end", "_day")).alias("at"), F.coalesce("_c", F.lit(0.0)).alias("c"))).alias("_days"))
+    rows = last.join(days, F.col("entity").eqNullSafe(F.col("_e")), "left")
 
-    def one(pdf):
+    @F.pandas_udf("p10 double, p50 double, p90 double")
+    def simulated(names, stocks, lists):
         import numpy as np
         import pandas as pd
 
-        end_day = pd.to_datetime(pdf["_end"]).max()
-        values = np.zeros(window_days)
-        if pd.notna(end_day):
-            some = pdf.dropna(subset=["_day"])
-            at = window_days - 1 - (end_day - pd.to_datetime(some["_day"])).dt.days.to_numpy()
-            values[at] = some["_c"].fillna(0).to_numpy(dtype=float)
-        name = pdf[entity].iloc[0]
-        stock_now = float(pdf["_stock"].iloc[0])
-        p = depletion_times(values, stock_now, zlib.crc32(str(name).encode()))
-        return pd.DataFrame({"entity": [name], "stock": [stock_now], "p10": [p[0]], "p50": [p[1]], "p90": [p[2]]})
-
-    return rows.groupBy(entity).applyInPandas(one, f"entity {kind}, stock double, p10 double, p50 double, p90 double")
+        out = []
+        for name, now, some in zip(names, stocks, lists, strict=True):
+            values = np.zeros(window_days)
+            for x in some if some is not None else ():
+                values[x["at"]] = x["c"]
+            out.append(depletion_times(values, now, zlib.crc32(str(name).encode())) if now == now else (np.nan,) * 3)
+        return pd.DataFrame(out, columns=["p10", "p50", "p90"])
+
+    return rows.withColumn("_p", simulated(F.col("entity").cast("string"), "stock", "_days")).select("entity", "stock", "_p.*")

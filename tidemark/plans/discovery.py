@@ -132,7 +132,7 @@ def cooccurrence_counts(spark, d):
 @query("""with e as (select epoch_us(ts) as t, event_id, case when event_id % 2 = 0 then value + 30 * (epoch_us(ts) > (select (min(epoch_us(ts)) + max(epoch_us(ts))) / 2 from events))::int else value end as x from events),
 k as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rk, row_number() over (order by t, event_id) as i, count(*) over () as n from e),
 u as (select i, x, n, 2 * sum(rk) over (order by i) - i * (n + 1) as u from k), b as (select i as k, u, n from u order by abs(u) desc, i limit 1)
-select n, k, round(u, 4) as u, round(least(1.0, 2 * exp(-6 * u * u / (n::double * n * n + n::double * n))), 8) as p, round((select median(x) from u where i <= b.k), 6) as before, round((select median(x) from u where i > b.k), 6) as after from b""")
+select n, k, round(u, 4) as u, round(least(1.0, 2 * exp(-6 * u * u / (n::double * n * n + n::double * n))), 8) as p, round((select median(x) from u where i <= b.k), 6) as before, round((select median(x) from u where i > b.k), 6) as after from b where n >= 20 and k >= 0.1 * n and n - k >= 0.1 * n""")
 def pettitt_shift(spark, d):
     rows = read(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "value")
     mid = rows.agg(((F.min("t") + F.max("t")) / 2).alias("mid"))

@@ -28,6 +28,8 @@ def trailing_totals(stream: DataFrame, ts: str, value: str, days: int, late: str
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order of time; they're in memory together, so bound batches at the source
+    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) where a key may be very frequent."""
     return pd.concat(list(frames)).sort_values("ts", kind="stable")
 
 
