@@ -184,6 +184,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents of score 0.5 or more, as they are."""
+    """The documents of score 0.5 or more, as they are, with all their columns. Null texts count as empty; without positives every
+    score is 0.5 and all stay; repeated rows are judged alike; an empty table gives an empty one."""
     model = fit(docs, labels, **options)
     return docs.where(quality(F.col("text"), model) >= THRESHOLD)

@@ -1,4 +1,7 @@
-"""The queries of the ten operators and the pipeline, and their SQL where SQL can express them."""
+"""The queries of the ten operators and the pipeline, and their SQL where SQL can express them.
+
+Each applies its operator, with production parameters, to its whole table; what it gives for nulls, empty and very long texts, ties,
+repeated rows, empty tables and other columns is said at the operator."""
 
 from __future__ import annotations
 

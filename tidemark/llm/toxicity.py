@@ -187,6 +187,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that aren't judged toxic, as they are."""
+    """The documents that aren't judged toxic, as they are, with all their columns. Null and empty texts score 0 and stay; without
+    both labels all stay; repeated rows are judged alike; an empty table gives an empty one."""
     model = fit(docs, labels, **options)
     return docs.where(toxicity(F.col("text"), model)["score"] < THRESHOLD)
