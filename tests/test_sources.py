@@ -1,15 +1,18 @@
 """Readers, projects and other sinks, on small files."""
 
+import datetime
 import http.server
 import json
 import sqlite3
 import threading
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import Condition
 from tidemark.operators.indicators import Indicator
+from tidemark.operators.state import Board
 from tidemark.sources import files, projects, tables
 
 
@@ -98,3 +101,54 @@ def test_lists_report_and_messages(spark, tmp_path):
     said = []
     assert projects.notify(spark.createDataFrame([("a", 1234.5), ("b", None)], "name string, value double"), lambda s, b: said.append(b)) == 2
     assert sorted(said) == ["a: 1,234.50", "b: no data"]
+
+
+def workbook(path, sheets):
+    """A workbook by hand: shared and inline texts, numbers, truth values, dates by style, errors, and cells left out."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="0.00&quot; days&quot;"/><numFmt numFmtId="171" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="171"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>id</t></si><si><r><t>na</t></r><r><t>me</t></r></si><si><t>día</t></si></sst>')
+        for k, rows in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+
+
+def test_workbooks(spark, tmp_path):
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>2</v></c><c r="D1" t="s"><v>0</v></c><c r="F1" t="inlineStr"><is><t>ok</t></is></c></row>'
+    body = '<row r="2"><c r="A2"><v>1</v></c><c r="B2" t="inlineStr"><is><t>x</t></is></c><c r="C2" s="1"><v>45292.5</v></c><c r="D2" s="2"><v>2.5</v></c><c r="F2" t="b"><v>1</v></c></row><row r="3"/><row r="4"><c r="A4"><v>2</v></c><c r="B4"><v>7</v></c><c r="D4" t="e"><v>#DIV/0!</v></c></row>'
+    workbook(tmp_path / "one.xlsx", {"a": head + body})
+    df = files.read_table(spark, f"{tmp_path}/one.xlsx")
+    assert df.dtypes == [("id", "bigint"), ("name", "string"), ("día", "timestamp_ntz"), ("id (2)", "double"), ("column 5", "string"), ("ok", "boolean")]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "x", datetime.datetime(2024, 1, 1, 12), 2.5, None, True), (2, "7", None, None, None, None)]
+    workbook(tmp_path / "two.xlsx", {"a": head + body, "b": head, "c": ""})
+    with pytest.raises(tables.SeveralTables) as several:
+        files.read_table(spark, f"{tmp_path}/two.xlsx")
+    assert several.value.tables == ["a", "b", "c"]
+    assert files.read_table(spark, f"{tmp_path}/two.xlsx", "b").count() == 0 and files.read_table(spark, f"{tmp_path}/two.xlsx", "a").count() == 2
+    assert files.read_table(spark, f"{tmp_path}/two.xlsx", "c").columns == []
+    with pytest.raises(ValueError):
+        files.read_table(spark, f"{tmp_path}/two.xlsx", "d")
+
+
+def test_jdbc(spark, tmp_path):
+    """By the database that Spark brings along."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).select("id", (F.col("id") * 0.5).alias("x"), F.concat(F.lit("n"), "id").alias("name")).write.jdbc(url, "things")
+    whole, parts = tables.read_jdbc(spark, url, "things"), tables.read_jdbc(spark, url, "things", column="id", low=0, high=100, partitions=4)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == sorted((k, k * 0.5, f"n{k}") for k in range(100))
+    assert files.Source("jdbc", url, "things").read(spark).count() == 100
+    with pytest.raises(Exception, match="(?i)nothing|not exist"):
+        tables.read_jdbc(spark, url, "nothing").count()
+
+
+def test_refresh_discards_predictions(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    project = projects.Project({"t": spark.range(1), "u": spark.range(1)}, sources={"t": {"kind": "file", "where": f"{tmp_path}/t.parquet"}}, predictions={"t": spark.range(1), "u": spark.range(1)})
+    board = Board()
+    board.publish("t", spark.range(1))
+    files.refreshed(project, "t", spark, board)
+    assert project.tables["t"].count() == 3 and set(project.predictions) == {"u"} and not board.predictions
+    with pytest.raises(ValueError):
+        files.refreshed(project, "u", spark)

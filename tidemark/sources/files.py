@@ -10,9 +10,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import read_excel, read_sql_script, read_sqlite
+from tidemark.sources.tables import read_sql_script, read_sqlite
+from tidemark.sources.workbooks import read_workbook
 
 SEPARATORS = ",;\t|"
+# Words of an edited cell that mean true.
 TRUE_WORDS = ("1", "true", "verdadero", "si", "sí", "x")
 BOM = "﻿"
 
@@ -53,8 +55,8 @@ def read_table(spark: SparkSession, path: str, table: str | None = None) -> Data
         return read_csv(spark, path)
     if kind == ".parquet":
         return spark.read.parquet(path)
-    if kind in (".xlsx", ".xlsm", ".xls"):
-        return read_excel(spark, path, table)
+    if kind in (".xlsx", ".xlsm"):
+        return read_workbook(spark, path, table)
     if kind == ".sql":
         return read_sql_script(spark, path, table)
     if kind in (".sqlite", ".sqlite3", ".db"):
@@ -102,3 +104,18 @@ class Source:
         if self.kind == "file":
             return read_table(spark, self.where, self.table)
         return {"jdbc": read_jdbc, "http": read_http}[self.kind](spark, self.where, self.table, **self.options, **secrets)
+
+
+def refreshed(project, table: str, spark: SparkSession, board=None, **secrets):
+    """The project with a table read anew from its own recorded source. What was predicted of the table no longer holds and is
+    discarded, on the board too; columns that were calculated from it are gone with the old rows. A table without a recorded
+    source is an error, and a source that can't be read leaves all as it was."""
+    known = project.sources.get(table)
+    if not known:
+        raise ValueError(f"{table} has no recorded source")
+    fresh = Source(**{k: known[k] for k in ("kind", "where", "table", "options") if k in known}).read(spark, **secrets)
+    project.tables[table] = fresh
+    project.predictions.pop(table, None)
+    if board is not None:
+        board.discard(table)
+    return project

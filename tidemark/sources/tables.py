@@ -1,5 +1,5 @@
-"""Sources that Spark has no reader for, as Python data sources that run in tasks: SQLite files, SQL scripts, workbooks, an
-HTTP interface of tables. Databases are read over JDBC."""
+"""Sources that Spark has no reader for, as Python data sources that run in tasks: SQLite files, SQL scripts, an HTTP
+interface of tables. Databases are read over JDBC."""
 
 from __future__ import annotations
 
@@ -125,23 +125,6 @@ def read_sql_script(spark: SparkSession, path: str, table: str | None = None) ->
     return _read_sqlite(spark, path, table, True, 1)
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """One sheet of a workbook, the only one or the one named. A sheet has at most 1,048,576 rows, so the driver parses it."""
-    import pandas as pd
-
-    try:
-        with pd.ExcelFile(path) as book:
-            frame = book.parse(_chosen([str(s) for s in book.sheet_names], sheet, path))
-    except ImportError as e:
-        raise ValueError(f"workbooks need a package that isn't installed: {e}") from e
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), schema=_frame_schema(frame)) if len(frame.columns) else spark.createDataFrame([], StructType([]))
-
-
-def _frame_schema(frame) -> str:
-    kinds = {"i": "bigint", "u": "bigint", "f": "double", "b": "boolean", "M": "timestamp_ntz"}
-    return ", ".join(f"`{c}` {kinds.get(t.kind, 'string')}" for c, t in frame.dtypes.items())
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, user: str | None = None, password: str | None = None, column: str | None = None, low=None, high=None, partitions: int = 16, timeout_s: int = 8) -> DataFrame:
     """A table over JDBC; with ``column`` and its bounds, in so many ranges of it. The driver's jar is the cluster's."""
     options = {"url": url, "dbtable": table, "queryTimeout": str(timeout_s)} | ({"user": user, "password": password or ""} if user else {})
