@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
 
-QUERY_TILE, SHARD_ROWS, FAN_IN = 2_048, 8_192, 16
+SHARD_ROWS, FAN_IN = 8_192, 16
+#: A tile of queries: so many bytes of them, so that candidates are dealt out seldom, but within some bounds of rows.
+TILE_BYTES, LEAST_TILE, MOST_TILE = 64 * 2**20, 2_048, 65_536
 #: Queries whose products with a shard are held at once.
 STEP = 256
 LEAST, GREATEST = -(2**63), 2**63 - 1
@@ -62,7 +64,7 @@ def best_of_tile(query_ids, queries, ids, rows, k: int):
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_v, out_s)]
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_tile: int = QUERY_TILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_tile: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest inner products of each vector whose id ``every`` divides.
 
     Queries are dealt into tiles and all vectors into shards, both by hash; each pair of a tile and a shard is one task's
@@ -72,7 +74,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_tile: int = QU
     """
     rows = written(quantised(vectors), "topk-vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).collect()[0]
+    n, n_queries, dims = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max("dims"), F.lit(1))).collect()[0]
+    query_tile = query_tile or min(MOST_TILE, max(LEAST_TILE, TILE_BYTES // (8 * dims)))
     shards, tiles = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / query_tile))
     tile = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile")
     shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
