@@ -2,6 +2,7 @@
 
 import datetime
 import http.server
+import io
 import json
 import sqlite3
 import threading
@@ -10,9 +11,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.formula import FormulaError, calculated_column, calculated_value
 from tidemark.operators.filters import Condition
 from tidemark.operators.indicators import Indicator
-from tidemark.operators.state import Board
+from tidemark.operators.state import Board, currency_columns
 from tidemark.sources import files, projects, tables
 
 
@@ -152,3 +154,26 @@ def test_refresh_discards_predictions(spark, tmp_path):
     assert project.tables["t"].count() == 3 and set(project.predictions) == {"u"} and not board.predictions
     with pytest.raises(ValueError):
         files.refreshed(project, "u", spark)
+
+
+def test_one_value_from_outside(spark):
+    answer = lambda text: lambda url, timeout: io.BytesIO(text.encode())
+    assert tables.read_value("x", opened=answer('{"serie": [{"valor": 37125.5}]}')) == 37125.5
+    assert tables.read_value("x", ("a",), opened=answer('{"a": "12"}')) == 12.0
+    for broken in ("{}", "no json", '{"serie": []}', '{"serie": [{"valor": null}]}'):
+        assert tables.read_value("x", opened=answer(broken)) is None
+
+    def unreachable(url, timeout):
+        raise OSError("down")
+
+    assert tables.read_value("x", opened=unreachable) is None
+    out = currency_columns(spark.createDataFrame([("100",), ("x",)], "p string"), ["p"], lambda: tables.read_value("x", opened=answer('{"serie": [{"valor": 40}]}')))
+    assert [tuple(r) for r in out.select("p_UF", "p_CLP").collect()] == [(2.5, 4000.0), (None, None)]
+
+
+@pytest.mark.parametrize("call", ["unique()", "value_counts()", "tolist()", "dropna()"])
+def test_collections_are_no_columns(spark, call):
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
+    with pytest.raises(FormulaError, match="several values"):
+        calculated_column(df, "y", f"[x].{call}")
+    assert calculated_value(df, "[x].dropna().mean()").first()["value"] == 2.0

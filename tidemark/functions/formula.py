@@ -55,6 +55,8 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "count": F.count, "nunique": F.count_distinct, "mode": lambda c: F.mode(c, True),
 }
 CASTS = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
+#: Methods whose results are collections; ``dropna`` may stand before what reduces it to one value.
+SEVERAL = ("unique", "value_counts", "tolist", "dropna")
 #: Methods that follow the order of rows.
 ORDERED = ("cumsum", "cumprod", "diff", "pct_change", "shift", "rank")
 
@@ -164,7 +166,13 @@ class _Compiler:
         if isinstance(node.func, ast.Name):
             return self.function(node.func.id, args)
         if isinstance(node.func, ast.Attribute) and not node.func.attr.startswith("_"):
-            return self.method(node.func.attr, self.visit(node.func.value), args, {k.arg: k.value for k in node.keywords})
+            name, of = node.func.attr, node.func.value
+            if name in SEVERAL:
+                raise FormulaError(f".{name}() gives several values, so it's neither a column nor one value")
+            # What reduces a column passes over missing cells anyway.
+            if name in AGGREGATES and isinstance(of, ast.Call) and isinstance(of.func, ast.Attribute) and of.func.attr == "dropna":
+                of = of.func.value
+            return self.method(name, self.visit(of), args, {k.arg: k.value for k in node.keywords})
         raise FormulaError("not allowed: call")
 
     def function(self, name: str, args):

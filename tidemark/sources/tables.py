@@ -8,7 +8,7 @@ import json
 import sqlite3
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -165,6 +165,19 @@ def http_tables(base: str, key: str) -> list[str]:
     return _asked(base, "/tablas", key).get("tablas", [])
 
 
+def read_value(url: str, path: tuple = ("serie", 0, "valor"), timeout_s: float = 4.0, opened: Callable | None = None) -> float | None:
+    """One number from a JSON answer, as of a public service of rates: what ``path`` leads to. None if there is no answer or no
+    number in it. ``opened(url, timeout)``: gives the answer as a file, instead of the network."""
+    try:
+        with (opened or urllib.request.urlopen)(url, timeout=timeout_s) as answer:
+            found = json.load(answer)
+        for step in path:
+            found = found[step]
+        return float(found)
+    except (OSError, ValueError, TypeError, LookupError):
+        return None
+
+
 class HttpSource(DataSource):
     """A table of the HTTP interface: one answer, fetched and parsed in one task. Without a given schema, the rows are asked
     for once more to find one: long, double, boolean or string."""
