@@ -1,5 +1,8 @@
 """Toxicity and quality: held-out accuracy, the combination of sentences, the risk estimator, and edges."""
 
+import math
+import re
+import time
 import zlib
 
 import numpy as np
@@ -81,3 +84,72 @@ def test_edges(spark, module):
     assert module.score_documents(docs.limit(0), labels).count() == 0
     none = module.score_documents(docs, labels.limit(0)).collect()
     assert len({r["score"] for r in none}) == 1
+
+
+def test_toxicity_scores_by_hand(tables):
+    """Every score from the fitted weights by the definition: sentences, words and their beginnings, noisy-or."""
+    docs, labels = tables
+    some = docs.where("doc_id % 7 = 0")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["t"]["score"] for r in some.select("doc_id", toxicity.toxicity(docs["text"], model).alias("t")).collect()}
+    assert len(model.weights) > 20
+    for r in some.collect():
+        nothing = 1.0
+        for sentence in re.split(r"[.!?\n]", (r["text"] or "").lower()):
+            words = re.findall(r"[^\W_]+", sentence)
+            known = [model.weights[f] for w in words for f in {w} | {w[:n] + "*" for n in (4, 5, 6) if len(w) > n} if f in model.weights]
+            if known:
+                nothing *= 1 - 1 / (1 + math.exp(-(model.bias + sum(known))))
+        assert got[r["doc_id"]] == pytest.approx(1 - nothing, abs=1e-9)
+
+
+def test_quality_scores_by_hand(tables):
+    """Every score from the fitted weights, with the features counted byte by byte."""
+    docs, labels = tables
+    some = docs.where("doc_id % 101 = 0")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["q"] for r in some.select("doc_id", quality.quality(docs["text"], model).alias("q")).collect()}
+
+    def kind(b):
+        c = chr(b)
+        for k, marks in ((4, " \t"), (5, "\n\r"), (6, ".!?"), (7, ",;:'-"), (8, "|*#$%&@=~^_+<>\\/{}[]")):
+            if c in marks:
+                return k
+        return 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 11 if b >= 192 else 10 if b >= 128 else 9 if 33 <= b < 127 else 0
+
+    for r in some.collect():
+        data = (r["text"] or "").encode()
+        x = [0.0] * (12 + 144 + 8)
+        if data:
+            kinds, words, lines = [kind(b) for b in data], data.split(), [y for y in data.split(b"\n") if y.strip()]
+            for k in kinds:
+                x[k] += 1 / len(data)
+            for a, b in zip(kinds, kinds[1:], strict=False):
+                x[12 + 12 * a + b] += 1 / len(data)
+            x = [math.sqrt(v) for v in x[:156]]
+            w, n = max(len(words), 1), len(data)
+            x += [len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w, 1 - len(set(lines)) / max(len(lines), 1), math.log1p(w) / 10, math.log1p(n / w) / 3, math.log1p(n / max(len(lines), 1)) / 10, math.log1p(w) / 10 * len(set(words)) / w, float(n < 64)]
+        z = sum(min(8, max(-8, (v - m) / s)) * t for v, m, s, t in zip(x, model.mean, model.scale, model.weights, strict=True)) + model.bias
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, z)))), abs=1e-4)
+
+
+def test_a_text_of_very_many_sentences():
+    """Scoring and fitting take time in proportion to a text's length."""
+    model = SentenceModel({"vile": 4.0}, bias=-1.0)
+
+    def seconds(n):
+        text = "a vile word. " * n
+        began = time.perf_counter()
+        assert model.score(text)[0] == pytest.approx(1.0)
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    assert seconds(400_000) < 12 * max(seconds(100_000), 0.02)
+
+
+def test_fit_on_a_very_long_text(spark):
+    rows = [(k, "vile words here. " * 3 if k % 2 else "fine words here. " * 3, k % 2) for k in range(60)] + [(60, "a vile word. " * 150_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    began = time.perf_counter()
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.word("vile") > 0 and time.perf_counter() - began < 60
