@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.formula import calculated_column
+from tidemark.operators.ordered import strictly_before
 
 RNG = np.random.default_rng(7)
 VALUES = [None if k % 11 == 0 else float(x) for k, x in enumerate(RNG.choice([-1.5, -1.0, 0.5, 1.0, 1.25, 2.0], 500))]
@@ -31,3 +32,21 @@ def test_no_single_task(spark):
         assert got.select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_strictly_before_under_one_key(spark):
+    """A key that holds most rows, with many equal times, against a plain pass."""
+    rng = np.random.default_rng(9)
+    rows = [(k, "hot" if rng.random() < 0.9 else "cold", int(rng.integers(0, 400)), None if rng.random() < 0.1 else float(rng.integers(-9, 9))) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "id int, k string, t long, v double")
+    made = {"n": ("count", F.col("v")), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.struct("t", "v"))}
+    got = strictly_before(df, "k", "t", made)
+    assert got.where("k = 'hot'").select(F.spark_partition_id()).distinct().count() > 1 or got.count() == 3_000
+    table = pd.DataFrame(rows, columns=["id", "k", "t", "v"])
+    for r in got.collect():
+        if r["id"] % 7 == 0:
+            past = table[(table["k"] == r["k"]) & (table["t"] < r["t"])]
+            known = past["v"].dropna()
+            assert r["n"] == len(known)
+            assert (r["s"], r["lo"]) == ((known.sum(), known.min()) if len(known) else (None, None))
+            assert (r["hi"]["t"] if r["hi"] else None) == (past["t"].max() if len(past) else None)

@@ -100,3 +100,29 @@ def shifted(df: DataFrame, key: str, value: Column, out: str, n: int, tie: list[
     both = placed.withColumn("_block", own).withColumn("_to", F.explode(F.array_distinct(F.array(own, needed))))
     at = Window.partitionBy("_to").orderBy("_place").rangeBetween(-n, -n)
     return both.withColumn(out, F.first("_value").over(at)).where("_to = _block").drop("_value", "_place", "_block", "_to")
+
+
+_FOLDS = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+
+def strictly_before(df: DataFrame, key: str, time: str, made: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Adds, for each name in ``made`` (sum, count, min or max, and of what), the aggregate over the rows of the same ``key`` with an
+    earlier ``time`` (whole numbers); equal times don't count. Keys aren't null.
+
+    Rows of a key are parted by ranges of time, so one key may hold most rows: each range of a key is a window by itself, and
+    starts from what the key's earlier ranges gave. The table is dealt out once, by key and range."""
+    df = df.withColumn("_range", key_range(df, [time]))
+    df = df.withColumns({f"_of_{n}": c for n, (_, c) in made.items()})
+    totals = df.groupBy(key, "_range").agg(*[_FOLDS[op][0](f"_of_{n}").alias(f"_all_{n}") for n, (op, _) in made.items()])
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = totals.select(key, "_range", *[_FOLDS[op][1](f"_all_{n}").over(earlier).alias(f"_start_{n}") for n, (op, _) in made.items()])
+    within = Window.partitionBy(key, "_range").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+    out = df.join(starts, [key, "_range"])
+    for n, (op, _) in made.items():
+        here, before = _FOLDS[op][0](f"_of_{n}").over(within), F.col(f"_start_{n}")
+        if op in ("min", "max"):
+            both = (F.least if op == "min" else F.greatest)(before, here)
+        else:
+            both = F.coalesce(before + here, before, here, *([F.lit(0)] if op == "count" else []))
+        out = out.withColumn(n, both)
+    return out.drop("_range", *[f"_of_{n}" for n in made], *[f"_start_{n}" for n in made])

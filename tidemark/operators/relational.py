@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import micros
 from tidemark.functions.text import key_text
+from tidemark.operators.ordered import strictly_before
 
 DAY = 86_400_000_000
 
@@ -40,40 +41,40 @@ def resume(base: DataFrame, child: DataFrame, key: str, child_key: str, numbers:
     return out.withColumn(f"{prefix}.count", F.coalesce(F.col(f"`{prefix}.count`"), F.lit(0)))
 
 
-def _before(w: int | None = None) -> tuple:
-    return (Window.unboundedPreceding if w is None else -w, -1)
-
-
 def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, date: str, child_date: str, row: str, numbers: Sequence[str], categories: Sequence[str] = (), windows: Sequence[float] = (), prefix: str = "prior") -> DataFrame:
     """For each base row, what the child's rows of its key told strictly before its date; equal times don't count.
 
-    Both tables go into one union, sorted by key and time, whose RANGE frames end a microsecond before the row; so there
-    is one shuffle and no row is multiplied. Columns: count (0 if none), sum, mean, min, max of ``numbers``; ``days_since``
-    the last; the last value of ``categories`` (of equal times, that of the greatest value); and for each of ``windows``
-    (days) the count in the window, with sums of the first three numbers over the longest. Rows with a missing key or
-    date get count 0 and nulls. ``row`` identifies base rows.
+    Both tables go into one union, so no row is multiplied. What counts all earlier rows goes by ranges of a key's time
+    (``ordered.strictly_before``), so a key may hold most rows; trailing windows are frames bounded in time over a key. Columns:
+    count (0 if none), sum, mean, min, max of ``numbers``; ``days_since`` the last; the last value of ``categories`` (of equal
+    times, that of the greatest value); and for each of ``windows`` (days) the count in the window, with sums of the first three
+    numbers over the longest. Rows with a missing key or date get count 0 and nulls. ``row`` identifies base rows.
     """
     kind = lambda df, c: dict(df.dtypes)[c]
     base_rows = base.select(key_text(F.col(key)).alias("_k"), micros(F.col(date)).alias("_t"), F.col(row).alias("_row"), F.lit(0).alias("_child"), *[F.lit(None).cast("double").alias(f"_n_{c}") for c in numbers], *[F.lit(None).cast(kind(child, c)).alias(f"_c_{c}") for c in categories])
     child_rows = child.select(key_text(F.col(child_key)).alias("_k"), micros(F.col(child_date)).alias("_t"), F.lit(None).cast(kind(base, row)).alias("_row"), F.lit(1).alias("_child"), *[F.col(c).cast("double").alias(f"_n_{c}") for c in numbers], *[F.col(c).alias(f"_c_{c}") for c in categories])
     known = F.col("_k").isNotNull() & F.col("_t").isNotNull()
     both = base_rows.where(known).unionByName(child_rows.where(known))
-    by_time = Window.partitionBy("_k").orderBy("_t")
-    past = by_time.rangeBetween(*_before())
-    is_child = F.col("_child") == 1
-    made: dict[str, Column] = {"count": F.sum("_child").over(past)}
+    of_child = F.when(F.col("_child") == 1, F.col("_t"))
+    whole: dict[str, tuple[str, Column]] = {"_children": ("count", of_child), "_latest": ("max", of_child)}
     for c in numbers:
-        x = F.col(f"_n_{c}")
-        made |= {f"{c}.sum": F.sum(x).over(past), f"{c}.mean": F.avg(x).over(past), f"{c}.min": F.min(x).over(past), f"{c}.max": F.max(x).over(past)}
-    made["days_since"] = (F.col("_t") - F.max(F.when(is_child, F.col("_t"))).over(past)) / float(DAY)
+        whole |= {f"_{op}_{c}": (op, F.col(f"_n_{c}")) for op in ("sum", "count", "min", "max")}
     for c in categories:
-        made[f"{c}.last"] = F.max_by(f"_c_{c}", F.when(is_child, F.struct(F.col("_t"), F.col(f"_c_{c}")))).over(past)
+        whole[f"_last_{c}"] = ("max", F.when(F.col("_child") == 1, F.struct(F.col("_t"), F.col(f"_c_{c}").alias("v"))))
+    past = strictly_before(both, "_k", "_t", whole)
+    made: dict[str, Column] = {"count": F.col("_children")}
+    for c in numbers:
+        made |= {f"{c}.sum": F.col(f"_sum_{c}"), f"{c}.mean": F.try_divide(F.col(f"_sum_{c}"), F.col(f"_count_{c}")), f"{c}.min": F.col(f"_min_{c}"), f"{c}.max": F.col(f"_max_{c}")}
+    made["days_since"] = (F.col("_t") - F.col("_latest")) / float(DAY)
+    for c in categories:
+        made[f"{c}.last"] = F.col(f"_last_{c}")["v"]
+    by_time = Window.partitionBy("_k").orderBy("_t")
     for n in windows:
-        recent = by_time.rangeBetween(*_before(int(n * DAY)))
+        recent = by_time.rangeBetween(-int(n * DAY), -1)
         made[f"count_{n:g}d"] = F.coalesce(F.sum("_child").over(recent), F.lit(0))
         if n == max(windows):
             made |= {f"{c}.sum_{n:g}d": F.sum(f"_n_{c}").over(recent) for c in numbers[:3]}
-    found = both.select("_row", "_child", *[v.alias(f"{prefix}.{k}") for k, v in made.items()]).where("_child = 0").drop("_child")
+    found = past.select("_row", "_child", *[v.alias(f"{prefix}.{k}") for k, v in made.items()]).where("_child = 0").drop("_child")
     out = base.join(found, base[row] == found["_row"], "left").drop("_row")
     for k in ["count", *[f"count_{n:g}d" for n in windows]]:
         out = out.withColumn(f"{prefix}.{k}", F.coalesce(F.col(f"`{prefix}.{k}`"), F.lit(0)))

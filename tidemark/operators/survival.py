@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import micros
-from tidemark.operators.ordered import running_sums
+from tidemark.operators.ordered import running_sums, strictly_before
 
 DAY = 86_400_000_000.0
 
@@ -56,17 +56,23 @@ def quantile_time(curve: DataFrame, share: float, by: Sequence[str] = ()) -> Dat
 
 def event_features(df: DataFrame, entity: str, date: str, is_event: Column, days: int, row: str, cut: str | None = None) -> DataFrame:
     """(row, label, days_since, events_before, observable): whether the entity has an event in the next ``days`` days, how long
-    since its last event strictly before, how many different event times are before, and whether those days are over by the cut."""
-    t = micros(F.col(date))
-    rows = df.select(F.col(row).alias("row"), F.col(entity).alias("entity"), t.alias("t"), F.coalesce(is_event, F.lit(False)).alias("e"))
-    ahead = Window.partitionBy("entity").orderBy("t").rangeBetween(1, int(days * DAY))
-    past = Window.partitionBy("entity").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    first = (F.row_number().over(Window.partitionBy("entity", "t", "e").orderBy("row")) == 1) & F.col("e")
-    rows = rows.withColumn("first", first)
-    event_time = F.when(F.col("e"), F.col("t"))
-    latest = rows.agg(F.max("t").alias("_cut")) if cut is None else rows.sparkSession.range(1).select((F.unix_micros(F.lit(cut).cast("timestamp"))).alias("_cut"))
-    out = rows.select("row", "t", (F.coalesce(F.count(event_time).over(ahead), F.lit(0)) > 0).alias("label"), ((F.col("t") - F.max(event_time).over(past)) / DAY).alias("days_since"), F.coalesce(F.sum(F.col("first").cast("long")).over(past), F.lit(0)).alias("events_before"))
-    return out.join(F.broadcast(latest)).select("row", "label", "days_since", "events_before", (F.col("t") + int(days * DAY) <= F.col("_cut")).alias("observable"))
+    since its last event strictly before, how many different event times are before, and whether those days are over by the cut.
+    Rows without a date are left out. An entity may hold most rows: its times are parted by ranges."""
+    t, width = micros(F.col(date)), int(days * DAY)
+    rows = df.select(F.col(row).alias("row"), F.coalesce(F.col(entity).cast("string"), F.lit("\0")).alias("_entity"), t.alias("t"), F.coalesce(is_event, F.lit(False)).alias("e"))
+    # Different event times of an entity, each once; a row asks what was before it, and before the end of its window.
+    times = rows.where("e and t is not null").groupBy("_entity", "t").agg(F.lit(None).cast(dict(df.dtypes)[row]).alias("row"))
+    asked = rows.where("t is not null")
+    union = times.select("_entity", "t", "row", F.lit("event").alias("kind"))
+    union = union.unionByName(asked.select("_entity", "t", "row", F.lit("now").alias("kind"))).unionByName(asked.select("_entity", (F.col("t") + width + 1).alias("t"), "row", F.lit("end").alias("kind")))
+    event_time = F.when(F.col("kind") == "event", F.col("t"))
+    past = strictly_before(union, "_entity", "t", {"latest": ("max", event_time)} | {"n": ("count", event_time)})
+    latest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("latest")))
+    found = past.where("kind <> 'event'").groupBy("row").agg(latest("now").alias("_before"), latest("end").alias("_within"), F.coalesce(F.max(F.when(F.col("kind") == "now", F.col("n"))), F.lit(0)).alias("events_before"))
+    cut_at = rows.agg(F.max("t").alias("_cut")) if cut is None else rows.sparkSession.range(1).select((F.unix_micros(F.lit(cut).cast("timestamp"))).alias("_cut"))
+    out = asked.select("row", "t").join(found, "row").join(F.broadcast(cut_at))
+    # The last event before the window's end lies in the window if it's later than the row.
+    return out.select("row", F.coalesce(F.col("_within") > F.col("t"), F.lit(False)).alias("label"), ((F.col("t") - F.col("_before")) / DAY).alias("days_since"), "events_before", (F.col("t") + width <= F.col("_cut")).alias("observable"))
 
 
 def last_row(df: DataFrame, entity: str, date: str, tie: str) -> DataFrame:
