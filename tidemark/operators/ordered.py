@@ -17,21 +17,21 @@ from pyspark.sql import functions as F
 ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, SAMPLE_ROWS = 1_000_000, 64, 4_096, 16_384
 
 
-def range_borders(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> list[tuple]:
+def range_borders(df: DataFrame, keys: Sequence[str], ranges: int | None = None, least: int = LEAST_RANGES) -> list[tuple]:
     """Rows of ``keys`` that part the table, in their order, into about equal ranges; nulls come first. They come from a chance
     sample of ``SAMPLE_ROWS`` rows at most, which changes no result; the same pass counts the rows. Keys that many rows share are
     parted by the further ones."""
     seen = Observation()
     rows = df.select(*[F.col(k) for k in keys]).observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_h", F.rand(7)).orderBy("_h").limit(SAMPLE_ROWS).drop("_h").collect()
-    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, seen.get["n"] // ROWS_A_RANGE))
+    ranges = ranges or min(MOST_RANGES, max(least, seen.get["n"] // ROWS_A_RANGE))
     rows = sorted(map(tuple, rows), key=lambda row: tuple((v is not None, v != v, v if v is not None and v == v else 0) for v in row))
     return list(dict.fromkeys(rows[k * len(rows) // ranges] for k in range(1, ranges))) if rows else []
 
 
-def key_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> Column:
+def key_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, borders: list[tuple] | None = None) -> Column:
     """Number of the range that a row falls into, in order of ``keys``. Borders are in two levels of about the root of their
     number, so a row is compared with few of them."""
-    borders = range_borders(df, keys, ranges)
+    borders = range_borders(df, keys, ranges) if borders is None else borders
     if not borders:
         return F.lit(0)
     kinds = dict(df.dtypes)
@@ -109,9 +109,15 @@ def strictly_before(df: DataFrame, key: str, time: str, made: Mapping[str, tuple
     """Adds, for each name in ``made`` (sum, count, min or max, and of what), the aggregate over the rows of the same ``key`` with an
     earlier ``time`` (whole numbers); equal times don't count. Keys aren't null.
 
-    Rows of a key are parted by ranges of time, so one key may hold most rows: each range of a key is a window by itself, and
-    starts from what the key's earlier ranges gave. The table is dealt out once, by key and range."""
-    df = df.withColumn("_range", key_range(df, [time]))
+    Rows of a key are parted by ranges of time, one for each ``ROWS_A_RANGE`` rows of the table, so one key may hold most rows:
+    each range of a key is a window by itself, and starts from what the key's earlier ranges gave. The table is dealt out once,
+    by key and range. Where all rows make one range, a key's rows are one window."""
+    borders = range_borders(df, [time], least=1)
+    if not borders:
+        alone = Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[_FOLDS[op][0](c).over(alone).alias(n) for n, (op, c) in made.items()])
+    columns = df.columns
+    df = df.withColumn("_range", key_range(df, [time], borders=borders))
     df = df.withColumns({f"_of_{n}": c for n, (_, c) in made.items()})
     totals = df.groupBy(key, "_range").agg(*[_FOLDS[op][0](f"_of_{n}").alias(f"_all_{n}") for n, (op, _) in made.items()])
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
@@ -125,4 +131,4 @@ def strictly_before(df: DataFrame, key: str, time: str, made: Mapping[str, tuple
         else:
             both = F.coalesce(before + here, before, here, *([F.lit(0)] if op == "count" else []))
         out = out.withColumn(n, both)
-    return out.drop("_range", *[f"_of_{n}" for n in made], *[f"_start_{n}" for n in made])
+    return out.select(*columns, *made)
