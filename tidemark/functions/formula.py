@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import running_sums, shifted, with_key
+from tidemark.operators.ordered import most_frequent, quantiles, running_sums, shifted, with_key
 
 
 class FormulaError(ValueError):
@@ -54,6 +54,8 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp,
     "count": F.count, "nunique": F.count_distinct, "mode": lambda c: F.mode(c, True),
 }
+#: Of these and ``quantile``, values are selected by counts, as no aggregate may hold a whole column.
+SELECTED = ("median", "mode", "quantile")
 CASTS = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
 #: Methods whose results are collections; ``dropna`` may stand before what reduces it to one value.
 SEVERAL = ("unique", "value_counts", "tolist", "dropna")
@@ -104,11 +106,28 @@ class Compiled:
     value: Column
     scalars: dict[str, Column] = field(default_factory=dict)
     steps: list[tuple[str, str, Column, int]] = field(default_factory=list)
+    #: Of ``scalars``, those that are selected and not aggregated: a column's quantile at a share, or its mode (None).
+    selected: dict[str, tuple[Column, float | None]] = field(default_factory=dict)
+
+
+def _scalars(df: DataFrame, made: Compiled) -> DataFrame:
+    """One row with all scalars: one aggregation, one selection of all quantiles, and the counts of each mode."""
+    plain = {k: c for k, c in made.scalars.items() if k not in made.selected}
+    out = df.agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(k) for k, c in plain.items()])
+    shares = sorted({s for _, s in made.selected.values() if s is not None})
+    if shares:
+        picked = {k: v for k, v in made.selected.items() if v[1] is not None}
+        q = quantiles(df, {k: c for k, (c, _) in picked.items()}, shares)
+        out = out.join(F.broadcast(q.agg(*[F.max(F.when(F.col("column") == k, F.get("q", F.lit(shares.index(s))))).alias(k) for k, (_, s) in picked.items()])))
+    for k, (c, s) in made.selected.items():
+        if s is None:
+            out = out.join(F.broadcast(most_frequent(df, c).withColumnRenamed("mode", k)))
+    return out.drop("_rows")
 
 
 class _Compiler:
     def __init__(self, columns: list[str], order: list[str]):
-        self.columns, self.order, self.scalars, self.steps = columns, order, {}, []
+        self.columns, self.order, self.scalars, self.steps, self.selected = columns, order, {}, [], {}
 
     def visit(self, node: ast.AST):
         method = getattr(self, f"on_{type(node).__name__.lower()}", None)
@@ -190,9 +209,10 @@ class _Compiler:
 
     def method(self, name: str, c: Column, args, named):
         if name in AGGREGATES or name == "quantile":
-            made = F.percentile(c, self.number(args[0]) if args else 0.5) if name == "quantile" else AGGREGATES[name](c)
             at = f"_scalar{len(self.scalars)}"
-            self.scalars[at] = made
+            self.scalars[at] = F.col(at) if name in SELECTED else AGGREGATES[name](c)
+            if name in SELECTED:
+                self.selected[at] = (c, None if name == "mode" else self.number(args[0]) if name == "quantile" and args else 0.5)
             return F.col(at)
         if name in ("isna", "isnull"):
             return c.isNull()
@@ -259,14 +279,14 @@ def compile_formula(formula: str, columns: list[str], order: list[str] | None =
     except SyntaxError as e:
         raise FormulaError(f"can't be read: {formula}") from e
     compiler = _Compiler(columns, order or [])
-    return Compiled(compiler.visit(tree), compiler.scalars, compiler.steps)
+    return Compiled(compiler.visit(tree), compiler.scalars, compiler.steps, compiler.selected)
 
 
 def calculated_column(df: DataFrame, name: str, formula: str, order: list[str] | None = None) -> DataFrame:
     """``df`` with the formula's column. All whole-table aggregates in it come from one aggregation, joined as one row."""
     made = compile_formula(formula, df.columns, order)
     if made.scalars:
-        df = df.join(F.broadcast(df.agg(*[c.alias(k) for k, c in made.scalars.items()])))  # one row
+        df = df.join(F.broadcast(_scalars(df, made)))  # one row
     for step in made.steps:
         df = _stepped(df, order, *step)
     return df.withColumn(name, made.value).drop(*made.scalars, *[s[0] for s in made.steps])
@@ -277,4 +297,4 @@ def calculated_value(df: DataFrame, formula: str) -> DataFrame:
     made = compile_formula(formula, df.columns)
     if not made.scalars:
         raise FormulaError("the formula gives a value for each row, not one")
-    return df.agg(*[c.alias(k) for k, c in made.scalars.items()]).select(made.value.alias("value"))
+    return _scalars(df, made).select(made.value.alias("value"))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.pvalues import correlation_p, fisher_p
+from tidemark.functions.scratch import written
 from tidemark.operators.indicators import duplicate_count, missing_profile
-from tidemark.operators.ordered import average_ranks, running_sums
+from tidemark.operators.ordered import average_ranks, quantiles, running_sums
 
 Z, LEAST_ROWS = 3.0, 10
 SCALE = 0.6745
@@ -39,11 +40,19 @@ def severity(z: Column) -> Column:
 
 
 def robust_statistics(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, median, mad): exact, in two passes."""
+    """(by, n, median, mad): exact, by two selections."""
+    by = list(by)
     x = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_x"))
-    centre = x.groupBy(*by).agg(F.median("_x").alias("median"), F.count("_x").alias("n"))
-    both = x.join(centre, list(by)) if by else x.join(F.broadcast(centre))  # one row
-    return both.groupBy(*by, "n", "median").agg(F.median(F.abs(F.col("_x") - F.col("median"))).alias("mad"))
+    middle = quantiles(x, {"x": F.col("_x")}, [0.5], by)
+    centre = written(middle.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(by)], F.col("n").alias("_n"), F.col("q")[0].alias("_median")), "medians")
+    same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(by)]
+    off = x.join(centre, same) if by else x.join(F.broadcast(centre))  # one row
+    gap = {"x": F.abs(F.col("_x") - F.col("_median"))}
+    if not by:
+        spread = quantiles(off, gap, [0.5]).select(F.col("q")[0].alias("mad"))
+        return centre.join(F.broadcast(spread)).select(F.col("_n").alias("n"), F.col("_median").alias("median"), "mad")
+    spread = quantiles(off, gap, [0.5], [*by, "_n", "_median"])
+    return spread.select(*by, F.col("_n").alias("n"), F.col("_median").alias("median"), F.col("q")[0].alias("mad"))
 
 
 def robust_outliers(df: DataFrame, column: str) -> DataFrame:
@@ -239,10 +248,11 @@ def regime_shift(df: DataFrame, order: str, column: str, tie: str, least_rows: i
     ranked = average_ranks(rows, "_x", "_r")
     summed = running_sums(ranked, order, {"_t": F.lit(1), "_s": F.col("_r")}, [tie])
     total = summed.agg(F.count(F.lit(1)).alias("n"))
-    placed = summed.join(F.broadcast(total)).withColumn("u", 2 * F.col("_s") - F.col("_t") * (F.col("n") + 1))
+    placed = written(summed.join(F.broadcast(total)), "pettitt").withColumn("u", 2 * F.col("_s") - F.col("_t") * (F.col("n") + 1))
     best = placed.agg(F.max_by(F.struct(F.col("_t").alias("k"), F.col("u").alias("u"), F.col("n").alias("n")), F.struct(F.abs("u"), -F.col("_t"))).alias("b")).select("b.*")
     side = placed.select("_t", "_x").join(F.broadcast(best.select("k")))
-    medians = side.agg(F.median(F.when(F.col("_t") <= F.col("k"), F.col("_x"))).alias("before"), F.median(F.when(F.col("_t") > F.col("k"), F.col("_x"))).alias("after"))
+    parts = quantiles(side, {"before": F.when(F.col("_t") <= F.col("k"), F.col("_x")), "after": F.when(F.col("_t") > F.col("k"), F.col("_x"))}, [0.5])
+    medians = parts.agg(*[F.max(F.when(F.col("column") == k, F.col("q")[0])).alias(k) for k in ("before", "after")])
     n, u = F.col("n").cast("double"), F.col("u")
     enough = (n >= least_rows) & (F.col("k") >= least_share * n) & (n - F.col("k") >= least_share * n)
     return best.join(F.broadcast(medians)).where(enough).withColumn("p", F.least(F.lit(1.0), 2 * F.exp(-6 * u * u / (n * n * n + n * n))))

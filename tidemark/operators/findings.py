@@ -18,6 +18,7 @@ from tidemark.functions.dates import micros
 from tidemark.operators.anomalies import SCALE, IsolationForest, Z, robust_statistics
 from tidemark.operators.indicators import Indicator
 from tidemark.operators.lineage import name_parts
+from tidemark.operators.ordered import quantiles
 from tidemark.operators.relational import Edge, contagion
 from tidemark.operators.state import content_signature
 
@@ -87,7 +88,8 @@ def dated(findings: DataFrame, df: DataFrame, row: str, date: str, key: Sequence
     """(key, date): the median date of each finding's affected rows, a marker on a time line; findings without a dated row go."""
     rows = findings.where("row is not null").select(*key, F.col("row").alias("_row")).distinct()
     when = df.where(F.col(date).isNotNull()).select(F.col(row).alias("_row"), micros(F.col(date)).alias("_t"))
-    return rows.join(when, "_row").groupBy(*key).agg(F.timestamp_micros(F.median("_t").cast("long")).alias("date"))
+    middle = quantiles(rows.join(when, "_row"), {"t": F.col("_t")}, [0.5], key)
+    return middle.select(*key, F.timestamp_micros(F.col("q")[0].cast("long")).alias("date"))
 
 
 def coincidences(df: DataFrame, odd: DataFrame, row: str, columns: Sequence[str], z_from: float = 2.0, rare: float = 0.05, most_values: int = 20) -> DataFrame:

@@ -12,6 +12,7 @@ from tidemark.functions.dates import micros
 from tidemark.functions.formula import calculated_value, columns_of
 from tidemark.functions.text import as_number, to_text
 from tidemark.operators.filters import Condition, apply_conditions, trailing_window
+from tidemark.operators.ordered import most_frequent, quantiles
 
 NO_DATA, OTHERS = "(sin dato)", "Otros"
 
@@ -83,14 +84,15 @@ def sparkline(df: DataFrame, value: str, date: str, op: str = "sum", slices: int
 def describe(df: DataFrame, column: str) -> DataFrame:
     """mean, median, mode (the least of equals), std, n."""
     x = as_number(F.col(column))
-    return df.agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.mode(x, True).alias("mode"), F.stddev_samp(x).alias("std"), F.count(x).alias("n"))
+    one = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count(x).alias("n"))
+    middle = quantiles(df, {"x": x}, [0.5]).agg(F.max(F.col("q")[0]).alias("median"))
+    return one.join(F.broadcast(middle)).join(F.broadcast(most_frequent(df, x))).select("mean", "median", "mode", "std", "n")
 
 
 def box_plot(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles by linear interpolation, Tukey's fences, whiskers at the last values within them, and outliers' number."""
     x = F.col(column)
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*by, q.q[0].alias("q1"), q.q[1].alias("median"), q.q[2].alias("q3"))
+    q = quantiles(df, {"x": x}, [0.25, 0.5, 0.75], by).select(*by, *[F.col("q")[k].alias(name) for k, name in enumerate(("q1", "median", "q3"))])
     q = q.withColumn("low_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     rows = df.select(*by, x.alias("_x")).join(F.broadcast(q) if not by else q, list(by) if by else None)
     inside = F.col("_x").between(F.col("low_fence"), F.col("high_fence"))

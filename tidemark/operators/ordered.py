@@ -10,27 +10,31 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import written
+
 #: Ranges: one for so many rows, from the least number to the greatest, and the rows that their borders are drawn from.
-ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, SAMPLE_ROWS = 1_000_000, 64, 4_096, 16_384
+ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, SAMPLE_ROWS = 1_000_000, 16, 4_096, 16_384
+#: Up to so many borders are searched by halves in generated code; more go in two levels.
+BORDERS_BY_HALVES = 128
 
 
 def range_borders(df: DataFrame, keys: Sequence[str], ranges: int | None = None, least: int = LEAST_RANGES) -> list[tuple]:
     """Rows of ``keys`` that part the table, in their order, into about equal ranges; nulls come first. They come from a chance
-    sample of ``SAMPLE_ROWS`` rows at most, which changes no result; the same pass counts the rows. Keys that many rows share are
-    parted by the further ones."""
-    seen = Observation()
-    rows = df.select(*[F.col(k) for k in keys]).observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_h", F.rand(7)).orderBy("_h").limit(SAMPLE_ROWS).drop("_h").collect()
-    ranges = ranges or min(MOST_RANGES, max(least, seen.get["n"] // ROWS_A_RANGE))
-    rows = sorted(map(tuple, rows), key=lambda row: tuple((v is not None, v != v, v if v is not None and v == v else 0) for v in row))
+    sample of ``SAMPLE_ROWS`` rows at most, which changes no result. The number of rows, which sets that of the ranges, is told by
+    the sample too: of n chances, the k-th least is about k / n. Keys that many rows share are parted by the further ones."""
+    drawn = df.select(*[F.col(k) for k in keys], F.rand(7).alias("_h")).orderBy("_h").limit(SAMPLE_ROWS).collect()
+    n = len(drawn) if len(drawn) < SAMPLE_ROWS else int(len(drawn) / max(drawn[-1]["_h"], 1e-12))
+    ranges = ranges or min(MOST_RANGES, max(least, n // ROWS_A_RANGE))
+    rows = sorted((tuple(r)[:-1] for r in drawn), key=lambda row: tuple((v is not None, v != v, v if v is not None and v == v else 0) for v in row))
     return list(dict.fromkeys(rows[k * len(rows) // ranges] for k in range(1, ranges))) if rows else []
 
 
 def key_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, borders: list[tuple] | None = None) -> Column:
-    """Number of the range that a row falls into, in order of ``keys``. Borders are in two levels of about the root of their
-    number, so a row is compared with few of them."""
+    """Number of the range that a row falls into, in order of ``keys``. A row is compared with few borders: by halves, or in two
+    levels of about the root of their number."""
     borders = range_borders(df, keys, ranges) if borders is None else borders
     if not borders:
         return F.lit(0)
@@ -38,6 +42,15 @@ def key_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, bor
     mine = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     kind = f"struct<{','.join(f'k{i}:{kinds[k]}' for i, k in enumerate(keys))}>"
     border = lambda row: F.struct(*[F.lit(v).cast(kinds[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, row, strict=True))]).cast(kind)
+    if len(borders) <= BORDERS_BY_HALVES:
+
+        def among(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(border(borders[middle]) <= mine, among(middle + 1, high)).otherwise(among(low, middle))
+
+        return among(0, len(borders))
     step = max(1, math.isqrt(len(borders)))
     groups = [borders[k : k + step] for k in range(0, len(borders), step)]
     passed = lambda array: F.size(F.filter(array, lambda c: c <= mine))
@@ -132,3 +145,51 @@ def strictly_before(df: DataFrame, key: str, time: str, made: Mapping[str, tuple
             both = F.coalesce(before + here, before, here, *([F.lit(0)] if op == "count" else []))
         out = out.withColumn(n, both)
     return out.select(*columns, *made)
+
+
+#: ``percentile_approx`` with this accuracy is off by 1 / accuracy of the rows at most; brackets are wider than that.
+ACCURACY, MARGIN = 10_000, 1e-3
+#: Up to so many values within all brackets, each group's are one window; beyond them they are parted by ranges.
+WINDOW_VALUES = 1_000_000
+
+
+def quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, n, q): of each column's values that aren't null, their number and exact quantiles by linear interpolation, in
+    the order of ``shares``. Groups and columns without a value have no row.
+
+    No task holds a column: approximate quantiles bracket each wanted place, values below a bracket are only counted,
+    and the few within it are counted by value and selected by their running counts. A bracket that misses its place
+    is an error and never a wrong value."""
+    by = list(by)
+    cells = df.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("column"), c.cast("double").alias("_x")) for name, c in columns.items()])).alias("_cell")).select(*by, "_cell.*").where("_x is not null")
+    keys = [*by, "column"]
+    ends = [max(0.0, s - MARGIN) for s in shares] + [min(1.0, s + MARGIN) for s in shares]
+    around = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", ends, ACCURACY).alias("_ends"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    few = F.col("n") * MARGIN < 2  # then all values are within, as a place's neighbour must be, too
+    around = around.withColumn("_ends", F.when(few, F.concat(F.array_repeat("_min", len(shares)), F.array_repeat("_max", len(shares)))).otherwise(F.col("_ends")))
+    around = around.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "_ends")
+    near = cells.join(around if by else F.broadcast(around), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])  # without by, a row a column
+    low, high = (lambda s: F.get("_ends", s)), (lambda s: F.get("_ends", s + len(shares)))
+    wanted = F.filter(F.lit(list(range(len(shares)))), lambda s: F.col("_x") <= high(s))
+    some = near.select(*keys, "n", "_x", "_ends", F.explode(wanted).alias("_s")).withColumn("_x", F.when(F.col("_x") >= low(F.col("_s")), F.col("_x")))
+    counts = written(some.groupBy(*keys, "n", "_s", "_x").agg(F.count(F.lit(1)).alias("_count")), "quantiles")
+    groups = [*keys, "_s"]
+    if counts.count() <= WINDOW_VALUES:
+        upto = F.sum("_count").over(Window.partitionBy(*groups).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+        placed = counts.withColumn("_upto", upto)
+    else:
+        placed = running_sums(counts, "_x", {"_upto": F.col("_count")}, by=groups)
+    place = (F.col("n") - 1) * F.element_at(F.lit([float(s) for s in shares]), F.col("_s") + 1)
+    at = lambda p: F.max(F.when((F.col("_upto") - F.col("_count") <= p) & (p < F.col("_upto")), F.col("_x")))
+    ends_of = placed.groupBy(*groups, "n").agg(at(F.floor(place)).alias("_low"), at(F.ceil(place)).alias("_high"), F.first(place - F.floor(place)).alias("_part"))
+    missed = F.raise_error(F.lit("a quantile is outside its bracket"))
+    value = F.when(F.col("_low").isNull() | F.col("_high").isNull(), missed.cast("double")).when(F.col("_part") == 0, F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"))
+    told = ends_of.withColumn("_value", value).groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_s", "_value"))).alias("_q"))
+    return told.select(*keys, "n", F.transform("_q", lambda q: q["_value"]).alias("q"))
+
+
+def most_frequent(df: DataFrame, column: Column) -> DataFrame:
+    """One row, ``mode``: the most frequent value, the least of equals; counts by value, so no task holds all values."""
+    counts = df.select(column.alias("_x")).where("_x is not null").groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.agg(F.max("_n").alias("_most"))
+    return counts.join(F.broadcast(most)).where("_n = _most").agg(F.min("_x").alias("mode"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import micros
+from tidemark.functions.scratch import written
 from tidemark.operators.ordered import running_sums, strictly_before
 
 DAY = 86_400_000_000.0
@@ -37,8 +38,10 @@ def durations(df: DataFrame, start: str, end: str, cut: str, by: Sequence[str] =
 def survival_curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, days, at_risk, events, survival): Kaplan-Meier. Rows leave the risk set after the events of their own time.
 
-    Counts of each distinct time come first; the sums over times go by ranges, so long curves take no single task."""
+    Counts of each distinct time come first, and are written, as each sum reads them again; the sums over times go by ranges,
+    so long curves take no single task."""
     counts = rows.groupBy(*by, "days").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("event").cast("long")).alias("events"))
+    counts = written(counts, "times")
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     upto = running_sums(counts, "days", {"_left": F.col("_n")}, by=list(by))
     joined = upto.join(total, list(by)) if by else upto.join(F.broadcast(total))
