@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
 from tidemark.llm.toxicity import SentenceModel
@@ -153,3 +154,14 @@ def test_fit_on_a_very_long_text(spark):
     began = time.perf_counter()
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert model.word("vile") > 0 and time.perf_counter() - began < 60
+
+
+def test_an_id_on_very_many_rows(spark):
+    """The samples have one text an id, whatever number of rows has it."""
+    docs = spark.range(30_000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    docs = docs.unionByName(spark.range(100, 140).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text")))
+    labels = docs.select("doc_id").distinct().withColumn("toxic", F.col("doc_id") % 2).withColumn("quality", F.lit(1))
+    sample = toxicity.training_sample(docs, labels, "toxic").collect()
+    assert len(sample) == len({r["doc_id"] for r in sample}) and {r["text"] for r in sample if r["doc_id"] == 4} <= {"text 0"}
+    scored = quality.score_documents(docs, labels)
+    assert scored.count() == 30_040

@@ -126,3 +126,25 @@ def test_words_of_mixed_documents(spark):
     mixed = mixing.mixed_documents(docs).groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
     plan = mixing.mix_plan(docs, same=["doc_id", "text", "lang", "source", "n_chars"]).where("taken > 0").select("doc_id", "taken")
     assert {tuple(r) for r in mixed.collect()} == {tuple(r) for r in plan.collect()}
+
+
+def test_many_equal_rows_and_shards(spark):
+    """Copies of one row are dealt over many shards; sources of more than a thousand shards share out by one apportionment."""
+    copies = spark.range(3_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("hot").alias("source"))
+    some = spark.range(10, 400).select("id", F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"), F.lit("b").alias("source")).withColumnRenamed("id", "doc_id")
+    plan = mixing.mix_plan(copies.unionByName(some), block_words=1, shard_words=8)
+    rows = plan.collect()
+    assert sum(r["doc_id"] == 1 for r in rows) == 3_000
+    assert max(Counter(r["start"] for r in rows if r["doc_id"] == 1).values()) > 500  # laid from the start of many shards
+    taken = Counter()
+    for r in rows:
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for r in {(r["source"], r["target"]) for r in rows}:
+        assert abs(taken[r[0]] - r[1]) <= 0.02 * r[1] + 4
+    votes = [float(k % 97 + 1) for k in range(3_000)]
+    side = spark.createDataFrame([(0, k, v, 50_000) for k, v in enumerate(votes)], "g int, k int, votes double, seats int")
+    got = {r["k"]: r["won"] for r in mixing.sainte_lague(side, ["g"], "k", "votes", "seats", "won").collect()}
+    offers = sorted((-v / (2 * s + 1), k) for k, v in enumerate(votes) for s in range(60))[:50_000]
+    want = Counter(k for _, k in offers)
+    assert sum(got.values()) == 50_000 and got == {k: want[k] for k in range(3_000)}

@@ -61,3 +61,17 @@ def test_tiles_and_merges(spark):
         want |= {(q, r + 1, k, -s) for r, (s, k) in enumerate(best)}
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
     assert topk.top_k(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows that repeat a query's id are queries and candidates of their own; one id may hold most rows."""
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(k, rng.integers(-3, 4, 2).tolist()) for k in range(1, 30)] + [(7, [2.0, 2.0])] * 60
+    got = topk.top_k(spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], "vec_id long, embedding array<double>"), query_tile=2, shard_rows=7).collect()
+    v = np.floor(64 * np.array([r[1] for r in rows])).astype(int)
+    want = []
+    for q in range(len(rows)):
+        if rows[q][0] % 20 == 0:
+            best = sorted((-int(v[q] @ v[c]), rows[c][0]) for c in range(len(rows)) if c != q)[:20]
+            want += [(rows[q][0], r + 1, k, -s) for r, (s, k) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)

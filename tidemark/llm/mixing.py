@@ -10,8 +10,6 @@ from tidemark.operators.ordered import running_sums, with_key
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 16_384
-#: Sources, and a source's shards, share out in groups, so no window holds more than so many of them, or all groups.
-PARTS_A_GROUP = 1_024
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: The table of sources is broadcast up to so many rows; beyond it, it's joined by shuffle.
@@ -45,21 +43,25 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_RE
 
 
 def sainte_lague(rows: DataFrame, group: list[str], key: str, votes: str, seats: str, out: str) -> DataFrame:
-    """Adds ``out``: the row's part of its group's ``seats`` (equal within a group) by highest quotients votes / (2k + 1).
+    """Adds ``out``: the row's part of its group's ``seats`` (equal within a group) by highest quotients votes / (2k + 1), over all
+    rows of a group at once, however many there are: totals are aggregates, and the contest goes by ranges of the quotient.
 
     Rounded quotas come within a few seats of the answer; only those seats are contested. A row can gain or lose no
     more than share * (difference + rows) + 1 seats, so the contest has at most difference + 3 * rows entries.
     """
-    whole = Window.partitionBy(*group)
+    totals = rows.groupBy(*group).agg(F.sum(votes).cast("double").alias("_votes"), F.count(F.lit(1)).alias("_rows"))
     share = F.when(F.col("_votes") > 0, F.col(votes) / F.col("_votes")).otherwise(0.0)
-    base = rows.withColumn("_votes", F.sum(votes).over(whole).cast("double")).withColumn("_rows", F.count(F.lit(1)).over(whole)).withColumn("_share", share)
-    base = base.withColumn("_base", F.floor(F.col(seats) * F.col("_share") + 0.5)).withColumn("_diff", F.when(F.col("_votes") > 0, F.col(seats) - F.sum("_base").over(whole)).otherwise(0))
+    base = rows.join(totals, group).withColumn("_share", share).withColumn("_base", F.floor(F.col(seats) * F.col("_share") + 0.5))
+    given = base.groupBy(*group).agg(F.sum("_base").alias("_given"))
+    base = base.join(given, group).withColumn("_diff", F.when(F.col("_votes") > 0, F.col(seats) - F.col("_given")).otherwise(0)).drop("_given")
+    base = written(base, "mix-rounded")
     step = F.explode(F.sequence(F.lit(0), F.floor(F.col("_share") * (F.abs("_diff") + F.col("_rows"))).cast("int") + 1))
     seat = F.when(F.col("_diff") > 0, F.col("_base") + F.col("_k")).otherwise(F.col("_base") - 1 - F.col("_k"))
     offers = base.where("_diff <> 0").select(*group, key, votes, "_base", "_diff", step.alias("_k")).withColumn("_seat", seat).where("_seat >= 0")
     quotient = F.col(votes) / (2 * F.col("_seat") + 1)
-    first = Window.partitionBy(*group).orderBy(F.when(F.col("_diff") > 0, -quotient).otherwise(quotient), key, "_k")
-    won = offers.withColumn("_rank", F.row_number().over(first)).where("_rank <= abs(_diff)").groupBy(*group, key).agg(F.sum(F.signum(F.col("_diff").cast("double"))).cast("long").alias("_more"))
+    offers = offers.withColumn("_worth", F.when(F.col("_diff") > 0, -quotient).otherwise(quotient))
+    ranked = running_sums(offers, "_worth", {"_rank": F.lit(1)}, [key, "_k"], by=group)
+    won = ranked.where("_rank <= abs(_diff)").groupBy(*group, key).agg(F.sum(F.signum(F.col("_diff").cast("double"))).cast("long").alias("_more"))
     return base.join(won, [*group, key], "left").withColumn(out, F.col("_base") + F.coalesce("_more", F.lit(0))).drop("_votes", "_rows", "_share", "_base", "_diff", "_more")
 
 
@@ -67,9 +69,9 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, b
     """How often the mix takes each part of each document; one row for every row of ``docs`` (doc_id, text, source).
 
     Documents of a source are dealt over shards by hash and laid end to end in hash order; every ``block_words`` words
-    are a block. Blocks are apportioned by Sainte-Laguë to groups of sources and to sources by target, then to groups of
-    shards and to shards by words. A shard of n blocks with quota q takes every block q div n times and the q mod n blocks
-    that come first in seeded order once more.
+    are a block. Blocks are apportioned by Sainte-Laguë to all sources by target, then to all shards of a source by words.
+    A shard of n blocks with quota q takes every block q div n times and the q mod n blocks that come first in seeded
+    order once more. Equal rows are numbered, each copy with a hash of its own, so that many of them are in many shards.
 
     Returns doc_id, source, size, source_size, target, taken, and ``row_hash``, ``passes`` (times taken whole), ``start`` (its
     first word in the shard), ``more`` (the shard's blocks taken once more).
@@ -77,31 +79,30 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, b
     count; an empty table gives an empty one. Other columns are ignored. ``same``: the columns that tell rows apart for ``row_hash``.
     """
     spread = F.xxhash64(*[F.col(c) for c in same or ["doc_id", "text", "source"]], F.lit(seed))
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread.alias("row_hash")), "mix-sizes")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread.alias("row_hash"))
+    copies = sized.groupBy("doc_id", "source", "size", "row_hash").agg(F.count(F.lit(1)).alias("copies"))
+    each = copies.select("doc_id", "source", "size", "row_hash", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    own_hash = F.when(F.col("copy") == 1, F.col("row_hash")).otherwise(F.xxhash64("row_hash", "copy"))
+    sized = written(each.withColumn("copy_hash", own_hash), "mix-sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     all_blocks = sources.agg(F.round(F.sum("source_size") / block_words).cast("long").alias("all_blocks"))
-    sources = written(sources.withColumn("source_group", F.floor(F.col("source_no") / PARTS_A_GROUP)), "mix-targets")
-    groups = sources.groupBy("source_group").agg(F.sum("target").alias("group_target")).join(F.broadcast(all_blocks)).withColumn("_all", F.lit(0))
-    groups = sainte_lague(groups, ["_all"], "source_group", "group_target", "all_blocks", "group_blocks").select("source_group", "group_blocks")
-    sources = sainte_lague(sources.join(groups, "source_group"), ["source_group"], "source_no", "target", "group_blocks", "source_blocks")
-    sources = written(sources.drop("source_group", "group_blocks"), "mix-sources")
+    sources = written(sources.join(F.broadcast(all_blocks)).withColumn("_all", F.lit(0)), "mix-targets")
+    sources = sainte_lague(sources, ["_all"], "source_no", "target", "all_blocks", "source_blocks")
+    sources = written(sources.drop("_all", "all_blocks"), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
     side = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     placed = sized.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     empty = placed.where("size = 0")  # a source may hold very many, and no block has any of them
-    placed = placed.where("size > 0").withColumn("shard", F.pmod("row_hash", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
-    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size")).withColumn("shard_group", F.floor(F.col("shard") / PARTS_A_GROUP))
-    shards = written(shards, "mix-shards")
-    groups = shards.groupBy("source_no", "shard_group").agg(F.sum("shard_size").alias("group_size")).join(sources.select("source_no", "source_blocks"), "source_no")
-    groups = sainte_lague(groups, ["source_no"], "shard_group", "group_size", "source_blocks", "group_blocks").drop("source_blocks", "group_size")
-    dealt = sainte_lague(shards.join(groups, ["source_no", "shard_group"]), ["source_no", "shard_group"], "shard", "shard_size", "group_blocks", "quota")
+    placed = placed.where("size > 0").withColumn("shard", F.pmod("copy_hash", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
+    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size")).join(sources.select("source_no", "source_blocks"), "source_no")
+    dealt = sainte_lague(shards, ["source_no"], "shard", "shard_size", "source_blocks", "quota")
     blocks = F.ceil(F.col("shard_size") / block_words)
     dealt = dealt.withColumn("blocks", blocks).withColumn("quota", F.least("quota", F.col("blocks") * max_repeats))
     dealt = dealt.withColumn("passes", F.floor(F.col("quota") / F.col("blocks")))
     drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.xxhash64(F.lit(seed), F.col("source_no"), F.col("shard"), b).alias("h"), b.alias("b"))))
     more = F.when(F.col("quota") > F.col("passes") * F.col("blocks"), F.slice(drawn, 1, (F.col("quota") - F.col("passes") * F.col("blocks")).cast("int"))["b"]).otherwise(F.array().cast("array<bigint>"))
     dealt = written(dealt.select("source_no", "shard", "passes", more.alias("more")), "mix-quotas")
-    laid = Window.partitionBy("source_no", "shard").orderBy("row_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = Window.partitionBy("source_no", "shard").orderBy("copy_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     plan = placed.withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0))).join(dealt, ["source_no", "shard"])
     overlap = F.aggregate(F.col("more"), F.lit(0).cast("long"), lambda n, b: n + F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), (b + 1) * block_words) - F.greatest(F.col("start"), b * block_words)))
     zero = F.lit(0).cast("long")

@@ -133,12 +133,12 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, l2: f
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
     """Fit on at most ``positives`` trusted documents (label 1, not held out) and ``unlabelled`` ones of all documents,
-    whose labels aren't looked at. Without positives, every score is 0.5."""
+    whose labels aren't looked at. An id of several texts counts with the least. Without positives, every score is 0.5."""
     trusted = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
     trusted = trusted.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(positives)
     web = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(unlabelled)
     chosen = trusted.withColumn("part", F.lit(1)).unionByName(web.withColumn("part", F.lit(0)))  # bounded, so it can be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "part").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:

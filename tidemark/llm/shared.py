@@ -3,36 +3,20 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import scratch_folder, written
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "held_out", "scratch_folder", "steps", "table", "written"]
+
 #: ASCII white space, the separators of a word in the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where unset, a local folder, and only under a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str, within: str = "") -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder (under ``within``) and read it back, so a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{within or scratch_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def steps(spark: SparkSession, name: str):
     """A subfolder of the shared folder for tables between steps. It goes at the end, so what leaves must be written elsewhere."""

@@ -75,11 +75,11 @@ class SentenceModel:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, text, label): at most ``size`` labelled documents that aren't held out, chosen by hash of the id. A
-    document with several labels counts with the greatest; null ids and labels are left out."""
+    document with several labels counts with the greatest, an id of several texts with the least; null ids and labels are left out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)  # bounded, so it can be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def _counted(batches):
