@@ -69,8 +69,9 @@ def collapsed(docs: DataFrame) -> DataFrame:
     return texts.select(_text_id(F.col("text")).alias("text_id"), "copies", F.col("text").cast("binary").alias("text")).mapInArrow(_featured, _FEATURES)
 
 
-def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Features of all rows by bucket, each text's times its copies. Tasks and Spark sum them; ``buckets`` rows at most come to the driver."""
+def bucket_counts(features: DataFrame, buckets: int = BUCKETS, parts: int = 8) -> np.ndarray:
+    """Features of all rows by bucket, each text's times its copies. A task's sums are a packed row for each part of the buckets,
+    and Spark adds the rows of a part; the driver gets ``buckets`` numbers, whatever the corpus."""
 
     def summed(batches):
         total = np.zeros(buckets, np.int64)
@@ -78,14 +79,15 @@ def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
             for copies, data in zip(batch["copies"].to_pylist(), batch["cells"].to_pylist(), strict=True):
                 at, times = _cells(data)
                 total[at] += times * copies
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
-
-    found = features.select("copies", "cells").mapInArrow(summed, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(buckets, np.int64)
-    for r in found:
-        out[r["bucket"]] = r["n"]
-    return out
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, parts)], pa.binary())], names=["part", "counts"])
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(x, np.int64) for batch in batches for x in batch["counts"].to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    rows = features.select("copies", "cells").mapInArrow(summed, "part int, counts binary").groupBy("part").applyInArrow(added, "part int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(buckets, np.int64)
 
 
 def bucket_gains(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
