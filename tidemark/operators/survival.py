@@ -35,28 +35,83 @@ def durations(df: DataFrame, start: str, end: str, cut: str, by: Sequence[str] =
     return df.where(F.col(start).isNotNull()).select(*by, F.when(days == 0, 0.5).otherwise(days).alias("days"), F.col(end).isNotNull().alias("event")).where("days > 0")
 
 
-def survival_curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def survival_curve(rows: DataFrame, by: Sequence[str] = (), weight: str | None = None, entry: str | None = None) -> DataFrame:
     """(by, days, at_risk, events, survival): Kaplan-Meier. Rows leave the risk set after the events of their own time.
 
+    ``weight``: how often a row counts. ``entry``: the time after which a row is at risk, where it wasn't watched from the start.
     Counts of each distinct time come first, and are written, as each sum reads them again; the sums over times go by ranges,
     so long curves take no single task."""
-    counts = rows.groupBy(*by, "days").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("event").cast("long")).alias("events"))
+    by, w = list(by), F.col(weight) if weight else F.lit(1)
+    left = rows.groupBy(*by, "days").agg(F.sum(w).alias("_n"), F.sum(F.when(F.col("event"), w).otherwise(0)).alias("events"))
+    came = rows.groupBy(*by, *([F.col(entry).alias("days")] if entry else [])).agg(F.sum(w).alias("_in"))
+    if not entry:
+        came = came.withColumn("days", F.lit(-1.0))
+    both = left.withColumn("_exit", F.lit(1)).unionByName(came.select(*by, F.col("days").cast(dict(left.dtypes)["days"]).alias("days"), "_in"), allowMissingColumns=True)
+    counts = both.groupBy(*by, "days").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_n", "events", "_in")], F.max("_exit").alias("_exit"))
     counts = written(counts, "times")
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    upto = running_sums(counts, "days", {"_left": F.col("_n")}, by=list(by))
-    joined = upto.join(total, list(by)) if by else upto.join(F.broadcast(total))
-    risk = joined.withColumn("at_risk", F.col("_total") - F.col("_left") + F.col("_n"))
-    gone = F.when(F.col("events") < F.col("at_risk"), F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(0.0)
-    dead = (F.col("events") >= F.col("at_risk")).cast("int")
-    summed = running_sums(risk, "days", {"_log": gone, "_dead": dead}, by=list(by))
+    upto = running_sums(counts, "days", {"_left": F.col("_n"), "_came": F.col("_in")}, by=by)
+    risk = upto.withColumn("at_risk", F.col("_came") - F.col("_in") - F.col("_left") + F.col("_n")).where("_exit = 1").select(*by, "days", "at_risk", "events")
+    risk = written(risk, "at-risk")
+    some = F.col("events") > 0
+    gone = F.when(some & (F.col("events") < F.col("at_risk")), F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(0.0)
+    dead = (some & (F.col("events") >= F.col("at_risk"))).cast("int")
+    summed = running_sums(risk, "days", {"_log": gone, "_dead": dead}, by=by)
     return summed.select(*by, "days", "at_risk", "events", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_log")).alias("survival"))
 
 
+def spans_from_start(df: DataFrame, entity: str, date: str, is_event: Column, start: Column, until: str | None = None, single: bool = False) -> DataFrame:
+    """(entity, days, event, entry): lives counted from ``start`` (the least of an entity's rows). An entity is watched from its first
+    row on, so its first life has an ``entry``: the days before it, in which an event would have been missed. Events at or before
+    the start don't count. ``single``: an event ends the entity's life; else further lives follow, from event to event, with
+    entry 0. The last ends unfinished at ``until``, else at the entity's last row. Lives that end by their entry are left out."""
+    rows = df.where(F.col(entity).isNotNull() & F.col(date).isNotNull()).select(F.col(entity).alias("entity"), micros(F.col(date)).alias("t"), F.coalesce(is_event, F.lit(False)).alias("e"), micros(start).alias("s"))
+    end = F.max("t") if until is None else F.unix_micros(F.lit(until).cast("timestamp"))
+    whole = rows.groupBy("entity").agg(F.min("t").alias("first"), F.min("s").alias("start"), end.alias("end")).where("start is not null")
+    times = rows.where("e").select("entity", "t").distinct().join(whole, "entity").where("t > start")
+    if single:
+        times = times.groupBy("entity", "first", "start", "end").agg(F.min("t").alias("t"))
+    before = F.lag("t").over(Window.partitionBy("entity").orderBy("t"))  # different event times of an entity
+    ended = times.withColumn("from", F.coalesce(before, "start")).select("entity", "from", F.col("t").alias("to"), F.lit(True).alias("event"), "first")
+    last = times.groupBy("entity").agg(F.max("t").alias("last"))
+    rest = whole.join(last, "entity", "left").where("last is null" if single else "true").select("entity", F.coalesce("last", "start").alias("from"), F.col("end").alias("to"), F.lit(False).alias("event"), "first")
+    day = lambda c: (c - F.col("from")) / DAY
+    lives = ended.unionByName(rest).select("entity", day(F.col("to")).alias("days"), "event", F.greatest(day(F.col("first")), F.lit(0.0)).alias("entry"))
+    return lives.where("days > entry")
+
+
 def quantile_time(curve: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
     """First time at which no more than 1 - ``share`` survive."""
     return curve.where(F.col("survival") <= 1 - share + 1e-12).groupBy(*by).agg(F.min("days").alias("days"))
 
 
+def at_or_before(curve: DataFrame, asked: DataFrame, key: str, at: str, made: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``asked`` with aggregates (see ``ordered.strictly_before``) of the rows of ``curve`` whose ``days`` are at most ``at``, by ``key``
+    (a text). Values are compared to twelve places; no row of ``asked`` is multiplied."""
+    ticks = lambda c: F.round(c * 1e12).cast("long")
+    steps = curve.select(F.col(key).alias("_key"), ticks(F.col("days")).alias("_time"), F.struct(*curve.columns).alias("_step"))
+    rows = asked.select(F.coalesce(F.col(key), F.lit("")).alias("_key"), (ticks(F.col(at)) + 1).alias("_time"), F.struct(*asked.columns).alias("_asked"))
+    both = steps.unionByName(rows, allowMissingColumns=True)
+    found = strictly_before(both, "_key", "_time", made)
+    return found.where("_asked is not null").select("_asked.*", *made)
+
+
+def open_cases(cases: DataFrame, by: str, width: float) -> DataFrame:
+    """Open cases (columns of ``cases``: by, days, event and others) with ``exceeded``, the share of the finished cases of their
+    group that took no longer than they have lasted, and ``p``, the chance to finish within ``width`` days, given that they
+    haven't yet; null where nothing of the group is known so far out."""
+    rows = cases.withColumn("_group", F.coalesce(F.col(by).cast("string"), F.lit("\0")))
+    curve = written(survival_curve(rows, ["_group"]), "case-curve")
+    finished = rows.where("event").groupBy("_group").agg(F.count(F.lit(1)).alias("_finished"))
+    open_ = written(rows.where("not event").withColumn("_row", F.monotonically_increasing_id()), "open-cases")
+    asked = open_.select("_row", "_group", F.col("days").cast("double").alias("_at"), F.lit("now").alias("_when")).unionByName(open_.select("_row", "_group", (F.col("days") + width).alias("_at"), F.lit("then").alias("_when")))
+    found = at_or_before(curve, asked, "_group", "_at", {"_s": ("min", F.col("_step.survival")), "_done": ("sum", F.col("_step.events"))})
+    of = lambda when, c, none: F.coalesce(F.max(F.when(F.col("_when") == when, F.col(c))), F.lit(none))
+    told = found.groupBy("_row").agg(of("now", "_s", 1.0).alias("_now"), of("then", "_s", 1.0).alias("_then"), of("now", "_done", 0).alias("_done"))
+    out = open_.join(told, "_row").join(finished, "_group", "left")
+    p = F.when(F.col("_now") > 0, 1 - F.col("_then") / F.col("_now"))
+    return out.select(*cases.columns, F.try_divide(F.col("_done").cast("double"), F.col("_finished")).alias("exceeded"), p.alias("p"))
+
+
 def event_features(df: DataFrame, entity: str, date: str, is_event: Column, days: int, row: str, cut: str | None = None) -> DataFrame:
     """(row, label, days_since, events_before, observable): whether the entity has an event in the next ``days`` days, how long
     since its last event strictly before, how many different event times are before, and whether those days are over by the cut.

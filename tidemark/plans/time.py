@@ -341,6 +341,49 @@ def window_probabilities(spark, d):
     return out.select("entity", r("age", 6).alias("age"), r("p", 6).alias("p"), "beyond")
 
 
+#: Age and chance by the curve of a group, or of all, from a curve table ``c`` and its tails.
+OWN = """with ev as (select user_id, epoch_us(ts) as t, event_type from events), t as (select distinct user_id, t from ev where event_type = 'error'), e as (select user_id, max(t) as last from ev group by 1),
+n as (select *, lead(t) over (partition by user_id order by t) as nx from t), s0 as (select n.user_id, 'g' || (n.user_id % 7 * (n.user_id % 7)) as g, (coalesce(nx, last) - t) / 86400000000.0 as days, nx is not null as event from n join e using (user_id) where coalesce(nx, last) > t),
+own as (select g from s0 group by 1 having count(*) >= 20 and count(*) filter (event) >= 10), s as (select '' as curve, days, event from s0 union all select '=' || g, days, event from s0 join own using (g)),
+k as (select curve, days, count(*) as n, count(*) filter (event) as events from s group by all), q as (select *, sum(n) over (partition by curve order by days desc) as risk from k),
+c as (select curve, days, risk, case when max((events >= risk)::int) over w > 0 then 0.0 else exp(sum(case when events < risk then ln(1 - events / risk) else 0 end) over w) end as survival from q window w as (partition by curve order by days)),
+tot as (select curve, count(*) as n, sum(days) as total from s group by 1), u as (select curve, coalesce(max(days) filter (risk >= greatest(5, 0.05 * n)), min(days)) as sup, any_value(total) as total from c join tot using (curve) group by 1),
+rt as (select curve, sup, s_end, greatest(case when s_end > 0 and s_mid > s_end then -ln(s_end / s_mid) / (sup / 2) else 0 end, 0.5 / total) as rate from (select u.*, (select c.survival from c where c.curve = u.curve and c.days <= u.sup order by c.days desc limit 1) as s_end, coalesce((select c.survival from c where c.curve = u.curve and c.days <= u.sup / 2 order by c.days desc limit 1), 1.0) as s_mid from u)),
+a as (select user_id as entity, max(days) as age, any_value(case when g in (select g from own) then '=' || g else '' end) as curve from s0 where not event group by 1),
+x as (select entity, age, a.curve, coalesce((select c.survival from c where c.curve = a.curve and c.days <= least(a.age, sup) order by c.days desc limit 1), 1.0) * exp(-rate * greatest(a.age - sup, 0)) as s_now,
+coalesce((select c.survival from c where c.curve = a.curve and c.days <= least(a.age + 5, sup) order by c.days desc limit 1), 1.0) * exp(-rate * greatest(a.age + 5 - sup, 0)) as s_then, a.age > sup as beyond from a join rt on a.curve = rt.curve)"""
+
+
+@query(OWN + " select entity, curve, round(age, 6) as age, round(case when s_now > 0 then 1 - s_then / s_now end, 6) as p, beyond from x")
+def own_or_whole_curve(spark, d):
+    k = F.col("entity") % 7
+    spans = _spans(spark, d).withColumn("g", F.concat(F.lit("g"), k * k))
+    out = li.window_probability(li.fit(spans, by="g"), li.alive(spans, "g"), 5.0)
+    return out.select("entity", "curve", r("age", 6).alias("age"), r("p", 6).alias("p"), "beyond")
+
+
+@query("""with o as (select o_custkey as entity, epoch_us(o_orderdate) as t, o_orderstatus = 'F' and o_orderkey % 4 = 0 as e from orders), w as (select entity, min(t) as first, max(t) as last, epoch_us(timestamp '1992-01-01') as start from o group by 1),
+x as (select distinct o.entity, o.t from o join w on o.entity = w.entity where e and o.t > start), y as (select *, lag(t) over (partition by entity order by t) as before from x),
+l as (select entity, coalesce(before, start) as f, t, true as event from y join w using (entity) union all select entity, coalesce((select max(x.t) from x where x.entity = w.entity), start), last, false from w),
+s as (select (t - f) / 86400000000.0 as days, event, greatest((first - f) / 86400000000.0, 0) as entry from l join w using (entity)), s1 as (select * from s where days > entry),
+k as (select days, count(*) as n, count(*) filter (event) as events from s1 group by 1), q as (select *, (select count(*) from s1 where s1.entry < k.days and s1.days >= k.days) as risk from k)
+select round(days, 6) as days, risk as at_risk, events, round(case when max((events >= risk and events > 0)::int) over w > 0 then 0.0 else exp(sum(case when events < risk then ln(1 - events / risk) else 0 end) over w) end, 8) as survival from q window w as (order by days)""")
+def km_delayed_entry(spark, d):
+    late = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 4 == 0)
+    lives = su.spans_from_start(read(spark, d, "orders"), "o_custkey", "o_orderdate", late, F.lit("1992-01-01").cast("timestamp_ntz"))
+    return su.survival_curve(lives, entry="entry").select(r("days", 6).alias("days"), "at_risk", "events", r("survival", 8).alias("survival"))
+
+
+@query("with s as (select o_orderpriority, o_orderkey, case when o_custkey % 5 > 0 then (1 + o_custkey % 40)::double else case when o_orderdate = timestamp '1999-01-01' then 0.5 else (epoch_us(timestamp '1999-01-01') - epoch_us(o_orderdate)) / 86400000000.0 end end as days, o_custkey % 5 > 0 as event from orders where o_custkey % 5 > 0 or o_orderdate <= timestamp '1999-01-01')"
+    + CURVE.format(by="o_orderpriority,", part="partition by o_orderpriority") + """, o as (select o_orderkey, o_orderpriority, days from s where not event), g as (select o_orderpriority, count(*) as finished from s where event group by 1),
+x as (select o.*, finished, coalesce((select min(c.survival) from c where c.o_orderpriority = o.o_orderpriority and c.days <= o.days), 1.0) as s_now, coalesce((select min(c.survival) from c where c.o_orderpriority = o.o_orderpriority and c.days <= o.days + 30), 1.0) as s_then, (select count(*) from s where s.event and s.o_orderpriority = o.o_orderpriority and s.days <= o.days) as done from o left join g on g.o_orderpriority = o.o_orderpriority)
+select o_orderkey, round(days, 6) as days, round(done / finished, 6) as exceeded, round(case when s_now > 0 then 1 - s_then / s_now end, 6) as p from x""")
+def open_cases(spark, d):
+    end = F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderdate") + F.expr("make_dt_interval(cast(1 + o_custkey % 40 as int))"))
+    cases = su.durations(read(spark, d, "orders").withColumn("done", end.cast("timestamp_ntz")), "o_orderdate", "done", "1999-01-01 00:00:00", ["o_orderpriority", "o_orderkey"])
+    return su.open_cases(cases, "o_orderpriority", 30.0).select("o_orderkey", r("days", 6).alias("days"), r("exceeded", 6).alias("exceeded"), r("p", 6).alias("p"))
+
+
 @query()
 def useful_life(spark, d):
     return li.useful_life(_spans(spark, d), 5.0)[1]
