@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import forecasting as fc
+from tidemark.operators import forecasts as fo
 from tidemark.operators import questions as qu
 from tidemark.operators import series as se
 
@@ -19,60 +19,101 @@ def made(kind, n, rng):
     return {"walk": np.cumsum(rng.normal(0, 1, n)) + 100, "season": 50 + 10 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 2, n), "trend": 20 + 0.5 * t + rng.normal(0, 3, n), "times": (20 + 0.3 * t) * (1 + 0.4 * np.sin(2 * np.pi * t / 7)) * np.exp(rng.normal(0, 0.03, n))}[kind]
 
 
-@pytest.mark.parametrize(("kind", "low", "high"), [("walk", 0.65, 0.95), ("season", 0.68, 0.95), ("trend", 0.65, 0.99)])
-def test_intervals_hold_on_what_came_after(kind, low, high):
-    hit = []
-    for seed in range(14):
-        y = made(kind, 160, np.random.default_rng(seed))
-        f = fc.forecast_frame(y[:150], 7, 10)
-        hit.append(((f["low"] <= y[150:]) & (y[150:] <= f["high"])).mean())
-        assert f["method"].nunique() == 1 and (f["sigma"].diff().dropna() >= -1e-12).all()
-    assert low <= np.mean(hit) <= high
+def forecasts(spark, many, m, h, **options):
+    """Frames of forecasts by name, all series in one call."""
+    rows = [(name, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), None if v is None else float(v)) for name, y in many.items() for k, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "name string, period timestamp_ntz, y double")
+    out = pd.DataFrame([r.asDict() for r in fo.project(df, ["name"], m or 7, 10**9 if m is None else 3 * m, h, **options).collect()])
+    return {k: v.sort_values("step").reset_index(drop=True) for k, v in out.groupby("name", dropna=False)}
+
+
+def test_intervals_hold_on_what_came_after(spark):
+    kinds = {"walk": (0.65, 0.95), "season": (0.68, 0.95), "trend": (0.65, 0.99)}
+    whole = {f"{kind} {seed}": made(kind, 160, np.random.default_rng(seed)) for kind in kinds for seed in range(10)}
+    got = forecasts(spark, {k: y[:150] for k, y in whole.items()}, 7, 10)
+    for kind, (low, high) in kinds.items():
+        hit = []
+        for name, f in got.items():
+            if name.startswith(kind):
+                later = whole[name][150:]
+                hit.append(((f["low"] <= later) & (later <= f["high"])).mean())
+                assert f["method"].nunique() == 1 and (f["sigma"].diff().dropna() >= -1e-12).all() and 0 <= f["coverage"][0] <= 1 and f["origins"][0] == 16
+        assert low <= np.mean(hit) <= high, kind
 
 
-def test_methods_fit_their_series():
+def test_methods_fit_their_series(spark):
     rng = np.random.default_rng(5)
-    assert "season" in fc.forecast_frame(made("season", 200, rng), 7, 14)["method"][0]
-    times = fc.forecast_frame(made("times", 200, rng), 7, 14)
-    assert times["method"][0].endswith("season multiplied") and times["improvement"][0] > 0.4
-    line = fc.forecast_frame(2.0 * np.arange(60), None, 5)
-    assert np.allclose(line["forecast"], 2.0 * np.arange(60, 65))
-    assert fc.forecast_frame([], 7, 3).empty and list(fc.forecast_frame([4.0], 7, 3)["forecast"]) == [4.0] * 3
-    assert fc.forecast_frame([5, None, 5, float("nan"), 5], None, 2)["forecast"].tolist() == [5.0, 5.0]
-
-
-def test_damped_trend_against_a_loop():
-    """Each pair of rates and damping on its own, step by step."""
-    y = np.random.default_rng(2).normal(0, 1, 50).cumsum()
-    best = None
-    for a in fc.LEVEL_RATES:
-        for b in fc.SLOPE_RATES:
-            for p in fc.DAMPINGS:
-                level, slope, missed = y[0], (y[3] - y[0]) / 3, 0.0
-                for v in y[1:]:
-                    guess = level + p * slope
-                    missed += (v - guess) ** 2
-                    fresh = a * v + (1 - a) * guess
-                    slope, level = b * (fresh - level) + (1 - b) * p * slope, fresh
-                if best is None or missed < best[0]:
-                    best = missed, [level + slope * sum(p**j for j in range(1, k + 1)) for k in range(1, 6)]
-    assert np.allclose(fc.damped_trend(y, 5), best[1])
-
-
-def test_history_bounds_are_the_callers():
-    y = np.concatenate([np.zeros(500), np.arange(200.0)])
-    assert fc.predict(y, "long trend", None, 1, long_periods=200)[0] == pytest.approx(200) != pytest.approx(fc.predict(y, "long trend", None, 1, long_periods=700)[0])
-    assert fc.forecast_frame(y, None, 2, most_periods=100)["forecast"][0] == pytest.approx(200)
-
-
-def test_seasonal_strength_in_spark_and_numpy(spark):
+    many = {"season": made("season", 200, rng), "times": made("times", 200, rng), "line": 2.0 * np.arange(60), "one": [4.0], "gaps": [5, None, 5, float("nan"), 5], None: [1.0, 2.0, 3.0]}
+    got = forecasts(spark, many, 7, 14)
+    assert "season" in got["season"]["method"][0]
+    assert got["times"]["method"][0].endswith("season multiplied") and got["times"]["improvement"][0] > 0.4
+    assert np.allclose(got["line"]["forecast"], 2.0 * np.arange(60, 74))
+    assert list(got["one"]["forecast"]) == [4.0] * 14 and list(got["gaps"]["forecast"]) == [5.0] * 14
+    assert len(got) == 6 and (next(v for k, v in got.items() if k is None or k != k)["forecast"] == 3.0).all()
+    assert fo.project(spark.createDataFrame([], "period timestamp_ntz, y double"), [], 7, 21, 5).count() == 0
+
+
+def plain_candidates(y, m, h):
+    """Each candidate's forecast in plain numpy."""
+    n, t = len(y), np.arange(len(y))
+
+    def line(z, w):
+        w = min(w, n)
+        slope, cut = np.polyfit(t[-w:], z[-w:], 1) if w > 1 else (0.0, z[-1])
+        return cut + slope * np.arange(n, n + h)
+
+    def damped(z):
+        best = None
+        for a in fo.LEVEL_RATES:
+            for b in fo.SLOPE_RATES:
+                for p in fo.DAMPINGS:
+                    level, slope, missed = z[0], (z[3] - z[0]) / 3, 0.0
+                    for v in z[1:]:
+                        guess = level + p * slope
+                        missed += (v - guess) ** 2
+                        fresh = a * v + (1 - a) * guess
+                        slope, level = b * (fresh - level) + (1 - b) * p * slope, fresh
+                    if best is None or missed < best[0]:
+                        best = missed, [level + slope * sum(p**j for j in range(1, k + 1)) for k in range(1, h + 1)]
+        return np.array(best[1])
+
+    methods = lambda z: {"last": np.full(h, z[-1]), "recent mean": np.full(h, z[-max(m, 6) :].mean()), "recent trend": line(z, max(14, 4 * m, n // 3)), "long trend": line(z, 500), "damped": damped(z)}
+    level = np.array([y[max(0, k - m // 2) : k + (m - 1) // 2 + 1].mean() for k in t])
+    add = np.array([(y - level)[t % m == p].mean() for p in range(m)])
+    times = np.array([(y / level)[t % m == p].mean() for p in range(m)])
+    add, times, ahead = add - add.mean(), times / times.mean(), np.arange(n, n + h) % m
+    out = {(k, ""): v for k, v in methods(y).items()} | {("seasonal", ""): np.resize(y[-m:], h), ("historic mean", ""): np.full(h, y.mean())}
+    out |= {(k, "added"): v + add[ahead] for k, v in methods(y - add[t % m]).items()}
+    return out | {(k, "multiplied"): v * times[ahead] for k, v in methods(y / times[t % m]).items()}
+
+
+def test_every_candidate_against_numpy(spark):
+    y = made("times", 90, np.random.default_rng(2))
+    rows = [(k, float(v), 90) for k, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "i int, y double, n int").select(F.struct(F.lit("x").alias("name")).alias("_series"), "i", "y", "n")
+    points = fo._origins(df, 7, 21, 5, 16)
+    assert [r["t"] for r in points.where("turn is not null").orderBy("turn").collect()] == sorted({14 + int(np.floor(k * 71 / 15 + 0.5)) for k in range(16)})
+    got = {}
+    for r in fo._ahead(df, points, 7, 600, 500).collect():
+        got.setdefault(r["t"], {}).setdefault((r["method"], r["form"]), {})[r["step"]] = r["value"]
+    for t in (14, 90, 14 + int(np.floor(7 * 71 / 15 + 0.5))):
+        want = plain_candidates(y[:t], 7, 5)
+        assert got[t].keys() == want.keys()
+        for c, v in want.items():
+            assert np.allclose([got[t][c][k] for k in range(1, 6)], v), (t, c)
+
+
+def test_history_bounds_are_the_callers(spark):
+    y = {"x": np.concatenate([np.zeros(150), np.arange(60.0)])}
+    assert forecasts(spark, y, None, 2, most_periods=40)["x"]["forecast"][0] == pytest.approx(60)
+
+
+def test_seasonal_strength(spark):
     rng, rows = np.random.default_rng(8), []
     for name in ("season", "walk"):
         rows += [(name, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), float(v)) for k, v in enumerate(made(name, 70, rng))]
     df = spark.createDataFrame(rows, "name string, period timestamp_ntz, y double")
     got = {r["name"]: r["strength"] for r in se.seasonal_strength(df, 7, ["name"]).collect()}
-    for name in got:
-        assert got[name] == pytest.approx(fc.seasonal_strength(np.array([r[2] for r in rows if r[0] == name]), 7))
     assert got["season"] > 0.8 > 0.4 > got["walk"]
     assert sum(r["effect"] for r in se.season_indices(df.where("name = 'season'"), 7, ["name"]).collect()) == pytest.approx(0)
 
@@ -118,25 +159,32 @@ def test_threshold_and_saturation(spark):
 
 
 def test_scenario_finds_a_known_elasticity(spark):
-    inside = 0
+    rows, series = [], {}
     for seed in range(10):
         rng = np.random.default_rng(seed)
         x = np.exp(rng.normal(2, 0.3, 120))
         y = np.exp(3 - 1.5 * np.log(x) + rng.normal(0, 0.1, 120))
-        got = fc.elasticity(y, x, None, 0.10, seed=seed)
-        inside += got["low"] <= 1.1**-1.5 - 1 <= got["high"]
-        assert got["logs"] and got["distinct"] and got["share"] > 0.5
+        series[f"s{seed}"] = x, y
+    for name, (x, y) in series.items():
+        rows += [(name, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), float(y[k]), float(x[k])) for k in range(120)]
+    df = spark.createDataFrame(rows, "name string, day timestamp_ntz, sales double, price double")
+    ready = qu.prepare(df, "day", "sales", by=["name"])
+    got = {r["name"]: r for r in qu.scenario(ready, df, "day", "price", 0.10).collect()}
+    inside = 0
+    for name, (x, y) in series.items():
+        r = got[name]
+        inside += r["low"] <= 1.1**-1.5 - 1 <= r["high"]
+        assert r["logs"] and r["distinct"] and r["share"] > 0.5 and r["periods"] == 120
+        t, columns = np.arange(120), [np.ones(120), np.log(x), np.arange(120)]
+        if r["seasonal"]:
+            columns += [(t % 7 == p).astype(float) for p in range(1, 7)]
+        assert r["slope"] == pytest.approx(np.linalg.lstsq(np.column_stack(columns), np.log(y), rcond=None)[0][1])
+        assert r["effect"] == pytest.approx(1.1 ** r["slope"] - 1)
     assert inside >= 7
-    design = np.c_[np.ones(120), np.log(x), np.arange(120)]
-    assert got["slope"] == pytest.approx(np.linalg.lstsq(design, np.log(y), rcond=None)[0][1])
-    df = daily(spark, y).withColumn("n", F.row_number().over(__import__("pyspark").sql.Window.orderBy("day")))
-    price = spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(x)], "n int, price double")
-    both = df.join(price, "n")
-    answer = qu.scenario(qu.prepare(both, "day", "sales"), both, "day", "price", 0.10, seed=seed).first()
-    assert answer["effect"] == pytest.approx(got["effect"], abs=0.02) and answer["periods"] == 120
-    assert qu.scenario(qu.prepare(both, "day", "sales"), both.withColumn("price", F.lit(3.0)), "day", "price").count() == 0
+    flat = df.withColumn("price", F.lit(3.0))
+    assert qu.scenario(qu.prepare(flat, "day", "sales", by=["name"]), flat, "day", "price").count() == 0
     with pytest.raises(ValueError):
-        qu.scenario(qu.prepare(both, "day", "sales"), both, "day", "price", -1.0)
+        qu.scenario(ready, df, "day", "price", -1.0)
 
 
 def test_ask(spark):

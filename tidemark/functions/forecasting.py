@@ -1,229 +1,10 @@
-"""Forecasts of one series: simple methods, chosen and judged on rolling origins. Small numpy helpers for the tasks of a group."""
+"""How long a stock lasts: a small numpy helper for a batch of elements."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-
-# The smoothing rates of level and slope and the dampings that are tried, and windows in periods.
-LEVEL_RATES, SLOPE_RATES, DAMPINGS = (0.05, 0.15, 0.4, 0.8), (0.005, 0.03, 0.15), (0.9, 0.98, 1.0)
-HOLT_PERIODS, LONG_PERIODS, ORIGINS = 600, 500, 16
-#: A simpler candidate is taken if its error is at most so much above the least.
-NEARLY = 1.03
-METHODS = ("last", "recent mean", "recent trend", "long trend", "damped")
-#: From the simplest on; the season is none, added or multiplied.
-CANDIDATES = [(k, None) for k in METHODS] + [("seasonal", None)] + [(k, s) for s in ("added", "multiplied") for k in METHODS]
-#: Methods that follow the last value: their error grows at least as that of a random walk.
-DRIFTING = ("last", "damped")
-HISTORIC_MEAN = ("historic mean", None)
-
-
-def _line(y: np.ndarray, h: int) -> np.ndarray:
-    x = np.arange(len(y)) - (len(y) - 1) / 2
-    slope = x @ y / (x @ x) if len(y) > 1 else 0.0
-    return y.mean() + slope * (x[-1] + np.arange(1, h + 1))
-
-
-def damped_trend(y: np.ndarray, h: int) -> np.ndarray:
-    """Holt's level and damped slope. All rates and dampings of the grid run side by side over the series; the one whose
-    steps missed least goes on."""
-    if len(y) < 4:
-        return np.full(h, y[-1])
-    alpha, beta, phi = (x.ravel() for x in np.meshgrid(LEVEL_RATES, SLOPE_RATES, DAMPINGS, indexing="ij"))
-    level, slope, missed = np.full(alpha.shape, y[0]), np.full(alpha.shape, (y[3] - y[0]) / 3), np.zeros(alpha.shape)
-    for v in y[1:]:
-        guess = level + phi * slope
-        missed += (v - guess) ** 2
-        fresh = guess + alpha * (v - guess)
-        slope = beta * (fresh - level) + (1 - beta) * phi * slope
-        level = fresh
-    k = int(np.argmin(missed))
-    return level[k] + slope[k] * np.cumsum(phi[k] ** np.arange(1, h + 1))
-
-
-def rolling_level(y: np.ndarray, m: int) -> np.ndarray:
-    """Means of the m periods around each, of at least half of them; for an even m the earlier side has one more."""
-    sums = np.concatenate([[0.0], np.cumsum(y)])
-    first, last = np.maximum(np.arange(len(y)) - m // 2, 0), np.minimum(np.arange(len(y)) + (m - 1) // 2 + 1, len(y))
-    return np.where(last - first >= max(2, m // 2), (sums[last] - sums[first]) / (last - first), np.nan)
-
-
-def season_effects(y: np.ndarray, m: int, multiplied: bool) -> np.ndarray | None:
-    """What each place of the cycle adds to the level, or by what it multiplies it, normalised; None where it can't be told."""
-    if len(y) < 2 * m or multiplied and (y <= 0).any():
-        return None
-    level, place = rolling_level(y, m), np.arange(len(y)) % m
-    some = np.isfinite(level)
-    off = y[some] / level[some] if multiplied else y[some] - level[some]
-    n = np.bincount(place[some], minlength=m)
-    effects = np.where(n > 0, np.bincount(place[some], off, m) / np.maximum(n, 1), float(multiplied))
-    if not multiplied:
-        return effects - effects.mean()
-    effects = effects / effects.mean()
-    return effects if np.isfinite(effects).all() and (effects > 0.05).all() else None
-
-
-def seasonal_strength(y: np.ndarray, m: int | None) -> float:
-    """From 0 to 1: the share of what is left around the level that the places of the cycle explain."""
-    if not m or len(y) < 2 * m:
-        return 0.0
-    rest, place = y - rolling_level(y, m), np.arange(len(y)) % m
-    some = np.isfinite(rest)
-    if some.sum() < 2 * m or rest[some].var() <= 0:
-        return 0.0
-    means = np.bincount(place[some], rest[some], m) / np.maximum(np.bincount(place[some], minlength=m), 1)
-    return float(np.clip(1 - (rest[some] - means[place[some]]).var() / rest[some].var(), 0, 1))
-
-
-def predict(y: np.ndarray, method: str, m: int | None, h: int, holt_periods: int = HOLT_PERIODS, long_periods: int = LONG_PERIODS) -> np.ndarray | None:
-    """``h`` periods on; ``m``: the cycle's length, if any. ``holt_periods`` and ``long_periods`` bound the periods that the damped and the long trend look back."""
-    n = len(y)
-    if method == "last":
-        return np.full(h, y[-1])
-    if method == "historic mean":
-        return np.full(h, y.mean())
-    if method == "recent mean":
-        return np.full(h, y[-max(m or 0, 6) :].mean())
-    if method == "recent trend":
-        return _line(y[-max(14, 4 * (m or 4), n // 3) :], h)
-    if method == "long trend":
-        return _line(y[-long_periods:], h)
-    if method == "damped":
-        return damped_trend(y[-holt_periods:], h)
-    return np.resize(y[-m:], h) if m and n >= m else None
-
-
-def predict_seasonal(y: np.ndarray, candidate: tuple[str, str | None], m: int | None, h: int, **windows) -> np.ndarray | None:
-    """A candidate's forecast: of the series itself, or of the series without its season, which is put back."""
-    method, season = candidate
-    if season is None:
-        return predict(y, method, m, h, **windows)
-    effects = season_effects(y, m, season == "multiplied") if m else None
-    if effects is None:
-        return None
-    past, future = effects[np.arange(len(y)) % m], effects[(len(y) + np.arange(h)) % m]
-    return predict(y / past, method, m, h, **windows) * future if season == "multiplied" else predict(y - past, method, m, h, **windows) + future
-
-
-def rolling_errors(y: np.ndarray, m: int | None, h: int, origins: int = ORIGINS, **windows) -> tuple[dict, np.ndarray, int | None]:
-    """(errors of each candidate as a matrix of origins and steps, the origins, the cycle that they could use). Steps: at most
-    a fifth of the series. Candidates that fail at some origin are left out."""
-    span = max(1, min(h, len(y) // 5))
-    last, first = len(y) - span, 8
-    if m and last - max(8, 2 * m) + 1 >= 4:
-        first = max(8, 2 * m)
-    else:
-        m = None
-    starts = np.unique(np.linspace(first, last, min(origins, max(last - first + 1, 0))).round().astype(int)) if last >= first else np.zeros(0, int)
-    if len(starts) < 2:
-        return {}, starts, m
-    found = {}
-    for c in [*CANDIDATES, HISTORIC_MEAN]:
-        rows = [predict_seasonal(y[:t], c, m, span, **windows) for t in starts]
-        if all(r is not None and np.isfinite(r).all() for r in rows):
-            found[c] = np.array([y[t : t + span] - r for t, r in zip(starts, rows, strict=True)])
-    return found, starts, m
-
-
-def _power(spread: np.ndarray) -> tuple[float, float] | None:
-    """(a, b) of spread ~ exp(a) k^b, b between 0 and 0.6; None for under five steps."""
-    if len(spread) < 5:
-        return None
-    k = np.log(np.arange(1, len(spread) + 1))
-    b = float(np.clip(np.polyfit(k, np.log(spread), 1)[0], 0.0, 0.6))
-    return float((np.log(spread) - b * k).mean()), b
-
-
-def spread_of(errors: np.ndarray, steps: int, drifting: bool = False) -> np.ndarray:
-    """The standard error at each of ``steps`` steps, never falling: a power of the step over those that were tried; beyond
-    them the same power, at least the root of the step for methods that follow the last value."""
-    tried = errors.shape[1]
-    seen = np.maximum.accumulate(np.maximum(np.sqrt((errors**2).mean(0)), 1e-12))
-    k, fit = np.arange(1, steps + 1), _power(seen)
-    out = np.exp(fit[0]) * k ** fit[1] if fit else seen[np.minimum(k, tried) - 1]
-    if steps > tried:
-        b = max(fit[1] if fit else 0.5, 0.5 if drifting else 0.0)
-        out = np.where(k <= tried, out, out[tried - 1] * (k / tried) ** b)
-    return np.maximum.accumulate(out)
-
-
-OUTPUT = ("step", "forecast", "low", "high", "sigma", "method", "error", "reference_error", "improvement", "coverage", "origins")
-
-
-def forecast_frame(y: Sequence[float], m: int | None, h: int, level: float = 0.8, most_periods: int | None = None, **windows) -> pd.DataFrame:
-    """Forecast of ``h`` steps with an interval of ``level``. With eight origins or more the method is chosen on the earlier
-    half, and its error, spread and gain over the simple answers (last, seasonal, historic mean) come from the later half;
-    the coverage is that of a spread from the earlier part of these on the rest. ``most_periods``: look back no further."""
-    y = np.asarray(y, dtype=float)
-    y = y[np.isfinite(y)][-(most_periods or len(y)) :]
-    if len(y) == 0:
-        return pd.DataFrame({c: pd.Series(dtype="int32" if c in ("step", "origins") else str if c == "method" else float) for c in OUTPUT})
-    z, nan = NormalDist().inv_cdf(0.5 + level / 2), float("nan")
-    errors, starts, cycle = rolling_errors(y, m, h, **windows)
-    if errors:
-        half = len(starts) // 2 if len(starts) >= 8 else 0
-        score = {c: float(np.sqrt((errors[c][: half or None] ** 2).mean())) for c in CANDIDATES if c in errors}
-        chosen = next(c for c in CANDIDATES if c in score and score[c] <= NEARLY * min(score.values()) + 1e-12)
-        later = errors[chosen][half:]
-        rmse = lambda c: float(np.sqrt((errors[c][half:] ** 2).mean()))
-        error, reference = rmse(chosen), min(rmse(c) for c in (("last", None), ("seasonal", None), HISTORIC_MEAN) if c in errors)
-        gain = float(np.clip(1 - error / reference, 0, 1)) if reference > 0 else 0.0
-        sigma = spread_of(later, h, chosen[0] in DRIFTING)
-        coverage = nan
-        if half and len(later) >= 6:
-            a, b = later[: len(later) // 2], later[len(later) // 2 :]
-            coverage = float((np.abs(b) <= z * spread_of(a, b.shape[1])).mean())
-        out = predict_seasonal(y, chosen, cycle, h, **windows)
-    else:
-        chosen, out, error, reference, gain, coverage = ("last", None), None, nan, nan, 0.0, nan
-        sigma = (np.diff(y).std() if len(y) > 1 else 0.0) * np.sqrt(np.arange(1, h + 1))
-    if out is None or not np.isfinite(out).all():
-        chosen, out = ("last", None), np.full(h, y[-1])
-    low, high = out - z * sigma, out + z * sigma
-    if (y >= 0).all():
-        out, low, high = (np.maximum(x, 0) for x in (out, low, high))
-    name = chosen[0] + (f" + season {chosen[1]}" if chosen[1] else "")
-    return pd.DataFrame({"step": np.arange(1, h + 1, dtype="int32"), "forecast": out, "low": low, "high": high, "sigma": sigma, "method": name, "error": error, "reference_error": reference, "improvement": gain, "coverage": coverage, "origins": np.int32(len(starts))})
-
-
-def elasticity(y: np.ndarray, x: np.ndarray, m: int | None, change: float, resamples: int = 400, seed: int = 0) -> dict | None:
-    """What a change of ``x`` by the share ``change`` goes with in ``y``: least squares on the driver, a trend and, where the season
-    is clear, the places of the cycle; of logarithms where both are positive throughout. The interval is the middle 95 % over
-    resampled blocks of residuals, longer ones where these persist. None with under 20 periods or a driver that never moves."""
-    n = len(y)
-    if n < 20 or x.std() == 0:
-        return None
-    logs = bool((y > 0).all() and (x > 0).all())
-    yy, xx = (np.log(y), np.log(x)) if logs else (y, x)
-    columns = [np.ones(n), xx, (np.arange(n) - (n - 1) / 2) / n]
-    seasonal = bool(m and n >= 3 * m and seasonal_strength(y, m) >= 0.15)
-    if seasonal:
-        columns += [(np.arange(n) % m == p).astype(float) for p in range(1, m)]
-    design = np.column_stack(columns)
-    solve = np.linalg.pinv(design)
-    beta = solve @ yy
-    fitted = design @ beta
-    rest = yy - fitted
-    rho = float(np.clip(np.nan_to_num(np.corrcoef(rest[:-1], rest[1:])[0, 1]) if rest.std() > 0 else 0.0, 0, 0.98))
-    block = int(np.clip(math.ceil(2 / (1 - rho)), max(2, round(n ** (1 / 3))), max(n // 4, 3)))
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, n - block + 1, (resamples, math.ceil(n / block)))
-    drawn = rest[(starts[:, :, None] + np.arange(block)).reshape(resamples, -1)[:, :n]]
-    betas = (fitted + drawn) @ solve[1]
-    recent = min(n, max(m or 4, 4))
-    x_now, y_now = float(x[-recent:].mean()), float(y[-recent:].mean())
-    effect = lambda b: (1 + change) ** b - 1 if logs else b * x_now * change / y_now if y_now else b * np.nan
-    low, high = np.nanpercentile(effect(betas), [2.5, 97.5])
-    r2 = lambda d: 1 - ((yy - d @ np.linalg.lstsq(d, yy, rcond=None)[0]) ** 2).sum() / max(((yy - yy.mean()) ** 2).sum(), 1e-300)
-    moved = x_now * (1 + change)
-    return {
-        "periods": n, "logs": logs, "seasonal": seasonal, "slope": float(beta[1]), "effect": float(effect(beta[1])), "low": float(low), "high": float(high), "share": max(float(r2(design) - r2(np.delete(design, 1, axis=1))), 0.0),
-        "distinct": bool(low > 0 or high < 0), "extrapolated": bool(moved < x.min() or moved > x.max()),
-    }
 
 
 def depletion_times(consumption: np.ndarray, stock: float, seed: int, paths: int = 600, horizon: int = 400, cycle: int = 7) -> tuple[float, float, float]:

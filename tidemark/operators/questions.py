@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import written
 from tidemark.operators import series as se
 from tidemark.operators.lineage import name_parts
 
@@ -171,44 +172,67 @@ def saturation(ready: Prepared, capacity: float, horizon: int | None = None, lev
     return _met(past, steps, by).select(*by, "use", "history_share", "likely", "possible", "p_most", "step_most", urgency.alias("urgency"))
 
 
-SCENARIO = "periods int, logs boolean, seasonal boolean, slope double, effect double, low double, high double, share double, distinct boolean, extrapolated boolean"
+#: Series of fewer periods say nothing of a driver; a season counts from this strength and three cycles on.
+SCENARIO_PERIODS, CLEAR_SEASON = 20, 0.15
 
 
-def scenario(ready: Prepared, df: DataFrame, date: str, driver: str, change: float = 0.1, driver_op: str = "mean", lag: int = 0, resamples: int = 400, seed: int = 0) -> DataFrame:
+def scenario(ready: Prepared, df: DataFrame, date: str, driver: str, change: float = 0.1, driver_op: str = "mean", lag: int = 0) -> DataFrame:
     """(by, periods, logs, seasonal, slope, effect, low, high, share, distinct, extrapolated): what a change of the driver by the share
-    ``change`` went with in the value, with its 95 % interval (see ``forecasting.elasticity``); an association, not a cause.
+    ``change`` went with in the value, with its 95 % interval; an association, not a cause.
 
-    The driver's rows are summed up to periods by Spark; a group is one series's periods. Series of under 20 periods, and
-    those whose driver never moves, give no row. ``lag``: so many periods from the driver to its effect."""
+    Least squares on the driver, a trend and, where the season is clear, the places of the cycle; of logarithms where both are
+    positive throughout. The other terms are taken out of value and driver first (the slope between what is left is that of
+    the whole regression), all by aggregates. The slope's error allows for residuals that persist: their products over so many
+    periods as the fourth root of the number suggests, with falling weights. ``lag``: so many periods from the driver to its effect.
+    ``share``: what the driver alone explains. Series of under 20 periods, and those whose driver never moves, give no row."""
     if change <= -1:
         raise ValueError("a change of -100 % or below says nothing")
-    from tidemark.functions.forecasting import elasticity
-
-    by = list(ready.by)
+    by, freq = list(ready.by), ready.freq
+    m = se.CYCLE[freq]
     number = F.col(driver).try_cast("double")
     rows = df.where(F.col(date).isNotNull() & number.isNotNull() & ~F.isnan(number)).withColumn("_driver", number)
-    moved = se.aggregate(rows, date, ready.freq, driver_op, "_driver", by=by).select(*by, "period", F.col("y").alias("x"))
-    side = moved.select(*[F.col(k).alias(f"_of_{k}") for k in by], F.col("period").alias("_period"), "x")
-    same = [ready.series[k].eqNullSafe(side[f"_of_{k}"]) for k in by]
-    both = ready.series.join(side, [*same, ready.series["period"] == side["_period"]], "left").select(*[ready.series[k] for k in by], "period", "y", "x")
-
-    freq = ready.freq
-
-    def one(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("period")
-        x = pdf["x"].interpolate(limit_area="inside").ffill().bfill().to_numpy(dtype=float)
-        y = pdf["y"].to_numpy(dtype=float)
-        x, y = (x[: len(x) - lag], y[lag:]) if lag else (x, y)
-        m = se.CYCLE[freq] if len(y) >= se.SEASON_FROM[freq] else None
-        got = elasticity(y, x, m, change, resamples, seed) if pd.notna(x).all() and len(x) else None
-        out = pd.DataFrame([got] if got else [], columns=[c.split()[0] for c in SCENARIO.split(", ")])
-        for k in reversed(by):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return both.groupBy(*(by or [F.lit("")])).applyInPandas(one, se._typed(both, by, SCENARIO))
+    moved = se.aggregate(rows, date, freq, driver_op, "_driver", by=by).select(F.struct(*(by or [F.lit("").alias("_all")])).alias("_s"), "period", F.col("y").alias("x"))
+    own = ready.series.select(F.struct(*(by or [F.lit("").alias("_all")])).alias("_s"), "period", "y")
+    order = Window.partitionBy("_s").orderBy("period")  # a row a period
+    both = own.join(moved, ["_s", "period"], "left").withColumn("i", F.row_number().over(order) - 1)
+    # A period without a driver lies on the line between its neighbours; at the ends, it has the nearest one's.
+    some = F.when(F.col("x").isNotNull(), F.struct("i", "x"))
+    before, after = F.last(some, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(some, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("_a", before).withColumn("_b", after)
+    between = F.col("_a.x") + (F.col("_b.x") - F.col("_a.x")) * (F.col("i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
+    both = both.withColumn("x", F.coalesce("x", F.when(F.col("_b.i") > F.col("_a.i"), between), "_a.x", "_b.x")).where("x is not null and y is not null")
+    if lag:
+        both = both.withColumn("x", F.lag("x", lag).over(order)).where("x is not null")
+    both = both.withColumn("i", F.row_number().over(order) - 1)
+    strength = se.seasonal_strength(both.select("_s", "period", "y"), m, ["_s"]).select("_s", "strength")
+    of = both.groupBy("_s").agg(F.count(F.lit(1)).alias("n"), ((F.min("y") > 0) & (F.min("x") > 0)).alias("logs"), F.min("x").alias("x_least"), F.max("x").alias("x_most"), F.stddev_pop("x").alias("_spread"))
+    of = of.join(strength, "_s").where((F.col("n") >= SCENARIO_PERIODS) & (F.col("_spread") > 0))
+    of = of.withColumn("seasonal", (F.col("n") >= max(3 * m, se.SEASON_FROM[freq])) & (F.col("strength") >= CLEAR_SEASON))
+    rows = both.join(of, "_s")
+    log = lambda c: F.when(F.col("logs"), F.ln(c)).otherwise(F.col(c))
+    rows = rows.select("_s", "i", "n", "seasonal", "logs", F.when(F.col("seasonal"), F.col("i") % m).otherwise(0).alias("place"), log("y").alias("v"), log("x").alias("u"), F.col("i").cast("double").alias("t"), "x", "y")
+    place = Window.partitionBy("_s", "place")
+    rows = rows.withColumns({c: F.col(c) - F.avg(c).over(place) for c in ("v", "u", "t")} | {"_v": F.col("v")})
+    line = rows.groupBy("_s").agg(*[F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("t")), F.sum(F.col("t") * F.col("t"))), F.lit(0.0)).alias(f"_{c}t") for c in ("v", "u")], F.var_pop("_v").alias("_all"))
+    rows = rows.join(line, "_s").withColumn("v", F.col("v") - F.col("_vt") * F.col("t")).withColumn("u", F.col("u") - F.col("_ut") * F.col("t"))
+    fit = rows.groupBy("_s", "n", "_all").agg(F.sum(F.col("u") * F.col("u")).alias("_uu"), F.sum(F.col("u") * F.col("v")).alias("_uv")).where("_uu > 1e-18")
+    fit = written(fit.withColumn("slope", F.col("_uv") / F.col("_uu")).withColumn("reach", F.ceil(1.5 * F.pow("n", F.lit(0.25))).cast("int")), "scenario-fit")
+    scored = rows.select("_s", "i", "u", "v").join(fit.select("_s", "slope", "reach"), "_s").select("_s", "i", "reach", (F.col("u") * (F.col("v") - F.col("slope") * F.col("u"))).alias("g"))
+    apart = scored.select("_s", "g", F.explode(F.sequence(F.lit(0), F.col("reach"))).alias("_l"), "reach", "i").withColumn("j", F.col("i") + F.col("_l"))
+    products = apart.join(scored.select("_s", F.col("i").alias("j"), F.col("g").alias("_g")), ["_s", "j"])
+    weight = F.when(F.col("_l") == 0, 1.0).otherwise(2 * (1 - F.col("_l") / (F.col("reach") + 1)))
+    spread = products.groupBy("_s").agg(F.sum(weight * F.col("g") * F.col("_g")).alias("_gg"))
+    recent = max(m, 4)
+    now = rows.groupBy("_s", "logs", "seasonal").agg(*[F.avg(F.when(F.col("i") >= F.col("n") - recent, F.col(c))).alias(f"{c}_now") for c in ("x", "y")])
+    terms = F.when(F.col("seasonal"), m + 2).otherwise(3)
+    out = fit.join(spread, "_s").join(now, "_s").join(of.select("_s", "x_least", "x_most"), "_s")
+    error = F.sqrt(F.greatest("_gg", F.lit(0.0)) * F.col("n") / F.greatest(F.col("n") - terms, F.lit(1))) / F.col("_uu")
+    effect = lambda b: F.when(F.col("logs"), F.pow(F.lit(1.0 + change), b) - 1).otherwise(F.try_divide(b * F.col("x_now") * change, F.col("y_now")))
+    ends = effect(F.col("slope") - 1.96 * F.col("error")), effect(F.col("slope") + 1.96 * F.col("error"))
+    out = out.withColumn("error", error).withColumn("low", F.least(*ends)).withColumn("high", F.greatest(*ends))
+    next_x = F.col("x_now") * (1 + change)
+    share = F.least(F.greatest(F.try_divide(F.col("slope") * F.col("_uv"), F.col("_all") * F.col("n")), F.lit(0.0)), F.lit(1.0))
+    return out.select(*[F.col(f"_s.`{c}`").alias(c) for c in by], F.col("n").cast("int").alias("periods"), "logs", "seasonal", "slope", effect(F.col("slope")).alias("effect"), "low", "high", share.alias("share"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("distinct"), ((next_x < F.col("x_least")) | (next_x > F.col("x_most"))).alias("extrapolated"))
 
 
 def forecast_table(ready: Prepared, projected: DataFrame) -> DataFrame:

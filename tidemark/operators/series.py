@@ -13,6 +13,7 @@ DAY = 86_400_000_000
 STEP = {"H": "interval 1 hour", "D": "interval 1 day", "B": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month"}
 CYCLE = {"H": 24, "D": 7, "B": 5, "W": 52, "M": 12}
 HORIZON = {"H": 48, "D": 30, "B": 20, "W": 12, "M": 6}
+# Fixed values, as those above.
 #: Periods from which on a season is looked for, horizons of questions about limits, and periods that are enough to say anything.
 SEASON_FROM = {"H": 72, "D": 21, "B": 15, "W": 104, "M": 24}
 LIMIT_HORIZON = {"H": 72, "D": 90, "B": 65, "W": 26, "M": 12}
@@ -158,31 +159,12 @@ def trailing_streak(series: DataFrame, limit: float) -> DataFrame:
     return series.join(F.broadcast(last_ok)).agg(F.count(F.when(F.col("_ok").isNull() | (F.col("period") > F.col("_ok")), 1)).alias("periods"))
 
 
-FORECAST = "step int, forecast double, low double, high double, sigma double, method string, error double, reference_error double, improvement double, coverage double, origins int"
-
-
-def _typed(df: DataFrame, by: Sequence[str], schema: str) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join([*(f"`{k}` {kinds[k]}" for k in by), schema])
-
-
 def project(series: DataFrame, freq: str, by: Sequence[str], horizon: int | None = None, level: float = 0.8, most_periods: int | None = None, **windows) -> DataFrame:
     """A row for each of ``horizon`` steps of each series of periods without gaps: forecast, its interval of ``level`` and standard
     error ``sigma``, the method, its error and that of the best simple answer, the gain, the interval's coverage in tests.
 
-    Each series is one group, of its periods and not of the table's rows; candidates are compared on rolling origins in the
-    group's task. ``most_periods`` bounds how far back a series is looked at (None: all of it); ``windows``: ``holt_periods`` and
-    ``long_periods`` of the two long methods. A season is tried from ``SEASON_FROM`` periods on.
-    """
-    from tidemark.functions.forecasting import forecast_frame
-
-    h, keys = horizon or HORIZON[freq], list(by)
-
-    def one(pdf):
-        y = pdf.sort_values("period")["y"].to_numpy(dtype=float)
-        out = forecast_frame(y, CYCLE[freq] if len(y) >= SEASON_FROM[freq] else None, h, level, most_periods, **windows)
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    See ``forecasts.project``. ``most_periods`` bounds how far back a series is looked at (None: all of it); ``windows``:
+    ``holt_periods`` and ``long_periods`` of the two long methods. A season is tried from ``SEASON_FROM`` periods on."""
+    from tidemark.operators import forecasts
 
-    return series.groupBy(*(keys or [F.lit("")])).applyInPandas(one, _typed(series, keys, FORECAST))
+    return forecasts.project(series, by, CYCLE[freq], SEASON_FROM[freq], horizon or HORIZON[freq], level, most_periods, **windows)
