@@ -11,14 +11,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import calendar_features
+from tidemark.functions.scratch import written
 from tidemark.operators.ordered import average_ranks, running_sums, with_key
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -98,8 +99,8 @@ def with_folds(df: DataFrame, row: str, folds: int = 3, how: str = "random", see
     raise ValueError(f"no way {how!r} to part rows; there are random, stratified, group and time")
 
 
-#: Beyond so many rows, rows are parted once, a fifth for tests; the rarest class that needs no weights has this share.
-ONE_SPLIT_FROM, RARE_CLASS, MOST_CLASSES = 150_000, 0.1, 100
+#: The rarest class that needs no weights has this share.
+RARE_CLASS, MOST_CLASSES = 0.1, 100
 
 
 def prepare_target(df: DataFrame, row: str, target: str, kind: str, log: bool = False, most_classes: int = MOST_CLASSES, most_rows: int | None = None, seed: int = 0, time: str | None = None) -> tuple[DataFrame, list[str], list[str]]:
@@ -175,6 +176,8 @@ class Preparation:
 
 
 BINS = 64
+# Rows and rows of each class from which calibration can be judged, its tolerance's parts, and what a calibrator must gain.
+CALIBRATION_ROWS, CALIBRATION_EACH, CALIBRATION_SLACK, CALIBRATION_GAIN = 200, 20, (0.05, 0.5), 0.8
 
 
 def _features(df: DataFrame, columns: Sequence[str]) -> tuple[Preparation, list, list[str], list[str]]:
@@ -192,15 +195,21 @@ def _levels(df: DataFrame, prep: Preparation) -> int:
     return max(df.agg(*[F.count_distinct(c) for c in prep.categories]).first()) if prep.categories else 0
 
 
-def learner(df: DataFrame, columns: Sequence[str], kind: str, classes: int, seed: int = 0, iterations: int = 20, weight: str | None = None):
-    """(preparation, pipeline) of imputation, category codes and boosted trees (a forest for more than two classes)."""
+#: A share of rows tells when to stop boosting: once a round lowers their loss by less than this part of it.
+VALIDATION_SHARE, LEAST_GAIN, MOST_ROUNDS, LEAST_ROUNDS = 0.1, 0.001, 200, 10
+
+
+def learner(df: DataFrame, columns: Sequence[str], kind: str, classes: int, seed: int = 0, iterations: int = 20, weight: str | None = None, validation: str | None = None):
+    """(preparation, pipeline) of imputation, category codes and boosted trees (a forest for more than two classes). With a
+    ``validation`` column, trees stop where rows that it marks gain no more; ``iterations`` is the most there can be."""
     prep, steps, filled, coded = _features(df, columns)
     steps.append(VectorAssembler(inputCols=filled + coded, outputCol="_features", handleInvalid="keep"))
     common = {"featuresCol": "_features", "labelCol": "_label", "seed": seed, "maxBins": max(BINS, _levels(df, prep) + 2)} | ({"weightCol": weight} if weight else {})
+    boost = {"maxIter": iterations} | ({"validationIndicatorCol": validation, "validationTol": LEAST_GAIN} if validation else {})
     if kind == "regression":
-        steps.append(GBTRegressor(maxIter=iterations, **common))
+        steps.append(GBTRegressor(**boost, **common))
     elif classes <= 2:
-        steps.append(GBTClassifier(maxIter=iterations, **common))
+        steps.append(GBTClassifier(**boost, **common))
     else:
         steps.append(RandomForestClassifier(numTrees=50, **common))
     return prep, Pipeline(stages=steps)
@@ -214,6 +223,12 @@ class Model:
     classes: list[str] = field(default_factory=list)
     log: bool = False
 
+    @property
+    def rounds(self) -> int | None:
+        """How many trees were boosted; None for other models."""
+        last = self.fitted.stages[-1]
+        return last.getNumTrees if isinstance(last, GBTRegressionModel | GBTClassificationModel) else None
+
     def predict(self, df: DataFrame) -> DataFrame:
         """``prediction`` (a class's number for classification), and ``probability`` of the last class, with ``said``, the class's name."""
         out = self.fitted.transform(self.prep.apply(df)[0])
@@ -231,9 +246,10 @@ def use_weights(df: DataFrame, label: str) -> bool:
     return bool(k and k > 1 and least / n < RARE_CLASS)
 
 
-def train(df: DataFrame, target: str, columns: Sequence[str], kind: str | None = None, seed: int = 0, iterations: int = 20, weights: str = "auto", log: bool = False) -> Model:
+def train(df: DataFrame, target: str, columns: Sequence[str], kind: str | None = None, seed: int = 0, iterations: int = 20, weights: str = "auto", log: bool = False, stop_early: bool = False) -> Model:
     """Boosted trees, or a forest for several classes. ``weights``: classes count alike with "yes", and with "auto" where one
-    is rare. ``log``: learn log(1 + target)."""
+    is rare. ``log``: learn log(1 + target). ``stop_early``: a tenth of the rows, by hash of what is in them, isn't learnt from
+    and says after how many of up to ``iterations`` rounds to stop."""
     kind = kind or problem_kind(df, target)
     rows = df.where(F.col(target).isNotNull())
     if kind == "regression":
@@ -243,15 +259,19 @@ def train(df: DataFrame, target: str, columns: Sequence[str], kind: str | None =
     weighted = kind != "regression" and (weights == "yes" or weights == "auto" and use_weights(rows, "_label"))
     if weighted:
         rows = balanced_weights(rows, "_label").withColumnRenamed("weight", "_weight")
-    prep, pipe = learner(rows, columns, kind, len(classes), seed, iterations, "_weight" if weighted else None)
+    if stop_early:
+        chance = F.pmod(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], F.lit(seed)), F.lit(1_000))
+        rows = rows.withColumn("_validation", chance < int(1_000 * VALIDATION_SHARE))
+    prep, pipe = learner(rows, columns, kind, len(classes), seed, iterations, "_weight" if weighted else None, "_validation" if stop_early else None)
     ready, _ = prep.apply(rows)
     return Model(prep, pipe.fit(ready), kind, classes, log)
 
 
-def splits(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: int = 0, target: str | None = None, time: str | None = None, group: str | None = None, one_split_from: int = ONE_SPLIT_FROM):
-    """Pairs (learnt from, tested on). Beyond ``one_split_from`` rows a fifth is tested once; in order of time, tests are
-    always on later rows."""
-    once = df.count() > one_split_from
+def splits(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: int = 0, target: str | None = None, time: str | None = None, group: str | None = None, one_split_from: int | None = None):
+    """Pairs (learnt from, tested on); every row is tested once, but in order of time, where tests are always on later rows than
+    those learnt from. ``one_split_from``: from so many rows on, a caller may have a single split, a fifth (in order of
+    time, the last) for tests; by default there is none at any size."""
+    once = one_split_from is not None and df.count() > one_split_from
     if how == "time":
         marked = with_folds(df, row, 4 if once else folds, how, seed, target, time, group)
         for k in [4] if once else range(1, folds + 1):
@@ -263,12 +283,28 @@ def splits(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: i
 
 
 def out_of_fold(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, iterations: int = 20, how: str = "random", time: str | None = None, group: str | None = None, kind: str | None = None, **options) -> DataFrame:
-    """Rows predicted by models that haven't seen them (see ``splits``): every row, or those tested where rows are parted once or by time."""
+    """Rows predicted by models that haven't seen them (see ``splits``): every row; by time, those after the first part."""
     kind = kind or problem_kind(df, target)
     some = on_splits(splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group), lambda learnt, tested: train(learnt, target, columns, kind, seed, iterations, **options).predict(tested))
     return reduce(DataFrame.unionByName, some)
 
 
+def final_fit(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, most_rounds: int = MOST_ROUNDS, how: str = "random", time: str | None = None, group: str | None = None, kind: str | None = None, **options) -> tuple[DataFrame, Model, list[int]]:
+    """(rows predicted by models that haven't seen them, the model of all rows, the rounds of each fold's model). Boosting stops
+    early in each fold; the last model learns from all rows for as many rounds as the folds' median, ten at least."""
+    kind = kind or problem_kind(df, target)
+    rows = df.where(F.col(target).isNotNull())
+
+    def one(learnt: DataFrame, tested: DataFrame):
+        model = train(learnt, target, columns, kind, seed, most_rounds, stop_early=True, **options)
+        return model.predict(tested), model.rounds
+
+    found = on_splits(splits(rows, row, folds, how, seed, target, time, group), one)
+    rounds = [n for _, n in found if n is not None]
+    median = max(LEAST_ROUNDS, sorted(rounds)[len(rounds) // 2]) if rounds else most_rounds
+    return reduce(DataFrame.unionByName, [p for p, _ in found]), train(rows, target, columns, kind, seed, median, **options), rounds
+
+
 def on_splits(parts, work) -> list:
     """``work`` of each pair of parts; their Spark jobs run side by side, as one model's many small jobs leave a cluster idle."""
     parts = list(parts)
@@ -329,6 +365,65 @@ def rank_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return sums.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p").cast("double") * F.col("q")).alias("auc"))
 
 
+def probability_metrics(df: DataFrame, label: str, probability: str, threshold: float = 0.5) -> DataFrame:
+    """n, positives, log_loss, brier, brier_of_rate (always telling the overall rate), average_precision, and recall and precision
+    of the 1s from ``threshold`` on. Rows without either are left out.
+
+    Average precision sweeps the different probabilities from the greatest on, equal ones in one step; its running counts go
+    by ranges, so no task sorts all rows."""
+    y, p = F.col(label).cast("double").alias("y"), F.col(probability).cast("double").alias("p")
+    rows = df.select(y, p).where("y is not null and p is not null and not isnan(p)")
+    inside = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
+    said = F.col("p") >= threshold
+    plain = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).cast("long").alias("positives"), F.avg(-F.when(F.col("y") == 1, F.ln(inside)).otherwise(F.ln(1 - inside))).alias("log_loss"),
+        F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"), (F.avg("y") * (1 - F.avg("y"))).alias("brier_of_rate"),
+        F.try_divide(F.sum(F.when(said, F.col("y"))), F.sum("y")).alias("recall"), F.avg(F.when(said, F.col("y"))).alias("precision"),
+    )
+    steps = rows.groupBy("p").agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_y")).withColumn("_at", -F.col("p"))
+    swept = running_sums(written(steps, "sweep"), "_at", {"_seen": F.col("_n"), "_hit": F.col("_y")})
+    area = swept.agg(F.try_divide(F.sum(F.col("_y") * F.col("_hit") / F.col("_seen")), F.sum("_y")).alias("average_precision"))
+    return plain.join(F.broadcast(area)).select("n", "positives", "log_loss", "brier", "brier_of_rate", "average_precision", "recall", "precision")
+
+
+def several_class_auc(df: DataFrame, actual: str, probabilities: dict[str, str]) -> DataFrame:
+    """(class, auc): each class against the others by its own probability's column, all ranked in one pass; the mean of the classes
+    that occur is the measure of all."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).cast("double").alias("s")) for k, c in probabilities.items()])).alias("e")
+    rows = df.select(F.col(actual).cast("string").alias("_a"), each).select("_a", "e.*").where("s is not null")
+    ranked = average_ranks(rows, "s", "_r", by=["class"]).withColumn("_is", F.col("_a") == F.col("class"))
+    of = ranked.groupBy("class").agg(F.sum(F.when(F.col("_is"), F.col("_r"))).alias("r"), F.count(F.when(F.col("_is"), 1)).cast("double").alias("p"), F.count(F.lit(1)).alias("n"))
+    return of.select("class", F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
+
+
+def calibration(df: DataFrame, label: str, probability: str, tie: str) -> DataFrame:
+    """n, bins, ece, brier, tolerance, calibrated (ece within the tolerance; null where under 200 rows or 20 of a class can't tell).
+    Bins of equal counts, one for each 50 rows, from 2 to 10; the tolerance is 0.05 + 0.5 / sqrt(n)."""
+    rows = df.where(F.col(label).isNotNull() & F.col(probability).isNotNull())
+    n, ones, brier = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label).cast("double")), F.lit(0.0)), F.avg(F.pow(F.col(probability) - F.col(label).cast("double"), F.lit(2)))).first()
+    bins = min(max(n // 50, 2), 10)
+    told = n >= CALIBRATION_ROWS and min(ones, n - ones) >= CALIBRATION_EACH
+    tolerance = CALIBRATION_SLACK[0] + CALIBRATION_SLACK[1] / max(n, 1) ** 0.5
+    ece = calibration_error(reliability(rows, label, probability, tie, bins))
+    judged = (F.col("ece") <= tolerance) if told else F.lit(None).cast("boolean")
+    return ece.select(F.lit(n).cast("long").alias("n"), F.lit(bins).alias("bins"), "ece", F.lit(brier).cast("double").alias("brier"), F.lit(tolerance).alias("tolerance"), judged.alias("calibrated"))
+
+
+def helpful_calibrator(df: DataFrame, row: str, label: str, probability: str):
+    """(calibrator or None, before, after): one that has proved itself. Each half of the rows (by hash) is judged by a calibrator of
+    the other half; only if their error is within the tolerance and under 0.8 of what it was is one fitted on all rows."""
+    half = F.pmod(F.xxhash64(F.col(row), F.lit(1)), F.lit(2))
+    rows = df.where(F.col(label).isNotNull() & F.col(probability).isNotNull()).withColumn("_half", half)
+    before = calibration(rows, label, probability, row).first()
+    if before["calibrated"] is None:
+        return None, before["ece"], None
+    parts = [rows.where(F.col("_half") == k) for k in (0, 1)]
+    crossed = reduce(DataFrame.unionByName, [calibrator(parts[1 - k], label, probability)(parts[k]).select(row, label, "calibrated") for k in (0, 1)])
+    after = calibration(crossed, label, "calibrated", row).first()
+    helps = after["ece"] <= after["tolerance"] and after["ece"] < CALIBRATION_GAIN * before["ece"]
+    return (calibrator(rows, label, probability) if helps else None), before["ece"], after["ece"]
+
+
 def reliability(df: DataFrame, label: str, probability: str, tie: str, bins: int) -> DataFrame:
     """(bin, n, mean_p, rate): equal counts in order of probability, larger bins first. Positions come from range-wise sums."""
     rows = df.select(F.col(label).cast("double").alias("y"), F.col(probability).cast("double").alias("p"), F.col(tie).alias("tie"))
@@ -430,3 +525,59 @@ def returns_regression(pairs: DataFrame, actual: str, predicted: str, promised_m
     """n, mae, bias, ratio to the promised error, level: info under 30 cases, well up to 1.25 times, watch up to 2, else alert."""
     out = regression_metrics(pairs, actual, predicted).select("n", "mae", "bias").withColumn("ratio", F.col("mae") / F.lit(promised_mae))
     return out.withColumn("level", F.when(F.col("n") < 30, "info").when(F.col("ratio") <= 1.25, "well").when(F.col("ratio") <= 2, "watch").otherwise("alert"))
+
+
+def _against(measured: Column, promised: float | None, n: Column) -> Column:
+    """info under 30 cases or without a promise; well down to a tolerance of 0.05 + 0.5 / sqrt(n) below it, watch down to twice, else alert."""
+    if promised is None:
+        return F.lit("info")
+    slack = CALIBRATION_SLACK[0] + CALIBRATION_SLACK[1] / F.sqrt(n)
+    return F.when(n < 30, "info").when(measured >= promised - slack, "well").when(measured >= promised - 2 * slack, "watch").otherwise("alert")
+
+
+def _least(level: Column, worse: Column) -> Column:
+    """``level``, but no better than watch where ``worse``."""
+    return F.when(worse & level.isin("info", "well"), "watch").otherwise(level)
+
+
+def returns_classes(pairs: DataFrame, actual: str, predicted: str, promised: float | None = None) -> DataFrame:
+    """n, accuracy, balanced_accuracy, majority (of always saying the most frequent class), level: the balanced accuracy against what was
+    promised; watch at best where the accuracy is no better than the majority's."""
+    real = pairs.where(F.col(actual).isNotNull())
+    counts = real.groupBy(F.col(actual).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"), (F.max("k") / F.sum("k")).alias("majority"))
+    out = class_metrics(real, actual, predicted).join(F.broadcast(counts))
+    level = _least(_against(F.col("balanced_accuracy"), promised, F.col("n")), F.col("accuracy") <= F.col("majority") + 0.005)
+    return out.select("n", "accuracy", "balanced_accuracy", "majority", level.alias("level"))
+
+
+def returns_probabilities(pairs: DataFrame, row: str, label: str, probability: str) -> DataFrame:
+    """n, brier, brier_of_rate, ece, tolerance, level: well while the probabilities hold to the tolerance, watch to twice of it, else
+    alert, and info where too few cases tell; watch at best where always telling the overall rate does as well."""
+    told = calibration(pairs, label, probability, row)
+    rate = probability_metrics(pairs, label, probability).select("brier_of_rate")
+    out = told.join(F.broadcast(rate))
+    level = F.when(F.col("calibrated").isNull(), "info").when(F.col("ece") <= F.col("tolerance"), "well").when(F.col("ece") <= 2 * F.col("tolerance"), "watch").otherwise("alert")
+    return out.select("n", "brier", "brier_of_rate", "ece", "tolerance", _least(level, F.col("brier") >= F.col("brier_of_rate")).alias("level"))
+
+
+def returns_ranking(pairs: DataFrame, label: str, score: str, promised: float | None = None) -> DataFrame:
+    """n, auc, level: against the promised one; watch at best up to 0.55. Null, and info, with one class alone."""
+    known = pairs.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    out = rank_auc(known, label, score).join(F.broadcast(known.agg(F.count(F.lit(1)).alias("n"))))
+    level = F.when(F.col("auc").isNull(), "info").otherwise(_least(_against(F.col("auc"), promised, F.col("n")), F.col("auc") <= 0.55))
+    return out.select("n", "auc", level.alias("level"))
+
+
+def unseen_values(train_rows: DataFrame, test_rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, unseen_rows, unseen_values): cells of the test's categories whose value no training row has."""
+    cells = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*").where("value is not null")
+    counts = cells(test_rows).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    new = counts.join(cells(train_rows).distinct(), ["column", "value"], "left_anti")
+    every = test_rows.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(new.groupBy("column").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")), "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("unseen_rows"), F.coalesce("v", F.lit(0)).alias("unseen_values"))
+
+
+def confident_mistakes(df: DataFrame, row: str, actual: str, said: str, confidence: str, n: int = 50) -> DataFrame:
+    """(row, actual, said, confidence): rows whose class was told wrongly, the most confident first."""
+    wrong = df.where(F.col(actual).cast("string") != F.col(said).cast("string"))
+    return wrong.select(F.col(row).alias("row"), F.col(actual).alias("actual"), F.col(said).alias("said"), F.col(confidence).alias("confidence")).orderBy(F.desc("confidence"), "row").limit(n)

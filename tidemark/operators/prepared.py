@@ -14,9 +14,18 @@ from tidemark.operators.findings import NUMERIC, is_id
 from tidemark.operators.lineage import name_parts
 from tidemark.operators.relational import enrich, is_unique, prior_resume, resume
 
-# Parts of names that tell a date, and the most columns of a related table that are summed up.
+# Parts of names that tell a date.
 DATE_NAMES = ("fecha", "date", "dia", "día")
-MOST_NUMBERS, MOST_CATEGORIES, MOST_VALUES = 12, 3, 50
+
+
+@dataclass(frozen=True)
+class Widths:
+    """The most columns of a related table that are summed up, and different values of a category; None for no bound. What a bound
+    leaves out is told in the notes."""
+
+    numbers: int | None = 12
+    categories: int | None = 3
+    values: int | None = 50
 
 
 def date_column(df: DataFrame, exclude: Sequence[str] = (), chosen: str | None = None, none: bool = False) -> str | None:
@@ -54,16 +63,24 @@ class Link:
 def _numbers(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     some = [c for c, k in df.dtypes if k in NUMERIC and c not in exclude and not is_id(c)]
     moving = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in some]).first().asDict() if some else {}
-    return [c for c in some if moving[c]][:MOST_NUMBERS]
+    return [c for c in some if moving[c]]
 
 
-def _categories(df: DataFrame, exclude: Sequence[str]) -> list[str]:
+def _categories(df: DataFrame, exclude: Sequence[str], most_values: int | None) -> list[str]:
     some = [c for c, k in df.dtypes if k in ("string", "boolean") and c not in exclude and not is_id(c)]
     values = df.agg(*[F.count_distinct(c).alias(c) for c in some]).first().asDict() if some else {}
-    return [c for c in some if 2 <= values[c] <= MOST_VALUES][:MOST_CATEGORIES]
+    return [c for c in some if values[c] >= 2 and (most_values is None or values[c] <= most_values)]
+
+
+def _chosen(df: DataFrame, exclude: Sequence[str], widths: Widths, table: str) -> tuple[list[str], list[str], list[str]]:
+    """(numbers, categories, notes of what the widths leave out)."""
+    numbers, categories = _numbers(df, exclude), _categories(df, exclude, widths.values)
+    left = numbers[widths.numbers :] if widths.numbers is not None else []
+    left += categories[widths.categories :] if widths.categories is not None else []
+    return numbers[: widths.numbers], categories[: widths.categories], [f"{table}: not summed up: {', '.join(left)}"] if left else []
 
 
-def widen(tables: Mapping[str, DataFrame], base: str, links: Sequence[Link], row: str, date: str | None = None, depth: int = 2, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
+def widen(tables: Mapping[str, DataFrame], base: str, links: Sequence[Link], row: str, date: str | None = None, depth: int = 2, exclude: Sequence[str] = (), widths: Widths = Widths()) -> tuple[DataFrame, list[str], list[str]]:  # noqa: B008
     """(the base with related tables' columns, the new columns, notes). Rows of the base never change in number.
 
     A table whose key is unique gives its columns as ``table.column``; of others, summaries: of rows strictly before the base
@@ -93,10 +110,12 @@ def widen(tables: Mapping[str, DataFrame], base: str, links: Sequence[Link], row
                 elif not path:
                     when = date_column(other, [key]) if date else None
                     skip = [key, when, *exclude]
+                    numbers, categories, left = _chosen(other, skip, widths, name)
+                    notes += left
                     if when:
-                        out = prior_resume(out, other, own, key, date, when, row, _numbers(other, skip), _categories(other, skip), prefix=name)
+                        out = prior_resume(out, other, own, key, date, when, row, numbers, categories, prefix=name)
                     else:
-                        out = resume(out, other, own, key, _numbers(other, skip), _categories(other, skip), name)
+                        out = resume(out, other, own, key, numbers, categories, name)
                 new += [c for c in out.columns if c not in before]
         front = following
     return out, new, notes

@@ -41,14 +41,14 @@ def resume(base: DataFrame, child: DataFrame, key: str, child_key: str, numbers:
     return out.withColumn(f"{prefix}.count", F.coalesce(F.col(f"`{prefix}.count`"), F.lit(0)))
 
 
-def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, date: str, child_date: str, row: str, numbers: Sequence[str], categories: Sequence[str] = (), windows: Sequence[float] = (), prefix: str = "prior") -> DataFrame:
+def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, date: str, child_date: str, row: str, numbers: Sequence[str], categories: Sequence[str] = (), windows: Sequence[float] = (), prefix: str = "prior", window_numbers: Sequence[str] | None = None) -> DataFrame:
     """For each base row, what the child's rows of its key told strictly before its date; equal times don't count.
 
     Both tables go into one union, so no row is multiplied. What counts all earlier rows goes by ranges of a key's time
     (``ordered.strictly_before``), so a key may hold most rows; trailing windows are frames bounded in time over a key. Columns:
     count (0 if none), sum, mean, min, max of ``numbers``; ``days_since`` the last; the last value of ``categories`` (of equal
-    times, that of the greatest value); and for each of ``windows`` (days) the count in the window, with sums of the first three
-    numbers over the longest. Rows with a missing key or date get count 0 and nulls. ``row`` identifies base rows.
+    times, that of the greatest value); and for each of ``windows`` (days) the count in the window, with sums of ``window_numbers``
+    (all numbers) over the longest. Rows with a missing key or date get count 0 and nulls. ``row`` identifies base rows.
     """
     kind = lambda df, c: dict(df.dtypes)[c]
     base_rows = base.select(key_text(F.col(key)).alias("_k"), micros(F.col(date)).alias("_t"), F.col(row).alias("_row"), F.lit(0).alias("_child"), *[F.lit(None).cast("double").alias(f"_n_{c}") for c in numbers], *[F.lit(None).cast(kind(child, c)).alias(f"_c_{c}") for c in categories])
@@ -73,7 +73,7 @@ def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, da
         recent = by_time.rangeBetween(-int(n * DAY), -1)
         made[f"count_{n:g}d"] = F.coalesce(F.sum("_child").over(recent), F.lit(0))
         if n == max(windows):
-            made |= {f"{c}.sum_{n:g}d": F.sum(f"_n_{c}").over(recent) for c in numbers[:3]}
+            made |= {f"{c}.sum_{n:g}d": F.sum(f"_n_{c}").over(recent) for c in (numbers if window_numbers is None else window_numbers)}
     found = past.select("_row", "_child", *[v.alias(f"{prefix}.{k}") for k, v in made.items()]).where("_child = 0").drop("_child")
     out = base.join(found, base[row] == found["_row"], "left").drop("_row")
     for k in ["count", *[f"count_{n:g}d" for n in windows]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import findings as fi
 from tidemark.operators import prepared as pr
 from tidemark.operators import state as st
+from tidemark.operators.filters import anomalous_rows
 from tidemark.operators.relational import Edge
 from tidemark.plans.summaries import r, read
 
@@ -248,7 +249,8 @@ def report_blocks(spark, d):
 
 @query("select count(*) as n from (select distinct o_orderkey from orders where o_totalprice > 250000 or o_orderkey % 500 = 0)")
 def anomalous_row_set(spark, d):
-    return _found(spark, d).where("row is not null").select("row").distinct().agg(F.count(F.lit(1)).alias("n"))
+    named = _found(spark, d).where("row is not null").select("kind", F.col("row").alias("o_orderkey"))
+    return anomalous_rows(read(spark, d, "orders"), named, "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -230,9 +230,78 @@ def returns_regression(spark, d):
     return out.select("n", r("mae").alias("mae"), r("bias").alias("bias"), r("ratio", 6).alias("ratio"), "level")
 
 
+BINARY = "with t as (select (l_returnflag = 'R')::int as y, l_quantity / 51 as p, l_orderkey * 1000 + l_suppkey as tie from lineitem)"
+
+
+@query(BINARY + """, g as (select p, count(*) as n, sum(y) as y from t group by 1), w as (select p, y, sum(n) over (order by p desc) as seen, sum(y) over (order by p desc) as hit from g),
+a as (select sum(y * hit / seen) / sum(y) as average_precision from w)
+select count(*) as n, sum(y)::bigint as positives, round(avg(-case when y = 1 then ln(least(greatest(p, 1e-15), 1 - 1e-15)) else ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)) end), 8) as log_loss, round(avg((p - y) * (p - y)), 8) as brier, round(avg(y) * (1 - avg(y)), 8) as brier_of_rate,
+round(any_value(average_precision), 8) as average_precision, round(sum(y) filter (p >= 0.5) / sum(y), 8) as recall, round(avg(y) filter (p >= 0.5), 8) as precision from t, a""")
+def probability_metrics(spark, d):
+    out = ml.probability_metrics(_guessed(spark, d), "y", "p")
+    return out.select("n", "positives", *[r(c, 8).alias(c) for c in ("log_loss", "brier", "brier_of_rate", "average_precision", "recall", "precision")])
+
+
+@query("""with t as (select l_returnflag as a, l_quantity / 51 as pr, 1 - l_quantity / 51 as pn, l_discount * 10 as pa from lineitem), e as (select a, 'R' as class, pr as s from t union all select a, 'N', pn from t union all select a, 'A', pa from t),
+k as (select class, a = class as is_, rank() over (partition by class order by s) + (count(*) over (partition by class, s) - 1) / 2.0 as r from e)
+select class, round((sum(r) filter (is_) - count(*) filter (is_) * (count(*) filter (is_) + 1) / 2.0) / (count(*) filter (is_)::double * count(*) filter (not is_)), 8) as auc from k group by 1""")
+def several_class_auc(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("a"), (F.col("l_quantity") / 51).alias("pr"), (1 - F.col("l_quantity") / 51).alias("pn"), (F.col("l_discount") * 10).alias("pa"))
+    return ml.several_class_auc(rows, "a", {"R": "pr", "N": "pn", "A": "pa"}).select("class", r("auc", 8).alias("auc"))
+
+
+EVENT_P = "with t as (select event_id, (event_type = 'error')::int as y, (event_id * 7919 % 1000003) / 1000003.0::double as p from events), m as (select count(*) as n, least(greatest(count(*) // 50, 2), 10) as bins, avg((p - y) * (p - y)) as brier, avg(y) * (1 - avg(y)) as of_rate, 0.05 + 0.5 / sqrt(count(*)) as tolerance, count(*) >= 200 and least(sum(y), count(*) - sum(y)) >= 20 as told from t), i as (select t.*, row_number() over (order by p, event_id) - 1 as at, n // bins as size, n % bins as more from t, m), b as (select case when at < more * (size + 1) then at // (size + 1) else more + (at - more * (size + 1)) // greatest(size, 1) end as bin, p, y from i), e as (select sum(c * abs(mp - my)) / sum(c) as ece from (select count(*) as c, avg(p) as mp, avg(y) as my from b group by bin))"
+
+
+def _event_chances(spark, d):
+    return read(spark, d, "events").select("event_id", (F.col("event_type") == "error").cast("int").alias("y"), ((F.col("event_id") * 7919 % 1_000_003) / 1_000_003.0).alias("p"))
+
+
+@query(EVENT_P + " select n, bins::int as bins, round(ece, 8) as ece, round(brier, 8) as brier, round(tolerance, 8) as tolerance, case when told then ece <= tolerance end as calibrated from m, e")
+def calibration_measures(spark, d):
+    out = ml.calibration(_event_chances(spark, d), "y", "p", "event_id")
+    return out.select("n", "bins", *[r(c, 8).alias(c) for c in ("ece", "brier", "tolerance")], "calibrated")
+
+
+@query(EVENT_P + " select n, round(brier, 8) as brier, round(of_rate, 8) as brier_of_rate, round(ece, 8) as ece, round(tolerance, 8) as tolerance, case when not told then 'info' when ece > 2 * tolerance then 'alert' when ece > tolerance or brier >= of_rate then 'watch' else 'well' end as level from m, e")
+def returns_probabilities(spark, d):
+    out = ml.returns_probabilities(_event_chances(spark, d), "event_id", "y", "p")
+    return out.select("n", *[r(c, 8).alias(c) for c in ("brier", "brier_of_rate", "ece", "tolerance")], "level")
+
+
+@query("""with t as (select l_returnflag as a, case when l_quantity > 34 then 'R' when l_quantity > 17 then 'N' else 'A' end as p from lineitem), k as (select a, count(*) as n, count(*) filter (a = p) as hit from t group by 1),
+m as (select sum(n)::bigint as n, sum(hit) / sum(n) as acc, avg(hit / n) as bal, max(n) / sum(n) as majority from k)
+select n, round(acc, 8) as accuracy, round(bal, 8) as balanced_accuracy, round(majority, 8) as majority, case when n < 30 or bal >= 0.6 - (0.05 + 0.5 / sqrt(n)) then case when acc <= majority + 0.005 then 'watch' when n < 30 then 'info' else 'well' end when bal >= 0.6 - 2 * (0.05 + 0.5 / sqrt(n)) then 'watch' else 'alert' end as level from m""")
+def returns_classes(spark, d):
+    said = F.when(F.col("l_quantity") > 34, "R").when(F.col("l_quantity") > 17, "N").otherwise("A")
+    out = ml.returns_classes(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("a"), said.alias("p")), "a", "p", 0.6)
+    return out.select("n", *[r(c, 8).alias(c) for c in ("accuracy", "balanced_accuracy", "majority")], "level")
+
+
+@query(BINARY + """, k as (select y, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as r from t), a as (select count(*) as n, (sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1)::double * count(*) filter (y = 0)) as auc from k)
+select n, round(auc, 8) as auc, case when n >= 30 and auc < 0.7 - 2 * (0.05 + 0.5 / sqrt(n)) then 'alert' when n >= 30 and auc < 0.7 - (0.05 + 0.5 / sqrt(n)) or auc <= 0.55 then 'watch' when n < 30 then 'info' else 'well' end as level from a""")
+def returns_ranking(spark, d):
+    return ml.returns_ranking(_guessed(spark, d), "y", "p", 0.7).select("n", r("auc", 8).alias("auc"), "level")
+
+
+@query("""with a as (select o_orderkey, o_orderpriority as p, o_clerk as c, o_orderdate < timestamp '1995-01-01' as train from (select *, 'k' || (o_custkey % 300 + year(o_orderdate) * 40) as o_clerk from orders)), e as (select o_orderkey, train, 'p' as column, p as value from a union all select o_orderkey, train, 'c', c from a),
+n as (select "column", value, count(*) as n from e where not train and (e."column", e.value) not in (select ("column", value) from e where train) group by 1, 2)
+select x as column, coalesce(sum(n), 0)::bigint as unseen_rows, count(n) as unseen_values from (values ('p'), ('c')) v(x) left join n on n."column" = x group by 1""")
+def unseen_values(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.concat(F.lit("k"), F.col("o_custkey") % 300 + F.year("o_orderdate") * 40).alias("c"), (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")).alias("train"))
+    return ml.unseen_values(o.where("train"), o.where("not train"), ["p", "c"])
+
+
+@query()
+def boosted_with_stops(spark, d):
+    """Rows predicted by folds whose boosting stops early, for up to forty rounds."""
+    rows = _large_orders(spark, d)
+    return ml.final_fit(rows, "o_orderkey", "large", ["o_orderstatus", "o_orderpriority", "lines", "quantity"], most_rounds=40)[0].select("o_orderkey", "large", "probability")
+
+
 @query()
 def train_predict_regression(spark, d):
-    """Rows that the model hasn't seen: all of them in three folds, a fifth from 150,000 rows on."""
+    """All rows in three folds, each predicted by a model that hasn't seen it."""
     rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey")).alias("row"), "l_quantity", "l_discount", "l_returnflag", "l_shipdate", "l_extendedprice")
     return ml.out_of_fold(rows, "row", "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_shipdate"], kind="regression").select("row", "l_extendedprice", "prediction")
 
