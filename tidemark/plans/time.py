@@ -250,7 +250,7 @@ def several_class_auc(spark, d):
     return ml.several_class_auc(rows, "a", {"R": "pr", "N": "pn", "A": "pa"}).select("class", r("auc", 8).alias("auc"))
 
 
-EVENT_P = "with t as (select event_id, (event_type = 'error')::int as y, (event_id * 7919 % 1000003) / 1000003.0::double as p from events), m as (select count(*) as n, least(greatest(count(*) // 50, 2), 10) as bins, avg((p - y) * (p - y)) as brier, avg(y) * (1 - avg(y)) as of_rate, 0.05 + 0.5 / sqrt(count(*)) as tolerance, count(*) >= 200 and least(sum(y), count(*) - sum(y)) >= 20 as told from t), i as (select t.*, row_number() over (order by p, event_id) - 1 as at, n // bins as size, n % bins as more from t, m), b as (select case when at < more * (size + 1) then at // (size + 1) else more + (at - more * (size + 1)) // greatest(size, 1) end as bin, p, y from i), e as (select sum(c * abs(mp - my)) / sum(c) as ece from (select count(*) as c, avg(p) as mp, avg(y) as my from b group by bin))"
+EVENT_P = "with t as (select event_id, (event_type = 'error')::int as y, (event_id * 7919 % 1000003) / 1000003.0::double as p from events), m as (select count(*) as n, least(greatest(count(*) // 50, 2), 10) as bins, avg((p - y) * (p - y)) as brier, avg(y) * (1 - avg(y)) as of_rate, 0.05 + 0.5 / sqrt(count(*)) as tolerance, count(*) >= 200 and least(sum(y), count(*) - sum(y)) >= 20 as told from t), i as (select t.*, row_number() over (order by p, event_id) - 1 as pos, n // bins as size, n % bins as more from t, m), b as (select case when pos < more * (size + 1) then pos // (size + 1) else more + (pos - more * (size + 1)) // greatest(size, 1) end as bin, p, y from i), e as (select sum(c * abs(mp - my)) / sum(c) as ece from (select count(*) as c, avg(p) as mp, avg(y) as my from b group by bin))"
 
 
 def _event_chances(spark, d):
