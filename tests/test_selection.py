@@ -70,3 +70,18 @@ def test_running_sums_by_ranges(spark, monkeypatch, rows_a_range, halves):
         want[k] = total
     assert got == want
     assert ordered.running_sums(df.limit(0), "x", {"s": F.col("v")}, ["k"]).count() == 0
+
+
+def test_trailing_windows_of_a_hot_key(spark):
+    """One key holds nearly all rows; no window has more than those of two buckets of its time."""
+    rng = random.Random(9)
+    rows = [("hot" if k % 50 else f"k{k}", rng.randrange(10_000), k, float(k % 5)) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v double")
+    out = ordered.trailing(df, "k", "t", 100, {"n": F.count("v"), "s": F.sum("v")})
+    got = {r["id"]: (r["n"], r["s"]) for r in out.collect()}
+    assert len(got) == 3_000
+    for k, t, i, _ in rows[::37]:
+        before = [v for k2, t2, _, v in rows if k2 == k and t - 100 <= t2 < t]
+        assert got[i] == (len(before), sum(before) if before else None)
+    both = df.withColumn("b", F.explode(F.array(F.floor(F.col("t") / 100), F.floor(F.col("t") / 100) + 1)))
+    assert both.groupBy("k", "b").count().agg(F.max("count")).first()[0] < 120

@@ -147,6 +147,19 @@ def strictly_before(df: DataFrame, key: str, time: str, made: Mapping[str, tuple
     return out.select(*columns, *made)
 
 
+def trailing(df: DataFrame, key: str, time: str, width: int, made: Mapping[str, Column]) -> DataFrame:
+    """Adds, for each name in ``made`` (aggregates such as ``F.sum(...)``), what it gives over the rows of the same ``key`` in the
+    ``width`` before a row's ``time`` (whole numbers), its own time left out.
+
+    Time is cut into buckets of the width, and a row also goes to the bucket after its own, which is as far as frames reach. So
+    a key's rows are a window for each bucket, and not one: a key that holds most rows is spread over all its time."""
+    bucket = F.floor(F.col(time) / width)
+    both = df.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
+    recent = Window.partitionBy(key, "_bucket").orderBy(time).rangeBetween(-width, -1)
+    out = both.select("*", *[c.over(recent).alias(n) for n, c in made.items()])
+    return out.where(F.col("_bucket") == bucket).drop("_bucket")
+
+
 #: ``percentile_approx`` with this accuracy is off by 1 / accuracy of the rows at most; brackets are wider than that.
 ACCURACY, MARGIN = 10_000, 1e-3
 #: Up to so many values within all brackets, each group's are one window; beyond them they are parted by ranges.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import micros
 from tidemark.functions.text import key_text
-from tidemark.operators.ordered import strictly_before
+from tidemark.operators.ordered import strictly_before, trailing
 
 DAY = 86_400_000_000
 
@@ -45,7 +45,7 @@ def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, da
     """For each base row, what the child's rows of its key told strictly before its date; equal times don't count.
 
     Both tables go into one union, so no row is multiplied. What counts all earlier rows goes by ranges of a key's time
-    (``ordered.strictly_before``), so a key may hold most rows; trailing windows are frames bounded in time over a key. Columns:
+    (``ordered.strictly_before``), and trailing windows by buckets of time (``ordered.trailing``), so a key may hold most rows. Columns:
     count (0 if none), sum, mean, min, max of ``numbers``; ``days_since`` the last; the last value of ``categories`` (of equal
     times, that of the greatest value); and for each of ``windows`` (days) the count in the window, with sums of ``window_numbers``
     (all numbers) over the longest. Rows with a missing key or date get count 0 and nulls. ``row`` identifies base rows.
@@ -68,12 +68,14 @@ def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, da
     made["days_since"] = (F.col("_t") - F.col("_latest")) / float(DAY)
     for c in categories:
         made[f"{c}.last"] = F.col(f"_last_{c}")["v"]
-    by_time = Window.partitionBy("_k").orderBy("_t")
     for n in windows:
-        recent = by_time.rangeBetween(-int(n * DAY), -1)
-        made[f"count_{n:g}d"] = F.coalesce(F.sum("_child").over(recent), F.lit(0))
+        of = {f"_count_{n:g}": F.sum("_child")}
         if n == max(windows):
-            made |= {f"{c}.sum_{n:g}d": F.sum(f"_n_{c}").over(recent) for c in (numbers if window_numbers is None else window_numbers)}
+            of |= {f"_recent_{c}": F.sum(f"_n_{c}") for c in (numbers if window_numbers is None else window_numbers)}
+        past = trailing(past, "_k", "_t", int(n * DAY), of)
+        made[f"count_{n:g}d"] = F.coalesce(F.col(f"_count_{n:g}"), F.lit(0))
+        if n == max(windows):
+            made |= {f"{c}.sum_{n:g}d": F.col(f"_recent_{c}") for c in (numbers if window_numbers is None else window_numbers)}
     found = past.select("_row", "_child", *[v.alias(f"{prefix}.{k}") for k, v in made.items()]).where("_child = 0").drop("_child")
     out = base.join(found, base[row] == found["_row"], "left").drop("_row")
     for k in ["count", *[f"count_{n:g}d" for n in windows]]:

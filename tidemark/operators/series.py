@@ -146,6 +146,55 @@ def season_indices(series: DataFrame, m: int, by: Sequence[str] = (), multiplied
     return places.withColumn("effect", F.try_divide(F.col("effect"), mean) if multiplied else F.col("effect") - mean)
 
 
+def season_choice(series: DataFrame, cycles: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """(by, cycle, strength, stability): the cycle whose places explain most of what is left around the level (see
+    ``seasonal_strength``; of equals the shortest), and how alike its effects are in the two halves of the series: their
+    correlation over the places, null with under two cycles in a half. Cycles that no series holds twice are left out."""
+    key = F.struct(*(by or [F.lit("").alias("_all")]))
+    rows = series.where(F.col("y").isNotNull()).select(key.alias("_s"), "period", "y")
+    order = Window.partitionBy("_s").orderBy("period")
+    n = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("n"))
+    found = None
+    for m in cycles:
+        one = seasonal_strength(rows, m, ["_s"]).where(F.col("n") >= 2 * m).select("_s", F.lit(m).alias("cycle"), "strength")
+        placed = centred_mean(rows, m, ["_s"]).withColumn("_i", F.row_number().over(order) - 1).where("level is not null").join(n, "_s")
+        half = (F.col("_i") >= F.floor(F.col("n") / 2)).cast("int")
+        effects = placed.groupBy("_s", F.col("_i") % m).agg(*[F.avg(F.when(half == h, F.col("y") - F.col("level"))).alias(f"_e{h}") for h in (0, 1)])
+        alike = effects.groupBy("_s").agg(F.corr("_e0", "_e1").alias("_r"))
+        one = one.join(alike, "_s").join(n, "_s").select("_s", "cycle", "strength", F.when(F.col("n") >= 4 * m, F.col("_r")).alias("stability"))
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("_s").agg(F.max_by(F.struct("cycle", "strength", "stability"), F.struct("strength", -F.col("cycle"))).alias("b"))
+    return best.select(*[F.col(f"_s.`{c}`").alias(c) for c in by], "b.*")
+
+
+def seasonless(series: DataFrame, m: int, by: Sequence[str] = ()) -> DataFrame:
+    """The series (by, period, y) less the effect of its place in the cycle (``season_indices``); as it is, with under two cycles."""
+    key = F.struct(*(by or [F.lit("").alias("_all")]))
+    rows = series.where(F.col("y").isNotNull()).select(key.alias("_s"), "period", "y")
+    effects = season_indices(rows, m, ["_s"])
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy("period")) - 1).withColumn("place", F.col("_i") % m)
+    n = rows.groupBy("_s").agg((F.count(F.lit(1)) >= 2 * m).alias("_twice"))
+    out = numbered.join(effects, ["_s", "place"], "left").join(n, "_s").withColumn("y", F.when(F.col("_twice"), F.col("y") - F.coalesce("effect", F.lit(0.0))).otherwise(F.col("y")))
+    return out.select(*[F.col(f"_s.`{c}`").alias(c) for c in by], "period", "y")
+
+
+def seasonless_trend(series: DataFrame, m: int, by: Sequence[str] = ()) -> DataFrame:
+    """``trend`` of the series without its season."""
+    return trend(seasonless(series, m, by), by)
+
+
+def last_cycles(series: DataFrame, m: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cycles, last, previous, change): the means of the last whole cycle and of the one before it, so that both have every place
+    once, and the change as a share; ``cycles`` whole ones there are. Null previous with one cycle alone."""
+    key = F.struct(*(by or [F.lit("").alias("_all")]))
+    rows = series.where(F.col("y").isNotNull()).select(key.alias("_s"), "period", "y")
+    back = rows.withColumn("_back", F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("period"))) - 1)
+    mean = lambda k: F.avg(F.when(F.floor(F.col("_back") / m) == k, F.col("y")))
+    out = back.groupBy("_s").agg(F.floor(F.count(F.lit(1)) / m).alias("cycles"), mean(0).alias("last"), mean(1).alias("previous"))
+    previous = F.when(F.col("cycles") >= 2, F.col("previous"))
+    return out.where("cycles >= 1").select(*[F.col(f"_s.`{c}`").alias(c) for c in by], "cycles", "last", previous.alias("previous"), F.try_divide(F.col("last") - previous, F.abs(previous)).alias("change"))
+
+
 def stock_consumption(df: DataFrame, entity: str, date: str, stock: str, tie: str) -> DataFrame:
     """Consumption as the fall of a stock since the entity's row before; rises are 0; first rows go."""
     before = F.lag(stock).over(Window.partitionBy(entity).orderBy(date, tie))

@@ -370,6 +370,37 @@ def season_indices(spark, d):
     return se.season_indices(made, 7, ["event_type"]).select("event_type", "place", r("effect", 8).alias("effect"))
 
 
+CHOICE = """with s as (select event_type, ts::date as d, count(*)::double as y from events group by 1, 2), i as (select *, row_number() over (partition by event_type order by d) - 1 as i, count(*) over (partition by event_type) as n from s),
+""" + ", ".join(f"""l{m} as (select *, avg(y) over w as level, count(y) over w as k from i window w as (partition by event_type order by d rows between {m // 2} preceding and {(m - 1) // 2} following)),
+q{m} as (select *, i % {m} as place, case when k >= {max(2, m // 2)} then y - level end as rest from l{m}), p{m} as (select *, rest - avg(rest) over (partition by event_type, place) as left_ from q{m}),
+t{m} as (select event_type, any_value(n) as n, case when count(rest) >= {2 * m} and var_pop(rest) > 0 then least(greatest(1 - var_pop(left_) / var_pop(rest), 0), 1) else 0 end as strength from p{m} group by 1),
+e{m} as (select event_type, place, avg(rest) filter (i < n // 2) as e0, avg(rest) filter (i >= n // 2) as e1 from q{m} where rest is not null group by 1, 2),
+c{m} as (select event_type, {m} as cycle, strength, case when n >= {4 * m} then (select corr(e0, e1) from e{m} where e{m}.event_type = t{m}.event_type) end as stability from t{m} where n >= {2 * m})""" for m in (5, 7)) + """,
+b as (select * from c5 union all select * from c7)"""
+
+
+@query(CHOICE + " select event_type, cycle::int as cycle, round(strength, 8) as strength, round(stability, 6) as stability from (select *, row_number() over (partition by event_type order by strength desc, cycle) as k from b) where k = 1")
+def season_choice(spark, d):
+    made = se.aggregate(read(spark, d, "events"), "ts", "D", "count", by=["event_type"])
+    return se.season_choice(made, (5, 7), ["event_type"]).select("event_type", "cycle", r("strength", 8).alias("strength"), r("stability", 6).alias("stability"))
+
+
+@query(STRENGTH + """, a as (select event_type, place, avg(rest) as e from q where rest is not null group by 1, 2), f as (select event_type, place, e - avg(e) over (partition by event_type) as e from a),
+z as (select l.event_type, l.i, case when count(*) over (partition by l.event_type) >= 14 then l.y - coalesce(f.e, 0) else l.y end as y from l left join f on f.event_type = l.event_type and f.place = l.i % 7),
+g as (select event_type, count(*) as n, regr_slope(y, i) as b, regr_intercept(y, i) as a from z group by 1) select event_type, n, round(b, 8) as slope, round(a, 6) as intercept from g""")
+def trend_seasonless(spark, d):
+    made = se.aggregate(read(spark, d, "events"), "ts", "D", "count", by=["event_type"])
+    return se.seasonless_trend(made, 7, ["event_type"]).select("event_type", "n", r("slope", 8).alias("slope"), r("intercept", 6).alias("intercept"))
+
+
+@query("""with s as (select event_type, ts::date as d, count(*)::double as y from events group by 1, 2), k as (select *, (row_number() over (partition by event_type order by d desc) - 1) // 7 as k, count(*) over (partition by event_type) // 7 as cycles from s),
+m as (select event_type, any_value(cycles) as cycles, avg(y) filter (k = 0) as last, case when any_value(cycles) >= 2 then avg(y) filter (k = 1) end as previous from k group by 1 having any_value(cycles) >= 1)
+select event_type, cycles, round(last, 6) as last, round(previous, 6) as previous, round((last - previous) / abs(previous), 6) as change from m""")
+def last_whole_cycles(spark, d):
+    made = se.aggregate(read(spark, d, "events"), "ts", "D", "count", by=["event_type"])
+    return se.last_cycles(made, 7, ["event_type"]).select("event_type", "cycles", *[r(c, 6).alias(c) for c in ("last", "previous", "change")])
+
+
 def _daily(spark, d, op="auto", value="value"):
     return qu.prepare(read(spark, d, "events"), "ts", value, op, "D", ["event_type"])
 
