@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -203,15 +204,27 @@ def strength(r: float) -> str:
 
 
 def spearman_pairs(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
-    """(a, b, n, r): rank correlations of all pairs over the rows that have both; ranks are taken anew within those rows."""
-    out = None
-    for k, a in enumerate(columns):
-        for b in columns[k + 1 :]:
+    """(a, b, n, r): rank correlations of all pairs over the rows that have both; ranks are taken anew within those rows.
+
+    Columns without nulls are ranked together, by column, and one pass over their ranks gives all correlations among them; only
+    pairs with nulls are ranked by themselves."""
+    got = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    whole = [c for k, c in enumerate(columns) if got[f"c{k}"] == got["_n"]]
+    parts = []
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    together = [(a, b) for a, b in pairs if a in whole and b in whole]
+    if together:
+        cell = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in whole])).alias("_cell")
+        ranked = average_ranks(df.select(F.col(row).alias("_row"), cell).select("_row", "_cell.*"), "_x", "_r", by=["_column"])
+        lines = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_column") == c, F.col("_r"))).alias(f"r{k}") for k, c in enumerate(whole)])
+        rs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.lit(1)).alias("n"), F.corr(f"r{whole.index(a)}", f"r{whole.index(b)}").alias("r")) for a, b in together])
+        parts.append(lines.agg(rs.alias("all")).select(F.inline("all")))
+    for a, b in pairs:
+        if (a, b) not in together:
             both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(row, F.col(a).alias("_a"), F.col(b).alias("_b"))
             ranked = average_ranks(average_ranks(both, "_a", "_ra"), "_b", "_rb")
-            one = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r")
-            out = one if out is None else out.unionByName(one)
-    return out
+            parts.append(ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def significant_correlations(df: DataFrame, row: str, columns: Sequence[str], least: float = 0.5, top: int = 8) -> list[dict]:

@@ -6,8 +6,9 @@ import difflib
 import re
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import key_text
@@ -134,29 +135,46 @@ def usable_edges(relations: DataFrame) -> list[Edge]:
 
 
 def lineage(tables: dict[str, DataFrame], edges: Sequence[Edge], table: str, key: str, value, depth: int = 2, branches: int = 8, most: int = 60) -> DataFrame:
-    """(level, direction, table, key, value, parent_table, parent_value): records up and down from one record, ``branches`` at most of each
-    table and level; the limits are the feature, as the tree is for reading."""
-    rows = [(0, "root", table, key, str(value), None, None)]
-    front, seen = [(table, key, str(value))], {(table, str(value))}
+    """(level, direction, table, key, value, parent_table, parent_value): records up and down from one record, ``branches`` at most of
+    each node and edge, ``most`` in all; the limits are the feature, as the tree is for reading. A record is told once, where it
+    is met first: in order of the level before it, of the edges, and of its value.
+
+    All nodes of a level are joined at once: one job a level, whatever the nodes. The front, at most ``most`` records, is
+    broadcast, and so are the keys that it leads to, at most ``branches`` a node."""
     spark = tables[table].sparkSession
+    rows = [(0, "root", table, key, str(value), None, None)]
+    front = [(table, key, str(value))]
     for level in range(1, depth + 1):
-        following = []
-        for t, k, v in front:
-            here = tables[t].where(key_text(F.col(k)) == v)
-            for e in edges:
+        parts = []
+        for t, k in dict.fromkeys((t, k) for t, k, _ in front):
+            nodes = spark.createDataFrame([(pos, v) for pos, (t2, k2, v) in enumerate(front) if (t2, k2) == (t, k)], "_pos int, _v string")
+            here = tables[t].withColumn("_own", key_text(F.col(k))).join(F.broadcast(nodes), F.col("_own") == F.col("_v"))
+            for no, e in enumerate(edges):
                 if e.parent == t and e.child in tables:
-                    keys = [r[0] for r in here.select(key_text(F.col(e.parent_key))).distinct().limit(branches).collect()]
-                    own = primary_column(edges, e.child) or e.child_key
-                    hit, other, way = tables[e.child].where(key_text(F.col(e.child_key)).isin(keys)), e.child, "child"
+                    link, other, theirs, own, way = e.parent_key, e.child, e.child_key, primary_column(edges, e.child) or e.child_key, "child"
                 elif e.child == t and e.parent in tables:
-                    keys = [r[0] for r in here.select(key_text(F.col(e.child_key))).distinct().limit(branches).collect()]
-                    own, hit, other, way = e.parent_key, tables[e.parent].where(key_text(F.col(e.parent_key)).isin(keys)), e.parent, "parent"
+                    link, other, theirs, own, way = e.child_key, e.parent, e.parent_key, e.parent_key, "parent"
                 else:
                     continue
-                for (w,) in hit.select(key_text(F.col(own)).alias("w")).distinct().orderBy("w").limit(branches).collect():
-                    if (other, w) not in seen and len(rows) < most:
-                        seen.add((other, w))
-                        rows.append((level, way, other, own, w, t, v))
-                        following.append((other, own, w))
-        front = following
+                keys = _first(here.select("_pos", "_v", key_text(F.col(link)).alias("_key")).where("_key is not null"), "_key", branches)
+                names = tables[other].select(key_text(F.col(theirs)).alias("_key"), key_text(F.col(own)).alias("value"))
+                hit = _first(names.where("value is not null").join(F.broadcast(keys), "_key").select("_pos", "_v", "value"), "value", branches)
+                parts.append(hit.select(F.lit(way).alias("direction"), F.lit(other).alias("table"), F.lit(own).alias("key"), "value", F.lit(t).alias("parent_table"), F.col("_v").alias("parent_value"), "_pos", F.lit(no).alias("_edge")))
+        if not parts or len(rows) >= most:
+            break
+        seen = spark.createDataFrame([(r[2], r[4]) for r in rows], "table string, value string")
+        met = reduce(DataFrame.unionByName, parts).join(F.broadcast(seen), ["table", "value"], "left_anti")
+        order = ["_pos", "_edge", "value"]
+        once = met.withColumn("_k", F.row_number().over(Window.partitionBy("table", "value").orderBy(*order))).where("_k = 1")
+        found = once.orderBy(*order).limit(most - len(rows)).select("direction", "table", "key", "value", "parent_table", "parent_value").collect()
+        rows += [(level, *r) for r in found]
+        front = [(r["table"], r["key"], r["value"]) for r in found]
+        if not front:
+            break
     return spark.createDataFrame(rows, "level int, direction string, table string, key string, value string, parent_table string, parent_value string")
+
+
+def _first(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """Of each ``_pos``, the ``n`` least different values of a column."""
+    least = Window.partitionBy("_pos").orderBy(column)
+    return rows.distinct().withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= n).drop("_k")
