@@ -127,7 +127,8 @@ def resample(docs: DataFrame, target: DataFrame, least_words: int = LEAST_WORDS,
     drawn or not, those of one id with one score by their text; an empty corpus or target counts as no features; other
     columns are ignored."""
     features = written(collapsed(docs), "resample-features")
-    gains = bucket_gains(bucket_counts(collapsed(target)), bucket_counts(features))
+    wanted = written(collapsed(target), "resample-target")  # a table between them, so that a task has one Python worker
+    gains = bucket_gains(bucket_counts(wanted), bucket_counts(features))
     weights = text_weights(features, gains)
     rows = docs.select("doc_id", _text_id(F.coalesce(F.col("text"), F.lit(""))).alias("text_id")).join(weights, "text_id")
     scored = rows.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("likely", F.col("n_words") >= least_words)
