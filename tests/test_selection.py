@@ -15,11 +15,14 @@ from tidemark.operators.indicators import box_plot, describe
 def small(monkeypatch):
     monkeypatch.setattr(ordered, "ACCURACY", 200)
     monkeypatch.setattr(ordered, "MARGIN", 0.05)
+    monkeypatch.setattr(ordered, "FEW_ROWS", 40)
 
 
 @pytest.mark.parametrize("window", [10, 1_000_000])
-def test_quantiles_of_hot_and_small_groups(spark, small, monkeypatch, window):
+@pytest.mark.parametrize("few", [40, 1_000_000])
+def test_quantiles_of_hot_and_small_groups(spark, small, monkeypatch, window, few):
     monkeypatch.setattr(ordered, "WINDOW_VALUES", window)
+    monkeypatch.setattr(ordered, "FEW_ROWS", few)
     rng = random.Random(3)
     rows = [("hot", rng.gauss(0, 1)) for _ in range(6_000)] + [("ties", float(rng.randrange(3))) for _ in range(500)] + [(None, 4.0), (None, 1.0), ("one", 7.0), ("none", None)]
     df = spark.createDataFrame(rows, "g string, x double")

@@ -162,6 +162,8 @@ def trailing(df: DataFrame, key: str, time: str, width: int, made: Mapping[str,
 
 #: ``percentile_approx`` with this accuracy is off by 1 / accuracy of the rows at most; brackets are wider than that.
 ACCURACY, MARGIN = 10_000, 1e-3
+#: Tables of at most so many rows need no selection: one task may hold that many numbers, and the result is the same.
+FEW_ROWS = 1_000_000
 #: Up to so many values within all brackets, each group's are one window; beyond them they are parted by ranges.
 WINDOW_VALUES = 1_000_000
 
@@ -170,12 +172,15 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[flo
     """(by, column, n, q): of each column's values that aren't null, their number and exact quantiles by linear interpolation, in
     the order of ``shares``. Groups and columns without a value have no row.
 
-    No task holds a column: approximate quantiles bracket each wanted place, values below a bracket are only counted,
+    No task holds more than ``FEW_ROWS`` values of a column: beyond them, approximate quantiles bracket each wanted place, values below a bracket are only counted,
     and the few within it are counted by value and selected by their running counts. A bracket that misses its place
     is an error and never a wrong value."""
     by = list(by)
     cells = df.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("column"), c.cast("double").alias("_x")) for name, c in columns.items()])).alias("_cell")).select(*by, "_cell.*").where("_x is not null")
     keys = [*by, "column"]
+    if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        whole = F.percentile("_x", F.array(*[F.lit(float(s)) for s in shares]))
+        return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), whole.alias("q"))
     ends = [max(0.0, s - MARGIN) for s in shares] + [min(1.0, s + MARGIN) for s in shares]
     around = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", ends, ACCURACY).alias("_ends"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     few = F.col("n") * MARGIN < 2  # then all values are within, as a place's neighbour must be, too
