@@ -101,16 +101,16 @@ from cut c left join fits f on f.page_id = c.page_id and f.place = 1
 
 OP6_SQL = """
 with good as (
-  select row_number() over () as at, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+  select row_number() over () as line, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
 ), scored as (
-  select q.at, q.vec_id as query_id, c.vec_id,
+  select q.line, q.vec_id as query_id, c.vec_id,
          list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
-  from good q join good c on q.vec_id % 20 = 0 and q.at <> c.at and len(q.v) = len(c.v)
+  from good q join good c on q.vec_id % 20 = 0 and q.line <> c.line and len(q.v) = len(c.v)
 ), ranked as (
-  select *, row_number() over (partition by at order by score desc, vec_id) as place from scored
+  select *, row_number() over (partition by line order by score desc, vec_id) as place from scored
 )
 select query_id, place::int as rank, vec_id, score from ranked where place <= 20
 """
