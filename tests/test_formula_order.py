@@ -53,3 +53,31 @@ def test_strictly_before_under_one_key(spark, monkeypatch, rows_a_range):
             assert r["n"] == len(known)
             assert (r["s"], r["lo"]) == ((known.sum(), known.min()) if len(known) else (None, None))
             assert (r["hi"]["t"] if r["hi"] else None) == (past["t"].max() if len(past) else None)
+
+
+@pytest.mark.parametrize("rows_a_range", [100, 1_000_000])
+def test_previous_under_one_group(spark, monkeypatch, rows_a_range):
+    """A group that holds most rows, a null group and null keys, against a plain pass; in many ranges and in one."""
+    monkeypatch.setattr(ordered, "ROWS_A_RANGE", rows_a_range)
+    rng = np.random.default_rng(3)
+    rows = [(k, None if rng.random() < 0.05 else "hot" if rng.random() < 0.9 else "cold", None if rng.random() < 0.02 else int(rng.integers(0, 200)), None if rng.random() < 0.1 else float(k)) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "id int, k string, t long, v double").repartition(7)
+    got = {r["id"]: r["before"] for r in ordered.previous(df, ["k"], ["t", "id"], F.col("v"), "before").collect()}
+    assert len(got) == 3_000
+    last = {}
+    for i, k, t, v in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+        assert got[i] == last.get(k)
+        last[k] = v
+    empty = ordered.previous(df.where("false"), ["k"], ["t", "id"], F.col("v"), "before")
+    assert empty.count() == 0 and empty.columns == ["id", "k", "t", "v", "before"]
+
+
+def test_previous_spreads_one_group(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_A_RANGE", 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = spark.range(20_000).withColumn("k", F.lit("all"))
+        got = ordered.previous(one, ["k"], ["id"], F.col("id"), "before").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(got) > 2 and max(r["n"] for r in got) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -18,7 +18,7 @@ from tidemark.functions.dates import micros
 from tidemark.operators.anomalies import SCALE, IsolationForest, Z, robust_statistics
 from tidemark.operators.indicators import Indicator
 from tidemark.operators.lineage import name_parts
-from tidemark.operators.ordered import quantiles
+from tidemark.operators.ordered import previous, quantiles
 from tidemark.operators.relational import Edge
 from tidemark.operators.state import content_signature
 
@@ -259,9 +259,9 @@ def analysis_key(settings: Mapping) -> str:
 def compare_runs(history: DataFrame, change: float = 0.10) -> DataFrame:
     """(key, at, improvement, before, confidence, confidence_before, changed, less_sure) of each run (key, at, improvement, confidence)
     against the one before of the same analysis: improvement moved by ``change`` or more, or confidence fell."""
-    order = Window.partitionBy("key").orderBy("at")
     rank = F.try_element_at(F.create_map(*[F.lit(x) for k, v in CONFIDENCE.items() for x in (k, v)]), F.col("confidence"))
-    out = history.withColumn("_rank", rank).withColumn("before", F.lag("improvement").over(order)).withColumn("confidence_before", F.lag("confidence").over(order)).withColumn("_rank_before", F.lag("_rank").over(order))
+    run = F.struct(F.col("improvement").alias("i"), F.col("confidence").alias("c"), F.col("_rank").alias("r"))
+    out = previous(history.withColumn("_rank", rank), ["key"], ["at"], run, "_run").withColumns({"before": F.col("_run.i"), "confidence_before": F.col("_run.c"), "_rank_before": F.col("_run.r")})
     return out.select("key", "at", "improvement", "before", "confidence", "confidence_before", F.coalesce(F.abs(F.col("improvement") - F.col("before")) >= change, F.lit(False)).alias("changed"), F.coalesce(F.col("_rank") < F.col("_rank_before"), F.lit(False)).alias("less_sure"))
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import written
 from tidemark.functions.text import key_text
 from tidemark.operators.relational import Edge, key_profile
 
@@ -18,6 +19,12 @@ from tidemark.operators.relational import Edge, key_profile
 KEY_PARTS = ("id", "key", "pk", "fk", "codigo", "code", "numero", "nro", "rut", "folio")
 
 
+#: Columns' names aside, so much of the smaller column's values must be in the other, unless both look like keys.
+LEAST_OVERLAP = 0.15
+#: Values in a column's sample, and how far an overlap told by samples may be off.
+SAMPLED_VALUES, MARGIN = 1_024, 0.1
+
+
 def name_parts(name: str) -> list[str]:
     plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
     return [p for p in re.split(r"[^0-9a-z]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", plain).lower()) if p]
@@ -40,8 +47,10 @@ def _kind(t: str) -> str:
 def infer_relations(tables: dict[str, DataFrame], least: float = 0.5, top: int = 3) -> DataFrame:
     """(table_a, column_a, table_b, column_b, name, overlap, confidence, cardinality): column pairs of two tables that look related.
 
-    Names are compared on the driver, as they are metadata; only columns of like type whose names are near enough have their
-    distinct values compared: one table of all such columns' values, grouped by value, counts all overlaps at once. Confidence: 0.4 name + 0.5 overlap, 0.1 more if both look like keys."""
+    Names are compared on the driver, as they are metadata. Of columns of like type whose names are near enough, samples tell
+    which may overlap enough (``sampled_overlaps``); the distinct values of these alone are compared: one table of them, grouped
+    by value, counts all overlaps at once. Overlaps that are told are exact; a pair is left out by its sample with a chance of
+    at most exp(-2 SAMPLED_VALUES MARGIN**2), some 1e-9. Confidence: 0.4 name + 0.5 overlap, 0.1 more if both look like keys."""
     names, candidates = sorted(tables), []
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
@@ -50,12 +59,15 @@ def infer_relations(tables: dict[str, DataFrame], least: float = 0.5, top: int =
                     keys, name = looks_like_key(ca) + looks_like_key(cb), name_similarity(ca, cb)
                     if _kind(ta) == _kind(tb) != "date" and name >= {2: 0.5, 1: 0.6, 0: 0.35}[keys]:
                         candidates.append(((a, ca), (b, cb), keys, name))
+    sampled = sampled_overlaps(tables, sorted({c for x, y, *_ in candidates for c in (x, y)}), [(x, y) for x, y, *_ in candidates])
+    wanted = lambda keys, name: max(0.0 if keys == 2 else LEAST_OVERLAP, (least - 0.4 * name - 0.1 * (keys == 2)) / 0.5)
+    candidates = [(x, y, keys, name) for x, y, keys, name in candidates if sampled[x, y] >= wanted(keys, name) - MARGIN]
     overlaps = value_overlaps(tables, sorted({c for x, y, *_ in candidates for c in (x, y)}))
     best: dict[tuple[str, str], list] = {}
     for x, y, keys, name in candidates:
         overlap = overlaps.get((x, y), 0.0)
         confidence = 0.4 * name + 0.5 * overlap + 0.1 * (keys == 2)
-        if (overlap >= 0.15 or keys == 2) and confidence >= least:
+        if (overlap >= LEAST_OVERLAP or keys == 2) and confidence >= least:
             best.setdefault((x[0], y[0]), []).append((*x, *y, float(name), float(overlap), float(confidence)))
     unique: dict[tuple[str, str], bool] = {}
 
@@ -73,20 +85,57 @@ def infer_relations(tables: dict[str, DataFrame], least: float = 0.5, top: int =
     return spark.createDataFrame(found, "table_a string, column_a string, table_b string, column_b string, name double, overlap double, confidence double, cardinality string")
 
 
+def _cells(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]], rates: Sequence[float] | None = None) -> DataFrame | None:
+    """(k, v): values of the k-th (table, column) as lower-case trimmed text; of each, the share of ``rates`` that is least by hash."""
+    out = None
+    for table, df in tables.items():
+        cells = []
+        for k, (t, c) in enumerate(columns):
+            if t == table:
+                v = F.lower(F.trim(F.col(f"`{c}`").cast("string")))
+                low = F.lit(True) if rates is None or rates[k] >= 1 else F.xxhash64(v) < F.lit(int((rates[k] - 0.5) * 2**64)).cast("long")
+                cells.append(F.struct(F.lit(k).alias("k"), F.when(low, v).alias("v")))
+        if cells:
+            some = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("v is not null")
+            out = some if out is None else out.unionByName(some)
+    return out
+
+
+def sampled_overlaps(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]], pairs: Sequence[tuple]) -> dict[tuple, float]:
+    """About what ``value_overlaps`` gives for ``pairs`` of (table, column), without a shuffle of all values.
+
+    Three passes over the columns: their numbers of different values, by sketch; of each, about ``SAMPLED_VALUES`` of these with
+    the least hashes (all, if fewer); and which of them each partner holds, where a partner's values that are above all of
+    its samples' hashes go before the join. The share of a sample that the partner holds is that of all its values, off by
+    ``MARGIN`` with a chance of exp(-2 SAMPLED_VALUES MARGIN**2). Samples have a bounded number of rows."""
+    if not pairs:
+        return {}
+    sizes: dict[int, int] = {}
+    for table, df in tables.items():
+        own = [(k, c) for k, (t, c) in enumerate(columns) if t == table]
+        if own:
+            found = df.agg(*[F.approx_count_distinct(F.lower(F.trim(F.col(f"`{c}`").cast("string"))), 0.03).alias(f"n{k}") for k, c in own]).first()
+            sizes |= {k: found[f"n{k}"] for k, _ in own}
+    rates = [min(1.0, 1.25 * SAMPLED_VALUES / max(1, sizes[k])) for k in range(len(columns))]
+    at = {c: k for k, c in enumerate(columns)}
+    asked = [(at[x], at[y]) for x, y in pairs] + [(at[y], at[x]) for x, y in pairs]
+    reach = [max((rates[a] for a, b in asked if b == k), default=0.0) for k in range(len(columns))]
+    sample = written(_cells(tables, columns, rates).distinct(), "samples")
+    n = {r["k"]: r["n"] for r in sample.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    met = _cells(tables, columns, reach).withColumnRenamed("k", "b").join(sample.withColumnRenamed("k", "a"), "v").where("a <> b").distinct()
+    held = {(r["a"], r["b"]): r["n"] for r in met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = lambda a, b: held.get((a, b), 0) / max(1, n.get(a, 0))
+    return {(x, y): max(share(at[x], at[y]), share(at[y], at[x])) for x, y in pairs}
+
+
 def value_overlaps(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]]) -> dict[tuple, float]:
     """Common distinct values (lower-case trimmed text) over the fewer, for each pair of (table, column), from one pass over each
     table: distinct (column, value) meet by value, and each value counts for all pairs of the columns that have it. A value
     meets as many rows as there are columns, and the result has as many as pairs of columns."""
-    values = None
-    for table, df in tables.items():
-        own = [(k, c) for k, (t, c) in enumerate(columns) if t == table]
-        if own:
-            cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lower(F.trim(F.col(c).cast("string"))).alias("v")) for k, c in own])).alias("c")
-            some = df.select(cells).select("c.*").where("v is not null").distinct()
-            values = some if values is None else values.unionByName(some)
+    values = _cells(tables, columns)
     if values is None:
         return {}
-    sets = values.groupBy("v").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    sets = values.distinct().groupBy("v").agg(F.array_sort(F.collect_set("k")).alias("ks"))
     pair = F.explode(F.flatten(F.transform("ks", lambda x: F.transform(F.filter("ks", lambda y: y >= x), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")
     n = {(r["x"], r["y"]): r["n"] for r in sets.select(pair).groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = {}

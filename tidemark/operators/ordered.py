@@ -147,6 +147,28 @@ def strictly_before(df: DataFrame, key: str, time: str, made: Mapping[str, tuple
     return out.select(*columns, *made)
 
 
+def previous(df: DataFrame, by: Sequence[str], keys: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the ``value`` of the row before, in order of ``keys``, among the rows of the same ``by`` (nulls are one group);
+    null for a group's first row. Of rows that are equal in ``keys``, any may come first.
+
+    Rows are parted by ranges of the keys, one for each ``ROWS_A_RANGE`` rows of the table, so one group may hold most rows: each
+    range of a group is a window by itself, and its first row takes the last value of the group's range before. Where all rows
+    make one range, a group's rows are one window."""
+    by, columns = list(by), df.columns
+    borders = range_borders(df, keys, least=1)
+    if not borders:
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*by).orderBy(*keys)))
+    df = df.withColumn("_range", key_range(df, keys, borders=borders)).withColumn("_value", value)
+    ends = df.groupBy(*by, "_range").agg(F.max_by(F.struct("_value"), F.struct(*keys)).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_range")  # a row a range
+    starts = ends.select(*by, "_range", F.lag("_end").over(earlier)["_value"].alias("_start"))
+    within = Window.partitionBy(*by, "_range").orderBy(*keys)
+    here = F.when(F.row_number().over(within) == 1, F.col("_start")).otherwise(F.lag("_value").over(within))
+    same = [df[c].eqNullSafe(starts[c]) for c in by]
+    joined = df.join(starts, [*same, df["_range"] == starts["_range"]]).select(df["*"], starts["_start"])
+    return joined.withColumn(out, here).select(*columns, out)
+
+
 def trailing(df: DataFrame, key: str, time: str, width: int, made: Mapping[str, Column]) -> DataFrame:
     """Adds, for each name in ``made`` (aggregates such as ``F.sum(...)``), what it gives over the rows of the same ``key`` in the
     ``width`` before a row's ``time`` (whole numbers), its own time left out.

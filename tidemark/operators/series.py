@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import bucket, micros
+from tidemark.operators.ordered import previous
 
 DAY = 86_400_000_000
 STEP = {"H": "interval 1 hour", "D": "interval 1 day", "B": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month"}
@@ -196,10 +197,10 @@ def last_cycles(series: DataFrame, m: int, by: Sequence[str] = ()) -> DataFrame:
 
 
 def stock_consumption(df: DataFrame, entity: str, date: str, stock: str, tie: str) -> DataFrame:
-    """Consumption as the fall of a stock since the entity's row before; rises are 0; first rows go."""
-    before = F.lag(stock).over(Window.partitionBy(entity).orderBy(date, tie))
-    fall = before - F.col(stock)
-    return df.withColumn("consumed", F.when(fall.isNotNull(), F.greatest(fall, F.lit(0.0)))).where("consumed is not null")
+    """Consumption as the fall of a stock since the entity's row before; rises are 0; first rows go. An entity may hold most rows."""
+    fall = F.col("_before") - F.col(stock)
+    rows = previous(df, [entity], [date, tie], F.col(stock), "_before")
+    return rows.withColumn("consumed", F.when(fall.isNotNull(), F.greatest(fall, F.lit(0.0)))).where("consumed is not null").drop("_before")
 
 
 def trailing_streak(series: DataFrame, limit: float) -> DataFrame:

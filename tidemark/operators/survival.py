@@ -5,27 +5,29 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import micros
 from tidemark.functions.scratch import written
-from tidemark.operators.ordered import running_sums, strictly_before
+from tidemark.operators.ordered import previous, running_sums, strictly_before
 
 DAY = 86_400_000_000.0
 
+# Consumption moves clearly beyond so many standard errors, over or under these shares, told from so many days on.
+CLEAR_ERRORS, RISING_FROM, FALLING_TO, TREND_DAYS = 2.0, 1.25, 0.75, 9
+
 
 def spans(df: DataFrame, entity: str, date: str, is_event: Column, until: str | None = None) -> DataFrame:
     """(entity, days, event): times between consecutive different event times of an entity, and its censored rest to the end of
-    observation: ``until``, else its own last row. Spans of no length are left out."""
+    observation: ``until``, else its own last row. Spans of no length are left out. An entity may hold most rows (``ordered.previous``)."""
     rows = df.where(F.col(entity).isNotNull() & F.col(date).isNotNull()).select(F.col(entity).alias("entity"), micros(F.col(date)).alias("t"), F.coalesce(is_event, F.lit(False)).alias("e"))
     end = F.max("t").alias("end") if until is None else F.lit(until).cast("timestamp").cast("double").cast("long").alias("end") * 1_000_000
     last = rows.groupBy("entity").agg(F.max("t").alias("end")) if until is None else rows.groupBy("entity").agg(F.max("t").alias("_")).select("entity", end.alias("end"))
     times = rows.where("e").select("entity", "t").distinct()
-    following = F.lead("t").over(Window.partitionBy("entity").orderBy("t"))
-    both = times.withColumn("next", following).join(last, "entity")
-    out = both.select("entity", ((F.coalesce("next", "end") - F.col("t")) / DAY).alias("days"), F.col("next").isNotNull().alias("event"))
-    return out.where("days > 0")
+    ended = previous(times, ["entity"], ["t"], F.col("t"), "from").where("from is not null").select("entity", ((F.col("t") - F.col("from")) / DAY).alias("days"), F.lit(True).alias("event"))
+    rest = times.groupBy("entity").agg(F.max("t").alias("t")).join(last, "entity").select("entity", ((F.col("end") - F.col("t")) / DAY).alias("days"), F.lit(False).alias("event"))
+    return ended.unionByName(rest).where("days > 0")
 
 
 def durations(df: DataFrame, start: str, end: str, cut: str, by: Sequence[str] = ()) -> DataFrame:
@@ -70,8 +72,7 @@ def spans_from_start(df: DataFrame, entity: str, date: str, is_event: Column, st
     times = rows.where("e").select("entity", "t").distinct().join(whole, "entity").where("t > start")
     if single:
         times = times.groupBy("entity", "first", "start", "end").agg(F.min("t").alias("t"))
-    before = F.lag("t").over(Window.partitionBy("entity").orderBy("t"))  # different event times of an entity
-    ended = times.withColumn("from", F.coalesce(before, "start")).select("entity", "from", F.col("t").alias("to"), F.lit(True).alias("event"), "first")
+    ended = previous(times, ["entity"], ["t"], F.col("t"), "_before").withColumn("from", F.coalesce("_before", "start")).select("entity", "from", F.col("t").alias("to"), F.lit(True).alias("event"), "first")
     last = times.groupBy("entity").agg(F.max("t").alias("last"))
     rest = whole.join(last, "entity", "left").where("last is null" if single else "true").select("entity", F.coalesce("last", "start").alias("from"), F.col("end").alias("to"), F.lit(False).alias("event"), "first")
     day = lambda c: (c - F.col("from")) / DAY
@@ -147,16 +148,51 @@ def priority(df: DataFrame, entity: str, risk: str, cost: str) -> DataFrame:
     return summed.join(F.broadcast(total)).select("entity", "score", F.try_divide(F.col("_upto"), F.col("_total")).alias("share"))
 
 
+def _recent(df: DataFrame, entity: str, date: str, consumed: str, window_days: int) -> DataFrame:
+    """(_e, _at, _c): what each element used on each day of the table's last ``window_days`` (from 0) on which it has a row."""
+    end = df.agg(F.max(F.to_date(date)).alias("_end"))
+    daily = df.groupBy(F.col(entity).alias("_e"), F.to_date(date).alias("_day")).agg(F.sum(F.col(consumed).cast("double")).alias("_c"))
+    at = (window_days - 1 - F.datediff("_end", "_day")).alias("_at")
+    return daily.join(F.broadcast(end)).select("_e", at, F.coalesce("_c", F.lit(0.0)).alias("_c")).where("_at >= 0")  # the end is one row
+
+
+def _thirds(window_days: int) -> dict[str, Column]:
+    """Aggregates of ``_recent``: sums and squares of the first and last third of the days; days without a row are zero."""
+    third = window_days // 3
+    parts = {"first": F.col("_at") < third, "last": F.col("_at") >= window_days - third}
+    return {f"_{name}{p}": F.coalesce(F.sum(F.when(part, F.pow("_c", F.lit(p)))), F.lit(0.0)) for name, part in parts.items() for p in (1, 2)}
+
+
+def _trend(window_days: int) -> tuple[Column, Column, Column]:
+    """(first, last, trend) from ``_thirds``: the means, and whether the last is clearly (by two standard errors) over 1.25 or under
+    0.75 of the first; windows of under nine days tell no trend."""
+    third = window_days // 3
+    first, last = (F.col(f"_{name}1") / max(1, third) for name in ("first", "last"))
+    spread = [F.greatest(F.col(f"_{name}2") / max(1, third) - mean * mean, F.lit(0.0)) / max(1, third) for name, mean in (("first", first), ("last", last))]
+    clear = (F.abs(last - first) > CLEAR_ERRORS * F.greatest(F.sqrt(spread[0] + spread[1]), F.lit(1e-12))) & F.lit(window_days >= TREND_DAYS)
+    more, less = (first >= 0) & (last > RISING_FROM * first), (first > 0) & (last < FALLING_TO * first)
+    return first, last, F.when(clear & more, "rising").when(clear & less, "falling").otherwise("stable")
+
+
+def consumption_trend(df: DataFrame, entity: str, date: str, consumed: str, window_days: int = 56) -> DataFrame:
+    """(entity, first, last, trend): mean daily consumption of the first and last third of the table's last ``window_days``, and whether
+    it's rising, falling or stable; elements without a row in them are left out. One aggregate by element and day, one by element."""
+    rows = _recent(df, entity, date, consumed, window_days).groupBy("_e").agg(*[c.alias(n) for n, c in _thirds(window_days).items()])
+    first, last, trend = _trend(window_days)
+    return rows.select(F.col("_e").alias("entity"), first.alias("first"), last.alias("last"), trend.alias("trend"))
+
+
 def depletion(df: DataFrame, entity: str, date: str, consumed: str, stock: str, tie: str, window_days: int = 56) -> DataFrame:
-    """(entity, stock, p10, p50, p90): days until each element's stock is used up, from its last ``window_days`` of daily consumption.
+    """(entity, stock, p10, p50, p90, state, trend): days until each element's stock is used up, from its last ``window_days`` of daily
+    consumption. ``state``: unknown (no stock is told), out (none is left), unused (nothing was used), beyond (half of the paths
+    outlast the horizon) or lasting. ``trend``: see ``consumption_trend``; paths take consumption to go on as in the window, so
+    a rising one may end sooner.
 
     An element is one row with an array of at most ``window_days`` days, and a batch of rows is simulated at a time."""
     from tidemark.functions.forecasting import depletion_times
 
     last = df.groupBy(F.col(entity).alias("entity")).agg(F.max_by(stock, F.struct(date, tie)).cast("double").alias("stock"))
-    end = df.agg(F.max(F.to_date(date)).alias("_end"))
-    daily = df.groupBy(F.col(entity).alias("_e"), F.to_date(date).alias("_day")).agg(F.sum(F.col(consumed).cast("double")).alias("_c")).join(F.broadcast(end)).where(F.col("_day") > F.date_sub("_end", window_days))
-    days = daily.groupBy("_e").agg(F.collect_list(F.struct((window_days - 1 - F.datediff("_end", "_day")).alias("at"), F.coalesce("_c", F.lit(0.0)).alias("c"))).alias("_days"))
+    days = _recent(df, entity, date, consumed, window_days).groupBy("_e").agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_c").alias("c"))).alias("_days"), F.sum("_c").alias("_used"), *[c.alias(n) for n, c in _thirds(window_days).items()])
     rows = last.join(days, F.col("entity").eqNullSafe(F.col("_e")), "left")
 
     @F.pandas_udf("p10 double, p50 double, p90 double")
@@ -172,4 +208,6 @@ def depletion(df: DataFrame, entity: str, date: str, consumed: str, stock: str,
             out.append(depletion_times(values, now, zlib.crc32(str(name).encode())) if now == now else (np.nan,) * 3)
         return pd.DataFrame(out, columns=["p10", "p50", "p90"])
 
-    return rows.withColumn("_p", simulated(F.col("entity").cast("string"), "stock", "_days")).select("entity", "stock", "_p.*")
+    state = F.when(F.col("stock").isNull(), "unknown").when(F.col("stock") <= 0, "out").when(F.coalesce("_used", F.lit(0.0)) <= 0, "unused").when(F.col("_p.p50") == float("inf"), "beyond").otherwise("lasting")
+    simulations = rows.withColumn("_p", simulated(F.col("entity").cast("string"), "stock", "_days"))
+    return simulations.select("entity", "stock", "_p.*", state.alias("state"), F.coalesce(_trend(window_days)[2], F.lit("stable")).alias("trend"))

@@ -168,6 +168,15 @@ def priority_pareto(spark, d):
     return su.priority(rows, "l_suppkey", "risk", "cost").select("entity", "score", r("share", 6).alias("share"))
 
 
+@query("""with d as (select user_id, date_diff('day', ts::date, (select max(ts::date) from events)) as back, sum(value) as c from events group by 1, 2), w as (select user_id, 55 - back as place, coalesce(c, 0) as c from d where back < 56),
+t as (select user_id, coalesce(sum(c) filter (place < 18), 0) / 18 as a, coalesce(sum(c) filter (place >= 38), 0) / 18 as b, coalesce(sum(c * c) filter (place < 18), 0) / 18 as aa, coalesce(sum(c * c) filter (place >= 38), 0) / 18 as bb from w group by 1),
+s as (select *, abs(b - a) > 2 * greatest(sqrt(greatest(aa - a * a, 0) / 18 + greatest(bb - b * b, 0) / 18), 1e-12) as clear from t)
+select user_id, round(a, 6) as first, round(b, 6) as last, case when clear and a >= 0 and b > 1.25 * a then 'rising' when clear and a > 0 and b < 0.75 * a then 'falling' else 'stable' end as trend from s""")
+def consumption_trend(spark, d):
+    told = su.consumption_trend(read(spark, d, "events"), "user_id", "ts", "value")
+    return told.select(F.col("entity").alias("user_id"), r("first", 6).alias("first"), r("last", 6).alias("last"), "trend")
+
+
 @query()
 def depletion(spark, d):
     rows = read(spark, d, "events").withColumn("stock", F.lit(500.0) + F.col("value"))
