@@ -199,3 +199,17 @@ def test_ask(spark):
     steps = spark.createDataFrame([(k, 1.0, 1.0, 1.0, "last") for k in range(1, 4)], "step int, forecast double, low double, high double, method string")
     assert [r["period"] for r in qu.forecast_table(business, steps).orderBy("period").collect()] == [dt.date(2024, 3, 8), dt.date(2024, 3, 11), dt.date(2024, 3, 12)]
     assert math.isfinite(out[0]["low"])
+
+
+def test_suggested_settings(spark):
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), dt.datetime(2024, 2, 1), float(k), k * 2.0, f"s{k % 7}", k % 5, "ok" if k % 3 else "bad", f"t{k}", None) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, opened timestamp_ntz, closed timestamp_ntz, width double, total_price double, zone string, shop_id long, status string, free string, none string")
+    assert qu.suggested_settings(df) == {"date": "opened", "value": "total_price", "entity": "shop_id", "event": "status"}
+    assert qu.suggested_settings(df, "duration") == {"date": "opened", "value": "total_price", "entity": "shop_id", "event": "status", "start": "opened", "end": "closed"}
+    assert qu.suggested_settings(df.drop("shop_id", "opened", "total_price")) == {"date": "closed", "value": "width", "entity": "status"}
+    assert qu.suggested_settings(df.select("free", "none")) == {} and qu.suggested_settings(df.limit(0)) == {"date": "opened", "value": "total_price", "event": "status"}
+    # A third of the rows is still an entity, one value more isn't.
+    n = spark.range(3_000).select((F.col("id") % 1_000).alias("a_id"), (F.col("id") % 1_001).alias("b_id"))
+    assert qu.suggested_settings(n) == {"entity": "a_id"} and qu.suggested_settings(n.select("b_id")) == {}
+    with pytest.raises(ValueError):
+        qu.suggested_settings(df, "weather")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import written
 from tidemark.operators import series as se
-from tidemark.operators.lineage import name_parts
+from tidemark.operators.lineage import looks_like_key, name_parts
+
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 # Words of a column's name that say how its values of a period go together.
 LEVELS = {
@@ -29,6 +31,59 @@ SUMS = {
 }
 
 
+# Further words of names that say what a column is for.
+VALUES = SUMS | {"valor", "value", "precio", "price", "temperatura", "temperature", "uso", "usage", "carga", "load", "stock"}
+EVENTS = {
+    "falla", "fallo", "evento", "error", "incidente", "averia", "tipo", "estado", "status", "alarma", "alerta",
+    "failure", "fault", "event", "incident", "type", "state", "alarm", "alert",
+}
+STARTS = {"inicio", "apertura", "creacion", "ingreso", "solicitud", "start", "opened", "open", "created", "creation", "request"}
+ENDS = {"fin", "cierre", "termino", "entrega", "resolucion", "end", "closed", "close", "resolved", "resolution", "delivery", "finish"}
+MOST_ENTITIES = 5_000
+
+
+def suggested_settings(df: DataFrame, keyword: str = "projection") -> dict[str, str]:
+    """Columns to begin a question with, by their types, names and numbers of different values; whoever asks may choose others.
+
+    ``date``: the first column of dates. ``value``: the number, not a key, whose name most says that it's worth following, the
+    first of equals. ``entity``: a text, or a key, of 2 to a third of the rows and at most ``MOST_ENTITIES`` values; keys
+    first, then by name. ``event``: the first other text or flag whose name says so. Durations also get ``start`` and ``end``.
+    Settings that no column suits are left out.
+
+    One pass estimates the numbers of values of all candidates; only those near a limit are counted exactly."""
+    if keyword not in QUESTIONS:
+        raise ValueError(f"no question {keyword!r}; there are {', '.join(QUESTIONS)}")
+    kinds, words = dict(df.dtypes), {c: set(name_parts(c)) for c in df.columns}
+    dates = [c for c, k in kinds.items() if k.startswith(("timestamp", "date"))]
+    numbers = [c for c, k in kinds.items() if (k in NUMBERS or k.startswith("decimal")) and not looks_like_key(c)]
+    found = {"date": dates[0]} if dates else {}
+    if numbers:
+        found["value"] = max(numbers, key=lambda c: len(words[c] & VALUES))  # the first of equals
+    entities = _entities(df, [c for c, k in kinds.items() if k == "string" or looks_like_key(c) and (k in NUMBERS or k.startswith("decimal"))])
+    if entities:
+        found["entity"] = min(entities, key=lambda c: (not looks_like_key(c), c))
+    events = [c for c, k in kinds.items() if k in ("string", "boolean") and words[c] & EVENTS and c != found.get("entity")]
+    if events:
+        found["event"] = events[0]
+    if keyword == "duration":
+        for name, said in (("start", STARTS), ("end", ENDS)):
+            if told := [c for c in dates if words[c] & said]:
+                found[name] = told[0]
+    return found
+
+
+def _entities(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    if not columns:
+        return []
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+    about = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c, 0.02).alias(f"d{k}") for k, c in enumerate(quoted)]).first()
+    most = min(MOST_ENTITIES, max(about["n"] // 3, 2))
+    # Estimates are off by 2 % (standard error): what isn't within 15 % of a limit is on the side that it seems to be on.
+    near = [k for k in range(len(columns)) if about[f"d{k}"] <= 3 or 0.85 * most <= about[f"d{k}"] <= 1.15 * most]
+    counted = df.agg(*[F.count_distinct(quoted[k]).alias(f"d{k}") for k in near]).first() if near else {}
+    return [c for k, c in enumerate(columns) if 2 <= (counted[f"d{k}"] if k in near else about[f"d{k}"]) <= most]
+
+
 def suggested_operation(value: str | None, default: str = "sum") -> tuple[str, bool]:
     """How a period's values go together by the column's name, and whether the name told."""
     if value is None:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.filters import trailing_window
 from tidemark.operators.indicators import by_category
 from tidemark.operators.relational import enrich, prior_resume
-from tidemark.plans import discovery, evidence, relations, summaries, time
+from tidemark.plans import columns, discovery, evidence, relations, summaries, time
 from tidemark.plans.summaries import read
 
-MODULES = (summaries, relations, discovery, time, evidence)
+MODULES = (summaries, relations, discovery, time, evidence, columns)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
