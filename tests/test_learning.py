@@ -83,3 +83,32 @@ def test_metrics_by_hand(spark):
     assert (got["n"], got["positives"]) == (4, 2) and got["average_precision"] == pytest.approx((1 * 0.5 + 1 * 2 / 3) / 2)
     assert got["log_loss"] == pytest.approx(-np.mean(np.log([0.9, 0.1, 0.5, 0.8]))) and got["recall"] == 1 and got["precision"] == pytest.approx(2 / 3)
     assert ml.probability_metrics(spark.createDataFrame([], "y int, p double"), "y", "p").first()["n"] == 0
+
+
+@pytest.mark.parametrize("kind", ["regression", "classification"])
+def test_boosting_over_cells_gives_the_trees_of_all_rows(spark, monkeypatch, kind):
+    """Trees see equal rows as one row that weighs as many, and come out as from the rows one by one."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    u = F.pmod(F.xxhash64("id"), F.lit(1_000)) / 1_000
+    df = spark.range(20_000).select("id", (F.col("id") % 8).cast("double").alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("double").alias("b"), u.alias("u"))
+    y = F.col("a") * F.col("b") + F.col("u") if kind == "regression" else (F.col("u") * 12 < F.col("a") + F.col("b")).cast("int")
+    df = df.withColumn("y", y)
+    seen = []
+    monkeypatch.setattr(ml, "_cells", lambda *a, cells=ml._cells, **k: seen.append(cells(*a, **k)) or seen[-1])
+    got = ml.train(df, "y", ["a", "b"], kind, iterations=4).predict(df)
+    assert seen[0].count() <= 80 and seen[0].agg(F.sum("_n")).first()[0] == 20_000
+    plain = (GBTRegressor if kind == "regression" else GBTClassifier)(featuresCol="f", labelCol="y", maxIter=4, seed=0, maxBins=64, predictionCol="plain")
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df.withColumn("y", F.col("y").cast("double")))
+    both = plain.fit(rows).transform(rows).select("id", "plain").join(got.select("id", "prediction"), "id")
+    assert both.where(F.abs(F.col("plain") - F.col("prediction")) > 1e-6).count() == 0
+
+
+def test_large_numbers_are_learnt_from_in_bins(spark):
+    df = spark.range(30_000).select("id", F.col("id").cast("double").alias("a"), (F.col("id") >= 15_000).cast("int").alias("y"))
+    model = ml.train(df, "y", ["a"], "classification", iterations=2)
+    assert "a_value_filled_bin" in model.inputs and model.predict(df).where("prediction != y").count() <= 2 * ml.BIN_ERROR * 30_000
+    cells = model.cells(df, ["y"])
+    assert cells.count() <= 2 * ml.BINS and cells.agg(F.sum("_n")).first()[0] == 30_000

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, QuantileDiscretizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +152,7 @@ class Preparation:
     dates: list[str]
     categories: list[str]
     shares: dict[str, DataFrame] = field(default_factory=dict)
+    levels: int = 0  # the most levels of a category
 
     @staticmethod
     def of(df: DataFrame, columns: Sequence[str]) -> Preparation:
@@ -161,7 +162,7 @@ class Preparation:
         many = [c for c in texts if levels[c] > MOST_LEVELS]
         n = df.count() if many else 0
         shares = {c: df.groupBy(c).agg((F.count(F.lit(1)) / float(n)).alias(f"{c}_share")).where(F.col(c).isNotNull()) for c in many}
-        return Preparation([c for c in columns if kinds[c] in NUMERIC or kinds[c] == "boolean"], [c for c in columns if kinds[c].startswith(("timestamp", "date"))], [c for c in texts if c not in many], shares)
+        return Preparation([c for c in columns if kinds[c] in NUMERIC or kinds[c] == "boolean"], [c for c in columns if kinds[c].startswith(("timestamp", "date"))], [c for c in texts if c not in many], shares, max([levels[c] for c in texts if c not in many], default=0))
 
     def apply(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         made, names = {}, []
@@ -191,28 +192,61 @@ def _features(df: DataFrame, columns: Sequence[str]) -> tuple[Preparation, list,
     return prep, steps, filled, coded
 
 
-def _levels(df: DataFrame, prep: Preparation) -> int:
-    return max(df.agg(*[F.count_distinct(c) for c in prep.categories]).first()) if prep.categories else 0
+#: Numbers of more different values than the trees' bins are parted into as many by quantiles that are off by this share at most.
+BIN_ERROR = 0.001
+
+
+def _binned(ready: DataFrame, fitted: PipelineModel, filled: Sequence[str], bins: int) -> tuple[list, list[str]]:
+    """(stages that part numbers into bins, as trees do; names of the numbers, of which those that are parted are bins)."""
+    numbers = fitted.transform(ready).select(*filled)
+    kinds = numbers.agg(*[F.approx_count_distinct(c).alias(c) for c in filled]).first().asDict() if filled else {}
+    many = [c for c in filled if kinds[c] > bins]
+    if not many:
+        return [], list(filled)
+    parted = QuantileDiscretizer(inputCols=many, outputCols=[f"{c}_bin" for c in many], numBuckets=bins, relativeError=BIN_ERROR, handleInvalid="keep")
+    return [parted.fit(numbers)], [f"{c}_bin" if c in many else c for c in filled]
+
+
+def _cells(rows: DataFrame, inputs: Sequence[str], weight: str | None = None, by: Sequence[str] = (), mean: bool = False) -> DataFrame:
+    """Rows that are equal in ``inputs``, ``_label`` and ``by`` as one, with ``_n``: how many, or the sum of their ``weight``. ``mean``: rows of
+    all labels are one, with the labels' mean, which squared errors can't tell from the rows. Written, as learners read it often."""
+    # A bin is a number, not a class, so what says so of its column goes.
+    kept = [F.col(c).alias(c, metadata={}) if c.endswith("_bin") else F.col(c) for c in inputs]
+    n = F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight)
+    if mean:
+        w = F.lit(1.0) if weight is None else F.col(weight)
+        made = rows.select(*kept, *by, "_label", *([weight] if weight else [])).groupBy(*inputs, *by).agg((F.sum(F.col("_label") * w) / F.sum(w)).alias("_label"), n.alias("_n"))
+    else:
+        made = rows.select(*kept, *by, "_label", *([weight] if weight else [])).groupBy(*inputs, *by, "_label").agg(n.alias("_n"))
+    return written(made, "cells")
 
 
 #: A share of rows tells when to stop boosting: once a round lowers their loss by less than this part of it.
 VALIDATION_SHARE, LEAST_GAIN, MOST_ROUNDS, LEAST_ROUNDS = 0.1, 0.001, 200, 10
 
 
-def learner(df: DataFrame, columns: Sequence[str], kind: str, classes: int, seed: int = 0, iterations: int = 20, weight: str | None = None, validation: str | None = None):
-    """(preparation, pipeline) of imputation, category codes and boosted trees (a forest for more than two classes). With a
-    ``validation`` column, trees stop where rows that it marks gain no more; ``iterations`` is the most there can be."""
+def learner(df: DataFrame, columns: Sequence[str], kind: str, classes: int, seed: int = 0, iterations: int = 20, weight: str | None = None, validation: str | None = None) -> tuple[Preparation, PipelineModel, list[str] | None]:
+    """(preparation, fitted pipeline of imputation, category codes and boosted trees, their inputs); a forest, without inputs, for more than two
+    classes. With a ``validation`` column, trees stop where rows that it marks gain no more; ``iterations`` is the most there can be.
+
+    All rows are learnt from, but trees are boosted over cells: rows equal in their inputs (large numbers in bins) and label are one row that weighs as
+    many, so each of the many passes is over cells. A forest resamples rows, so it takes them one by one."""
     prep, steps, filled, coded = _features(df, columns)
-    steps.append(VectorAssembler(inputCols=filled + coded, outputCol="_features", handleInvalid="keep"))
-    common = {"featuresCol": "_features", "labelCol": "_label", "seed": seed, "maxBins": max(BINS, _levels(df, prep) + 2)} | ({"weightCol": weight} if weight else {})
-    boost = {"maxIter": iterations} | ({"validationIndicatorCol": validation, "validationTol": LEAST_GAIN} if validation else {})
-    if kind == "regression":
-        steps.append(GBTRegressor(**boost, **common))
-    elif classes <= 2:
-        steps.append(GBTClassifier(**boost, **common))
-    else:
-        steps.append(RandomForestClassifier(numTrees=50, **common))
-    return prep, Pipeline(stages=steps)
+    bins = max(BINS, prep.levels + 2)
+    assembled = lambda names: VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
+    common = {"featuresCol": "_features", "labelCol": "_label", "seed": seed, "maxBins": bins}
+    ready, _ = prep.apply(df)
+    if kind != "regression" and classes > 2:
+        steps += [assembled(filled + coded), RandomForestClassifier(numTrees=50, **common, **({"weightCol": weight} if weight else {}))]
+        return prep, Pipeline(stages=steps).fit(ready), None
+    fitted = Pipeline(stages=steps).fit(ready)
+    parted, numbers = _binned(ready, fitted, filled, bins)
+    inputs = numbers + coded
+    first = PipelineModel(stages=[*fitted.stages, *parted])
+    cells = _cells(first.transform(ready), inputs, weight, [validation] if validation else [], mean=kind == "regression" and not validation)
+    boost = {"maxIter": iterations, "weightCol": "_n"} | ({"validationIndicatorCol": validation, "validationTol": LEAST_GAIN} if validation else {})
+    trees = (GBTRegressor if kind == "regression" else GBTClassifier)(**boost, **common)
+    return prep, PipelineModel(stages=[*first.stages, assembled(inputs), trees.fit(assembled(inputs).transform(cells))]), inputs
 
 
 @dataclass
@@ -222,6 +256,7 @@ class Model:
     kind: str
     classes: list[str] = field(default_factory=list)
     log: bool = False
+    inputs: list[str] | None = None  # what boosted trees see of a row
 
     @property
     def rounds(self) -> int | None:
@@ -229,10 +264,20 @@ class Model:
         last = self.fitted.stages[-1]
         return last.getNumTrees if isinstance(last, GBTRegressionModel | GBTClassificationModel) else None
 
+    def cells(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep``, what ``predict`` tells, and ``_n``: rows that are equal in ``keep`` and in what the trees see are told once, and counted."""
+        if self.inputs is None:
+            return self.predict(df).withColumn("_n", F.lit(1))
+        *first, assembler, trees = self.fitted.stages
+        cells = PipelineModel(stages=first).transform(self.prep.apply(df)[0]).groupBy(*keep, *self.inputs).agg(F.count(F.lit(1)).alias("_n"))
+        return self._told(PipelineModel(stages=[assembler, trees]).transform(cells), [*keep, "_n"])
+
     def predict(self, df: DataFrame) -> DataFrame:
         """``prediction`` (a class's number for classification), and ``probability`` of the last class, with ``said``, the class's name."""
-        out = self.fitted.transform(self.prep.apply(df)[0])
-        keep = [*df.columns, "prediction"]
+        return self._told(self.fitted.transform(self.prep.apply(df)[0]), df.columns)
+
+    def _told(self, out: DataFrame, columns: Sequence[str]) -> DataFrame:
+        keep = [*columns, "prediction"]
         if self.kind == "regression":
             return out.withColumn("prediction", F.expm1("prediction") if self.log else F.col("prediction")).select(*keep)
         p = vector_to_array("probability")
@@ -262,9 +307,8 @@ def train(df: DataFrame, target: str, columns: Sequence[str], kind: str | None =
     if stop_early:
         chance = F.pmod(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], F.lit(seed)), F.lit(1_000))
         rows = rows.withColumn("_validation", chance < int(1_000 * VALIDATION_SHARE))
-    prep, pipe = learner(rows, columns, kind, len(classes), seed, iterations, "_weight" if weighted else None, "_validation" if stop_early else None)
-    ready, _ = prep.apply(rows)
-    return Model(prep, pipe.fit(ready), kind, classes, log)
+    prep, fitted, inputs = learner(rows, columns, kind, len(classes), seed, iterations, "_weight" if weighted else None, "_validation" if stop_early else None)
+    return Model(prep, fitted, kind, classes, log, inputs)
 
 
 def splits(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: int = 0, target: str | None = None, time: str | None = None, group: str | None = None, one_split_from: int | None = None):
@@ -273,27 +317,35 @@ def splits(df: DataFrame, row: str, folds: int = 3, how: str = "random", seed: i
     time, the last) for tests; by default there is none at any size."""
     once = one_split_from is not None and df.count() > one_split_from
     if how == "time":
-        marked = with_folds(df, row, 4 if once else folds, how, seed, target, time, group)
+        marked = written(with_folds(df, row, 4 if once else folds, how, seed, target, time, group), "folds")
         for k in [4] if once else range(1, folds + 1):
             yield marked.where(F.col("_fold") < k).drop("_fold"), marked.where(F.col("_fold") == k).drop("_fold")
         return
     marked = with_folds(df, row, 5 if once else folds, how, seed, target, time, group)
+    if how == "stratified":
+        marked = written(marked, "folds")
     for k in [0] if once else range(folds):
         yield marked.where(F.col("_fold") != k).drop("_fold"), marked.where(F.col("_fold") == k).drop("_fold")
 
 
+def _known(df: DataFrame, target: str) -> DataFrame:
+    """Rows with a target, written: models read them many times, and what they come from is worked out once."""
+    return written(df.where(F.col(target).isNotNull()), "known")
+
+
 def out_of_fold(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, iterations: int = 20, how: str = "random", time: str | None = None, group: str | None = None, kind: str | None = None, **options) -> DataFrame:
     """Rows predicted by models that haven't seen them (see ``splits``): every row; by time, those after the first part."""
+    df = _known(df, target)
     kind = kind or problem_kind(df, target)
-    some = on_splits(splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group), lambda learnt, tested: train(learnt, target, columns, kind, seed, iterations, **options).predict(tested))
+    some = on_splits(splits(df, row, folds, how, seed, target, time, group), lambda learnt, tested: train(learnt, target, columns, kind, seed, iterations, **options).predict(tested))
     return reduce(DataFrame.unionByName, some)
 
 
 def final_fit(df: DataFrame, row: str, target: str, columns: Sequence[str], folds: int = 3, seed: int = 0, most_rounds: int = MOST_ROUNDS, how: str = "random", time: str | None = None, group: str | None = None, kind: str | None = None, **options) -> tuple[DataFrame, Model, list[int]]:
     """(rows predicted by models that haven't seen them, the model of all rows, the rounds of each fold's model). Boosting stops
     early in each fold; the last model learns from all rows for as many rounds as the folds' median, ten at least."""
-    kind = kind or problem_kind(df, target)
-    rows = df.where(F.col(target).isNotNull())
+    rows = _known(df, target)
+    kind = kind or problem_kind(rows, target)
 
     def one(learnt: DataFrame, tested: DataFrame):
         model = train(learnt, target, columns, kind, seed, most_rounds, stop_early=True, **options)
@@ -316,12 +368,13 @@ def linear_reference(df: DataFrame, row: str, target: str, columns: Sequence[str
     """The simple model to compare with, on the same splits: medians for missing cells, standard scores, categories as flags, then
     ridge or logistic regression. Rows with ``prediction`` (and ``probability`` of the last of two classes). Rare classes get weights
     as in ``train``. ``penalty`` is that of the sum of squares, so its weight falls with the number of rows."""
+    df = _known(df, target)
     kind = problem_kind(df, target)
 
     def one(learnt: DataFrame, tested: DataFrame) -> DataFrame:
         rows, classes = labelled(learnt, target) if kind != "regression" else (learnt.withColumn("_label", F.col(target).cast("double")), [])
         prep, steps, filled, coded = _features(rows, columns)
-        parts = []
+        early, parts = len(steps), []
         if filled:
             steps += [VectorAssembler(inputCols=filled, outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
             parts.append("_scaled")
@@ -329,14 +382,18 @@ def linear_reference(df: DataFrame, row: str, target: str, columns: Sequence[str
             steps.append(OneHotEncoder(inputCols=coded, outputCols=[f"{c}_flags" for c in coded], handleInvalid="keep"))
             parts += [f"{c}_flags" for c in coded]
         steps.append(VectorAssembler(inputCols=parts, outputCol="_features"))
-        common = {"featuresCol": "_features", "labelCol": "_label"}
+        weight = None
         if kind != "regression" and use_weights(rows, "_label"):
-            rows, common = balanced_weights(rows, "_label").withColumnRenamed("weight", "_weight"), common | {"weightCol": "_weight"}
+            rows, weight = balanced_weights(rows, "_label").withColumnRenamed("weight", "_weight"), "_weight"
         n = max(rows.count(), 1)
-        steps.append(LinearRegression(regParam=penalty / n, standardization=False, **common) if kind == "regression" else LogisticRegression(maxIter=300, regParam=penalty / n, standardization=False, **common))
-        return Model(prep, Pipeline(stages=steps).fit(prep.apply(rows)[0]), kind, classes).predict(tested)
+        ready, _ = prep.apply(rows)
+        stages = Pipeline(stages=steps).fit(ready).stages
+        cells = _cells(PipelineModel(stages=stages[:early]).transform(ready), filled + coded, weight)  # as many passes as rounds
+        common = {"featuresCol": "_features", "labelCol": "_label", "weightCol": "_n", "regParam": penalty / n, "standardization": False}
+        line = LinearRegression(**common) if kind == "regression" else LogisticRegression(maxIter=300, **common)
+        return Model(prep, PipelineModel(stages=[*stages, line.fit(PipelineModel(stages=stages[early:]).transform(cells))]), kind, classes).predict(tested)
 
-    return reduce(DataFrame.unionByName, on_splits(splits(df.where(F.col(target).isNotNull()), row, folds, how, seed, target, time, group), one))
+    return reduce(DataFrame.unionByName, on_splits(splits(df, row, folds, how, seed, target, time, group), one))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -460,7 +517,8 @@ def permutation_importance(df: DataFrame, row: str, target: str, columns: Sequen
     dealt anew among them; the mean and standard deviation of ``repeats`` seeded dealings, over all folds.
 
     All tested rows take part. They're first put in order of a hash, so any run of them is a chance sample; a task deals a column among the rows of each of its batches,
-    marks copies with column and repeat, and one prediction of all copies gives the errors. No row leaves its task."""
+    marks copies with column and repeat, and one prediction of all copies gives the errors: of each cell of equal copies once."""
+    df = _known(df, target)
     kind = problem_kind(df, target)
     kinds, names = dict(df.dtypes), list(columns)
     keep = [row, target, *names]
@@ -483,9 +541,10 @@ def permutation_importance(df: DataFrame, row: str, target: str, columns: Sequen
             error = F.abs(F.col("probability") - (F.col(target).cast("string") == model.classes[1]).cast("double"))
         else:
             error = (F.col("said") != F.col(target).cast("string")).cast("double")
-        return model.predict(copies).groupBy("_column", "_repeat").agg(F.sum(error).alias("e"), F.count(F.lit(1)).alias("n"))
+        seen = model.cells(copies, [target, "_column", "_repeat"])
+        return seen.groupBy("_column", "_repeat").agg(F.sum(error * F.col("_n")).alias("e"), F.sum("_n").alias("n"))
 
-    errors = reduce(DataFrame.unionByName, on_splits(splits(df.where(F.col(target).isNotNull()), row, folds, seed=seed), one))
+    errors = reduce(DataFrame.unionByName, on_splits(splits(df, row, folds, seed=seed), one))
     mean = errors.groupBy("_column", "_repeat").agg((F.sum("e") / F.sum("n")).alias("e"))
     base = mean.where("_column is null").select(F.col("e").alias("_base"))
     grown = mean.where("_column is not null").join(F.broadcast(base)).groupBy(F.col("_column").alias("column")).agg(F.avg(F.col("e") - F.col("_base")).alias("importance"), F.coalesce(F.stddev_pop("e"), F.lit(0.0)).alias("spread"))
