@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
 from tidemark.operators.anomalies import robust_statistics
-from tidemark.operators.indicators import box_plot, describe
+from tidemark.operators.indicators import Indicator, box_plot, compute, describe
 
 
 @pytest.fixture
@@ -88,3 +88,15 @@ def test_trailing_windows_of_a_hot_key(spark):
         assert got[i] == (len(before), sum(before) if before else None)
     both = df.withColumn("b", F.explode(F.array(F.floor(F.col("t") / 100), F.floor(F.col("t") / 100) + 1)))
     assert both.groupBy("k", "b").count().agg(F.max("count")).first()[0] < 120
+
+
+def test_medians_of_indicators_are_selected(spark, monkeypatch):
+    """No aggregate of an indicator holds a whole column, and no rows or no numbers still give a null."""
+    monkeypatch.setattr(ordered, "FEW_ROWS", 100)
+    df = spark.range(5_001).select((F.pmod(F.xxhash64("id"), F.lit(9_973)) / 7).alias("a"), F.when(F.col("id") < 0, 1.0).alias("none"))
+    k = [Indicator("n", "count", "a"), Indicator("middle", "median", "a"), Indicator("nothing", "median", "none")]
+    made = compute(df, k)
+    assert "median(" not in made._jdf.queryExecution().analyzed().toString()
+    want = float(np.median([r[0] for r in df.select("a").collect()]))
+    assert {r["name"]: r["value"] for r in made.collect()} == {"n": 5_001.0, "middle": pytest.approx(want, rel=1e-12), "nothing": None}
+    assert [r["value"] for r in compute(df.where("a < 0"), k).collect()] == [None, None, None]

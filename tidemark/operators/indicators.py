@@ -43,7 +43,8 @@ class Indicator:
 
 
 def compute(df: DataFrame, indicators: Sequence[Indicator]) -> DataFrame:
-    """(name, value): all indicators. Those over the same filtered rows are one aggregation; no rows give a null value."""
+    """(name, value): all indicators. Those over the same filtered rows are one aggregation, and their medians are selected, so that no
+    task holds a column (``ordered.quantiles``); no rows give a null value."""
     groups: dict[tuple, list[Indicator]] = {}
     for k in indicators:
         groups.setdefault((k.conditions, k.date, k.days), []).append(k)
@@ -51,11 +52,16 @@ def compute(df: DataFrame, indicators: Sequence[Indicator]) -> DataFrame:
     for (conditions, date, days), some in groups.items():
         rows = apply_conditions(df, conditions)
         rows = trailing_window(rows, date, days) if date and days else rows
-        plain = [k for k in some if k.op != "formula"]
+        plain = [k for k in some if k.op not in ("formula", "median")]
+        middles = [k for k in some if k.op == "median"]
         if plain:
             any_row = F.count(F.lit(1)) > 0
             made = [F.struct(F.lit(k.name).alias("name"), F.when(any_row, reduce_column(k.op, F.col(k.column), F.col(k.other) if k.other else None).cast("double")).alias("value")) for k in plain]
             parts.append(rows.agg(F.array(*made).alias("all")).select(F.inline("all")))
+        if middles:
+            columns = {f"{i}": as_number(F.col(k.column)) for i, k in enumerate(middles)}
+            found = [F.struct(F.lit(k.name).alias("name"), F.max(F.when(F.col("column") == f"{i}", F.col("q")[0])).alias("value")) for i, k in enumerate(middles)]
+            parts.append(quantiles(rows, columns, [0.5]).agg(F.array(*found).alias("all")).select(F.inline("all")))
         parts += [calculated_value(rows, k.formula).select(F.lit(k.name).alias("name"), F.col("value").cast("double").alias("value")) for k in some if k.op == "formula"]
     out = parts[0]
     for p in parts[1:]:
