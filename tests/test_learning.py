@@ -112,3 +112,12 @@ def test_large_numbers_are_learnt_from_in_bins(spark):
     assert "a_value_filled_bin" in model.inputs and model.predict(df).where("prediction != y").count() <= 2 * ml.BIN_ERROR * 30_000
     cells = model.cells(df, ["y"])
     assert cells.count() <= 2 * ml.BINS and cells.agg(F.sum("_n")).first()[0] == 30_000
+
+
+def test_the_linear_reference_learns_from_cells(spark, monkeypatch):
+    df = spark.range(6_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.pmod(F.xxhash64("id"), F.lit(9)) < F.col("id") % 7).cast("int").alias("y"))
+    seen = []
+    monkeypatch.setattr(ml, "_cells", lambda *a, cells=ml._cells, **k: seen.append(cells(*a, **k)) or seen[-1])
+    got = ml.linear_reference(df, "id", "y", ["a"], folds=2)
+    assert len(seen) == 2 and all(c.count() <= 14 for c in seen) and sum(c.agg(F.sum("_n")).first()[0] for c in seen) == 6_000
+    assert got.count() == 6_000 and ml.rank_auc(got, "y", "probability").first()["auc"] > 0.7
