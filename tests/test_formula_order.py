@@ -55,6 +55,18 @@ def test_strictly_before_under_one_key(spark, monkeypatch, rows_a_range):
             assert (r["hi"]["t"] if r["hi"] else None) == (past["t"].max() if len(past) else None)
 
 
+@pytest.mark.parametrize("keys", [1, 2_000])
+def test_strictly_before_tasks_of_bounded_rows(spark, monkeypatch, keys):
+    """A task's rows don't grow with the table, by whatever ``spark.sql.shuffle.partitions``; with many keys and with one."""
+    monkeypatch.setattr(ordered, "ROWS_A_RANGE", 200)
+    df = spark.range(20_000).select((F.col("id") % keys).cast("string").alias("k"), F.col("id").alias("t"))
+    got = strictly_before(df, "k", "t", {"n": ("count", F.col("t")), "last": ("max", F.col("t"))})
+    held = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in held) == 20_000 and max(r["n"] for r in held) < 1_600
+    last = F.when(F.col("t") >= keys, F.col("t") - keys)
+    assert got.where((F.col("n") != F.floor(F.col("t") / keys)) | ~F.col("last").eqNullSafe(last)).count() == 0
+
+
 @pytest.mark.parametrize("rows_a_range", [100, 1_000_000])
 def test_previous_under_one_group(spark, monkeypatch, rows_a_range):
     """A group that holds most rows, a null group and null keys, against a plain pass; in many ranges and in one."""

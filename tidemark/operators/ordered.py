@@ -8,6 +8,7 @@ table of range totals has one row a range, so it is safe to broadcast.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,13 +24,18 @@ BORDERS_BY_HALVES = 128
 
 def range_borders(df: DataFrame, keys: Sequence[str], ranges: int | None = None, least: int = LEAST_RANGES) -> list[tuple]:
     """Rows of ``keys`` that part the table, in their order, into about equal ranges; nulls come first. They come from a chance
-    sample of ``SAMPLE_ROWS`` rows at most, which changes no result. The number of rows, which sets that of the ranges, is told by
-    the sample too: of n chances, the k-th least is about k / n. Keys that many rows share are parted by the further ones."""
+    sample of ``SAMPLE_ROWS`` rows at most, which changes no result. Keys that many rows share are parted by the further ones."""
+    return _borders_and_rows(df, keys, ranges, least)[0]
+
+
+def _borders_and_rows(df: DataFrame, keys: Sequence[str], ranges: int | None = None, least: int = LEAST_RANGES) -> tuple[list[tuple], int]:
+    """See ``range_borders``; and about how many rows there are, which sets the number of ranges and is told by the sample too: of
+    n chances, the k-th least is about k / n."""
     drawn = df.select(*[F.col(k) for k in keys], F.rand(7).alias("_h")).orderBy("_h").limit(SAMPLE_ROWS).collect()
     n = len(drawn) if len(drawn) < SAMPLE_ROWS else int(len(drawn) / max(drawn[-1]["_h"], 1e-12))
     ranges = ranges or min(MOST_RANGES, max(least, n // ROWS_A_RANGE))
     rows = sorted((tuple(r)[:-1] for r in drawn), key=lambda row: tuple((v is not None, v != v, v if v is not None and v == v else 0) for v in row))
-    return list(dict.fromkeys(rows[k * len(rows) // ranges] for k in range(1, ranges))) if rows else []
+    return (list(dict.fromkeys(rows[k * len(rows) // ranges] for k in range(1, ranges))) if rows else []), n
 
 
 def key_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, borders: list[tuple] | None = None) -> Column:
@@ -122,27 +128,34 @@ def strictly_before(df: DataFrame, key: str, time: str, made: Mapping[str, tuple
     """Adds, for each name in ``made`` (sum, count, min or max, and of what), the aggregate over the rows of the same ``key`` with an
     earlier ``time`` (whole numbers); equal times don't count. Keys aren't null.
 
-    Rows of a key are parted by ranges of time, one for each ``ROWS_A_RANGE`` rows of the table, so one key may hold most rows:
-    each range of a key is a window by itself, and starts from what the key's earlier ranges gave. The table is dealt out once,
-    by key and range. Where all rows make one range, a key's rows are one window."""
-    borders = range_borders(df, [time], least=1)
+    From twice ``ROWS_A_RANGE`` rows on, the table is dealt out once, over one partition for so many rows at least, so a task's
+    memory doesn't grow with the table. A key may hold most rows: of borders that part the table by key and time into ranges of so
+    many rows, those of a key with several part its rows, each range is a window by itself, and starts from what the key's earlier
+    ranges gave. There are at most two starts a border, so they are broadcast. The rows of any other key are one window."""
+    borders, rows = _borders_and_rows(df, [key, time], least=1)
+    often = Counter(k for k, _ in borders)
+    borders = [b for b in borders if often[b[0]] > 1]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_RANGE)
+    dealt = lambda df, *by: df.repartition(parts, *by) if rows >= 2 * ROWS_A_RANGE else df
     if not borders:
         alone = Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[_FOLDS[op][0](c).over(alone).alias(n) for n, (op, c) in made.items()])
+        return dealt(df, key).select("*", *[_FOLDS[op][0](c).over(alone).alias(n) for n, (op, c) in made.items()])
     columns = df.columns
-    df = df.withColumn("_range", key_range(df, [time], borders=borders))
-    df = df.withColumns({f"_of_{n}": c for n, (_, c) in made.items()})
-    totals = df.groupBy(key, "_range").agg(*[_FOLDS[op][0](f"_of_{n}").alias(f"_all_{n}") for n, (op, _) in made.items()])
+    parted = F.col(key).isin(list(dict.fromkeys(k for k, _ in borders)))
+    df = df.withColumn("_range", F.when(parted, key_range(df, [key, time], borders=borders)).otherwise(0))
+    cut = df.where(parted)
+    totals = cut.groupBy(key, "_range").agg(*[_FOLDS[op][0](c).alias(f"_all_{n}") for n, (op, c) in made.items()])
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = totals.select(key, "_range", *[_FOLDS[op][1](f"_all_{n}").over(earlier).alias(f"_start_{n}") for n, (op, _) in made.items()])
     within = Window.partitionBy(key, "_range").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
-    out = df.join(starts, [key, "_range"])
+    out = dealt(df, key, "_range").select("*", *[_FOLDS[op][0](c).over(within).alias(f"_here_{n}") for n, (op, c) in made.items()])
+    out = out.join(F.broadcast(starts), [key, "_range"], "left")
     for n, (op, _) in made.items():
-        here, before = _FOLDS[op][0](f"_of_{n}").over(within), F.col(f"_start_{n}")
+        here, before = F.col(f"_here_{n}"), F.col(f"_start_{n}")
         if op in ("min", "max"):
             both = (F.least if op == "min" else F.greatest)(before, here)
         else:
-            both = F.coalesce(before + here, before, here, *([F.lit(0)] if op == "count" else []))
+            both = F.coalesce(before + here, before, here)
         out = out.withColumn(n, both)
     return out.select(*columns, *made)
 
@@ -169,14 +182,16 @@ def previous(df: DataFrame, by: Sequence[str], keys: Sequence[str], value: Colum
     return joined.withColumn(out, here).select(*columns, out)
 
 
-def trailing(df: DataFrame, key: str, time: str, width: int, made: Mapping[str, Column]) -> DataFrame:
+def trailing(df: DataFrame, key: str, time: str, width: int, made: Mapping[str, Column], counted: Column | None = None) -> DataFrame:
     """Adds, for each name in ``made`` (aggregates such as ``F.sum(...)``), what it gives over the rows of the same ``key`` in the
     ``width`` before a row's ``time`` (whole numbers), its own time left out.
 
     Time is cut into buckets of the width, and a row also goes to the bucket after its own, which is as far as frames reach. So
-    a key's rows are a window for each bucket, and not one: a key that holds most rows is spread over all its time."""
+    a key's rows are a window for each bucket, and not one: a key that holds most rows is spread over all its time. ``counted``:
+    the rows that change an aggregate (all); others stay in their own bucket."""
     bucket = F.floor(F.col(time) / width)
-    both = df.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
+    two = F.array(bucket, bucket + 1)
+    both = df.withColumn("_bucket", F.explode(two if counted is None else F.when(counted, two).otherwise(F.array(bucket))))
     recent = Window.partitionBy(key, "_bucket").orderBy(time).rangeBetween(-width, -1)
     out = both.select("*", *[c.over(recent).alias(n) for n, c in made.items()])
     return out.where(F.col("_bucket") == bucket).drop("_bucket")

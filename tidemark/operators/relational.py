@@ -44,23 +44,23 @@ def resume(base: DataFrame, child: DataFrame, key: str, child_key: str, numbers:
 def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, date: str, child_date: str, row: str, numbers: Sequence[str], categories: Sequence[str] = (), windows: Sequence[float] = (), prefix: str = "prior", window_numbers: Sequence[str] | None = None) -> DataFrame:
     """For each base row, what the child's rows of its key told strictly before its date; equal times don't count.
 
-    Both tables go into one union, so no row is multiplied. What counts all earlier rows goes by ranges of a key's time
-    (``ordered.strictly_before``), and trailing windows by buckets of time (``ordered.trailing``), so a key may hold most rows. Columns:
+    Both tables go into one union, where a base row is carried whole, so no row is multiplied and none is joined back. What counts
+    all earlier rows goes by ranges of keys and times (``ordered.strictly_before``), and trailing windows by buckets of time
+    (``ordered.trailing``), so a key may hold most rows. Columns:
     count (0 if none), sum, mean, min, max of ``numbers``; ``days_since`` the last; the last value of ``categories`` (of equal
     times, that of the greatest value); and for each of ``windows`` (days) the count in the window, with sums of ``window_numbers``
-    (all numbers) over the longest. Rows with a missing key or date get count 0 and nulls. ``row`` identifies base rows.
+    (all numbers) over the longest. Rows with a missing key or date get count 0 and nulls. ``row`` names base rows and isn't read.
     """
-    kind = lambda df, c: dict(df.dtypes)[c]
-    base_rows = base.select(key_text(F.col(key)).alias("_k"), micros(F.col(date)).alias("_t"), F.col(row).alias("_row"), F.lit(0).alias("_child"), *[F.lit(None).cast("double").alias(f"_n_{c}") for c in numbers], *[F.lit(None).cast(kind(child, c)).alias(f"_c_{c}") for c in categories])
-    child_rows = child.select(key_text(F.col(child_key)).alias("_k"), micros(F.col(child_date)).alias("_t"), F.lit(None).cast(kind(base, row)).alias("_row"), F.lit(1).alias("_child"), *[F.col(c).cast("double").alias(f"_n_{c}") for c in numbers], *[F.col(c).alias(f"_c_{c}") for c in categories])
+    base_rows = base.select(key_text(F.col(key)).alias("_k"), micros(F.col(date)).alias("_t"), F.struct("*").alias("_base"))
+    child_rows = child.select(key_text(F.col(child_key)).alias("_k"), micros(F.col(child_date)).alias("_t"), *[F.col(c).cast("double").alias(f"_n_{c}") for c in numbers], *[F.col(c).alias(f"_c_{c}") for c in categories])
     known = F.col("_k").isNotNull() & F.col("_t").isNotNull()
-    both = base_rows.where(known).unionByName(child_rows.where(known))
-    of_child = F.when(F.col("_child") == 1, F.col("_t"))
+    both = base_rows.where(known).unionByName(child_rows.where(known), allowMissingColumns=True)
+    of_child = F.when(F.col("_base").isNull(), F.col("_t"))
     whole: dict[str, tuple[str, Column]] = {"_children": ("count", of_child), "_latest": ("max", of_child)}
     for c in numbers:
         whole |= {f"_{op}_{c}": (op, F.col(f"_n_{c}")) for op in ("sum", "count", "min", "max")}
     for c in categories:
-        whole[f"_last_{c}"] = ("max", F.when(F.col("_child") == 1, F.struct(F.col("_t"), F.col(f"_c_{c}").alias("v"))))
+        whole[f"_last_{c}"] = ("max", F.when(F.col("_base").isNull(), F.struct(F.col("_t"), F.col(f"_c_{c}").alias("v"))))
     past = strictly_before(both, "_k", "_t", whole)
     made: dict[str, Column] = {"count": F.col("_children")}
     for c in numbers:
@@ -69,15 +69,15 @@ def prior_resume(base: DataFrame, child: DataFrame, key: str, child_key: str, da
     for c in categories:
         made[f"{c}.last"] = F.col(f"_last_{c}")["v"]
     for n in windows:
-        of = {f"_count_{n:g}": F.sum("_child")}
+        of = {f"_count_{n:g}": F.count(of_child)}
         if n == max(windows):
             of |= {f"_recent_{c}": F.sum(f"_n_{c}") for c in (numbers if window_numbers is None else window_numbers)}
-        past = trailing(past, "_k", "_t", int(n * DAY), of)
-        made[f"count_{n:g}d"] = F.coalesce(F.col(f"_count_{n:g}"), F.lit(0))
+        past = trailing(past, "_k", "_t", int(n * DAY), of, F.col("_base").isNull())
+        made[f"count_{n:g}d"] = F.col(f"_count_{n:g}")
         if n == max(windows):
             made |= {f"{c}.sum_{n:g}d": F.col(f"_recent_{c}") for c in (numbers if window_numbers is None else window_numbers)}
-    found = past.select("_row", "_child", *[v.alias(f"{prefix}.{k}") for k, v in made.items()]).where("_child = 0").drop("_child")
-    out = base.join(found, base[row] == found["_row"], "left").drop("_row")
+    found = past.where("_base is not null").select("_base.*", *[v.alias(f"{prefix}.{k}") for k, v in made.items()])
+    out = found.unionByName(base_rows.where(~known).select("_base.*"), allowMissingColumns=True)
     for k in ["count", *[f"count_{n:g}d" for n in windows]]:
         out = out.withColumn(f"{prefix}.{k}", F.coalesce(F.col(f"`{prefix}.{k}`"), F.lit(0)))
     return out

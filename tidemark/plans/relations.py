@@ -42,7 +42,7 @@ def join_1n_total_resume(spark, d):
 
 def _prior(spark, d, **more):
     orders = read(spark, d, "orders")
-    return rel.prior_resume(orders, orders.select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority"), "o_custkey", "o_custkey", "o_orderdate", "o_orderdate", "o_orderkey", ["o_totalprice"], prefix="p", **more)
+    return rel.prior_resume(orders.select("o_orderkey", "o_custkey", "o_orderdate"), orders.select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority"), "o_custkey", "o_custkey", "o_orderdate", "o_orderdate", "o_orderkey", ["o_totalprice"], prefix="p", **more)
 
 
 @query("""select a.o_orderkey, count(b.o_orderkey) as n, round(sum(b.o_totalprice), 2) as total, round(avg(b.o_totalprice), 8) as mean, min(b.o_totalprice) as lo, max(b.o_totalprice) as hi
